@@ -67,3 +67,310 @@ def top_theme_words(g: DataFrame, n_clusters: int = 5, n_terms: int = 10) -> Dat
 @register("top_theme_words")
 def q_top_theme_words(spark, sf_dir):
     return top_theme_words(grouped(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------------------------
+# Column functions applied to whole tables
+# ------------------------------------------------------------------------------------------------
+@register("scrub_pii")
+def q_scrub_pii(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select("review_id", T.scrub_pii("content").alias("content"))
+
+
+@register("iso_week")
+def q_iso_week(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
+    return e.select("event_id", T.iso_week("ts").alias("iso_week"))
+
+
+@register("report_anchor")
+def q_report_anchor(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select(*KEYS).distinct().select(*KEYS, T.report_anchor("product_id", "iso_week").alias("anchor"))
+
+
+@register("tokenise")
+def q_tokenise(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    t = T.tokens("content")
+    return r.select("review_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+@register("title_word")
+def q_title_word(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    w = r.select(F.explode(T.tokens("content")).alias("word")).distinct()
+    return w.select("word", T.title_word("word").alias("title"))
+
+
+@register("extract_json")
+def q_extract_json(spark, sf_dir):
+    c = D.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", T.extract_json("text").alias("json_text"))
+
+
+@register("contains_ci")
+def q_contains_ci(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select("review_id", T.contains_ci("content", F.lit("THING")).alias("has_thing"),
+                    T.contains_ci("content", F.upper(F.substring("user_name", 1, 5))).alias("has_user"))
+
+
+@register("keyword_group")
+def q_keyword_group(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select("review_id", T.keyword_group("content", DRIVER_GROUPS).alias("grp"),
+                    T.keyword_group("content").alias("default_grp"))
+
+
+@register("normalise_ideas")
+def q_normalise_ideas(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    raw = F.array(F.substring("content", 1, 20),
+                  F.to_json(F.struct(F.col("user_name").alias("title"), F.col("review_id").alias("description"))),
+                  F.to_json(F.struct(F.col("user_name").alias("title"))))
+    ideas = r.select("review_id", F.posexplode(T.normalise_ideas(raw)).alias("idea_idx", "idea"))
+    return ideas.select("review_id", "idea_idx", F.col("idea.title").alias("title"),
+                        F.col("idea.description").alias("description"))
+
+
+# ------------------------------------------------------------------------------------------------
+# F1-F9
+# ------------------------------------------------------------------------------------------------
+from themelens.operators import filters as Fl  # noqa: E402
+
+
+@register("review_window")
+def q_review_window(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return Fl.review_window(r, AS_OF, weeks=2).select("review_id", "product_id", "review_ts")
+
+
+def _landed_fields(r: DataFrame) -> DataFrame:
+    """Text fields as a store would land them: malformed ratings and dates by a fixed rule."""
+    doc = F.col("review_id").cast("long")
+    iso = F.date_format("review_ts", "yyyy-MM-dd'T'HH:mm:ss")
+    date_text = (F.when(doc % 7 == 0, F.lit("not a date"))
+                  .when(doc % 7 == 1, F.concat(iso, F.lit("-07:00")))
+                  .when(doc % 7 == 2, F.concat(iso, F.lit("Z")))
+                  .when(doc % 7 == 3, F.date_format("review_ts", "yyyy-MM-dd"))
+                  .otherwise(iso))
+    rating_text = F.when(doc % 11 == 0, F.lit("x")).otherwise(F.col("rating").cast("string"))
+    return r.withColumn("rating_text", rating_text).withColumn("date_text", date_text)
+
+
+@register("parse_review_fields")
+def q_parse_review_fields(spark, sf_dir):
+    r = _landed_fields(D.reviews(spark, sf_dir, with_order=False))
+    p = Fl.parse_review_fields(r, AS_OF)
+    return p.select("review_id", "rating", F.unix_micros("review_ts").alias("review_us"))
+
+
+@register("flatten_newlines")
+def q_flatten_newlines(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select("review_id", T.flatten_newlines("content").alias("content"))
+
+
+@register("normalise_whitespace")
+def q_normalise_whitespace(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select("review_id", T.normalise_whitespace("content").alias("content"))
+
+
+@register("drop_noise")
+def q_drop_noise(spark, sf_dir):
+    c = clustered(spark, sf_dir)
+    # one product keeps only noise, so the keep-noise branch is exercised too
+    c = c.withColumn("cluster_id", F.when(F.col("product_id") == "src1", F.lit(-1)).otherwise(F.col("cluster_id")))
+    return Fl.drop_noise(c).groupBy(*KEYS, "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _keys(spark, sf_dir) -> DataFrame:
+    return D.reviews(spark, sf_dir, with_order=False).select(*KEYS).distinct()
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    """Stored runs, one per key, status by a fixed rule on the key."""
+    k = _keys(spark, sf_dir)
+    wk = F.substring("iso_week", 7, 2).cast("int")
+    pn = F.substring("product_id", 4, 4).cast("int")
+    status = (F.when((pn + wk) % 3 == 0, F.lit("COMPLETED")).when((pn + wk) % 3 == 1, F.lit("FAILED"))
+               .otherwise(F.lit("IN_PROGRESS")))
+    return k.select(T.report_anchor("product_id", "iso_week").alias("run_id"), *KEYS, status.alias("status"))
+
+
+@register("runs_to_do")
+def q_runs_to_do(spark, sf_dir):
+    return Fl.runs_to_do(_keys(spark, sf_dir), _runs(spark, sf_dir))
+
+
+@register("nonempty_runs")
+def q_nonempty_runs(spark, sf_dir):
+    k = _keys(spark, sf_dir)
+    requested = k.unionByName(k.select("product_id", F.lit("2024-W05").alias("iso_week")).distinct())
+    return Fl.nonempty_runs(requested, D.reviews(spark, sf_dir, with_order=False))
+
+
+@register("shorten")
+def q_shorten(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    return r.select("review_id", T.shorten("content", 30).alias("label30"),
+                    T.shorten("content", 25).alias("label25"),
+                    T.shorten("content", 100, always=True).alias("summary100"))
+
+
+# ------------------------------------------------------------------------------------------------
+# A1-A16
+# ------------------------------------------------------------------------------------------------
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return A.cluster_sizes(clustered(spark, sf_dir)).select(*KEYS, "cluster_id", "size",
+                                                            F.col("min_ord.review_id").alias("first_review_id"))
+
+
+@register("collect_clusters")
+def q_collect_clusters(spark, sf_dir):
+    c = A.collect_clusters(grouped(spark, sf_dir), cols=("review_id",))
+    return c.select(*KEYS, "cluster_id", F.size("reviews").alias("n"),
+                    F.array_join(F.transform("reviews", lambda x: x["review_id"]), ",").alias("review_ids"))
+
+
+@register("total_reviews")
+def q_total_reviews(spark, sf_dir):
+    return A.total_reviews(clustered(spark, sf_dir))
+
+
+@register("term_counts")
+def q_term_counts(spark, sf_dir):
+    t = A.term_counts(grouped(spark, sf_dir))
+    return t.select(*KEYS, "cluster_id", "word", "count",
+                    F.col("first_pos.ord.review_id").alias("first_review_id"),
+                    F.col("first_pos.tok_pos").alias("first_tok_pos"))
+
+
+@register("rating_kpis")
+def q_rating_kpis(spark, sf_dir):
+    k = A.rating_kpis(D.reviews(spark, sf_dir, with_order=False), by=["product_id"])
+    return k.select("product_id", "total_reviews", F.round("avg_rating", 6).alias("avg_rating"),
+                    F.round("positive_pct", 6).alias("positive_pct"))
+
+
+@register("rating_distribution")
+def q_rating_distribution(spark, sf_dir):
+    return A.rating_distribution(D.reviews(spark, sf_dir, with_order=False))
+
+
+@register("needs_fallback")
+def q_needs_fallback(spark, sf_dir):
+    c = clustered(spark, sf_dir)
+    c = c.withColumn("cluster_id", F.when(F.col("iso_week") == "2024-W02", F.lit(-1))
+                     .when(F.col("iso_week") == "2024-W03", F.lit(0)).otherwise(F.col("cluster_id")))
+    return A.needs_fallback(c)
+
+
+@register("clustering_coverage")
+def q_clustering_coverage(spark, sf_dir):
+    return A.clustering_coverage(clustered(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+
+
+@register("pii_leaks")
+def q_pii_leaks(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    raw = A.pii_leaks(r, "content", by=["product_id"]).withColumn("stage", F.lit("raw"))
+    s = r.withColumn("content", T.scrub_pii("content"))
+    after = A.pii_leaks(s, "content", by=["product_id"]).withColumn("stage", F.lit("scrubbed"))
+    return raw.unionByName(after)
+
+
+def _deliveries(spark, sf_dir) -> DataFrame:
+    """Delivery log by a fixed rule on the runs: doc and email per key; some retried, some failed,
+    some sent twice."""
+    runs = _runs(spark, sf_dir)
+    wk = F.substring("iso_week", 7, 2).cast("int")
+    pn = F.substring("product_id", 4, 4).cast("int")
+    d = runs.withColumn("channel", F.explode(F.array(F.lit("doc"), F.lit("email"))))
+    d = d.withColumn("copies", F.when((pn + wk) % 5 == 0, F.lit(2)).otherwise(F.lit(1)))
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    ok = ~(((pn + wk) % 4 == 1) & (F.col("channel") == "email"))
+    return d.select(*KEYS, "run_id", "channel",
+                    F.when(ok, F.concat_ws(":", "channel", "run_id", F.col("copy").cast("string")))
+                     .alias("delivery_id"),
+                    F.when(pn % 3 == 2, F.lit(2)).otherwise(F.lit(1)).alias("attempts"))
+
+
+@register("duplicate_deliveries")
+def q_duplicate_deliveries(spark, sf_dir):
+    return A.duplicate_deliveries(_deliveries(spark, sf_dir))
+
+
+@register("delivery_success")
+def q_delivery_success(spark, sf_dir):
+    return A.delivery_success(_deliveries(spark, sf_dir)).withColumn("success_rate", F.round("success_rate", 6))
+
+
+@register("label_agreement")
+def q_label_agreement(spark, sf_dir):
+    c = grouped(spark, sf_dir).withColumn("doc_id", F.col("review_id").cast("long"))
+    lab = D.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return A.label_agreement(c, lab, "doc_id", by=["product_id"]).withColumn("purity", F.round("purity", 6))
+
+
+@register("human_rating_means")
+def q_human_rating_means(spark, sf_dir):
+    lab = D.table(spark, sf_dir, "labels")
+    r = D.reviews(spark, sf_dir, with_order=False).withColumn("doc_id", F.col("review_id").cast("long"))
+    ratings = r.join(lab, "doc_id").select(*KEYS, (F.lit(1) + F.col("quality") * 3 + F.col("toxic")).alias("coherence"),
+                                           (F.col("toxic") == 0).alias("useful"))
+    m = A.human_rating_means(ratings)
+    return m.select(*KEYS, F.round("coherence", 6).alias("coherence"),
+                    F.round("actionability", 6).alias("actionability"), "ratings")
+
+
+# ------------------------------------------------------------------------------------------------
+# W1-W6, D1
+# ------------------------------------------------------------------------------------------------
+@register("top_clusters")
+def q_top_clusters(spark, sf_dir):
+    return W.top_clusters(A.cluster_sizes(grouped(spark, sf_dir)), 2).select(*KEYS, "rank", "cluster_id", "size")
+
+
+@register("top_terms")
+def q_top_terms(spark, sf_dir):
+    return W.top_terms(A.term_counts(grouped(spark, sf_dir)), 10).select(
+        *KEYS, "cluster_id", "term_rank", "word", "count")
+
+
+@register("sample_first")
+def q_sample_first(spark, sf_dir):
+    return W.sample_first(grouped(spark, sf_dir), 3).select(*KEYS, "cluster_id", "pos", "review_id")
+
+
+@register("newest_n")
+def q_newest_n(spark, sf_dir):
+    return W.newest_n(D.reviews(spark, sf_dir, with_order=False), 5).select(*KEYS, "recency", "review_id")
+
+
+@register("take_until_older")
+def q_take_until_older(spark, sf_dir):
+    # source order is by store, then id (not by time), so the first old row cuts each key
+    r = D.reviews(spark, sf_dir, with_order=False).withColumn(
+        "ord", F.struct(F.col("source"), F.col("review_id")))
+    weekly = r.withColumn("_cut", F.expr("date_trunc('WEEK', review_ts) + INTERVAL 3 DAYS"))
+    return W.take_until_older(weekly, F.col("_cut")).select(*KEYS, "review_id")
+
+
+def _stored_reviews(spark, sf_dir) -> DataFrame:
+    """Review log with re-inserted copies: a forced re-run of week 4 stored its reviews again."""
+    r = D.reviews(spark, sf_dir, with_order=False)
+    first = r.withColumn("scraped_at", F.expr("review_ts + INTERVAL 1 HOUR")).withColumn("run", F.lit(1))
+    again = (r.where(F.col("iso_week") == "2024-W04")
+              .withColumn("scraped_at", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+              .withColumn("rating", F.lit(5)).withColumn("run", F.lit(2)))
+    return first.unionByName(again)
+
+
+@register("dedup_reviews")
+def q_dedup_reviews(spark, sf_dir):
+    return W.dedup_reviews(_stored_reviews(spark, sf_dir)).select("source", "review_id", "rating", "run")

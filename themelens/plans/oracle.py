@@ -37,7 +37,7 @@ def tokens_sql(x: str) -> str:
 
 def title_sql(x: str) -> str:
     return (f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), "
-            f"lambda p: upper(p[1]) || lower(p[2:])), '')")
+            f"lambda p: (CASE WHEN p[1] = 'ß' THEN 'Ss' ELSE upper(p[1]) END) || lower(p[2:])), '')")
 
 
 def norm_ws_sql(x: str) -> str:
@@ -92,3 +92,193 @@ def oracle() -> dict[str, str]:
 
 
 register("top_theme_words", "SELECT * FROM top_theme_words_of_grouped", "top_theme_words_of_grouped")
+
+# ------------------------------------------------------------------------------------------------
+# S1-S9
+# ------------------------------------------------------------------------------------------------
+register("scrub_pii", f"SELECT review_id, {scrub_sql('content')} AS content FROM reviews0", "reviews0")
+register("iso_week", "SELECT event_id, strftime(ts, '%G-W%V') AS iso_week FROM events")
+register("report_anchor", """
+    SELECT DISTINCT product_id, iso_week, 'pulse-' || lower(product_id) || '-' || iso_week AS anchor
+    FROM reviews""", "reviews")
+register("tokenise", f"""
+    SELECT review_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
+    FROM (SELECT review_id, {tokens_sql('content')} AS t FROM reviews0)""", "reviews0")
+register("title_word", f"""
+    SELECT word, {title_sql('word')} AS title
+    FROM (SELECT DISTINCT unnest({tokens_sql('content')}) AS word FROM reviews0)""", "reviews0")
+register("extract_json", """
+    SELECT conv_id, turn, regexp_extract(text, '(?s)\\{.*\\}') AS json_text FROM conversations""")
+register("contains_ci", """
+    SELECT review_id, contains(lower(content), lower('THING')) AS has_thing,
+           contains(lower(content), lower(upper(substring(user_name, 1, 5)))) AS has_user
+    FROM reviews0""", "reviews0")
+register("keyword_group", f"""
+    SELECT review_id, {group_sql('content')} AS grp, {group_sql('content', C.DEFAULT_KEYWORD_GROUPS)} AS default_grp
+    FROM reviews0""", "reviews0")
+register("normalise_ideas", f"""
+    SELECT review_id, i - 1 AS idea_idx,
+           CASE i WHEN 1 THEN {lit(C.STRING_IDEA_TITLE)} ELSE user_name END AS title,
+           CASE i WHEN 1 THEN substring(content, 1, 20) WHEN 2 THEN review_id ELSE NULL END AS description
+    FROM reviews0, range(1, 4) r(i)""", "reviews0")
+
+# ------------------------------------------------------------------------------------------------
+# F1-F9
+# ------------------------------------------------------------------------------------------------
+AS_OF_SQL = "TIMESTAMP '2024-01-29 00:00:00'"
+register("review_window", f"""
+    SELECT review_id, product_id, review_ts FROM reviews0
+    WHERE review_ts >= {AS_OF_SQL} - INTERVAL 14 DAYS""", "reviews0")
+register("parse_review_fields", f"""
+    SELECT review_id,
+           CASE WHEN CAST(review_id AS BIGINT) % 11 = 0 THEN 0 ELSE rating END AS rating,
+           CASE CAST(review_id AS BIGINT) % 7
+                WHEN 0 THEN epoch_us({AS_OF_SQL})
+                WHEN 1 THEN epoch_us(review_ts) + CAST(7 * 3600 AS BIGINT) * 1000000
+                WHEN 3 THEN epoch_us(date_trunc('day', review_ts))
+                ELSE epoch_us(review_ts) END AS review_us
+    FROM reviews0""", "reviews0")
+register("flatten_newlines", "SELECT review_id, replace(content, chr(10), ' ') AS content FROM reviews0", "reviews0")
+register("normalise_whitespace", f"SELECT review_id, {norm_ws_sql('content')} AS content FROM reviews0", "reviews0")
+register("drop_noise", """
+    WITH c AS (SELECT * REPLACE (CASE WHEN product_id = 'src1' THEN -1 ELSE cluster_id END AS cluster_id)
+               FROM clustered),
+    f AS (SELECT product_id, iso_week, max(CASE WHEN cluster_id <> -1 THEN 1 ELSE 0 END) AS has FROM c GROUP BY ALL)
+    SELECT product_id, iso_week, cluster_id, count(*) AS n
+    FROM c JOIN f USING (product_id, iso_week)
+    WHERE cluster_id <> -1 OR has = 0 GROUP BY ALL""", "clustered")
+SQL_VIEWS["run_keys"] = "SELECT DISTINCT product_id, iso_week FROM reviews"
+SQL_VIEWS["runs"] = """
+    SELECT 'pulse-' || lower(product_id) || '-' || iso_week AS run_id, product_id, iso_week,
+           CASE (CAST(substring(product_id, 4, 4) AS INT) + CAST(substring(iso_week, 7, 2) AS INT)) % 3
+                WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' ELSE 'IN_PROGRESS' END AS status
+    FROM run_keys"""
+_td._DEPS.update({"run_keys": ["reviews"], "runs": ["run_keys"]})
+register("runs_to_do", """
+    SELECT product_id, iso_week FROM run_keys
+    EXCEPT SELECT product_id, iso_week FROM runs WHERE status = 'COMPLETED'""", "runs")
+register("nonempty_runs", """
+    SELECT product_id, iso_week FROM run_keys""", "run_keys")
+register("shorten", """
+    SELECT review_id,
+           CASE WHEN length(content) > 30 THEN substring(content, 1, 30) || '...' ELSE content END AS label30,
+           CASE WHEN length(content) > 25 THEN substring(content, 1, 25) || '...' ELSE content END AS label25,
+           substring(content, 1, 100) || '...' AS summary100
+    FROM reviews0""", "reviews0")
+
+# ------------------------------------------------------------------------------------------------
+# A1-A16
+# ------------------------------------------------------------------------------------------------
+register("cluster_sizes", """
+    SELECT product_id, iso_week, cluster_id, count(*) AS size, min(ord).review_id AS first_review_id
+    FROM clustered GROUP BY ALL""", "clustered")
+register("collect_clusters", f"""
+    SELECT product_id, iso_week, cluster_id, count(*) AS n,
+           string_agg(review_id, ',' ORDER BY ord) AS review_ids
+    FROM (SELECT *, row_number() OVER (PARTITION BY product_id, iso_week, cluster_id ORDER BY ord) AS pos
+          FROM grouped QUALIFY pos <= {C.PROMPT_REVIEWS})
+    GROUP BY ALL""", "grouped")
+register("total_reviews", "SELECT product_id, iso_week, count(*) AS total_reviews FROM clustered GROUP BY ALL",
+         "clustered")
+SQL_VIEWS["term_counts"] = f"""
+    SELECT product_id, iso_week, cluster_id, word, count(*) AS count,
+           min({{'ord': ord, 'tok_pos': tok_pos}}) AS first_pos
+    FROM (SELECT product_id, iso_week, cluster_id, ord, unnest(t) AS word, unnest(range(len(t))) AS tok_pos
+          FROM (SELECT *, {tokens_sql('content')} AS t FROM grouped))
+    WHERE word NOT IN {STOP_LIST} GROUP BY ALL"""
+_td._DEPS["term_counts"] = ["grouped"]
+register("term_counts", """
+    SELECT product_id, iso_week, cluster_id, word, count, first_pos.ord.review_id AS first_review_id,
+           first_pos.tok_pos AS first_tok_pos FROM term_counts""", "term_counts")
+register("rating_kpis", """
+    SELECT product_id, count(*) AS total_reviews, round(avg(rating), 6) AS avg_rating,
+           round(avg(CASE WHEN rating >= 4 THEN 1 ELSE 0 END) * 100, 6) AS positive_pct
+    FROM reviews0 GROUP BY ALL""", "reviews0")
+register("rating_distribution", """
+    SELECT rating, count(*) AS count FROM reviews0 WHERE rating IS NOT NULL GROUP BY ALL""", "reviews0")
+register("needs_fallback", """
+    SELECT product_id, iso_week, n_clusters, n_clusters < 2 AS needs_fallback
+    FROM (SELECT product_id, iso_week,
+                 count(DISTINCT CASE WHEN c <> -1 THEN c END) AS n_clusters
+          FROM (SELECT *, CASE WHEN iso_week = '2024-W02' THEN -1 WHEN iso_week = '2024-W03' THEN 0
+                               ELSE cluster_id END AS c FROM clustered)
+          GROUP BY ALL)""", "clustered")
+register("clustering_coverage", """
+    SELECT product_id, iso_week, round(avg(CASE WHEN cluster_id <> -1 THEN 1 ELSE 0 END), 6) AS coverage
+    FROM clustered GROUP BY ALL""", "clustered")
+
+
+def _hits(p: str) -> str:
+    return f"sum(len(regexp_extract_all(content, {lit(p)})))"
+
+
+register("pii_leaks", f"""
+    SELECT product_id, {_hits(C.EMAIL_PATTERN)} AS email_hits, {_hits(C.PHONE_PATTERN)} AS phone_hits,
+           {_hits(C.CARD_PATTERN)} AS card_hits, 'raw' AS stage FROM reviews0 GROUP BY ALL
+    UNION ALL
+    SELECT product_id, {_hits(C.EMAIL_PATTERN)}, {_hits(C.PHONE_PATTERN)}, {_hits(C.CARD_PATTERN)}, 'scrubbed'
+    FROM (SELECT product_id, {scrub_sql('content')} AS content FROM reviews0) GROUP BY ALL""", "reviews0")
+SQL_VIEWS["deliveries"] = """
+    SELECT product_id, iso_week, run_id, channel,
+           CASE WHEN ((pn + wk) % 4 = 1 AND channel = 'email') THEN NULL
+                ELSE channel || ':' || run_id || ':' || CAST(copy AS VARCHAR) END AS delivery_id,
+           CASE WHEN pn % 3 = 2 THEN 2 ELSE 1 END AS attempts
+    FROM (SELECT *, CAST(substring(product_id, 4, 4) AS INT) AS pn, CAST(substring(iso_week, 7, 2) AS INT) AS wk
+          FROM runs) r,
+         (VALUES ('doc'), ('email')) ch(channel),
+         range(1, 3) cp(copy)
+    WHERE copy = 1 OR (pn + wk) % 5 = 0"""
+_td._DEPS["deliveries"] = ["runs"]
+register("duplicate_deliveries", """
+    SELECT product_id, iso_week, channel, count(*) AS deliveries FROM deliveries
+    WHERE delivery_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""", "deliveries")
+register("delivery_success", """
+    SELECT channel, round(avg(CASE WHEN delivery_id IS NOT NULL AND attempts = 1 THEN 1 ELSE 0 END), 6)
+           AS success_rate, count(*) AS deliveries
+    FROM deliveries GROUP BY ALL""", "deliveries")
+register("label_agreement", """
+    WITH cont AS (SELECT product_id, cluster_id, l.quality AS label, count(*) AS n
+                  FROM grouped g JOIN labels l ON l.doc_id = CAST(g.review_id AS BIGINT) GROUP BY ALL),
+    pc AS (SELECT product_id, cluster_id, max(n) AS top, sum(n) AS n FROM cont GROUP BY ALL)
+    SELECT product_id, round(sum(top) / sum(n), 6) AS purity, sum(n) AS labelled, count(*) AS clusters
+    FROM pc GROUP BY ALL""", "grouped")
+register("human_rating_means", """
+    SELECT product_id, iso_week, round(avg(1 + quality * 3 + toxic), 6) AS coherence,
+           round(avg(CASE WHEN toxic = 0 THEN 1 ELSE 0 END), 6) AS actionability, count(*) AS ratings
+    FROM reviews r JOIN labels l ON l.doc_id = CAST(r.review_id AS BIGINT) GROUP BY ALL""", "reviews")
+
+# ------------------------------------------------------------------------------------------------
+# W1-W6, D1
+# ------------------------------------------------------------------------------------------------
+register("top_clusters", """
+    SELECT product_id, iso_week, row_number() OVER (PARTITION BY product_id, iso_week
+                                                    ORDER BY size DESC, min_ord) AS rank, cluster_id, size
+    FROM (SELECT product_id, iso_week, cluster_id, count(*) AS size, min(ord) AS min_ord FROM grouped GROUP BY ALL)
+    QUALIFY rank <= 2""", "grouped")
+register("top_terms", f"""
+    SELECT product_id, iso_week, cluster_id,
+           row_number() OVER (PARTITION BY product_id, iso_week, cluster_id ORDER BY count DESC, first_pos)
+           AS term_rank, word, count
+    FROM term_counts QUALIFY term_rank <= {C.TOP_TERMS}""", "term_counts")
+register("sample_first", """
+    SELECT product_id, iso_week, cluster_id,
+           row_number() OVER (PARTITION BY product_id, iso_week, cluster_id ORDER BY ord) AS pos, review_id
+    FROM grouped QUALIFY pos <= 3""", "grouped")
+register("newest_n", """
+    SELECT product_id, iso_week,
+           row_number() OVER (PARTITION BY product_id, iso_week ORDER BY review_ts DESC, source, review_id)
+           AS recency, review_id
+    FROM reviews QUALIFY recency <= 5""", "reviews")
+register("take_until_older", """
+    WITH r AS (SELECT *, date_trunc('week', review_ts) + INTERVAL 3 DAYS AS cut FROM reviews),
+    w AS (SELECT *, max(CASE WHEN review_ts < cut THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY product_id, iso_week ORDER BY source, review_id
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_old FROM r)
+    SELECT product_id, iso_week, review_id FROM w WHERE seen_old = 0""", "reviews")
+register("dedup_reviews", """
+    WITH s AS (SELECT source, review_id, rating, 1 AS run, review_ts + INTERVAL 1 HOUR AS scraped_at FROM reviews
+               UNION ALL
+               SELECT source, review_id, 5, 2, TIMESTAMP '2024-02-01 00:00:00' FROM reviews
+               WHERE iso_week = '2024-W04')
+    SELECT source, review_id, rating, run FROM s
+    QUALIFY row_number() OVER (PARTITION BY source, review_id ORDER BY scraped_at DESC) = 1""", "reviews")

@@ -98,4 +98,9 @@ def sql_with(body: str, *views: str) -> str:
     for v in views:
         add(v)
     ctes = ",\n".join(f"{v} AS ({SQL_VIEWS[v]})" for v in order)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    if not ctes:
+        return body
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
+    return f"WITH {ctes}\n{body}"
