@@ -99,7 +99,7 @@ def ground_quotes_loose(quotes: DataFrame, clustered: DataFrame, keys=KEYS,
     """Keep a quote (in its own casing, no whitespace change) if any review of its cluster
     contains it, case-insensitively. A salted semi join followed by a distinct on the quote."""
     q = quotes.withColumn("_ql", F.lower("quote"))
-    r = _salted(clustered.select(*keys, "cluster_id", F.lower("content").alias("_rl")), salts)
+    r = _salted(clustered.select(*keys, "cluster_id", "review_id", F.lower("content").alias("_rl")), salts)
     qs = _fan_out(q.select(*keys, "cluster_id", "quote_idx", "_ql"), salts).alias("q")
     r = r.alias("r")
     cond = [F.col(f"q.{k}") == F.col(f"r.{k}") for k in [*keys, "cluster_id", "_salt"]]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themelens import KEYS
+from themelens import constants as C
 from themelens.functions import text as T
 from themelens.operators import aggregates as A
 from themelens.operators import windows as W
@@ -374,3 +375,247 @@ def _stored_reviews(spark, sf_dir) -> DataFrame:
 @register("dedup_reviews")
 def q_dedup_reviews(spark, sf_dir):
     return W.dedup_reviews(_stored_reviews(spark, sf_dir)).select("source", "review_id", "rating", "run")
+
+
+# ------------------------------------------------------------------------------------------------
+# Model responses (T2 input): one per top cluster, shaped by a fixed rule on the data so every
+# response shape is exercised: clean JSON, JSON inside prose, an idea without description, a
+# two-character name, missing keys, and no JSON at all.
+# ------------------------------------------------------------------------------------------------
+from themelens.operators import joins as J  # noqa: E402
+from themelens.operators import themes as Th  # noqa: E402
+
+
+def _js(c):
+    """A JSON string literal for ``c``."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def top_of_grouped(spark, sf_dir) -> DataFrame:
+    return W.top_clusters(A.cluster_sizes(grouped(spark, sf_dir)), C.TOP_THEMES)
+
+
+def responses(spark, sf_dir) -> DataFrame:
+    g = grouped(spark, sf_dir)
+    top = W.top_clusters(A.cluster_sizes(g), C.TOP_THEMES)
+    t = top.join(Th.first_reviews(g), [*KEYS, "cluster_id"])
+    fn = T.normalise_whitespace("first_content")
+    q1 = _js(F.lower(F.substring(fn, 1, 40)))
+    q2 = _js(F.replace(F.substring(fn, 5, 30), F.lit(" "), F.lit("  ")))
+    q3 = _js(F.lit("zzqx is not a quote"))
+    name = _js(F.concat(F.lit("Theme "), F.col("product_id"), F.lit(" "), F.col("rank").cast("string")))
+    summary = _js(F.lit("Users report this. It matters."))
+    obj = F.concat(F.lit('{"title": '), _js(F.concat(F.lit("Fix "), F.col("product_id"))),
+                   F.lit(', "description": '), _js(F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))),
+                   F.lit("}"))
+    clean = F.concat(F.lit('{"name": '), name, F.lit(', "summary": '), summary, F.lit(', "quotes": ['),
+                     q1, F.lit(", "), q2, F.lit(", "), q3, F.lit('], "action_ideas": ['), obj,
+                     F.lit(', "Plain idea"]}'))
+    variant = (F.col("rank") + F.substring("product_id", 4, 4).cast("int")) % 6
+    resp = (F.when(variant == 0, clean)
+             .when(variant == 1, F.concat(F.lit("Sure, here it is:\n"), clean, F.lit("\nThanks.")))
+             .when(variant == 2, F.concat(F.lit('{"name": '), name, F.lit(', "summary": '), summary,
+                                          F.lit(', "quotes": ['), q1, F.lit('], "action_ideas": [{"title": "Only title"}]}')))
+             .when(variant == 3, F.concat(F.lit('{"name": "ab", "summary": '), summary, F.lit(', "quotes": ['),
+                                          q2, F.lit('], "action_ideas": []}')))
+             .when(variant == 4, F.concat(F.lit('{"name": '), name, F.lit("}")))
+             .otherwise(F.lit("I cannot answer that.")))
+    pt = (F.length("first_content") % 1000).cast("int")
+    ct = (F.lit(50) + F.col("rank")).cast("int")
+    return t.select(*KEYS, "cluster_id", "rank", resp.alias("response"), pt.alias("prompt_tokens"),
+                    ct.alias("completion_tokens"), (pt * 0.000001 + ct * 0.000002).alias("cost"))
+
+
+def _flat_themes(t: DataFrame) -> DataFrame:
+    return t.select(
+        *KEYS, "cluster_id", "rank", "name", "summary", "review_count",
+        F.size("quotes").alias("n_quotes"),
+        F.array_join(F.transform("quotes", lambda q: F.concat_ws("@", q["text"], q["source_review_id"])), " | ")
+        .alias("quotes"),
+        F.array_join(F.transform("action_ideas", lambda a: F.concat_ws(": ", a["title"], a["description"])), " | ")
+        .alias("ideas"))
+
+
+@register("parse_theme_responses")
+def q_parse_theme_responses(spark, sf_dir):
+    t = Th.themes_from_responses(responses(spark, sf_dir), grouped(spark, sf_dir), top_of_grouped(spark, sf_dir))
+    return _flat_themes(t)
+
+
+@register("valid_themes")
+def q_valid_themes(spark, sf_dir):
+    parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir))
+    ok = Fl.valid_themes(parsed.where(F.col("summary").isNotNull()))
+    return ok.select(*KEYS, "cluster_id", "name", F.size("action_ideas").alias("n_ideas"))
+
+
+def _proposed_quotes(spark, sf_dir) -> DataFrame:
+    parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir))
+    return parsed.select(*KEYS, "cluster_id", F.posexplode("proposed_quotes").alias("quote_idx", "quote"))
+
+
+@register("ground_quotes")
+def q_ground_quotes(spark, sf_dir):
+    return J.ground_quotes(_proposed_quotes(spark, sf_dir), grouped(spark, sf_dir))
+
+
+@register("ground_quotes_loose")
+def q_ground_quotes_loose(spark, sf_dir):
+    return J.ground_quotes_loose(_proposed_quotes(spark, sf_dir), grouped(spark, sf_dir))
+
+
+@register("quote_veracity")
+def q_quote_veracity(spark, sf_dir):
+    flags = J.ground_quotes(_proposed_quotes(spark, sf_dir), grouped(spark, sf_dir), keep_unmatched=True)
+    return A.quote_veracity(flags).withColumn("veracity", F.round("veracity", 6))
+
+
+@register("usage_totals")
+def q_usage_totals(spark, sf_dir):
+    u = A.usage_totals(responses(spark, sf_dir), cap=0.0015)
+    return u.withColumn("total_cost", F.round("total_cost", 9))
+
+
+@register("theme_prompts")
+def q_theme_prompts(spark, sf_dir):
+    return Th.theme_prompts(grouped(spark, sf_dir), top_of_grouped(spark, sf_dir), C.PROMPT_REVIEWS)
+
+
+@register("fallback_theme")
+def q_fallback_theme(spark, sf_dir):
+    themes = Th.themes_from_responses(responses(spark, sf_dir), grouped(spark, sf_dir), top_of_grouped(spark, sf_dir))
+    return _flat_themes(Th.fallback_theme(A.total_reviews(grouped(spark, sf_dir)), themes))
+
+
+@register("name_themes")
+def q_name_themes(spark, sf_dir):
+    g = grouped(spark, sf_dir)
+    top = W.top_clusters(A.cluster_sizes(g), C.TOP_THEMES)
+    terms = W.top_terms(A.term_counts(g), C.TOP_TERMS)
+    n = Th.name_themes(top, terms)
+    return n.select(*KEYS, "rank", "cluster_id", "name", "primary", F.array_join("words", ",").alias("words"))
+
+
+@register("describe_themes")
+def q_describe_themes(spark, sf_dir):
+    return _flat_themes(Th.local_themes(grouped(spark, sf_dir)))
+
+
+@register("theme_lint")
+def q_theme_lint(spark, sf_dir):
+    t = Th.theme_lint(Th.local_themes(grouped(spark, sf_dir)))
+    return t.select(*KEYS, "cluster_id", "one_word_name", "banned_words", "not_two_sentences", "bad_name_length")
+
+
+# ------------------------------------------------------------------------------------------------
+# J1, J4-J6
+# ------------------------------------------------------------------------------------------------
+@register("attach_labels")
+def q_attach_labels(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    lab = grouped(spark, sf_dir).select(*KEYS, "review_id", "source", "cluster_id")
+    return J.attach_labels(r, lab).select(*KEYS, "review_id", "source", "rating", "cluster_id")
+
+
+@register("drop_stop_words")
+def q_drop_stop_words(spark, sf_dir):
+    toks = A.token_rows(D.reviews(spark, sf_dir, with_order=False).select("review_id", "product_id", "iso_week", "content"),
+                        keep=("review_id",))
+    kept = J.drop_stop_words(toks)
+    return kept.groupBy("review_id").agg(F.count(F.lit(1)).alias("n_kept"), F.min("tok_pos").alias("first_kept"))
+
+
+@register("map_functional")
+def q_map_functional(spark, sf_dir):
+    w = D.reviews(spark, sf_dir, with_order=False).select(F.explode(T.tokens("content")).alias("word")).distinct()
+    return J.map_functional(w).select("word", "title", "candidate")
+
+
+# ------------------------------------------------------------------------------------------------
+# P1 and what reads its summaries
+# ------------------------------------------------------------------------------------------------
+from themelens.operators import reports as R  # noqa: E402
+from themelens.plans import weekly as P  # noqa: E402
+
+
+def summaries(spark, sf_dir) -> DataFrame:
+    return P.run_weekly(D.reviews(spark, sf_dir), groups=DRIVER_GROUPS, generated_at=AS_OF)
+
+
+def _flat_summary(s: DataFrame) -> DataFrame:
+    return s.select("run_id", *KEYS, "data_window", "total_reviews_analyzed",
+                    F.size("top_themes").alias("n_themes"),
+                    F.array_join(F.transform("top_themes", lambda t: t["name"]), " | ").alias("theme_names"),
+                    F.array_join(F.transform("top_themes", lambda t: t["review_count"].cast("string")), ",")
+                    .alias("theme_counts"),
+                    F.col("metrics.total_cost").alias("total_cost"), "generated_at")
+
+
+@register("assemble_summary")
+def q_assemble_summary(spark, sf_dir):
+    return _flat_summary(summaries(spark, sf_dir))
+
+
+@register("weekly_run")
+def q_weekly_run(spark, sf_dir):
+    """P1 with the idempotency gate: keys already COMPLETED are skipped."""
+    s = P.run_weekly(D.reviews(spark, sf_dir), requested=_keys(spark, sf_dir), runs=_runs(spark, sf_dir),
+                     groups=DRIVER_GROUPS, generated_at=AS_OF)
+    return R.report_markdown(s)
+
+
+@register("theme_distribution")
+def q_theme_distribution(spark, sf_dir):
+    d = A.theme_distribution(summaries(spark, sf_dir))
+    return d.withColumn("share", F.round("share", 6))
+
+
+def _summary_history(spark, sf_dir) -> DataFrame:
+    """Two generations of summaries: the first run, and a forced re-run of week 4 a day later."""
+    s = summaries(spark, sf_dir)
+    again = (s.where(F.col("iso_week") == "2024-W04")
+              .withColumn("generated_at", F.col("generated_at") + F.expr("INTERVAL 1 DAY")))
+    return s.unionByName(again)
+
+
+@register("latest_summary")
+def q_latest_summary(spark, sf_dir):
+    return _flat_summary(W.latest_summary(_summary_history(spark, sf_dir)))
+
+
+@register("report_markdown")
+def q_report_markdown(spark, sf_dir):
+    return R.report_markdown(summaries(spark, sf_dir))
+
+
+@register("report_lines")
+def q_report_lines(spark, sf_dir):
+    return R.report_lines(summaries(spark, sf_dir))
+
+
+@register("email_teasers")
+def q_email_teasers(spark, sf_dir):
+    return R.email_teasers(summaries(spark, sf_dir))
+
+
+@register("delivery_outbox")
+def q_delivery_outbox(spark, sf_dir):
+    return R.delivery_outbox(summaries(spark, sf_dir), _deliveries(spark, sf_dir))
+
+
+@register("run_history")
+def q_run_history(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    stored = D.reviews(spark, sf_dir, with_order=False).withColumn("run_id", T.report_anchor("product_id", "iso_week"))
+    return J.run_history(runs, stored, _summary_history(spark, sf_dir)).select(
+        "run_id", *KEYS, "status", "reviews", "summaries", "last_summary_at")
+
+
+@register("keyword_fallback")
+def q_keyword_fallback(spark, sf_dir):
+    from themelens.operators.clusters import keyword_fallback
+    c = clustered(spark, sf_dir)
+    # weeks 1-2 keep their clusters; weeks 3-4 lost theirs (everything noise) and fall back
+    c = c.withColumn("cluster_id", F.when(F.col("iso_week") >= "2024-W03", F.lit(-1)).otherwise(F.col("cluster_id")))
+    fb = keyword_fallback(c, groups=DRIVER_GROUPS)
+    return fb.groupBy(*KEYS, "cluster_id").agg(F.count(F.lit(1)).alias("n"))

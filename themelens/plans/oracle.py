@@ -282,3 +282,345 @@ register("dedup_reviews", """
                WHERE iso_week = '2024-W04')
     SELECT source, review_id, rating, run FROM s
     QUALIFY row_number() OVER (PARTITION BY source, review_id ORDER BY scraped_at DESC) = 1""", "reviews")
+
+# ------------------------------------------------------------------------------------------------
+# Responses, T2, F9, J2, J3, A10, A11
+# ------------------------------------------------------------------------------------------------
+def jsq(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+SQL_VIEWS["topg"] = f"""
+    SELECT *, row_number() OVER (PARTITION BY product_id, iso_week ORDER BY size DESC, min_ord) AS rank
+    FROM (SELECT product_id, iso_week, cluster_id, count(*) AS size, min(ord) AS min_ord FROM grouped GROUP BY ALL)
+    QUALIFY rank <= {C.TOP_THEMES}"""
+SQL_VIEWS["firsts"] = """
+    SELECT product_id, iso_week, cluster_id, arg_min(content, ord) AS first_content,
+           arg_min(review_id, ord) AS first_review_id
+    FROM grouped GROUP BY ALL"""
+_fn = norm_ws_sql("first_content")
+_q1 = jsq(f"lower(substring({_fn}, 1, 40))")
+_q2 = jsq(f"replace(substring({_fn}, 5, 30), ' ', '  ')")
+_q3 = jsq("'zzqx is not a quote'")
+_name = jsq("'Theme ' || product_id || ' ' || CAST(rank AS VARCHAR)")
+_summary = jsq("'Users report this. It matters.'")
+_obj = (f"""'{{"title": ' || {jsq("'Fix ' || product_id")} || ', "description": ' || """
+        f"""{jsq("'Cluster ' || CAST(cluster_id AS VARCHAR)")} || '}}'""")
+_clean = (f"""'{{"name": ' || {_name} || ', "summary": ' || {_summary} || ', "quotes": [' || {_q1} || ', ' || {_q2}"""
+          f""" || ', ' || {_q3} || '], "action_ideas": [' || {_obj} || ', "Plain idea"]}}'""")
+SQL_VIEWS["responses"] = f"""
+    SELECT product_id, iso_week, cluster_id, rank,
+           CASE (rank + CAST(substring(product_id, 4, 4) AS INT)) % 6
+             WHEN 0 THEN {_clean}
+             WHEN 1 THEN 'Sure, here it is:' || chr(10) || {_clean} || chr(10) || 'Thanks.'
+             WHEN 2 THEN '{{"name": ' || {_name} || ', "summary": ' || {_summary} || ', "quotes": [' || {_q1}
+                         || '], "action_ideas": [{{"title": "Only title"}}]}}'
+             WHEN 3 THEN '{{"name": "ab", "summary": ' || {_summary} || ', "quotes": [' || {_q2} || '], "action_ideas": []}}'
+             WHEN 4 THEN '{{"name": ' || {_name} || '}}'
+             ELSE 'I cannot answer that.' END AS response,
+           CAST(length(first_content) % 1000 AS INT) AS prompt_tokens, CAST(50 + rank AS INT) AS completion_tokens,
+           CAST(length(first_content) % 1000 AS DOUBLE) * 0.000001 + CAST(50 + rank AS DOUBLE) * 0.000002 AS cost
+    FROM topg JOIN firsts USING (product_id, iso_week, cluster_id)"""
+SQL_VIEWS["parsed"] = f"""
+    SELECT product_id, iso_week, cluster_id,
+           CASE WHEN list_contains(k, 'name') THEN js->>'$.name' ELSE {lit(C.DEFAULT_THEME_NAME)} END AS name,
+           CASE WHEN list_contains(k, 'summary') THEN js->>'$.summary' ELSE {lit(C.DEFAULT_THEME_SUMMARY)} END AS summary,
+           CASE WHEN list_contains(k, 'quotes') THEN json_extract_string(js, '$.quotes[*]') ELSE [] END AS proposed_quotes,
+           CASE WHEN list_contains(k, 'action_ideas') THEN list_transform(json_extract(js, '$.action_ideas[*]'),
+                lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN {{'title': x->>'$.title', 'description': x->>'$.description'}}
+                               ELSE {{'title': {lit(C.STRING_IDEA_TITLE)}, 'description': x->>'$'}} END)
+                ELSE [] END AS action_ideas
+    FROM (SELECT *, CASE WHEN js <> '' AND json_valid(js) AND json_type(js) = 'OBJECT' THEN json_keys(js) END AS k
+          FROM (SELECT *, regexp_extract(response, '(?s)\\{{.*\\}}') AS js FROM responses))
+    WHERE len(k) > 0"""
+SQL_VIEWS["pq"] = """
+    SELECT product_id, iso_week, cluster_id, unnest(range(len(proposed_quotes))) AS quote_idx,
+           unnest(proposed_quotes) AS quote
+    FROM parsed"""
+SQL_VIEWS["grounded"] = f"""
+    SELECT product_id, iso_week, cluster_id, quote_idx,
+           substring(m.rn, instr(lower(m.rn), lower(m.qn)), length(m.qn)) AS text, m.review_id AS source_review_id
+    FROM (SELECT q.product_id, q.iso_week, q.cluster_id, q.quote_idx,
+                 arg_min({{'rn': r.rn, 'qn': {norm_ws_sql('q.quote')}, 'review_id': r.review_id}}, r.ord) AS m
+          FROM pq q JOIN (SELECT product_id, iso_week, cluster_id, review_id, ord, {norm_ws_sql('content')} AS rn
+                          FROM grouped) r USING (product_id, iso_week, cluster_id)
+          WHERE instr(lower(r.rn), lower({norm_ws_sql('q.quote')})) > 0
+          GROUP BY ALL)"""
+SQL_VIEWS["t2themes"] = """
+    SELECT p.product_id, p.iso_week, p.cluster_id, t.rank, p.name, p.summary, t.size AS review_count,
+           coalesce((SELECT list({'text': g.text, 'source_review_id': g.source_review_id} ORDER BY g.quote_idx)
+                     FROM grounded g WHERE g.product_id = p.product_id AND g.iso_week = p.iso_week
+                       AND g.cluster_id = p.cluster_id), []) AS quotes,
+           p.action_ideas, 0.0 AS sentiment_score
+    FROM parsed p JOIN topg t USING (product_id, iso_week, cluster_id)
+    WHERE p.summary IS NOT NULL AND p.proposed_quotes IS NOT NULL AND p.action_ideas IS NOT NULL
+      AND p.name IS NOT NULL AND length(p.name) BETWEEN 3 AND 100
+      AND coalesce(list_bool_and(list_transform(p.action_ideas,
+                   lambda a: a.title IS NOT NULL AND a.description IS NOT NULL)), true)"""
+_td._DEPS.update({"topg": ["grouped"], "firsts": ["grouped"], "responses": ["topg", "firsts"],
+                  "parsed": ["responses"], "pq": ["parsed"], "grounded": ["pq", "grouped"],
+                  "t2themes": ["grounded", "topg"]})
+
+FLAT_THEMES = """
+    SELECT product_id, iso_week, cluster_id, rank, name, summary, review_count, len(quotes) AS n_quotes,
+           array_to_string(list_transform(quotes, lambda q: concat_ws('@', q.text, q.source_review_id)), ' | ') AS quotes,
+           array_to_string(list_transform(action_ideas, lambda a: concat_ws(': ', a.title, a.description)), ' | ') AS ideas
+    FROM {src}"""
+register("parse_theme_responses", FLAT_THEMES.format(src="t2themes"), "t2themes")
+register("valid_themes", """
+    SELECT product_id, iso_week, cluster_id, name, len(action_ideas) AS n_ideas FROM parsed
+    WHERE summary IS NOT NULL AND name IS NOT NULL AND length(name) BETWEEN 3 AND 100
+      AND coalesce(list_bool_and(list_transform(action_ideas,
+                   lambda a: a.title IS NOT NULL AND a.description IS NOT NULL)), true)""", "parsed")
+register("ground_quotes", "SELECT * FROM grounded", "grounded")
+register("ground_quotes_loose", """
+    SELECT q.product_id, q.iso_week, q.cluster_id, q.quote_idx, q.quote FROM pq q
+    WHERE EXISTS (SELECT 1 FROM grouped r WHERE r.product_id = q.product_id AND r.iso_week = q.iso_week
+                  AND r.cluster_id = q.cluster_id AND instr(lower(r.content), lower(q.quote)) > 0)""", "pq")
+register("quote_veracity", """
+    SELECT q.product_id, q.iso_week, count(*) AS proposed, sum(CASE WHEN g.text IS NOT NULL THEN 1 ELSE 0 END) AS grounded,
+           round(avg(CASE WHEN g.text IS NOT NULL THEN 1 ELSE 0 END), 6) AS veracity
+    FROM pq q LEFT JOIN grounded g USING (product_id, iso_week, cluster_id, quote_idx) GROUP BY ALL""", "pq", "grounded")
+register("usage_totals", """
+    SELECT product_id, iso_week, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens,
+           round(sum(cost), 9) AS total_cost, sum(cost) > 0.0015 AS over_cap
+    FROM responses GROUP BY ALL""", "responses")
+
+
+def _fill_sql(template: str, **values: str) -> str:
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    out = []
+    for i, p in enumerate(parts):
+        if i % 2 == 0:
+            if p:
+                out.append(lit(p))
+        else:
+            out.append(f"({values[p]})")
+    return " || ".join(out)
+
+
+from themelens.operators.themes import PROMPT as _PROMPT  # noqa: E402
+
+register("theme_prompts", f"""
+    SELECT product_id, iso_week, cluster_id, rank, n_reviews,
+           {_fill_sql(_PROMPT, product='product_id', reviews='lines')} AS prompt
+    FROM (SELECT product_id, iso_week, cluster_id, count(*) AS n_reviews,
+                 string_agg('- ' || content, chr(10) ORDER BY ord) AS lines
+          FROM (SELECT g.*, row_number() OVER (PARTITION BY product_id, iso_week, cluster_id ORDER BY ord) AS pos
+                FROM grouped g SEMI JOIN topg USING (product_id, iso_week, cluster_id)
+                QUALIFY pos <= {C.PROMPT_REVIEWS})
+          GROUP BY ALL) JOIN topg USING (product_id, iso_week, cluster_id)""", "topg")
+
+# ------------------------------------------------------------------------------------------------
+# The model-free themes (recursive CTE for the sequential naming)
+# ------------------------------------------------------------------------------------------------
+_prefix, _suffix = C.GROUP_SUFFIX.split("{letter}")
+SQL_VIEWS["tterms"] = f"""
+    SELECT product_id, iso_week, cluster_id, word,
+           row_number() OVER (PARTITION BY product_id, iso_week, cluster_id ORDER BY count DESC, first_pos) AS term_rank
+    FROM term_counts QUALIFY term_rank <= {C.TOP_TERMS}"""
+SQL_VIEWS["cands"] = f"""
+    SELECT product_id, iso_week, cluster_id,
+           list({{'title': title, 'candidate': coalesce(fm.mapped_name, 'Analysis of ' || title || ' and Product Operations')}}
+                ORDER BY term_rank) AS cands
+    FROM (SELECT *, {title_sql('word')} AS title FROM tterms) t
+    LEFT JOIN {FMAP_VALUES} ON lower(t.title) = fm.map_word
+    GROUP BY ALL"""
+SQL_VIEWS["pc"] = """
+    SELECT t.product_id, t.iso_week, t.cluster_id, t.rank, t.size,
+           coalesce(c.cands, []::STRUCT(title VARCHAR, candidate VARCHAR)[]) AS cands
+    FROM topg t LEFT JOIN cands c USING (product_id, iso_week, cluster_id)"""
+_free = "list_filter(p.cands, lambda w: NOT list_contains(r.used, w.candidate))"
+_base = f"CASE WHEN len(p.cands) > 0 THEN p.cands[1].candidate ELSE {lit(C.NO_WORD_NAME)} END"
+_tries = (f"list_transform(range(0, len(r.used) + 2), lambda k: CASE WHEN k = 0 THEN {_base} "
+          f"ELSE {_base} || {lit(_prefix)} || chr(CAST(64 + k AS INT)) || {lit(_suffix)} END)")
+SQL_VIEWS["named"] = f"""
+    WITH RECURSIVE rec(product_id, iso_week, rank, used, cluster_id, name, primary_word, words) AS (
+        SELECT DISTINCT product_id, iso_week, 0, []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR,
+               NULL::VARCHAR[]
+        FROM pc
+        UNION ALL
+        SELECT product_id, iso_week, rank, list_append(used, name), cluster_id, name, primary_word, words
+        FROM (SELECT r.product_id, r.iso_week, p.rank, r.used, p.cluster_id,
+                     CASE WHEN len({_free}) > 0 THEN {_free}[1].candidate
+                          ELSE list_filter({_tries}, lambda s: NOT list_contains(r.used, s))[1] END AS name,
+                     CASE WHEN len({_free}) > 0 THEN {_free}[1].title
+                          WHEN len(p.cands) > 0 THEN p.cands[1].title ELSE {lit(C.NO_WORD_PRIMARY)} END AS primary_word,
+                     list_transform(p.cands, lambda w: w.title) AS words
+              FROM rec r JOIN pc p ON p.product_id = r.product_id AND p.iso_week = r.iso_week
+                                  AND p.rank = r.rank + 1))
+    SELECT product_id, iso_week, rank, cluster_id, name, primary_word, words FROM rec WHERE rank > 0"""
+_low = "lower(n.primary_word)"
+_second = f"CASE WHEN len(n.words) > 2 THEN array_to_string(n.words[2:3], ', ') ELSE {lit(C.NO_SECOND_WORDS)} END"
+SQL_VIEWS["lthemes"] = f"""
+    SELECT n.product_id, n.iso_week, n.cluster_id, n.rank, n.name,
+           {_fill_sql(C.SENTENCE_1, word=_low)} || ' ' || {_fill_sql(C.SENTENCE_2, words=_second)} AS summary,
+           p.size AS review_count,
+           CASE WHEN f.first_content IS NULL THEN []::STRUCT(text VARCHAR, source_review_id VARCHAR)[]
+                ELSE [{{'text': {norm_ws_sql('f.first_content')}, 'source_review_id': f.first_review_id}}] END AS quotes,
+           [{{'title': {_fill_sql(C.IDEA_TITLE, word='n.primary_word')},
+              'description': {_fill_sql(C.IDEA_DESCRIPTION, word=_low)}}}] AS action_ideas,
+           0.0 AS sentiment_score
+    FROM named n JOIN pc p USING (product_id, iso_week, cluster_id)
+    LEFT JOIN firsts f USING (product_id, iso_week, cluster_id)
+    WHERE length(n.name) BETWEEN {C.THEME_NAME_MIN} AND {C.THEME_NAME_MAX}"""
+_td._DEPS.update({"tterms": ["term_counts"], "cands": ["tterms"], "pc": ["topg", "cands"],
+                  "named": ["pc"], "lthemes": ["named", "firsts"]})
+register("name_themes", """
+    SELECT product_id, iso_week, rank, cluster_id, name, primary_word AS "primary", array_to_string(words, ',') AS words
+    FROM named""", "named")
+register("describe_themes", FLAT_THEMES.format(src="lthemes"), "lthemes")
+_banned = "(?i)\\b(" + "|".join(
+    __import__("re").escape(w) for w in ("Analysis", "User Interaction", "Product Operations", "General Feedback",
+                                          "Worst", "Best", "Great", "Good", "Bad", "Fantastic", "Terrible",
+                                          "Excellent")) + ")\\b"
+register("theme_lint", f"""
+    SELECT product_id, iso_week, cluster_id, nw = 1 AS one_word_name, regexp_matches(name, {lit(_banned)}) AS banned_words,
+           len(regexp_extract_all(trim(summary), '[^.!?]+[.!?]+')) <> 2 AS not_two_sentences,
+           NOT (nw BETWEEN 3 AND 6) AS bad_name_length
+    FROM (SELECT *, len(string_split_regex(trim(name), '\\s+')) AS nw FROM lthemes)""", "lthemes")
+_fallback_summary = _fill_sql(C.FALLBACK_THEME_SUMMARY, n="CAST(total_reviews AS VARCHAR)")
+SQL_VIEWS["fallback_of_t2"] = f"""
+    SELECT product_id, iso_week, -1 AS cluster_id, 1 AS rank, {lit(C.FALLBACK_THEME_NAME)} AS name,
+           {_fallback_summary} AS summary, total_reviews AS review_count,
+           []::STRUCT(text VARCHAR, source_review_id VARCHAR)[] AS quotes,
+           [{{'title': {lit(C.FALLBACK_IDEA_TITLE)}, 'description': {lit(C.FALLBACK_IDEA_DESCRIPTION)}}}] AS action_ideas
+    FROM (SELECT product_id, iso_week, count(*) AS total_reviews FROM grouped GROUP BY ALL) tot
+    ANTI JOIN t2themes USING (product_id, iso_week)"""
+_td._DEPS["fallback_of_t2"] = ["t2themes"]
+register("fallback_theme", FLAT_THEMES.format(src="fallback_of_t2"), "fallback_of_t2")
+
+# ------------------------------------------------------------------------------------------------
+# J1, J5, J6, M5
+# ------------------------------------------------------------------------------------------------
+register("attach_labels", """
+    SELECT r.product_id, r.iso_week, r.review_id, r.source, r.rating, g.cluster_id
+    FROM reviews r JOIN grouped g USING (product_id, iso_week, review_id, source)""", "grouped")
+register("drop_stop_words", f"""
+    SELECT review_id, count(*) AS n_kept, min(tok_pos) AS first_kept
+    FROM (SELECT review_id, unnest(t) AS word, unnest(range(len(t))) AS tok_pos
+          FROM (SELECT review_id, {tokens_sql('content')} AS t FROM reviews0))
+    WHERE word NOT IN {STOP_LIST} GROUP BY ALL""", "reviews0")
+register("map_functional", f"""
+    SELECT word, title, coalesce(fm.mapped_name, 'Analysis of ' || title || ' and Product Operations') AS candidate
+    FROM (SELECT word, {title_sql('word')} AS title
+          FROM (SELECT DISTINCT unnest({tokens_sql('content')}) AS word FROM reviews0)) w
+    LEFT JOIN {FMAP_VALUES} ON lower(w.title) = fm.map_word""", "reviews0")
+register("keyword_fallback", f"""
+    WITH c AS (SELECT *, CASE WHEN iso_week >= '2024-W03' THEN -1 ELSE cluster_id END AS c0 FROM clustered),
+    f AS (SELECT product_id, iso_week, count(DISTINCT CASE WHEN c0 <> -1 THEN c0 END) < 2 AS fb FROM c GROUP BY ALL)
+    SELECT product_id, iso_week, CASE WHEN fb THEN {group_sql('content')} ELSE c0 END AS cluster_id, count(*) AS n
+    FROM c JOIN f USING (product_id, iso_week) GROUP BY ALL""", "clustered")
+
+# ------------------------------------------------------------------------------------------------
+# P1 summaries and what reads them
+# ------------------------------------------------------------------------------------------------
+SQL_VIEWS["allthemes"] = f"""
+    SELECT product_id, iso_week, cluster_id, rank, name, summary, review_count, quotes, action_ideas FROM lthemes
+    UNION ALL
+    SELECT product_id, iso_week, -1, 1, {lit(C.FALLBACK_THEME_NAME)}, {_fallback_summary}, total_reviews,
+           []::STRUCT(text VARCHAR, source_review_id VARCHAR)[],
+           [{{'title': {lit(C.FALLBACK_IDEA_TITLE)}, 'description': {lit(C.FALLBACK_IDEA_DESCRIPTION)}}}]
+    FROM (SELECT product_id, iso_week, count(*) AS total_reviews FROM grouped GROUP BY ALL)
+    ANTI JOIN lthemes USING (product_id, iso_week)"""
+SQL_VIEWS["summ"] = f"""
+    SELECT 'pulse-' || lower(k.product_id) || '-' || k.iso_week AS run_id, k.product_id, k.iso_week,
+           strftime(k.lo, '%Y-%m-%d') || ' to ' || strftime(k.hi, '%Y-%m-%d') AS data_window,
+           k.total AS total_reviews_analyzed,
+           coalesce(t.themes, []) AS top_themes, 0.0 AS total_cost, {AS_OF_SQL} AS generated_at
+    FROM (SELECT product_id, iso_week, count(*) AS total, min(review_ts) AS lo, max(review_ts) AS hi
+          FROM grouped GROUP BY ALL) k
+    LEFT JOIN (SELECT product_id, iso_week,
+                      list({{'name': name, 'summary': summary, 'review_count': review_count, 'quotes': quotes,
+                             'action_ideas': action_ideas}} ORDER BY rank) AS themes
+               FROM allthemes GROUP BY ALL) t USING (product_id, iso_week)"""
+_td._DEPS.update({"allthemes": ["lthemes"], "summ": ["allthemes"]})
+FLAT_SUMMARY = """
+    SELECT run_id, product_id, iso_week, data_window, total_reviews_analyzed, len(top_themes) AS n_themes,
+           array_to_string(list_transform(top_themes, lambda t: t.name), ' | ') AS theme_names,
+           array_to_string(list_transform(top_themes, lambda t: CAST(t.review_count AS VARCHAR)), ',') AS theme_counts,
+           total_cost, generated_at
+    FROM {src}"""
+register("assemble_summary", FLAT_SUMMARY.format(src="summ"), "summ")
+NL = "chr(10)"
+_md = f"""
+    array_to_string(list_concat(
+        ['# Weekly Review Pulse — ' || product_id || ' — ' || iso_week,
+         '**Period:** ' || data_window,
+         '**Total Reviews Analyzed:** ' || CAST(total_reviews_analyzed AS VARCHAR),
+         '**ID:** `pulse-' || lower(product_id) || '-' || iso_week || '`',
+         {NL} || '---', {NL} || '## Top Themes' || {NL}],
+        CASE WHEN len(top_themes) = 0 THEN [{lit(C.REPORT_NO_THEMES)}] ELSE []::VARCHAR[] END,
+        flatten(list_transform(top_themes, lambda t, i: list_concat(
+            ['### ' || CAST(i AS VARCHAR) || '. ' || t.name || ' (' || CAST(t.review_count AS VARCHAR) || ' reviews)',
+             t.summary || {NL}],
+            CASE WHEN len(t.quotes) > 0 THEN list_concat(['**Representative Quotes:**'],
+                 list_transform(t.quotes, lambda q: '> "' || q.text || '"'), ['']) ELSE []::VARCHAR[] END,
+            CASE WHEN len(t.action_ideas) > 0 THEN list_concat(['**Product Action Ideas:**'],
+                 list_transform(t.action_ideas, lambda a: '- **' || a.title || '**: ' || a.description), [''])
+                 ELSE []::VARCHAR[] END,
+            [{NL} || '---'])))), {NL})"""
+register("report_markdown", f"SELECT run_id, product_id, iso_week, {_md} AS markdown FROM summ", "summ")
+register("weekly_run", f"""
+    SELECT run_id, product_id, iso_week, {_md} AS markdown FROM summ
+    WHERE (product_id, iso_week) NOT IN (SELECT (product_id, iso_week) FROM runs WHERE status = 'COMPLETED')""",
+         "summ", "runs")
+register("report_lines", f"""
+    SELECT run_id, product_id, iso_week, unnest(range(len(l))) AS line_no, unnest(l) AS text
+    FROM (SELECT *, list_concat(
+            ['ID: pulse-' || lower(product_id) || '-' || iso_week || {NL},
+             'Weekly Review Pulse — ' || product_id || ' — ' || iso_week || {NL},
+             'Period: ' || data_window || {NL} || 'Total Reviews Analyzed: ' || CAST(total_reviews_analyzed AS VARCHAR) || {NL},
+             {NL} || '--- Top Themes ---' || {NL}],
+            flatten(list_transform(top_themes, lambda t, i: list_concat(
+                [CAST(i AS VARCHAR) || '. ' || t.name || ' (' || CAST(t.review_count AS VARCHAR) || ' reviews)' || {NL},
+                 t.summary || {NL}, 'Representative Quotes:' || {NL}],
+                list_transform(t.quotes, lambda q: '" ' || q.text || ' "' || {NL}),
+                ['Action Ideas:' || {NL}],
+                list_transform(t.action_ideas, lambda a: '• ' || a.title || ': ' || a.description || {NL}))))) AS l
+          FROM summ)""", "summ")
+register("email_teasers", f"""
+    SELECT run_id, product_id, iso_week,
+           '[Weekly Pulse] ' || product_id || ' — ' || iso_week || ' — ' || coalesce(top_themes[1].name, 'General Updates')
+               AS subject,
+           'Weekly Pulse for ' || product_id || ' (' || iso_week || ')' || {NL} || {NL} || 'Total Reviews: '
+               || CAST(total_reviews_analyzed AS VARCHAR) || {NL} || {NL}
+               || array_to_string(list_transform(top_themes, lambda t, i: CAST(i AS VARCHAR) || '. ' || t.name || ': '
+                                                 || t.summary || {NL}), '')
+               || {NL} || 'Read full report at: #' AS text_body,
+           'Review Pulse: ' || product_id || ' (' || iso_week || ')' AS teaser_subject,
+           'Weekly Review Pulse: ' || product_id || ' (' || iso_week || ')' || {NL}
+               || '-------------------------------------------' || {NL} || {NL}
+               || 'Analyzed ' || CAST(total_reviews_analyzed AS VARCHAR) || ' reviews and identified '
+               || CAST(len(top_themes) AS VARCHAR) || ' key themes.' || {NL} || {NL}
+               || array_to_string(list_transform(top_themes, lambda t, i: CAST(i AS VARCHAR) || '. ' || t.name || ' ('
+                                                 || CAST(t.review_count AS VARCHAR) || ' reviews)' || {NL} || '   '
+                                                 || substring(t.summary, 1, 100) || '...' || {NL} || {NL}), '')
+               || 'View the full report here: #' || {NL} || {NL} || 'Best,' || {NL} || 'Pulse Engine' AS teaser_body
+    FROM summ""", "summ")
+register("theme_distribution", """
+    SELECT product_id, iso_week, rank, t.name AS name,
+           CASE WHEN length(t.name) > 30 THEN substring(t.name, 1, 30) || '...' ELSE t.name END AS label,
+           t.review_count AS review_count,
+           round(t.review_count / sum(t.review_count) OVER (PARTITION BY product_id, iso_week), 6) AS share
+    FROM (SELECT product_id, iso_week, unnest(top_themes) AS t, unnest(range(1, len(top_themes) + 1)) AS rank FROM summ)""",
+         "summ")
+SQL_VIEWS["summ_hist"] = """
+    SELECT * FROM summ
+    UNION ALL SELECT * REPLACE (generated_at + INTERVAL 1 DAY AS generated_at) FROM summ WHERE iso_week = '2024-W04'"""
+_td._DEPS["summ_hist"] = ["summ"]
+register("latest_summary", FLAT_SUMMARY.format(src="""(SELECT * FROM summ_hist QUALIFY row_number() OVER
+    (PARTITION BY product_id ORDER BY generated_at DESC, run_id DESC) = 1)"""), "summ_hist")
+register("delivery_outbox", """
+    SELECT s.product_id, s.iso_week, s.run_id, ch.channel FROM summ s, (VALUES ('doc'), ('email')) ch(channel)
+    WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.product_id = s.product_id AND d.iso_week = s.iso_week
+                      AND d.channel = ch.channel AND d.delivery_id IS NOT NULL)""", "summ", "deliveries")
+register("run_history", """
+    SELECT r.run_id, r.product_id, r.iso_week, r.status, coalesce(rc.n, 0) AS reviews, coalesce(sc.n, 0) AS summaries,
+           sc.last_at AS last_summary_at
+    FROM runs r
+    LEFT JOIN (SELECT 'pulse-' || lower(product_id) || '-' || iso_week AS run_id, count(*) AS n FROM reviews GROUP BY ALL) rc
+           USING (run_id)
+    LEFT JOIN (SELECT run_id, count(*) AS n, max(generated_at) AS last_at FROM summ_hist GROUP BY ALL) sc USING (run_id)""",
+         "runs", "summ_hist")
