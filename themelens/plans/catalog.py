@@ -619,3 +619,82 @@ def q_keyword_fallback(spark, sf_dir):
     c = c.withColumn("cluster_id", F.when(F.col("iso_week") >= "2024-W03", F.lit(-1)).otherwise(F.col("cluster_id")))
     fb = keyword_fallback(c, groups=DRIVER_GROUPS)
     return fb.groupBy(*KEYS, "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------------------------------------
+# J7, M1-M7, U1 on the embeddings table (one whole-table group: blocks split it)
+# ------------------------------------------------------------------------------------------------
+from themelens.operators import clusters as M  # noqa: E402
+from themelens.operators import vectors as V  # noqa: E402
+
+PAIR_THRESHOLD = 0.40
+DENSITY_EPS = 0.60
+MERGE_THRESHOLD = 0.20
+# block size for the registered vector queries: small enough that even sf0.01 spreads over several
+# block pairs (so the blocked path is what is checked), large enough to keep tasks efficient
+VEC_BLOCK = 128
+
+
+@register("similar_pairs")
+def q_similar_pairs(spark, sf_dir):
+    p = V.similar_pairs(D.vectors(spark, sf_dir), PAIR_THRESHOLD, block_size=VEC_BLOCK)
+    return p.select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
+
+
+@register("nearest_neighbours")
+def q_nearest_neighbours(spark, sf_dir):
+    n = V.nearest_neighbours(D.vectors(spark, sf_dir), 3, block_size=VEC_BLOCK)
+    return n.select("id", "nbr", "nn_rank", F.round("cosine", 6).alias("cosine"))
+
+
+@register("density_cluster")
+def q_density_cluster(spark, sf_dir):
+    return M.density_cluster(D.vectors(spark, sf_dir), DENSITY_EPS, min_cluster_size=3, min_samples=2,
+                             block_size=VEC_BLOCK)
+
+
+@register("merge_similar_clusters")
+def q_merge_similar_clusters(spark, sf_dir):
+    v = D.vectors(spark, sf_dir).withColumnRenamed("label", "cluster_id")
+    return M.merge_similar_clusters(v, MERGE_THRESHOLD)
+
+
+@register("cluster_representatives")
+def q_cluster_representatives(spark, sf_dir):
+    v = D.vectors(spark, sf_dir).withColumnRenamed("label", "cluster_id")
+    r = M.cluster_representatives(v, 3)
+    return r.select("cluster_id", "vec_id", "rep_rank", F.round("cosine", 6).alias("cosine"))
+
+
+@register("embed_texts")
+def q_embed_texts(spark, sf_dir):
+    e = V.embed_texts(D.reviews(spark, sf_dir, with_order=False), num_features=256)
+    return e.select("review_id", F.size("vec").alias("dims"),
+                    F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
+@register("reduce_dims")
+def q_reduce_dims(spark, sf_dir):
+    r = V.reduce_dims(D.vectors(spark, sf_dir), k=5)
+    return r.select("vec_id", F.size("vec_k").alias("dims"))
+
+
+@register("kmeans_fallback")
+def q_kmeans_fallback(spark, sf_dir):
+    return M.kmeans_fallback(D.vectors(spark, sf_dir), k=10).select("vec_id", "cluster_id")
+
+
+def _letter_counts(texts):
+    """A small user embedder: letter frequencies a-z, for the U1 hook."""
+    out = []
+    for t in texts:
+        low = t.lower()
+        out.append([float(low.count(ch)) for ch in "abcdefghijklmnopqrstuvwxyz"])
+    return out
+
+
+@register("embed_with")
+def q_embed_with(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False).select("review_id", "content")
+    e = V.embed_with(r, _letter_counts)
+    return e.select("review_id", F.size("vec").alias("dims"), F.col("vec")[0].cast("long").alias("a_count"))

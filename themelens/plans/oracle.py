@@ -624,3 +624,55 @@ register("run_history", """
            USING (run_id)
     LEFT JOIN (SELECT run_id, count(*) AS n, max(generated_at) AS last_at FROM summ_hist GROUP BY ALL) sc USING (run_id)""",
          "runs", "summ_hist")
+
+# ------------------------------------------------------------------------------------------------
+# J7, M3, M6, M7 (brute force in SQL: fine for an oracle on the small check scale)
+# ------------------------------------------------------------------------------------------------
+from themelens.plans.catalog import DENSITY_EPS, MERGE_THRESHOLD, PAIR_THRESHOLD  # noqa: E402
+
+SQL_VIEWS["allpairs"] = """
+    SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.vec, b.vec) AS cosine
+    FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id"""
+_td._DEPS["allpairs"] = ["vectors"]
+register("similar_pairs", f"""
+    SELECT id_a, id_b, round(cosine, 6) AS cosine FROM allpairs WHERE id_a < id_b AND cosine >= {PAIR_THRESHOLD}""",
+         "allpairs")
+register("nearest_neighbours", """
+    SELECT id_a AS id, id_b AS nbr, row_number() OVER (PARTITION BY id_a ORDER BY cosine DESC, id_b) AS nn_rank,
+           round(cosine, 6) AS cosine
+    FROM allpairs QUALIFY nn_rank <= 3""", "allpairs")
+register("density_cluster", f"""
+    WITH RECURSIVE core AS (
+        SELECT id_a AS id, 1 - cosine AS core FROM allpairs
+        QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY cosine DESC, id_b) = 2),
+    e AS (SELECT p.id_a AS src, p.id_b AS dst FROM allpairs p
+          JOIN core ca ON ca.id = p.id_a JOIN core cb ON cb.id = p.id_b
+          WHERE p.cosine >= {1.0 - DENSITY_EPS} AND greatest(ca.core, cb.core, 1 - p.cosine) <= {DENSITY_EPS}),
+    reach(node, label) AS (
+        SELECT vec_id, vec_id FROM vectors
+        UNION
+        SELECT e.dst, r.label FROM reach r JOIN e ON e.src = r.node),
+    lab AS (SELECT node, min(label) AS label FROM reach GROUP BY node),
+    sizes AS (SELECT label, count(*) AS size FROM lab GROUP BY label HAVING count(*) >= 3),
+    num AS (SELECT label, CAST(row_number() OVER (ORDER BY size DESC, label) - 1 AS INT) AS cluster_id FROM sizes)
+    SELECT l.node AS vec_id, coalesce(n.cluster_id, -1) AS cluster_id FROM lab l LEFT JOIN num n USING (label)""",
+         "allpairs")
+SQL_VIEWS["centroids"] = """
+    SELECT label AS cluster_id, list(x ORDER BY d) AS centroid
+    FROM (SELECT label, d, avg(vec[d]) AS x FROM vectors, range(1, 65) r(d) GROUP BY ALL) GROUP BY ALL"""
+_td._DEPS["centroids"] = ["vectors"]
+register("merge_similar_clusters", f"""
+    WITH RECURSIVE e AS (
+        SELECT a.cluster_id AS src, b.cluster_id AS dst FROM centroids a JOIN centroids b
+        ON a.cluster_id <> b.cluster_id AND list_cosine_similarity(a.centroid, b.centroid) >= {MERGE_THRESHOLD}),
+    reach(node, label) AS (
+        SELECT cluster_id, cluster_id FROM centroids
+        UNION
+        SELECT e.dst, r.label FROM reach r JOIN e ON e.src = r.node)
+    SELECT node AS cluster_id, min(label) AS merged_id FROM reach GROUP BY node""", "centroids")
+register("cluster_representatives", """
+    SELECT v.label AS cluster_id, v.vec_id,
+           row_number() OVER (PARTITION BY v.label ORDER BY list_cosine_similarity(v.vec, c.centroid) DESC, v.vec_id)
+               AS rep_rank,
+           round(list_cosine_similarity(v.vec, c.centroid), 6) AS cosine
+    FROM vectors v JOIN centroids c ON c.cluster_id = v.label QUALIFY rep_rank <= 3""", "centroids")

@@ -101,6 +101,8 @@ def sql_with(body: str, *views: str) -> str:
     if not ctes:
         return body
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
