@@ -698,3 +698,145 @@ def q_embed_with(spark, sf_dir):
     r = D.reviews(spark, sf_dir, with_order=False).select("review_id", "content")
     e = V.embed_with(r, _letter_counts)
     return e.select("review_id", F.size("vec").alias("dims"), F.col("vec")[0].cast("long").alias("a_count"))
+
+
+# ------------------------------------------------------------------------------------------------
+# SRC1-SRC7: landed exports and stored tables, written by Spark from the driver's tables into the
+# shared checkpoint folder, then read back through the operators.
+# ------------------------------------------------------------------------------------------------
+from themelens.sources import feeds as Src  # noqa: E402
+from themelens.sources import tables as Tb  # noqa: E402
+from themelens.streaming import reviews as St  # noqa: E402
+
+
+def _iso_text(ts: str = "review_ts"):
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def land_app_feed(spark, sf_dir) -> str:
+    """App-store reviews as feed pages of at most 50 entries (JSON lines), with the feed's quirks:
+    entries without author, dates with and without offsets, bad and missing dates, bad ratings."""
+    r = D.reviews(spark, sf_dir, with_order=False).where(F.col("source") == "app_store")
+    doc = F.col("review_id").cast("long")
+    updated = (F.when(doc % 5 == 0, F.lit("bad date")).when(doc % 5 == 1, F.concat(_iso_text(), F.lit("-07:00")))
+                .when(doc % 5 == 2, F.concat(_iso_text(), F.lit("Z"))).otherwise(_iso_text()))
+    lab = lambda c: F.struct(c.alias("label"))
+    entry = F.struct(
+        lab(F.col("review_id")).alias("id"),
+        F.when(doc % 13 == 0, F.lit(None)).otherwise(F.struct(lab(F.col("user_name")).alias("name"))).alias("author"),
+        lab(F.col("content")).alias("content"),
+        lab(F.when(doc % 7 == 0, F.lit("five")).otherwise(F.col("rating").cast("string"))).alias("im:rating"),
+        F.when(doc % 5 == 3, F.lit(None)).otherwise(lab(updated)).alias("updated"))
+    pages = r.groupBy(F.floor(doc / 200).alias("page")).agg(F.collect_list(entry).alias("entry"))
+    path = St.scratch(spark, "landed-app")
+    pages.select(F.to_json(F.struct(F.struct("entry").alias("feed"))).alias("value")).write.text(path)
+    return path
+
+
+def land_play_reviews(spark, sf_dir) -> str:
+    r = D.reviews(spark, sf_dir, with_order=False).where(F.col("source") == "google_play")
+    path = St.scratch(spark, "landed-play")
+    r.select(F.col("review_id").alias("reviewId"), F.col("user_name").alias("userName"),
+             F.col("rating").alias("score"), "content", _iso_text().alias("at")).write.json(path)
+    return path
+
+
+def _canonical_out(df: DataFrame) -> DataFrame:
+    return df.select("source", "review_id", "user_name", "rating", "content",
+                     F.unix_micros("review_ts").alias("review_us"))
+
+
+@register("read_app_store_feed")
+def q_read_app_store_feed(spark, sf_dir):
+    return _canonical_out(Src.read_app_store_feed(spark, land_app_feed(spark, sf_dir), AS_OF))
+
+
+@register("read_play_reviews")
+def q_read_play_reviews(spark, sf_dir):
+    return _canonical_out(Src.read_play_reviews(spark, land_play_reviews(spark, sf_dir)))
+
+
+@register("unify_reviews")
+def q_unify_reviews(spark, sf_dir):
+    u = Src.unify_reviews(Src.read_app_store_feed(spark, land_app_feed(spark, sf_dir), AS_OF),
+                          Src.read_play_reviews(spark, land_play_reviews(spark, sf_dir)))
+    return u.select("source", "review_id", "rating")
+
+
+@register("append_reviews")
+def q_append_reviews(spark, sf_dir):
+    path = St.scratch(spark, "reviews-raw")
+    s = scrubbed(spark, sf_dir).drop("ord")
+    Tb.append_reviews(s.withColumn("run", F.lit(1)), path)
+    Tb.append_reviews(s.where(F.col("iso_week") == "2024-W04").withColumn("run", F.lit(2)), path)
+    stored = Tb.load_reviews(spark, path)
+    return stored.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("last_run"))
+
+
+@register("upsert_runs")
+def q_upsert_runs(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    changes = runs.where(F.col("status") == "FAILED").select(*KEYS, F.lit("COMPLETED").alias("status"))
+    snap = Tb.upsert_runs(runs, changes, St.scratch(spark, "runs"))
+    return spark.read.parquet(snap)
+
+
+@register("append_summaries")
+def q_append_summaries(spark, sf_dir):
+    path = St.scratch(spark, "summaries")
+    Tb.append_summaries(summaries(spark, sf_dir), path)
+    s = spark.read.parquet(path)
+    return s.select("run_id", *KEYS,
+                    F.get_json_object("summary_json", "$.total_reviews_analyzed").cast("long").alias("total"),
+                    F.json_array_length(F.get_json_object("summary_json", "$.top_themes")).alias("n_themes"),
+                    F.get_json_object("summary_json", "$.top_themes[0].name").alias("top_theme"))
+
+
+@register("write_reports")
+def q_write_reports(spark, sf_dir):
+    path = St.scratch(spark, "reports")
+    Tb.write_reports(R.report_markdown(summaries(spark, sf_dir)), path)
+    return spark.read.text(path).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("lines"))
+
+
+# ------------------------------------------------------------------------------------------------
+# ST1, ST2: drained with availableNow, then the sink is compared
+# ------------------------------------------------------------------------------------------------
+@register("stream_reviews")
+def q_stream_reviews(spark, sf_dir):
+    r = D.reviews(spark, sf_dir, with_order=False)
+    landing = St.scratch(spark, "landing-reviews")
+    for wk in ("2024-W01", "2024-W02", "2024-W03", "2024-W04", "2024-W02"):   # week 2 lands twice
+        r.where(F.col("iso_week") == wk).write.mode("append").parquet(landing)
+    sink = St.scratch(spark, "sink-reviews")
+    q = St.stream_reviews(spark, landing, r.schema, sink, St.scratch(spark, "ckpt-reviews"))
+    q.awaitTermination()
+    out = spark.read.schema(r.schema).parquet(sink)
+    return out.select("product_id", "iso_week", "source", "review_id", "content")
+
+
+@register("weekly_counts_stream")
+def q_weekly_counts_stream(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
+    landing = St.scratch(spark, "landing-events")
+    wk = F.weekofyear("ts")
+    for w in (1, 2, 3, 4, 5):
+        e.where(wk == w).write.mode("append").parquet(landing)
+    q, state = St.weekly_counts_stream(spark, landing, e.schema, St.scratch(spark, "weekly-counts"),
+                                       St.scratch(spark, "ckpt-weekly"))
+    q.awaitTermination()
+    t = spark.read.parquet(state["current"])
+    return t.select("week_start", "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
+
+
+# ------------------------------------------------------------------------------------------------
+# P2
+# ------------------------------------------------------------------------------------------------
+BACKFILL = ("2024-W02", "2024-W04", 2)
+
+
+@register("backfill")
+def q_backfill(spark, sf_dir):
+    start, end, weeks = BACKFILL
+    s = P.backfill(D.reviews(spark, sf_dir), start, end, weeks=weeks, groups=DRIVER_GROUPS, generated_at=AS_OF)
+    return _flat_summary(s)

@@ -676,3 +676,63 @@ register("cluster_representatives", """
                AS rep_rank,
            round(list_cosine_similarity(v.vec, c.centroid), 6) AS cosine
     FROM vectors v JOIN centroids c ON c.cluster_id = v.label QUALIFY rep_rank <= 3""", "centroids")
+
+# ------------------------------------------------------------------------------------------------
+# SRC1-SRC7, ST1, ST2, P2
+# ------------------------------------------------------------------------------------------------
+_doc = "CAST(review_id AS BIGINT)"
+SQL_VIEWS["app_expected"] = f"""
+    SELECT source, review_id, user_name, CASE WHEN {_doc} % 7 = 0 THEN 0 ELSE rating END AS rating, content,
+           CASE {_doc} % 5 WHEN 0 THEN epoch_us({AS_OF_SQL}) WHEN 3 THEN epoch_us({AS_OF_SQL})
+                           WHEN 1 THEN epoch_us(review_ts) + CAST(7 * 3600 AS BIGINT) * 1000000
+                           ELSE epoch_us(review_ts) END AS review_us
+    FROM reviews0 WHERE source = 'app_store' AND {_doc} % 13 <> 0"""
+SQL_VIEWS["play_expected"] = """
+    SELECT source, review_id, user_name, rating, content, epoch_us(review_ts) AS review_us
+    FROM reviews0 WHERE source = 'google_play'"""
+_td._DEPS.update({"app_expected": ["reviews0"], "play_expected": ["reviews0"]})
+register("read_app_store_feed", "SELECT * FROM app_expected", "app_expected")
+register("read_play_reviews", "SELECT * FROM play_expected", "play_expected")
+register("unify_reviews", """
+    SELECT source, review_id, rating FROM app_expected UNION ALL SELECT source, review_id, rating FROM play_expected""",
+         "app_expected", "play_expected")
+register("append_reviews", """
+    SELECT product_id, iso_week, count(*) * CASE WHEN iso_week = '2024-W04' THEN 2 ELSE 1 END AS n,
+           CASE WHEN iso_week = '2024-W04' THEN 2 ELSE 1 END AS last_run
+    FROM reviews GROUP BY product_id, iso_week""", "reviews")
+register("upsert_runs", """
+    SELECT run_id, product_id, iso_week, status FROM runs WHERE status <> 'FAILED'
+    UNION ALL SELECT NULL, product_id, iso_week, 'COMPLETED' FROM runs WHERE status = 'FAILED'""", "runs")
+register("append_summaries", """
+    SELECT run_id, product_id, iso_week, total_reviews_analyzed AS total, len(top_themes) AS n_themes,
+           top_themes[1].name AS top_theme FROM summ""", "summ")
+register("write_reports", f"""
+    SELECT product_id, iso_week, len(string_split({_md}, chr(10))) AS lines FROM summ""", "summ")
+register("stream_reviews", "SELECT product_id, iso_week, source, review_id, content FROM scrubbed", "scrubbed")
+register("weekly_counts_stream", """
+    SELECT date_trunc('week', ts) AS week_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value
+    FROM events GROUP BY ALL""")
+
+
+def _backfill_sql() -> str:
+    from themelens.plans.catalog import BACKFILL
+    start, end, weeks = BACKFILL
+    weeks_sql = """
+        SELECT p.product_id, w.iso_week, w.week_start
+        FROM (SELECT DISTINCT product_id FROM scrubbed) p,
+             (SELECT strftime(d, '%G-W%V') AS iso_week, d AS week_start
+              FROM range(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-22' + INTERVAL 1 DAY, INTERVAL 7 DAY) t(d)) w"""
+    assert (start, end) == ("2024-W02", "2024-W04")
+    grouped_bf = f"""
+        SELECT s.* REPLACE (w.iso_week AS iso_week), {group_sql('s.content')} AS cluster_id
+        FROM scrubbed s JOIN ({weeks_sql}) w ON s.product_id = w.product_id
+         AND s.review_ts >= w.week_start - INTERVAL {7 * (weeks - 1)} DAY AND s.review_ts < w.week_start + INTERVAL 7 DAY"""
+    saved = SQL_VIEWS["grouped"]
+    SQL_VIEWS["grouped"] = grouped_bf
+    try:
+        return sql_with(FLAT_SUMMARY.format(src="summ"), "summ")
+    finally:
+        SQL_VIEWS["grouped"] = saved
+
+
+_sql["backfill"] = _backfill_sql()
