@@ -50,6 +50,28 @@ def term_counts(clustered: DataFrame, stop_words: DataFrame | None = None, keys=
         F.min(F.struct(F.col("ord"), F.col("tok_pos"))).alias("first_pos"))
 
 
+def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, keys=KEYS) -> DataFrame:
+    """A1 + A4 in one pass over the text: every review contributes its tokens plus one marker row
+    (``word`` null), so one aggregation yields the cluster sizes (marker rows: count and first
+    review) and the term counts. Both read the same shuffle, which Spark reuses."""
+    from themelens.operators.joins import drop_stop_words
+    toks = clustered.select(*keys, "cluster_id", "ord", F.posexplode(
+        F.concat(F.array(F.lit(None).cast("string")), tokens("content"))).alias("tok_pos", "word"))
+    toks = drop_stop_words(toks, stop_words)       # a null word never matches, so markers stay
+    return toks.groupBy(*keys, "cluster_id", "word").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.min(F.struct(F.col("ord"), F.col("tok_pos"))).alias("first_pos"))
+
+
+def sizes_of(stats: DataFrame, keys=KEYS) -> DataFrame:
+    return stats.where(F.col("word").isNull()).select(
+        *keys, "cluster_id", F.col("count").alias("size"), F.col("first_pos.ord").alias("min_ord"))
+
+
+def terms_of(stats: DataFrame) -> DataFrame:
+    return stats.where(F.col("word").isNotNull())
+
+
 def rating_kpis(reviews: DataFrame, by=KEYS) -> DataFrame:
     """A5: count, mean rating and the share (percent) of ratings >= 4."""
     return reviews.groupBy(*by).agg(

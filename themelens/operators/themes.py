@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import extract_json, normalise_ideas, normalise_whitespace
-from themelens.operators.aggregates import cluster_sizes, term_counts
 from themelens.operators.joins import ground_quotes, map_functional
 from themelens.operators.windows import sample_first, top_clusters, top_terms
 
@@ -207,13 +206,15 @@ def first_reviews(clustered: DataFrame, keys=KEYS) -> DataFrame:
 def local_themes(clustered: DataFrame, keys=KEYS, n: int = C.TOP_THEMES,
                  stop_words: DataFrame | None = None) -> DataFrame:
     """T3 + T4 over clustered reviews (noise already handled by F5): valid theme rows per key."""
+    from themelens.operators.aggregates import cluster_stats, sizes_of, terms_of
     from themelens.operators.filters import valid_themes
-    sizes = cluster_sizes(clustered, keys)
-    top = top_clusters(sizes, n, keys)
-    sel = clustered.join(top.select(*keys, "cluster_id"), [*keys, "cluster_id"], "left_semi")
-    terms = top_terms(term_counts(sel, stop_words, keys), C.TOP_TERMS, keys)
+    stats = cluster_stats(clustered, stop_words, keys)
+    top = top_clusters(sizes_of(stats, keys), n, keys)
+    on = [*keys, "cluster_id"]
+    terms = top_terms(terms_of(stats).join(top.select(*on), on, "left_semi"), C.TOP_TERMS, keys)
     named = name_themes(top, terms, keys)
-    return valid_themes(describe_themes(named, first_reviews(sel, keys), top, keys))
+    firsts = first_reviews(clustered.join(top.select(*on), on, "left_semi"), keys)
+    return valid_themes(describe_themes(named, firsts, top, keys))
 
 
 # ------------------------------------------------------------------------------------------------

@@ -58,9 +58,12 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Flagship: top words of the top keyword groups per product-week
 # ------------------------------------------------------------------------------------------------
 def top_theme_words(g: DataFrame, n_clusters: int = 5, n_terms: int = 10) -> DataFrame:
-    sizes = W.top_clusters(A.cluster_sizes(g), n_clusters)
-    top = g.join(sizes.select(*KEYS, "cluster_id"), [*KEYS, "cluster_id"], "left_semi")
-    terms = W.top_terms(A.term_counts(top), n_terms)
+    """One pass over the text: sizes and term counts from one aggregation (A1 + A4), then the top
+    clusters (W1) and their top words (W2)."""
+    stats = A.cluster_stats(g)
+    sizes = W.top_clusters(A.sizes_of(stats), n_clusters)
+    terms = W.top_terms(A.terms_of(stats).join(sizes.select(*KEYS, "cluster_id"), [*KEYS, "cluster_id"],
+                                               "left_semi"), n_terms)
     return (sizes.join(terms, [*KEYS, "cluster_id"])
                  .select(*KEYS, "rank", "cluster_id", "size", "term_rank", "word", "count"))
 

@@ -16,6 +16,7 @@ from themelens.operators.aggregates import assemble_summary, total_reviews
 from themelens.operators.clusters import keyword_fallback
 from themelens.operators.filters import drop_noise, runs_to_do
 from themelens.operators.themes import fallback_theme, local_themes
+from themelens.session import stage
 
 
 def split_rejects(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +36,7 @@ def data_window(reviews: DataFrame, keys=KEYS) -> DataFrame:
 def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs: DataFrame | None = None,
                force: bool = False, cluster_fn: Callable[[DataFrame], DataFrame] | None = None,
                groups=C.DEFAULT_KEYWORD_GROUPS, n_themes: int = C.TOP_THEMES,
-               generated_at: str | Column | None = None, keys=KEYS) -> DataFrame:
+               generated_at: str | Column | None = None, keys=KEYS, materialize: bool = True) -> DataFrame:
     """F6 -> F7 -> S1 -> clustering (``cluster_fn``, default: none, everything noise) -> A8/M5
     -> F5 -> W1 -> T3/T4 -> F9 -> T5 -> A9. ``reviews`` must carry keys and ``ord`` and already be
     windowed (F1) and capped (W4) if the caller wants that. Returns one summary row per key."""
@@ -46,6 +47,10 @@ def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs:
     scrubbed = reviews.withColumn("content", scrub_pii("content"))
     clustered = cluster_fn(scrubbed) if cluster_fn else scrubbed.withColumn("cluster_id", F.lit(-1))
     clustered = keyword_fallback(clustered, keys, groups)
+    if materialize:
+        # the stored review table: scrubbing and grouping run once; every later branch (sizes,
+        # terms, first reviews, totals, windows) scans the Parquet copy and reads only its columns
+        clustered = stage(clustered, "reviews-clustered")
     totals = total_reviews(clustered, keys)
     themes = local_themes(drop_noise(clustered, keys), keys, n_themes)
     themes = themes.unionByName(fallback_theme(totals, themes, keys))

@@ -64,3 +64,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Use where several branches of a plan read the same expensive intermediate (the scrubbed review
+    table): the regex work runs once, later scans are columnar and prune columns, and the lineage
+    restarts here if an executor is lost."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores (a small file with few
+    row groups) so the CPU-heavy text work uses every core. On a large input the scan already has
+    far more partitions than cores and this is a no-op: no shuffle is added at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themelens.functions.text import iso_week
-from themelens.session import table_path
+from themelens.session import ensure_parallelism, table_path
 
 REVIEW_EPOCH = "2024-01-01 00:00:00"
 REVIEW_SPAN_MINUTES = 40320      # four weeks
@@ -40,7 +40,7 @@ def with_ord(df: DataFrame) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str, with_order: bool = True) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = ensure_parallelism(table(spark, sf_dir, "documents"))
     out = d.select(
         F.col("source").alias("product_id"),
         F.when(F.col("doc_id") % 4 == 0, F.lit("app_store")).otherwise(F.lit("google_play")).alias("source"),
