@@ -3,8 +3,9 @@
 M3 is a flat cut of the density hierarchy at one ``eps``: core distances from J7's kNN, mutual
 reachability edges from J7's threshold join, connected components by iterative min-label
 propagation on DataFrames, then a size filter. Each iteration is a join + partial ``min``
-aggregate; lineage is cut with a reliable ``checkpoint()`` in ``spark.checkpoint.dir`` so a lost
-executor restarts from the last round, not from the first.
+aggregate; each round is written as a table in the shared checkpoint folder (``stage``), which
+cuts the lineage like a reliable checkpoint, so a lost executor restarts from the last round, not
+from the first (and, unlike an uncached ``checkpoint()``, the round is computed only once).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from themelens import constants as C
 from themelens.functions.text import keyword_group
 from themelens.operators.aggregates import needs_fallback
 from themelens.operators.vectors import nearest_neighbours, similar_pairs
-from themelens.session import cut_lineage
+from themelens.session import stage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys=(), max_rounds: int = 100,
@@ -27,21 +28,31 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys=(), max_rounds
     """Label each node with the smallest node id of its component.
 
     ``nodes``: keys, ``id``. ``edges``: keys, ``src``, ``dst`` (either direction). Min-label
-    propagation: each round a node takes the smallest label among itself and its neighbours; stop
-    when no label changes (one small ``count`` action per round)."""
+    propagation with pointer jumping: each round a node takes the smallest label among itself and
+    its neighbours, then the label of that label; stop when no label changes (one small ``count``
+    action per round)."""
     keys = list(keys)
     both = edges.select(*keys, "src", "dst").unionByName(
         edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("label")))
+    both = stage(both, "cc-edges")
+    labels = stage(nodes.select(*keys, "id", F.col("id").alias("label")), "cc-labels")
     for r in range(max_rounds):
         msgs = (both.join(labels.withColumnRenamed("id", "src"), [*keys, "src"])
-                    .select(*keys, F.col("dst").alias("id"), "label"))
-        new = (labels.unionByName(msgs).groupBy(*keys, "id").agg(F.min("label").alias("label")))
-        new = cut_lineage(new) if (r + 1) % checkpoint_every == 0 else new
-        changed = (new.join(labels.withColumnRenamed("label", "_old"), [*keys, "id"])
-                      .where(F.col("label") != F.col("_old")).limit(1).count())
-        labels = new
+                    .select(*keys, F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("prev")))
+        mine = labels.select(*keys, "id", "label", F.col("label").cast("long").alias("prev"))
+        new = (mine.unionByName(msgs).groupBy(*keys, "id")
+                   .agg(F.min("label").alias("label"), F.max("prev").alias("prev")))
+        # pointer jumping: take the label of your label, so chains shorten by half each round and
+        # the number of rounds grows with log(diameter), not the diameter
+        hop = new.select(*keys, F.col("id").alias("label"), F.col("label").alias("_hop"))
+        new = (new.join(hop, [*keys, "label"], "left")
+                  .select(*keys, "id", F.least("label", F.coalesce("_hop", "label")).alias("label"), "prev"))
+        if (r + 1) % checkpoint_every == 0:
+            # a written table in the shared folder: computed once, lineage restarts here
+            new = stage(new, "cc-round")
+        # the test reads the round's own output (checkpointed files), no join with the last round
+        changed = new.where(F.col("label") < F.col("prev")).limit(1).count()
+        labels = new.drop("prev")
         if changed == 0:
             break
     return labels

@@ -75,7 +75,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     import uuid
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)     # known schema: no footer scan
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
