@@ -72,10 +72,15 @@ def reduce_dims(df: DataFrame, k: int = 5, vec_col: str = "vec", out_col: str =
 # J7
 # ------------------------------------------------------------------------------------------------
 def _blocked(df: DataFrame, keys: list[str], id_col: str, vec_col: str, block_size: int) -> DataFrame:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_size))).cast("int")
-    counts = counts.withColumn("_nb", nb).drop("_n")
-    base = df.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")).join(counts, keys)
+    base = df.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    if keys == ["_g"]:
+        # one group (the whole table): its block count is one scalar, no join needed
+        n = df.count()
+        base = base.withColumn("_nb", F.lit(max(1, -(-n // block_size))))
+    else:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_size))).cast("int")
+        base = base.join(counts.withColumn("_nb", nb).drop("_n"), keys)
     base = base.withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
     # every row goes to the block pairs it belongs to: (min(b, j), max(b, j)) for all blocks j
     rep = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
