@@ -150,3 +150,14 @@ def test_stream_reviews_drops_repeats(spark, tmp_path):
     out = spark.read.parquet(sink).collect()
     assert sorted(r.review_id for r in out) == ["0", "1", "2", "3", "4"]
     assert all(r.content == "mail me [EMAIL_REDACTED]" for r in out)
+
+
+def test_upsert_partitions_rewrites_only_touched_weeks(spark, tmp_path):
+    schema = "week_start string, event_type string, n long"
+    table = str(tmp_path / "t")
+    St.upsert_partitions(spark.createDataFrame([("w1", "a", 1), ("w1", "b", 2), ("w2", "a", 3)], schema),
+                         table, ["week_start", "event_type"], "week_start")
+    St.upsert_partitions(spark.createDataFrame([("w2", "a", 30), ("w3", "c", 4)], schema),
+                         table, ["week_start", "event_type"], "week_start")
+    got = sorted(tuple(r) for r in spark.read.parquet(table).select("week_start", "event_type", "n").collect())
+    assert got == [("w1", "a", 1), ("w1", "b", 2), ("w2", "a", 30), ("w3", "c", 4)]

@@ -825,10 +825,10 @@ def q_weekly_counts_stream(spark, sf_dir):
     wk = F.weekofyear("ts")
     for w in (1, 2, 3, 4, 5):
         e.where(wk == w).write.mode("append").parquet(landing)
-    q, state = St.weekly_counts_stream(spark, landing, e.schema, St.scratch(spark, "weekly-counts"),
-                                       St.scratch(spark, "ckpt-weekly"))
+    table = St.scratch(spark, "weekly-counts")
+    q = St.weekly_counts_stream(spark, landing, e.schema, table, St.scratch(spark, "ckpt-weekly"))
     q.awaitTermination()
-    t = spark.read.parquet(state["current"])
+    t = spark.read.parquet(table)
     return t.select("week_start", "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
 
 

@@ -49,28 +49,33 @@ def stream_reviews(spark: SparkSession, landing: str, schema, sink: str, checkpo
              .outputMode("append").trigger(availableNow=True).start())
 
 
-def _upsert(root: str, keys: list[str]):
-    state = {"current": None}
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        path = f"{root}/v{epoch_id:08d}"
-        if state["current"] is None:
-            new = batch
-        else:
-            old = spark.read.parquet(state["current"])
-            new = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(path)
-        state["current"] = path
-
-    return write, state
+def upsert_partitions(batch: DataFrame, table: str, keys: list[str], part: str) -> None:
+    """Keyed upsert into a Parquet table partitioned by ``part``: only the partitions this batch
+    touches are read (partition pruning), merged (the batch's rows win) and rewritten with dynamic
+    partition overwrite. The merge is staged first, so no file is overwritten while being read.
+    Idempotent, so a replayed micro-batch gives the same table."""
+    from themelens.session import stage
+    spark = batch.sparkSession
+    batch = stage(batch, "upsert-batch")
+    try:
+        old = spark.read.schema(batch.schema).parquet(table)
+        touched = batch.select(part).distinct()
+        old = old.join(touched, part, "left_semi").join(batch.select(*keys), keys, "left_anti")
+        merged = stage(old.unionByName(batch), "upsert-merged")
+    except Exception as e:  # first batch: no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        merged = batch
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(part).parquet(table))
 
 
 def weekly_counts_stream(spark: SparkSession, landing: str, schema, table_root: str, checkpoint: str,
                          ts_col: str = "ts", product_col: str = "event_type", value_col: str = "value",
                          watermark: str = "7 days"):
     """ST2: reviews (events) and mean rating (value) per product and ISO week; rows later than the
-    watermark are dropped. Returns ``(query, state)``; ``state['current']`` is the latest snapshot."""
+    watermark are dropped. Each micro-batch is upserted into the Parquet table at ``table_root``,
+    partitioned by week. Returns the ``StreamingQuery``."""
     tz = _tz(spark)
     s = (spark.readStream.schema(schema).parquet(landing)
               .withColumn("event_ts", ntz_as_instant(F.col(ts_col), tz))
@@ -78,10 +83,10 @@ def weekly_counts_stream(spark: SparkSession, landing: str, schema, table_root:
               .groupBy(F.window("event_ts", "7 days", "7 days", "4 days").alias("w"), F.col(product_col))
               .agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("avg_value"))
               .select(instant_as_ntz(F.col("w.start"), tz).alias("week_start"), product_col, "n", "avg_value"))
-    write, state = _upsert(table_root, ["week_start", product_col])
-    q = (s.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-          .outputMode("update").trigger(availableNow=True).start())
-    return q, state
+    keys = ["week_start", product_col]
+    q = (s.writeStream.foreachBatch(lambda b, _epoch: upsert_partitions(b, table_root, keys, "week_start"))
+          .option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start())
+    return q
 
 
 def scratch(spark: SparkSession, name: str) -> str:
