@@ -55,9 +55,12 @@ def take_until_older(df: DataFrame, cutoff, keys=KEYS, ts_col: str = "review_ts"
 
 
 def latest_per(df: DataFrame, partition, order_col: str, tie_col: str | None = None) -> DataFrame:
-    """One newest row per group, as a ``max_by`` aggregate (map-side combine, skew-safe)."""
+    """One newest row per group, as a ``max_by`` aggregate (map-side combine, skew-safe). Ties on
+    ``order_col`` break on ``tie_col``, else on a hash of the whole row, so the pick is
+    deterministic however the rows are partitioned."""
     cols = [c for c in df.columns]
-    order = F.struct(F.col(order_col), F.col(tie_col)) if tie_col else F.col(order_col)
+    tie = F.col(tie_col) if tie_col else F.xxhash64(*[F.col(c) for c in cols])
+    order = F.struct(F.col(order_col), tie)
     picked = df.groupBy(*partition).agg(F.max_by(F.struct(*cols), order).alias("_row"))
     return picked.select("_row.*")
 
