@@ -58,18 +58,21 @@ def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, key
     toks = clustered.select(*keys, "cluster_id", "ord", F.posexplode(
         F.concat(F.array(F.lit(None).cast("string")), tokens("content"))).alias("tok_pos", "word"))
     toks = drop_stop_words(toks, stop_words)       # a null word never matches, so markers stay
+    # ``is_marker`` is an aggregate output on purpose: a filter on it cannot be pushed below the
+    # aggregation, so the size and term branches share one shuffle (and one tokenisation)
     return toks.groupBy(*keys, "cluster_id", "word").agg(
         F.count(F.lit(1)).alias("count"),
-        F.min(F.struct(F.col("ord"), F.col("tok_pos"))).alias("first_pos"))
+        F.min(F.struct(F.col("ord"), F.col("tok_pos"))).alias("first_pos"),
+        F.max(F.col("tok_pos") == 0).alias("is_marker"))
 
 
 def sizes_of(stats: DataFrame, keys=KEYS) -> DataFrame:
-    return stats.where(F.col("word").isNull()).select(
+    return stats.where(F.col("is_marker")).select(
         *keys, "cluster_id", F.col("count").alias("size"), F.col("first_pos.ord").alias("min_ord"))
 
 
 def terms_of(stats: DataFrame) -> DataFrame:
-    return stats.where(F.col("word").isNotNull())
+    return stats.where(~F.col("is_marker")).drop("is_marker")
 
 
 def rating_kpis(reviews: DataFrame, by=KEYS) -> DataFrame:
