@@ -51,28 +51,38 @@ def term_counts(clustered: DataFrame, stop_words: DataFrame | None = None, keys=
 
 
 def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, keys=KEYS) -> DataFrame:
-    """A1 + A4 in one pass over the text: every review contributes its tokens plus one marker row
-    (``word`` null), so one aggregation yields the cluster sizes (marker rows: count and first
-    review) and the term counts. Both read the same shuffle, which Spark reuses."""
+    """A1 + A4 (+ first review) in one pass over the text: every review contributes its tokens plus
+    one marker row that carries its text, so one aggregation yields the cluster sizes, each
+    cluster's first review (marker rows) and the term counts (token rows). Both branches read the
+    same shuffle, which Spark reuses."""
     from themelens.operators.joins import drop_stop_words
-    toks = clustered.select(*keys, "cluster_id", "ord", F.posexplode(
-        F.concat(F.array(F.lit(None).cast("string")), tokens("content"))).alias("tok_pos", "word"))
+    none = F.lit(None).cast("string")
+    marker = F.struct(none.alias("w"), F.col("content").alias("c"))
+    elems = F.concat(F.array(marker),
+                     F.transform(tokens("content"), lambda t: F.struct(t.alias("w"), none.alias("c"))))
+    toks = (clustered.select(*keys, "cluster_id", "ord", F.posexplode(elems).alias("tok_pos", "e"))
+                     .select(*keys, "cluster_id", "ord", "tok_pos", F.col("e.w").alias("word"),
+                             F.col("e.c").alias("_text")))
     toks = drop_stop_words(toks, stop_words)       # a null word never matches, so markers stay
+    pos = F.struct(F.col("ord"), F.col("tok_pos"))
     # ``is_marker`` is an aggregate output on purpose: a filter on it cannot be pushed below the
     # aggregation, so the size and term branches share one shuffle (and one tokenisation)
     return toks.groupBy(*keys, "cluster_id", "word").agg(
         F.count(F.lit(1)).alias("count"),
-        F.min(F.struct(F.col("ord"), F.col("tok_pos"))).alias("first_pos"),
-        F.max(F.col("tok_pos") == 0).alias("is_marker"))
+        F.min(pos).alias("first_pos"),
+        F.max(F.col("tok_pos") == 0).alias("is_marker"),
+        F.min_by(F.col("_text"), pos).alias("first_text"))
 
 
 def sizes_of(stats: DataFrame, keys=KEYS) -> DataFrame:
+    """Cluster sizes with the first review (``min_ord``, ``first_content``, ``first_review_id``)."""
     return stats.where(F.col("is_marker")).select(
-        *keys, "cluster_id", F.col("count").alias("size"), F.col("first_pos.ord").alias("min_ord"))
+        *keys, "cluster_id", F.col("count").alias("size"), F.col("first_pos.ord").alias("min_ord"),
+        F.col("first_text").alias("first_content"), F.col("first_pos.ord.review_id").alias("first_review_id"))
 
 
 def terms_of(stats: DataFrame) -> DataFrame:
-    return stats.where(~F.col("is_marker")).drop("is_marker")
+    return stats.where(~F.col("is_marker")).drop("is_marker", "first_text")
 
 
 def rating_kpis(reviews: DataFrame, by=KEYS) -> DataFrame:

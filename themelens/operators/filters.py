@@ -49,13 +49,20 @@ def parse_instant(text: Column) -> Column:
     )
 
 
-def drop_noise(df: DataFrame, keys=KEYS) -> DataFrame:
+def noise_flags(df: DataFrame, keys=KEYS) -> Column:
+    """Aggregate for F5: 1 when the key has a cluster other than noise."""
+    return F.max((F.col("cluster_id") != -1).cast("int")).alias("_has_clusters")
+
+
+def drop_noise(df: DataFrame, keys=KEYS, flags: DataFrame | None = None) -> DataFrame:
     """drop ``cluster_id = -1``; a key with no other cluster keeps its noise as one cluster.
 
     The per-key flag is a partial aggregate joined back on the key, not a window over the key, so
-    a hot product-week is never sorted in one task."""
-    flags = (df.groupBy(*keys)
-               .agg(F.max((F.col("cluster_id") != -1).cast("int")).alias("_has_clusters")))
+    a hot product-week is never sorted in one task. ``flags`` (keys, ``_has_clusters``) may come
+    from a per-key aggregation the caller computes anyway."""
+    if flags is None:
+        flags = df.groupBy(*keys).agg(noise_flags(df, keys))
+    flags = flags.select(*keys, "_has_clusters")
     return (df.join(flags, list(keys))
               .where((F.col("cluster_id") != -1) | (F.col("_has_clusters") == 0))
               .drop("_has_clusters"))

@@ -213,8 +213,8 @@ def local_themes(clustered: DataFrame, keys=KEYS, n: int = C.TOP_THEMES,
     on = [*keys, "cluster_id"]
     terms = top_terms(terms_of(stats).join(top.select(*on), on, "left_semi"), C.TOP_TERMS, keys)
     named = name_themes(top, terms, keys)
-    firsts = first_reviews(clustered.join(top.select(*on), on, "left_semi"), keys)
-    return valid_themes(describe_themes(named, firsts, top, keys))
+    firsts = top.select(*on, "first_content", "first_review_id")    # from the same pass
+    return valid_themes(describe_themes(named, firsts, top.select(*on, "size"), keys))
 
 
 # ------------------------------------------------------------------------------------------------

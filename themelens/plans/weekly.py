@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import iso_week, scrub_pii
-from themelens.operators.aggregates import assemble_summary, total_reviews
+from themelens.operators.aggregates import assemble_summary
 from themelens.operators.clusters import keyword_fallback
-from themelens.operators.filters import drop_noise, runs_to_do
+from themelens.operators.filters import drop_noise, noise_flags, runs_to_do
 from themelens.operators.themes import fallback_theme, local_themes
 from themelens.session import stage
 
@@ -26,11 +26,14 @@ def split_rejects(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reviews.where(ok), reviews.where(~ok)
 
 
+def window_of(ts: str = "review_ts") -> Column:
+    """Aggregate: ``first date to last date``."""
+    return F.concat(F.date_format(F.min(ts), "yyyy-MM-dd"), F.lit(" to "), F.date_format(F.max(ts), "yyyy-MM-dd"))
+
+
 def data_window(reviews: DataFrame, keys=KEYS) -> DataFrame:
     """``first date to last date`` of the reviews in each key."""
-    return reviews.groupBy(*keys).agg(F.concat(
-        F.date_format(F.min("review_ts"), "yyyy-MM-dd"), F.lit(" to "),
-        F.date_format(F.max("review_ts"), "yyyy-MM-dd")).alias("data_window"))
+    return reviews.groupBy(*keys).agg(window_of("review_ts").alias("data_window"))
 
 
 def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs: DataFrame | None = None,
@@ -51,12 +54,14 @@ def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs:
         # the stored review table: scrubbing and grouping run once; every later branch (sizes,
         # terms, first reviews, totals, windows) scans the Parquet copy and reads only its columns
         clustered = stage(clustered, "reviews-clustered")
-    totals = total_reviews(clustered, keys)
-    themes = local_themes(drop_noise(clustered, keys), keys, n_themes)
-    themes = themes.unionByName(fallback_theme(totals, themes, keys))
-    windows = data_window(clustered, keys)
+    # one per-key aggregation: A3 totals, the data window and F5's noise flag
+    per_key = clustered.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_reviews"), window_of("review_ts").alias("data_window"),
+        noise_flags(clustered, keys))
+    themes = local_themes(drop_noise(clustered, keys, per_key), keys, n_themes)
+    themes = themes.unionByName(fallback_theme(per_key, themes, keys))
     gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at
-    return assemble_summary(themes, totals.join(windows, list(keys)), keys,
+    return assemble_summary(themes, per_key.drop("_has_clusters"), keys,
                             data_window=F.col("data_window"), generated_at=gen)
 
 
