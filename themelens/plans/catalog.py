@@ -394,12 +394,20 @@ def _js(c):
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
-def top_of_grouped(spark, sf_dir) -> DataFrame:
-    return W.top_clusters(A.cluster_sizes(grouped(spark, sf_dir)), C.TOP_THEMES)
+def grouped_staged(spark, sf_dir) -> DataFrame:
+    """``grouped`` written once to the checkpoint folder, for queries that read it several times
+    (responses, their grounding and the top clusters), so the scan and the regexes run once."""
+    from themelens.session import stage
+    return stage(grouped(spark, sf_dir), "grouped")
 
 
-def responses(spark, sf_dir) -> DataFrame:
-    g = grouped(spark, sf_dir)
+def top_of_grouped(spark, sf_dir, g: DataFrame | None = None) -> DataFrame:
+    g = g if g is not None else grouped(spark, sf_dir)
+    return W.top_clusters(A.cluster_sizes(g), C.TOP_THEMES)
+
+
+def responses(spark, sf_dir, g: DataFrame | None = None) -> DataFrame:
+    g = g if g is not None else grouped(spark, sf_dir)
     top = W.top_clusters(A.cluster_sizes(g), C.TOP_THEMES)
     t = top.join(Th.first_reviews(g), [*KEYS, "cluster_id"])
     fn = T.normalise_whitespace("first_content")
@@ -441,58 +449,64 @@ def _flat_themes(t: DataFrame) -> DataFrame:
 
 @register("parse_theme_responses")
 def q_parse_theme_responses(spark, sf_dir):
-    t = Th.themes_from_responses(responses(spark, sf_dir), grouped(spark, sf_dir), top_of_grouped(spark, sf_dir))
+    g = grouped_staged(spark, sf_dir)
+    t = Th.themes_from_responses(responses(spark, sf_dir, g), g, top_of_grouped(spark, sf_dir, g))
     return _flat_themes(t)
 
 
 @register("valid_themes")
 def q_valid_themes(spark, sf_dir):
-    parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir))
+    parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir, grouped_staged(spark, sf_dir)))
     ok = Fl.valid_themes(parsed.where(F.col("summary").isNotNull()))
     return ok.select(*KEYS, "cluster_id", "name", F.size("action_ideas").alias("n_ideas"))
 
 
-def _proposed_quotes(spark, sf_dir) -> DataFrame:
-    parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir))
+def _proposed_quotes(spark, sf_dir, g: DataFrame) -> DataFrame:
+    parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir, g))
     return parsed.select(*KEYS, "cluster_id", F.posexplode("proposed_quotes").alias("quote_idx", "quote"))
 
 
 @register("ground_quotes")
 def q_ground_quotes(spark, sf_dir):
-    return J.ground_quotes(_proposed_quotes(spark, sf_dir), grouped(spark, sf_dir))
+    g = grouped_staged(spark, sf_dir)
+    return J.ground_quotes(_proposed_quotes(spark, sf_dir, g), g)
 
 
 @register("ground_quotes_loose")
 def q_ground_quotes_loose(spark, sf_dir):
-    return J.ground_quotes_loose(_proposed_quotes(spark, sf_dir), grouped(spark, sf_dir))
+    g = grouped_staged(spark, sf_dir)
+    return J.ground_quotes_loose(_proposed_quotes(spark, sf_dir, g), g)
 
 
 @register("quote_veracity")
 def q_quote_veracity(spark, sf_dir):
-    flags = J.ground_quotes(_proposed_quotes(spark, sf_dir), grouped(spark, sf_dir), keep_unmatched=True)
+    g = grouped_staged(spark, sf_dir)
+    flags = J.ground_quotes(_proposed_quotes(spark, sf_dir, g), g, keep_unmatched=True)
     return A.quote_veracity(flags).withColumn("veracity", F.round("veracity", 6))
 
 
 @register("usage_totals")
 def q_usage_totals(spark, sf_dir):
-    u = A.usage_totals(responses(spark, sf_dir), cap=0.0015)
+    u = A.usage_totals(responses(spark, sf_dir, grouped_staged(spark, sf_dir)), cap=0.0015)
     return u.withColumn("total_cost", F.round("total_cost", 9))
 
 
 @register("theme_prompts")
 def q_theme_prompts(spark, sf_dir):
-    return Th.theme_prompts(grouped(spark, sf_dir), top_of_grouped(spark, sf_dir), C.PROMPT_REVIEWS)
+    g = grouped_staged(spark, sf_dir)
+    return Th.theme_prompts(g, top_of_grouped(spark, sf_dir, g), C.PROMPT_REVIEWS)
 
 
 @register("fallback_theme")
 def q_fallback_theme(spark, sf_dir):
-    themes = Th.themes_from_responses(responses(spark, sf_dir), grouped(spark, sf_dir), top_of_grouped(spark, sf_dir))
-    return _flat_themes(Th.fallback_theme(A.total_reviews(grouped(spark, sf_dir)), themes))
+    g = grouped_staged(spark, sf_dir)
+    themes = Th.themes_from_responses(responses(spark, sf_dir, g), g, top_of_grouped(spark, sf_dir, g))
+    return _flat_themes(Th.fallback_theme(A.total_reviews(g), themes))
 
 
 @register("name_themes")
 def q_name_themes(spark, sf_dir):
-    g = grouped(spark, sf_dir)
+    g = grouped_staged(spark, sf_dir)
     top = W.top_clusters(A.cluster_sizes(g), C.TOP_THEMES)
     terms = W.top_terms(A.term_counts(g), C.TOP_TERMS)
     n = Th.name_themes(top, terms)
