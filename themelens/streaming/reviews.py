@@ -82,9 +82,12 @@ def weekly_counts_stream(spark: SparkSession, landing: str, schema, table_root:
               .withWatermark("event_ts", watermark)
               .groupBy(F.window("event_ts", "7 days", "7 days", "4 days").alias("w"), F.col(product_col))
               .agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("avg_value"))
-              .select(instant_as_ntz(F.col("w.start"), tz).alias("week_start"), product_col, "n", "avg_value"))
+              .select(instant_as_ntz(F.col("w.start"), tz).alias("week_start"), product_col, "n", "avg_value")
+              # partition by the week as text: a timestamp partition value would pass through the
+              # session time zone on its way to and from the directory name
+              .withColumn("week", F.date_format("week_start", "yyyy-MM-dd")))
     keys = ["week_start", product_col]
-    q = (s.writeStream.foreachBatch(lambda b, _epoch: upsert_partitions(b, table_root, keys, "week_start"))
+    q = (s.writeStream.foreachBatch(lambda b, _epoch: upsert_partitions(b, table_root, keys, "week"))
           .option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start())
     return q
 
