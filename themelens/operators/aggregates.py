@@ -74,6 +74,16 @@ def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, key
         F.min_by(F.col("_text"), pos).alias("first_text"))
 
 
+def roll_up_stats(stats: DataFrame, keys=KEYS) -> DataFrame:
+    """Merge cluster statistics of finer groups into ``keys`` (counts add, first positions and
+    first reviews take the minimum), so a statistic computed once per calendar week can serve every
+    report window containing that week."""
+    pos = F.col("first_pos")
+    return stats.groupBy(*keys, "cluster_id", "word").agg(
+        F.sum("count").alias("count"), F.min(pos).alias("first_pos"),
+        F.max("is_marker").alias("is_marker"), F.min_by(F.col("first_text"), pos).alias("first_text"))
+
+
 def sizes_of(stats: DataFrame, keys=KEYS) -> DataFrame:
     """Cluster sizes with the first review (``min_ord``, ``first_content``, ``first_review_id``)."""
     return stats.where(F.col("is_marker")).select(

@@ -206,9 +206,15 @@ def first_reviews(clustered: DataFrame, keys=KEYS) -> DataFrame:
 def local_themes(clustered: DataFrame, keys=KEYS, n: int = C.TOP_THEMES,
                  stop_words: DataFrame | None = None) -> DataFrame:
     """T3 + T4 over clustered reviews (noise already handled by F5): valid theme rows per key."""
-    from themelens.operators.aggregates import cluster_stats, sizes_of, terms_of
+    from themelens.operators.aggregates import cluster_stats
+    return themes_from_stats(cluster_stats(clustered, stop_words, keys), keys, n)
+
+
+def themes_from_stats(stats: DataFrame, keys=KEYS, n: int = C.TOP_THEMES) -> DataFrame:
+    """T3 + T4 from cluster statistics (A1 + A4 with first reviews, see ``cluster_stats``); the
+    statistics may also be rolled up from finer keys (P2)."""
+    from themelens.operators.aggregates import sizes_of, terms_of
     from themelens.operators.filters import valid_themes
-    stats = cluster_stats(clustered, stop_words, keys)
     top = top_clusters(sizes_of(stats, keys), n, keys)
     on = [*keys, "cluster_id"]
     terms = top_terms(terms_of(stats).join(top.select(*on), on, "left_semi"), C.TOP_TERMS, keys)

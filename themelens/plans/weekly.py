@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from themelens import KEYS
 from themelens import constants as C
-from themelens.functions.text import iso_week, scrub_pii
-from themelens.operators.aggregates import assemble_summary
+from themelens.functions.text import iso_week, keyword_group, scrub_pii
+from themelens.operators.aggregates import assemble_summary, cluster_stats, roll_up_stats
 from themelens.operators.clusters import keyword_fallback
 from themelens.operators.filters import drop_noise, noise_flags, runs_to_do
-from themelens.operators.themes import fallback_theme, local_themes
+from themelens.operators.themes import fallback_theme, local_themes, themes_from_stats
 from themelens.session import stage
 
 
@@ -80,16 +80,59 @@ def week_keys(products: DataFrame, start_week: str, end_week: str) -> DataFrame:
 
 
 def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4, **run_args) -> DataFrame:
-    """P1 for every ISO week in a range. Each week's window is the ``weeks`` weeks ending with
-    that week (F1 as a range join: equi on product, then ``week_start - 7*(weeks-1) <= ts < week_end``),
-    so one review feeds up to ``weeks`` report weeks without any driver loop."""
+    """P1 for every ISO week in a range; each week's window is the ``weeks`` weeks ending with it.
+
+    Without a clustering model (keyword groups), cluster statistics are additive, so the text is
+    scrubbed, grouped and tokenised once per calendar week and the aggregated statistics are rolled
+    up into every report window that contains the week: raw text is never copied per window.
+    With a ``cluster_fn`` the clusters depend on the window's set of reviews, so each window gets its
+    own copy of its reviews (F1 as a range join: equi on product and week bucket, then the bounds)."""
+    if run_args.get("cluster_fn") is not None:
+        return _backfill_by_copy(reviews, start_week, end_week, weeks, **run_args)
+    keys = list(run_args.get("keys", KEYS))
+    groups = run_args.get("groups", C.DEFAULT_KEYWORD_GROUPS)
+    n_themes = run_args.get("n_themes", C.TOP_THEMES)
+    generated_at = run_args.get("generated_at")
+    products = reviews.select("product_id").distinct()
+    wk = week_keys(products, start_week, end_week).withColumnRenamed("iso_week", "report_week")
+    reviews, _ = split_rejects(reviews)
+    weekly = (reviews.withColumn("content", scrub_pii("content"))
+                     .withColumn("cluster_id", keyword_group("content", groups))
+                     .withColumn("cal_week", iso_week("review_ts")))
+    weekly = stage(weekly, "reviews-grouped")
+    cal = ["product_id", "cal_week"]
+    stats = cluster_stats(weekly, keys=cal)
+    per_cal = weekly.groupBy(*cal).agg(F.count(F.lit(1)).alias("n"), F.min("review_ts").alias("lo"),
+                                       F.max("review_ts").alias("hi"))
+
+    span = F.sequence(F.lit(0), F.lit(weeks - 1))
+    cal_monday = F.date_trunc("WEEK", F.col("lo"))
+    # calendar-week Monday of each statistic, from the per-week bounds
+    mondays = per_cal.select(*cal, cal_monday.alias("_monday"))
+    stats_r = (stats.join(mondays, cal).withColumn("_b", F.explode(span))
+                    .withColumn("report_week", iso_week(F.col("_monday") + F.make_dt_interval(days=F.col("_b") * 7)))
+                    .join(wk.select("product_id", "report_week"), ["product_id", "report_week"], "left_semi")
+                    .withColumnRenamed("report_week", "iso_week").drop("cal_week", "_monday", "_b"))
+    stats_k = roll_up_stats(stats_r, keys)
+    per_key = (per_cal.withColumn("_monday", cal_monday).withColumn("_b", F.explode(span))
+                      .withColumn("report_week", iso_week(F.col("_monday") + F.make_dt_interval(days=F.col("_b") * 7)))
+                      .join(wk.select("product_id", "report_week"), ["product_id", "report_week"], "left_semi")
+                      .groupBy("product_id", F.col("report_week").alias("iso_week"))
+                      .agg(F.sum("n").alias("total_reviews"),
+                           F.concat(F.date_format(F.min("lo"), "yyyy-MM-dd"), F.lit(" to "),
+                                    F.date_format(F.max("hi"), "yyyy-MM-dd")).alias("data_window")))
+    themes = themes_from_stats(stats_k, keys, n_themes)
+    themes = themes.unionByName(fallback_theme(per_key, themes, keys))
+    gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at
+    return assemble_summary(themes, per_key, keys, data_window=F.col("data_window"), generated_at=gen)
+
+
+def _backfill_by_copy(reviews: DataFrame, start_week: str, end_week: str, weeks: int, **run_args) -> DataFrame:
     products = reviews.select("product_id").distinct()
     wk = week_keys(products, start_week, end_week)
     lo = F.col("week_start") - F.make_dt_interval(days=F.lit(7 * (weeks - 1)))
     hi = F.col("week_start") + F.make_dt_interval(days=F.lit(7))
     r = reviews.drop("iso_week")
-    # range condition as an equi-join on product plus the week bucket of the review, so each review
-    # meets only the ``weeks`` report weeks it belongs to
     r = r.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))))
     r = r.withColumn("_wk", iso_week(F.col("review_ts") + F.make_dt_interval(days=F.col("_bucket") * 7)))
     j = r.join(wk.withColumnRenamed("iso_week", "_wk"), ["product_id", "_wk"])
