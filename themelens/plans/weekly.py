@@ -65,6 +65,15 @@ def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs:
                             data_window=F.col("data_window"), generated_at=gen)
 
 
+def monday_of(week: Column) -> Column:
+    """Monday (a date) of an ISO week given as ``YYYY-Www`` text."""
+    year = F.substring(week, 1, 4).cast("int")
+    num = F.substring(week, 7, 2).cast("int")
+    jan4 = F.make_date(year, F.lit(1), F.lit(4))
+    week1 = F.date_sub(jan4, (F.dayofweek(jan4) + 5) % 7)          # Monday of ISO week 1
+    return F.date_add(week1, (num - 1) * 7)
+
+
 def week_keys(products: DataFrame, start_week: str, end_week: str) -> DataFrame:
     """ISO weeks from ``start_week`` to ``end_week`` (``YYYY-Www``) for each product: a ``sequence``
     of Mondays, exploded per product (no cross join)."""
@@ -79,22 +88,25 @@ def week_keys(products: DataFrame, start_week: str, end_week: str) -> DataFrame:
         F.col("week_start").cast("timestamp_ntz").alias("week_start"))
 
 
-def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4, **run_args) -> DataFrame:
+def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4, rollup_min_weeks: int = 3,
+             **run_args) -> DataFrame:
     """P1 for every ISO week in a range; each week's window is the ``weeks`` weeks ending with it.
 
     Without a clustering model (keyword groups), cluster statistics are additive, so the text is
     scrubbed, grouped and tokenised once per calendar week and the aggregated statistics are rolled
     up into every report window that contains the week: raw text is never copied per window.
     With a ``cluster_fn`` the clusters depend on the window's set of reviews, so each window gets its
-    own copy of its reviews (F1 as a range join: equi on product and week bucket, then the bounds)."""
-    if run_args.get("cluster_fn") is not None:
+    own copy of its reviews (F1 as a range join: equi on product and week bucket, then the bounds).
+
+    Both plans give the same result. The roll-up pays a second aggregation over the statistics, so
+    it is used once a review would be copied into ``rollup_min_weeks`` or more windows (a 4-week
+    window copies each review 4 times); for shorter windows copying is cheaper."""
+    if run_args.get("cluster_fn") is not None or weeks < rollup_min_weeks:
         return _backfill_by_copy(reviews, start_week, end_week, weeks, **run_args)
     keys = list(run_args.get("keys", KEYS))
     groups = run_args.get("groups", C.DEFAULT_KEYWORD_GROUPS)
     n_themes = run_args.get("n_themes", C.TOP_THEMES)
     generated_at = run_args.get("generated_at")
-    products = reviews.select("product_id").distinct()
-    wk = week_keys(products, start_week, end_week).withColumnRenamed("iso_week", "report_week")
     reviews, _ = split_rejects(reviews)
     weekly = (reviews.withColumn("content", scrub_pii("content"))
                      .withColumn("cluster_id", keyword_group("content", groups))
@@ -106,18 +118,18 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
                                        F.max("review_ts").alias("hi"))
 
     span = F.sequence(F.lit(0), F.lit(weeks - 1))
-    cal_monday = F.date_trunc("WEEK", F.col("lo"))
-    # calendar-week Monday of each statistic, from the per-week bounds
-    mondays = per_cal.select(*cal, cal_monday.alias("_monday"))
-    stats_r = (stats.join(mondays, cal).withColumn("_b", F.explode(span))
-                    .withColumn("report_week", iso_week(F.col("_monday") + F.make_dt_interval(days=F.col("_b") * 7)))
-                    .join(wk.select("product_id", "report_week"), ["product_id", "report_week"], "left_semi")
-                    .withColumnRenamed("report_week", "iso_week").drop("cal_week", "_monday", "_b"))
-    stats_k = roll_up_stats(stats_r, keys)
-    per_key = (per_cal.withColumn("_monday", cal_monday).withColumn("_b", F.explode(span))
-                      .withColumn("report_week", iso_week(F.col("_monday") + F.make_dt_interval(days=F.col("_b") * 7)))
-                      .join(wk.select("product_id", "report_week"), ["product_id", "report_week"], "left_semi")
-                      .groupBy("product_id", F.col("report_week").alias("iso_week"))
+
+    def to_reports(df: DataFrame) -> DataFrame:
+        # each calendar week feeds the report weeks 0 .. weeks-1 after it; the Monday comes from the
+        # week text and the range test is on ``YYYY-Www`` text (it sorts like the weeks), so this is
+        # narrow: no join, no shuffle
+        monday = monday_of(F.col("cal_week"))
+        b = df.withColumn("_b", F.explode(span))
+        b = b.withColumn("iso_week", iso_week((monday + F.col("_b") * 7).cast("timestamp_ntz")))
+        return b.where(F.col("iso_week").between(start_week, end_week)).drop("_b", "cal_week")
+
+    stats_k = roll_up_stats(to_reports(stats), keys)
+    per_key = (to_reports(per_cal).groupBy(*keys)
                       .agg(F.sum("n").alias("total_reviews"),
                            F.concat(F.date_format(F.min("lo"), "yyyy-MM-dd"), F.lit(" to "),
                                     F.date_format(F.max("hi"), "yyyy-MM-dd")).alias("data_window")))
