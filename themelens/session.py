@@ -39,7 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder; on a cluster an unset checkpoint dir is a configuration error, because a
     machine-local folder does not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:       # Spark Connect: no context; the setting must name the shared folder
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -82,6 +88,9 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores (a small file with few
     row groups) so the CPU-heavy text work uses every core. On a large input the scan already has
     far more partitions than cores and this is a no-op: no shuffle is added at scale."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:       # a session without RDD access (Spark Connect): leave the scan as it is
+        return df
     return df.repartition(want) if have < want else df
