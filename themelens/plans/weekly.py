@@ -16,7 +16,7 @@ from themelens.operators.aggregates import assemble_summary, cluster_stats, roll
 from themelens.operators.clusters import keyword_fallback
 from themelens.operators.filters import drop_noise, noise_flags, runs_to_do
 from themelens.operators.themes import fallback_theme, local_themes, themes_from_stats
-from themelens.session import stage
+from themelens.session import checked_broadcast, stage
 
 
 def split_rejects(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,10 @@ def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs:
     windowed (F1) and capped (W4) if the caller wants that. Returns one summary row per key."""
     if requested is not None:
         todo = runs_to_do(requested, runs, force, keys) if runs is not None else requested
-        reviews = reviews.join(todo.select(*keys), list(keys), "left_semi")    # F7 on the way
+        # the keys to run are usually few: broadcast them (after a size check) so the review text
+        # is filtered where it is read instead of being shuffled to meet them
+        todo = checked_broadcast(todo.select(*keys).distinct())
+        reviews = reviews.join(todo, list(keys), "left_semi")                   # F7 on the way
     reviews, _ = split_rejects(reviews)
     scrubbed = reviews.withColumn("content", scrub_pii("content"))
     clustered = cluster_fn(scrubbed) if cluster_fn else scrubbed.withColumn("cluster_id", F.lit(-1))

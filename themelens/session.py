@@ -94,3 +94,10 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     except Exception:       # a session without RDD access (Spark Connect): leave the scan as it is
         return df
     return df.repartition(want) if have < want else df
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` only after checking its size: one small ``count`` action; beyond
+    ``max_rows`` the join stays a shuffle join (AQE may still broadcast it at run time)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
