@@ -50,10 +50,16 @@ def test_ground_quotes_loose_keeps_quote_casing(spark, crash_cluster):
 
 
 def test_grounding_is_salted_but_exact(spark, crash_cluster):
-    qs = ["crash", "login", "update"]
-    for salts in (1, 3, 64):
-        got = J.ground_quotes(_quotes(spark, qs), crash_cluster, salts=salts).orderBy("quote_idx").collect()
-        assert [r.text for r in got] == python_select_quotes(CRASH, qs)
+    qs = ["crash", "login", "update", "App,  IT", "nothing"]
+    want = python_select_quotes(CRASH, qs)
+    loose = [q for q in qs if any(q.lower() in r.lower() for r in CRASH)]
+    for salts, limit in ((1, 0), (3, 0), (64, 0), (16, 100_000)):      # limit 0: salted shuffle join
+        got = J.ground_quotes(_quotes(spark, qs), crash_cluster, salts=salts,
+                              broadcast_max_rows=limit).orderBy("quote_idx").collect()
+        assert [r.text for r in got] == want
+        got_loose = J.ground_quotes_loose(_quotes(spark, qs), crash_cluster, salts=salts,
+                                          broadcast_max_rows=limit).orderBy("quote_idx").collect()
+        assert [r.quote for r in got_loose] == loose
 
 
 RESPONSES = [

@@ -60,8 +60,12 @@ def _fan_out(quotes: DataFrame, salts: int) -> DataFrame:
     return quotes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def _small(df: DataFrame, max_rows: int) -> bool:
+    return max_rows > 0 and df.count() <= max_rows
+
+
 def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int = DEFAULT_SALTS,
-                  keep_unmatched: bool = False) -> DataFrame:
+                  keep_unmatched: bool = False, broadcast_max_rows: int = 100_000) -> DataFrame:
     """Ground each proposed quote in its own cluster.
 
     Both sides are whitespace-normalised and compared case-insensitively; the first review (by
@@ -70,18 +74,24 @@ def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int
     ``quote_idx``, ``quote``. Output: keys, ``cluster_id``, ``quote_idx``, ``text``,
     ``source_review_id``.
 
-    Plan: equi join on ``(keys, cluster_id, salt)`` with a residual ``instr`` test. Reviews are
-    spread over ``salts`` buckets and each quote is copied to every bucket, so a hot cluster is
-    split over ``salts`` tasks; then ``min_by`` over the matches is a partial aggregate.
+    Plan: proposed quotes are few (a handful per top cluster). After a size check they are
+    broadcast, so the review text is never shuffled and a hot cluster costs nothing extra. Beyond
+    ``broadcast_max_rows`` it is an equi join on ``(keys, cluster_id, salt)``: reviews are spread
+    over ``salts`` buckets and each quote is copied to every bucket, so a hot cluster is split over
+    ``salts`` tasks. Either way the residual ``instr`` test picks matches and ``min_by`` over them is a
+    partial aggregate.
     """
     q = (quotes.withColumn("_qn", normalise_whitespace("quote"))
                .withColumn("_ql", F.lower("_qn")))
     r = (clustered.select(*keys, "cluster_id", "ord", "review_id",
                           normalise_whitespace("content").alias("_rn"))
                   .withColumn("_rl", F.lower("_rn")))
-    r = _salted(r, salts)
-    qs = _fan_out(q.select(*keys, "cluster_id", "quote_idx", "_qn", "_ql"), salts)
-    j = r.join(qs, [*keys, "cluster_id", "_salt"]).where(F.instr(F.col("_rl"), F.col("_ql")) > 0)
+    qsel = q.select(*keys, "cluster_id", "quote_idx", "_qn", "_ql")
+    if _small(qsel, broadcast_max_rows):
+        j = r.join(F.broadcast(qsel), [*keys, "cluster_id"])
+    else:
+        j = _salted(r, salts).join(_fan_out(qsel, salts), [*keys, "cluster_id", "_salt"])
+    j = j.where(F.instr(F.col("_rl"), F.col("_ql")) > 0)
     best = j.groupBy(*keys, "cluster_id", "quote_idx").agg(
         F.min_by(F.struct("_rn", "_rl", "_qn", "_ql", "review_id"), F.col("ord")).alias("m"))
     out = best.select(*keys, "cluster_id", "quote_idx",
@@ -95,12 +105,20 @@ def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int
 
 
 def ground_quotes_loose(quotes: DataFrame, clustered: DataFrame, keys=KEYS,
-                        salts: int = DEFAULT_SALTS) -> DataFrame:
+                        salts: int = DEFAULT_SALTS, broadcast_max_rows: int = 100_000) -> DataFrame:
     """Keep a quote (in its own casing, no whitespace change) if any review of its cluster
-    contains it, case-insensitively. A salted semi join followed by a distinct on the quote."""
+    contains it, case-insensitively. Same plan choice as J2 (size-checked broadcast of the quotes,
+    else a salted join), as a semi join."""
     q = quotes.withColumn("_ql", F.lower("quote"))
-    r = _salted(clustered.select(*keys, "cluster_id", "review_id", F.lower("content").alias("_rl")), salts)
-    qs = _fan_out(q.select(*keys, "cluster_id", "quote_idx", "_ql"), salts).alias("q")
+    r = clustered.select(*keys, "cluster_id", "review_id", F.lower("content").alias("_rl"))
+    qsel = q.select(*keys, "cluster_id", "quote_idx", "_ql")
+    if _small(qsel, broadcast_max_rows):
+        on = [*keys, "cluster_id"]
+        r = r.join(F.broadcast(qsel), on).where(F.instr(F.col("_rl"), F.col("_ql")) > 0)
+        hit = r.select(*on, "quote_idx").distinct()
+        return quotes.join(hit, [*keys, "cluster_id", "quote_idx"], "left_semi")
+    r = _salted(r, salts)
+    qs = _fan_out(qsel, salts).alias("q")
     r = r.alias("r")
     cond = [F.col(f"q.{k}") == F.col(f"r.{k}") for k in [*keys, "cluster_id", "_salt"]]
     cond.append(F.instr(F.col("r._rl"), F.col("q._ql")) > 0)
