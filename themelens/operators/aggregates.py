@@ -182,13 +182,19 @@ def clustering_coverage(clustered: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def pii_leaks(texts: DataFrame, text_col: str, by=()) -> DataFrame:
-    """PII hits by kind left in published text (each pattern alone)."""
-    def hits(p):
-        return F.sum(F.size(F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + p), 0)))
+    """PII hits by kind left in published text (each pattern alone). As in S1, texts without
+    ``@`` (or without a digit) cannot match and skip the regex scan."""
+    t = F.col(text_col)
+    has_at = F.instr(t, "@") > 0
+    has_digit = t.rlike(r"\p{Nd}")
+
+    def hits(p, gate):
+        n = F.size(F.regexp_extract_all(t, F.lit("(?U)" + p), 0))
+        return F.sum(F.when(gate, n).otherwise(F.when(t.isNotNull(), F.lit(0))))
     return texts.groupBy(*by).agg(
-        hits(C.EMAIL_PATTERN).alias("email_hits"),
-        hits(C.PHONE_PATTERN).alias("phone_hits"),
-        hits(C.CARD_PATTERN).alias("card_hits"))
+        hits(C.EMAIL_PATTERN, has_at).alias("email_hits"),
+        hits(C.PHONE_PATTERN, has_digit).alias("phone_hits"),
+        hits(C.CARD_PATTERN, has_digit).alias("card_hits"))
 
 
 def duplicate_deliveries(deliveries: DataFrame, keys=KEYS, channel: str = "channel") -> DataFrame:
