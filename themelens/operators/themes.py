@@ -156,16 +156,27 @@ def name_themes(top: DataFrame, terms: DataFrame, keys=KEYS) -> DataFrame:
     no-word name) with `` (Group A)``, `` (Group B)``, ... until unique.
 
     ``top``: keys, cluster_id, rank. ``terms``: keys, cluster_id, term_rank, word (W2 output)."""
+    if "rank" not in terms.columns:
+        terms = terms.join(top.select(*keys, "cluster_id", "rank"), [*keys, "cluster_id"])
     mapped = map_functional(terms)
-    cands = mapped.groupBy(*keys, "cluster_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("term_rank", "title", "candidate"))),
-                    lambda t: F.struct(t["title"].alias("title"), t["candidate"].alias("candidate")))
-        .alias("cands"))
-    per_cluster = top.select(*keys, "cluster_id", "rank").join(cands, [*keys, "cluster_id"], "left")
-    per_cluster = per_cluster.withColumn(
-        "cands", F.coalesce("cands", F.array().cast("array<struct<title:string,candidate:string>>")))
-    per_key = per_cluster.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "cluster_id", "cands"))).alias("clusters"))
+
+    def entry(rank, cluster, term_rank, title, cand):
+        return F.struct(rank.cast("int").alias("rank"), cluster.cast("int").alias("cluster_id"),
+                        term_rank.cast("int").alias("term_rank"), title.alias("title"), cand.alias("candidate"))
+
+    none = F.lit(None).cast("string")
+    marks = top.select(*keys, entry(F.col("rank"), F.col("cluster_id"), F.lit(0), none, none).alias("e"))
+    words = mapped.select(*keys, entry(F.col("rank"), F.col("cluster_id"), F.col("term_rank"), F.col("title"),
+                                       F.col("candidate")).alias("e"))
+    # one shuffle: each key's clusters (term_rank 0) and their words, at most 5 + 50 entries
+    per_key = marks.unionByName(words).groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("es"))
+    es = F.col("es")
+    clusters = F.transform(F.filter(es, lambda e: e["term_rank"] == 0), lambda c: F.struct(
+        c["rank"].alias("rank"), c["cluster_id"].alias("cluster_id"),
+        F.transform(F.filter(es, lambda w: (w["rank"] == c["rank"]) & (w["term_rank"] > 0)),
+                    lambda w: F.struct(w["title"].alias("title"), w["candidate"].alias("candidate")))
+        .alias("cands")))
+    per_key = per_key.select(*keys, clusters.alias("clusters"))
     zero = F.struct(F.array().cast("array<string>").alias("used"),
                     F.array().cast(f"array<{_OUT}>").alias("out"))
     named = per_key.select(*keys, F.explode(F.aggregate("clusters", zero, _name_step)["out"]).alias("t"))
@@ -217,7 +228,7 @@ def themes_from_stats(stats: DataFrame, keys=KEYS, n: int = C.TOP_THEMES) -> Dat
     from themelens.operators.filters import valid_themes
     top = top_clusters(sizes_of(stats, keys), n, keys)
     on = [*keys, "cluster_id"]
-    terms = top_terms(terms_of(stats).join(top.select(*on), on, "left_semi"), C.TOP_TERMS, keys)
+    terms = top_terms(terms_of(stats).join(top.select(*on, "rank"), on), C.TOP_TERMS, keys)
     named = name_themes(top, terms, keys)
     firsts = top.select(*on, "first_content", "first_review_id")    # from the same pass
     return valid_themes(describe_themes(named, firsts, top.select(*on, "size"), keys))
