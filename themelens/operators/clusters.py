@@ -20,7 +20,7 @@ from themelens import constants as C
 from themelens.functions.text import keyword_group
 from themelens.operators.aggregates import needs_fallback
 from themelens.operators.vectors import nearest_neighbours, similar_pairs
-from themelens.session import stage
+from themelens.session import checked_broadcast, stage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys=(), max_rounds: int = 100,
@@ -102,7 +102,8 @@ def keyword_fallback(clustered: DataFrame, keys=KEYS, groups=C.DEFAULT_KEYWORD_G
     """M5: keys with fewer than two non-noise clusters (A8) regroup *all* their reviews by the
     keyword cascade (S8); empty groups never appear since groups are formed from rows."""
     flags = needs_fallback(clustered, keys).select(*keys, "needs_fallback")
-    j = clustered.join(flags, list(keys))
+    # one row per key: broadcast after a size check, so the review text is not shuffled to meet it
+    j = clustered.join(checked_broadcast(flags), list(keys))
     return j.withColumn("cluster_id", F.when(F.col("needs_fallback"), keyword_group(text_col, groups))
                         .otherwise(F.col("cluster_id"))).drop("needs_fallback")
 

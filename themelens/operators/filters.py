@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themelens import KEYS
 from themelens import constants as C
+from themelens.session import checked_broadcast
 
 
 def _ts(value) -> Column:
@@ -62,7 +63,7 @@ def drop_noise(df: DataFrame, keys=KEYS, flags: DataFrame | None = None) -> Data
     from a per-key aggregation the caller computes anyway."""
     if flags is None:
         flags = df.groupBy(*keys).agg(noise_flags(df, keys))
-    flags = flags.select(*keys, "_has_clusters")
+    flags = checked_broadcast(flags.select(*keys, "_has_clusters"))     # one row per key
     return (df.join(flags, list(keys))
               .where((F.col("cluster_id") != -1) | (F.col("_has_clusters") == 0))
               .drop("_has_clusters"))
