@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import normalise_whitespace, title_word
+from themelens.session import stage
 
 DEFAULT_SALTS = 16
 
@@ -60,8 +61,12 @@ def _fan_out(quotes: DataFrame, salts: int) -> DataFrame:
     return quotes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def _small(df: DataFrame, max_rows: int) -> bool:
-    return max_rows > 0 and df.count() <= max_rows
+def _checked(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """Write the small side once, then test its size on the written copy."""
+    if max_rows <= 0:
+        return df, False
+    staged = stage(df, "quotes")
+    return staged, staged.count() <= max_rows
 
 
 def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int = DEFAULT_SALTS,
@@ -86,8 +91,8 @@ def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int
     r = (clustered.select(*keys, "cluster_id", "ord", "review_id",
                           normalise_whitespace("content").alias("_rn"))
                   .withColumn("_rl", F.lower("_rn")))
-    qsel = q.select(*keys, "cluster_id", "quote_idx", "_qn", "_ql")
-    if _small(qsel, broadcast_max_rows):
+    qsel, small = _checked(q.select(*keys, "cluster_id", "quote_idx", "_qn", "_ql"), broadcast_max_rows)
+    if small:
         j = r.join(F.broadcast(qsel), [*keys, "cluster_id"])
     else:
         j = _salted(r, salts).join(_fan_out(qsel, salts), [*keys, "cluster_id", "_salt"])
@@ -111,8 +116,8 @@ def ground_quotes_loose(quotes: DataFrame, clustered: DataFrame, keys=KEYS,
     else a salted join), as a semi join."""
     q = quotes.withColumn("_ql", F.lower("quote"))
     r = clustered.select(*keys, "cluster_id", "review_id", F.lower("content").alias("_rl"))
-    qsel = q.select(*keys, "cluster_id", "quote_idx", "_ql")
-    if _small(qsel, broadcast_max_rows):
+    qsel, small = _checked(q.select(*keys, "cluster_id", "quote_idx", "_ql"), broadcast_max_rows)
+    if small:
         on = [*keys, "cluster_id"]
         r = r.join(F.broadcast(qsel), on).where(F.instr(F.col("_rl"), F.col("_ql")) > 0)
         hit = r.select(*on, "quote_idx").distinct()

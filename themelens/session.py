@@ -97,7 +97,9 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking its size: one small ``count`` action; beyond
-    ``max_rows`` the join stays a shuffle join (AQE may still broadcast it at run time)."""
+    """Broadcast ``df`` only after checking its size; beyond ``max_rows`` the join stays a shuffle
+    join (AQE may still broadcast it at run time). ``df`` is written once to the shared folder
+    first, so the check and the join read the same copy instead of computing it twice."""
     from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
+    staged = stage(df, "small-side")
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
