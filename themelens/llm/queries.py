@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themelens.llm import oracle
+from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
 from themelens.session import table_path
 
@@ -19,8 +20,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_pii,)}
+    return {f.__name__: f for f in (op6_pii, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
