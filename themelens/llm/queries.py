@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themelens.llm import oracle
+from themelens.llm.decontamination import contamination_digest
 from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
 from themelens.session import table_path
@@ -16,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_pii, op10_near_duplicates)}
+    return {f.__name__: f for f in (op5_decontamination, op6_pii, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

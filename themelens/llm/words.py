@@ -116,8 +116,7 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterat
     col = batch.column(batch.schema.get_field_index(text))
     if not len(col):
         return
-    sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(col).to_pylist()], np.int64)
-    part = np.concatenate([[0], np.cumsum(sizes)])
+    part = text_bytes(col)[1]
     a = 0
     while a < len(col):
         z = max(a + 1, int(np.searchsorted(part, part[a] + max_bytes, side="right")) - 1)
