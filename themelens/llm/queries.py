@@ -10,6 +10,7 @@ from themelens.llm import oracle
 from themelens.llm.decontamination import contamination_digest
 from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
+from themelens.llm.substrings import repeats_digest
 from themelens.session import table_path
 
 
@@ -25,12 +26,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_pii, op10_near_duplicates)}
+    return {f.__name__: f for f in (op5_decontamination, op6_pii, op9_substrings, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
