@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from themelens.llm import oracle
 from themelens.llm.decontamination import contamination_digest
+from themelens.llm.licenses import license_scan
 from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
+from themelens.llm.sharding import shard_documents
 from themelens.llm.substrings import repeats_digest
+from themelens.llm.topk import top_k
 from themelens.session import table_path
 
 
@@ -18,6 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -26,6 +34,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_read(spark, sf_dir, "documents"))
 
@@ -35,7 +51,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_pii, op9_substrings, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_licenses, op5_decontamination, op6_pii, op7_sharding, op8_top_k,
+                                       op9_substrings, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
