@@ -12,6 +12,7 @@ from themelens.llm.decontamination import contamination_digest
 from themelens.llm.licenses import license_scan
 from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
+from themelens.llm.quality import quality_scores
 from themelens.llm.sharding import shard_documents
 from themelens.llm.substrings import repeats_digest
 from themelens.llm.topk import top_k
@@ -26,6 +27,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -51,7 +56,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op5_decontamination, op6_pii, op7_sharding, op8_top_k,
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op5_decontamination, op6_pii, op7_sharding, op8_top_k,
                                        op9_substrings, op10_near_duplicates)}
 
 
