@@ -13,6 +13,7 @@ from themelens.llm.licenses import license_scan
 from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
 from themelens.llm.quality import quality_scores
+from themelens.llm.secrets import secrets_digest
 from themelens.llm.sentencepiece_unigram import MODEL, Vocabulary, decode_column, encode_column
 from themelens.llm.sharding import shard_documents
 from themelens.llm.substrings import repeats_digest
@@ -32,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the round trip: the digest of what they decode to, and whether it is the text."""
     vocabulary = Vocabulary(MODEL)
@@ -67,7 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_quality, op4_sentencepiece, op5_decontamination, op6_pii, op7_sharding, op8_top_k,
+    return {f.__name__: f for f in (op1_licenses, op2_quality, op3_secrets, op4_sentencepiece, op5_decontamination, op6_pii, op7_sharding, op8_top_k,
                                        op9_substrings, op10_near_duplicates)}
 
 
