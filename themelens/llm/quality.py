@@ -147,7 +147,7 @@ def _fitted(rows: DataFrame, target: str, lexicon: np.ndarray) -> Model:
 
     found = rows.select("text", F.col(target).cast("double").alias("y")).mapInArrow(run, "x array<double>, y double")
     got = found.toPandas()                      # at most FIT_ROWS rows
-    x = np.array(got["x"].tolist()).reshape(len(got), -1)
+    x = np.array(got["x"].tolist()).reshape(len(got), len(STYLE) + len(lexicon))
     order = np.lexsort((*x.T[:8], got["y"])) if len(got) else []
     return Model(x[order], got["y"].to_numpy()[order], lexicon)
 
