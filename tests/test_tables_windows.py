@@ -55,7 +55,7 @@ def test_upsert_runs_new_snapshot(spark, tmp_path):
                                     "product_id string, iso_week string, status string")
     path = tables.upsert_runs(runs, changes, str(tmp_path))
     got = sorted((r.iso_week, r.status, r.run_id) for r in spark.read.parquet(path).collect())
-    assert got == [("w1", "COMPLETED", "r1"), ("w2", "IN_PROGRESS", None), ("w3", "IN_PROGRESS", None)]
+    assert got == [("w1", "COMPLETED", "r1"), ("w2", "IN_PROGRESS", "pulse-p-w2"), ("w3", "IN_PROGRESS", "pulse-p-w3")]
     todo = Fl.runs_to_do(spark.read.parquet(path).select("product_id", "iso_week"), spark.read.parquet(path))
     assert sorted(r.iso_week for r in todo.collect()) == ["w2", "w3"]
 
@@ -147,11 +147,40 @@ def test_stream_reviews_drops_repeats(spark, tmp_path):
     sink = str(tmp_path / "sink")
     q = St.stream_reviews(spark, landing, spark.createDataFrame([], schema).schema, sink, str(tmp_path / "ckpt"))
     q.awaitTermination()
-    out = spark.read.parquet(sink).collect()
+    out = St.load_stream(spark, sink, spark.createDataFrame([], schema).schema).collect()
     assert sorted(r.review_id for r in out) == ["0", "1", "2", "3", "4"]
     assert all(r.content == "mail me [EMAIL_REDACTED]" for r in out)
 
 
+def test_stream_keeps_late_files(spark, tmp_path):
+    """Newest week first, one file per micro-batch: nothing is lost, and a restart adds only what is new."""
+    schema = "product_id string, iso_week string, source string, review_id string, content string, review_ts timestamp_ntz"
+    landing, sink = str(tmp_path / "landing"), str(tmp_path / "sink")
+    for w in (4, 3, 2, 1, 3):
+        rows = [("p", f"w{w}", "google_play", f"{w}-{i}", "x", dt.datetime(2026, 5, w * 7, i)) for i in range(5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    kind = spark.createDataFrame([], schema).schema
+    for extra in (0, 1):
+        if extra:
+            rows = [("p", "w9", "google_play", "9-0", "x", dt.datetime(2026, 1, 1)), ("p", "w1", "google_play", "1-0", "x", dt.datetime(2026, 5, 7))]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        St.stream_reviews(spark, landing, kind, sink, str(tmp_path / "ckpt"), max_files=1).awaitTermination()
+        ids = [r.review_id for r in St.load_stream(spark, sink, kind).collect()]
+        assert sorted(ids) == sorted([f"{w}-{i}" for w in (1, 2, 3, 4) for i in range(5)] + ["9-0"] * extra)
+
+
+def test_feed_rejects_and_stored_ids(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/good.json").write_text(json.dumps({"feed": {"entry": []}}, indent=1))
+    (tmp_path / "in/bad.json").write_text('{"feed": {"entry": [')
+    got = feeds.app_store_feed_rejects(spark, str(tmp_path / "in")).collect()
+    assert [(r.file.rsplit("/", 1)[-1], r.reason) for r in got] == [("bad.json", "not JSON")]
+    rows = spark.createDataFrame([("0071404", "2026-W01", "google_play", "007", "u", 5, "t", dt.datetime(2026, 1, 1))], tables.REVIEW_SCHEMA)
+    tables.append_reviews(rows, str(tmp_path / "log"))
+    back = tables.load_reviews(spark, str(tmp_path / "log")).first()
+    assert (back.product_id, back.review_id, back.rating) == ("0071404", "007", 5)
+
+
 def test_upsert_partitions_rewrites_only_touched_weeks(spark, tmp_path):
     schema = "week_start string, event_type string, n long"
     table = str(tmp_path / "t")

@@ -112,7 +112,17 @@ def test_contains_ci(spark):
 
 
 def test_normalise_ideas(spark):
-    df = spark.createDataFrame([(['Do this', '{"title": "T", "description": "D"}', '{"title": "only"}'],)],
-                               "ideas array<string>")
-    got = [tuple(x) for x in df.select(F.explode(T.normalise_ideas("ideas"))).collect()]
-    assert [tuple(g[0]) for g in got] == [("Action Item", "Do this"), ("T", "D"), ("only", None)]
+    raw = '["Do this", null, 5, [1], {"title": "T", "description": "D"}, {"title": "only"}, "{menu} is hidden"]'
+    df = spark.createDataFrame([(raw,), ("[]",), ('"x"',), (None,)], "ideas string")
+    got = [r.i for r in df.select(T.normalise_ideas("ideas").alias("i")).collect()]
+    assert [tuple(g) for g in got[0]] == [("Action Item", "Do this"), ("T", "D"), ("only", None), ("Action Item", "{menu} is hidden")]
+    assert got[1:] == [[], None, None]
+
+
+def test_title_and_whitespace_edges(spark):
+    words = ["\u4e2dabc\u4e2d", "\u0906abcd", "abc_def", "a1b", "\u00c9tude"]
+    got = [r.t for r in spark.createDataFrame([(w,) for w in words], "w string").select(T.title_word("w").alias("t")).collect()]
+    assert got == [w.title() for w in words]
+    texts = [" a\x1cb\x1d\x1e c\x1f", "\u00a0x \u2003 y\t", "\x1c"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "w string").select(T.normalise_whitespace("w").alias("t")).collect()]
+    assert got == [" ".join(t.split()) for t in texts]

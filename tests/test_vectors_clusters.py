@@ -55,6 +55,32 @@ def test_nearest_neighbours_exact(spark, random_vectors):
         assert [n for _, n in sorted(by[i])] == order
 
 
+def test_components_of_string_ids_without_round_limit(spark):
+    import random
+    random.seed(1)
+    for make in (str, lambda i: f"gp:{i}"):
+        chain = [(make(i), make(i + 1)) for i in range(60)]
+        random.shuffle(chain)
+        nodes = spark.createDataFrame([(make(i),) for i in range(62)], "id string")
+        labels = {r.id: r.label for r in M.connected_components(nodes, spark.createDataFrame(chain, "src string, dst string")).collect()}
+        assert {labels[make(i)] for i in range(61)} == {min(make(i) for i in range(61))} and labels[make(61)] == make(61)
+
+
+def test_kmeans_only_where_all_is_noise(spark):
+    rows = [(k, i, [float(i % 2) * 10 + i * 0.01, float(k)], -1 if k == 0 else i % 2) for k in range(2) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, vec_id long, vec array<double>, cluster_id int")
+    runs = [{(r.k, r.vec_id): r.cluster_id for r in M.kmeans_fallback(df.repartition(n), 2, keys=("k",)).collect()} for n in (1, 7)]
+    assert runs[0] == runs[1]
+    assert all(runs[0][(1, i)] == i % 2 for i in range(20))
+    assert len({runs[0][(0, i)] for i in range(0, 20, 2)}) == 1 and runs[0][(0, 0)] != runs[0][(0, 1)]
+
+
+def test_number_rows_over_the_whole_table(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") % 7)
+    got = M.number_rows(df.repartition(5), [F.col("x").desc(), F.col("id")], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1000)) and [(-r.x, r.id) for r in got] == sorted((-r.x, r.id) for r in got)
+
+
 def test_density_cluster_planted_pairs(spark):
     v = _vecs(spark, PAIRS3D)
     labels = {r.vec_id: r.cluster_id for r in M.density_cluster(v, eps=0.05, min_cluster_size=2).collect()}

@@ -59,9 +59,10 @@ def tokens(c) -> Column:
 
 
 def title_word(c) -> Column:
-    """Python ``str.title()`` of a token: every run of letters gets a capital first letter,
-    the rest lower; digits and ``_`` start a new run (``abc_def`` -> ``Abc_Def``, ``a1b`` -> ``A1B``)."""
-    parts = F.regexp_extract_all(_col(c), F.lit(r"\p{L}+|[^\p{L}]+"), 0)
+    """Python ``str.title()`` of a token: every run of cased letters gets a capital first letter,
+    the rest lower; digits, ``_`` and letters without case start a new run (``abc_def`` -> ``Abc_Def``,
+    ``a1b`` -> ``A1B``)."""
+    parts = F.regexp_extract_all(_col(c), F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), 0)
     return F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
 
 
@@ -92,17 +93,20 @@ def keyword_group(c, groups: Sequence[Iterable[str]] = C.DEFAULT_KEYWORD_GROUPS)
     return other if expr is None else expr.otherwise(other)
 
 
-IDEA_SCHEMA = "struct<title:string,description:string>"
-
-
 def normalise_ideas(ideas) -> Column:
-    """Raw idea elements (``array<string>`` from ``from_json``: objects stay as JSON text) ->
-    ``array<struct<title,description>>``. A plain string becomes ``('Action Item', s)``."""
+    """A JSON array (text) of ideas -> ``array<struct<title,description>>``, by the type of each
+    element: a string becomes ``('Action Item', s)``, an object its title and description; elements of
+    other types (null, numbers, lists) are skipped. Null when the text is no JSON array."""
+    every = F.try_variant_get(F.try_parse_json(_col(ideas)), "$", "array<variant>")
+    kept = F.filter(every, lambda x: (F.schema_of_variant(x) == "STRING") | F.schema_of_variant(x).startswith("OBJECT"))
+
     def one(x):
-        obj = F.from_json(x, IDEA_SCHEMA)
-        return F.when(F.ltrim(x).startswith("{"), obj).otherwise(
-            F.struct(F.lit(C.STRING_IDEA_TITLE).alias("title"), x.alias("description")))
-    return F.transform(_col(ideas), one)
+        own = F.struct(F.try_variant_get(x, "$.title", "string").alias("title"),
+                       F.try_variant_get(x, "$.description", "string").alias("description"))
+        return F.when(F.schema_of_variant(x) == "STRING", F.struct(
+            F.lit(C.STRING_IDEA_TITLE).alias("title"), F.try_variant_get(x, "$", "string").alias("description"))).otherwise(own)
+
+    return F.transform(kept, one)
 
 
 def flatten_newlines(c) -> Column:
@@ -112,7 +116,7 @@ def flatten_newlines(c) -> Column:
 
 def normalise_whitespace(c) -> Column:
     """split on any whitespace run, join with one space (``" ".join(s.split())``)."""
-    return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def shorten(c, n: int, always: bool = False) -> Column:

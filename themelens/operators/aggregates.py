@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import tokens
-from themelens.operators.windows import sample_first
 
 
 def cluster_sizes(clustered: DataFrame, keys=KEYS) -> DataFrame:
@@ -18,14 +17,12 @@ def cluster_sizes(clustered: DataFrame, keys=KEYS) -> DataFrame:
         F.count(F.lit(1)).alias("size"), F.min("ord").alias("min_ord"))
 
 
-def collect_clusters(clustered: DataFrame, n: int = C.PROMPT_REVIEWS, keys=KEYS,
-                     cols=("review_id", "content")) -> DataFrame:
-    """A2: ordered review list per cluster, first ``n`` (what a prompt or a report can use).
+def collect_clusters(clustered: DataFrame, keys=KEYS, cols=("review_id", "content")) -> DataFrame:
+    """A2: every review of every cluster, one row each, with ``ord`` as its order inside the cluster.
 
-    Counts come from A1 and quote checks from a join (J2), so no task ever holds a whole cluster."""
-    first = sample_first(clustered, n, keys)
-    agg = F.sort_array(F.collect_list(F.struct("pos", *cols)))
-    return first.groupBy(*keys, "cluster_id").agg(agg.alias("reviews"))
+    A cluster may hold a third of all rows, so its reviews stay rows; a bounded list for a prompt is
+    W3/T1, counts come from A1 and quote checks from a join (J2)."""
+    return clustered.select(*keys, "cluster_id", "ord", *cols)
 
 
 def total_reviews(clustered: DataFrame, keys=KEYS) -> DataFrame:

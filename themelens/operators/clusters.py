@@ -1,17 +1,14 @@
 """Clustering (M3-M7).
 
 M3 is a flat cut of the density hierarchy at one ``eps``: core distances from J7's kNN, mutual
-reachability edges from J7's threshold join, connected components by iterative min-label
-propagation on DataFrames, then a size filter. Each iteration is a join + partial ``min``
-aggregate; each round is written as a table in the shared checkpoint folder (``stage``), which
+reachability edges from J7's threshold join, connected components by star contraction on DataFrames,
+then a size filter. Each round is written as a table in the shared checkpoint folder (``stage``), which
 cuts the lineage like a reliable checkpoint, so a lost executor restarts from the last round, not
 from the first (and, unlike an uncached ``checkpoint()``, the round is computed only once).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,42 +17,62 @@ from themelens import constants as C
 from themelens.functions.text import keyword_group
 from themelens.operators.aggregates import needs_fallback
 from themelens.operators.vectors import nearest_neighbours, similar_pairs
-from themelens.session import checked_broadcast, stage
+from themelens.session import checked_broadcast, drop_staged, stage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys=(), max_rounds: int = 100,
-                         checkpoint_every: int = 1) -> DataFrame:
-    """Label each node with the smallest node id of its component.
+def connected_components(nodes: DataFrame, edges: DataFrame, keys=()) -> DataFrame:
+    """Label each node with the smallest node id of its component (ids of any orderable type).
 
-    ``nodes``: keys, ``id``. ``edges``: keys, ``src``, ``dst`` (either direction). Min-label
-    propagation with pointer jumping: each round a node takes the smallest label among itself and
-    its neighbours, then the label of that label; stop when no label changes (one small ``count``
-    action per round)."""
+    ``nodes``: keys, ``id``. ``edges``: keys, ``src``, ``dst`` (either direction). Alternating large-star
+    and small-star: each round links every node's larger (then smaller) neighbours to the smallest node it
+    knows, until the edges no longer change; rounds grow with the logarithm of the graph, and there is no
+    limit on them. A step is a grouped minimum and a join of the edges with one row per node, so a giant
+    component only skews the edge side, which Spark splits. Each round is written to the shared folder and
+    the one before it deleted."""
     keys = list(keys)
-    both = edges.select(*keys, "src", "dst").unionByName(
-        edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = stage(both, "cc-edges")
-    labels = stage(nodes.select(*keys, "id", F.col("id").alias("label")), "cc-labels")
-    for r in range(max_rounds):
-        msgs = (both.join(labels.withColumnRenamed("id", "src"), [*keys, "src"])
-                    .select(*keys, F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("prev")))
-        mine = labels.select(*keys, "id", "label", F.col("label").cast("long").alias("prev"))
-        new = (mine.unionByName(msgs).groupBy(*keys, "id")
-                   .agg(F.min("label").alias("label"), F.max("prev").alias("prev")))
-        # pointer jumping: take the label of your label, so chains shorten by half each round and
-        # the number of rounds grows with log(diameter), not the diameter
-        hop = new.select(*keys, F.col("id").alias("label"), F.col("label").alias("_hop"))
-        new = (new.join(hop, [*keys, "label"], "left")
-                  .select(*keys, "id", F.least("label", F.coalesce("_hop", "label")).alias("label"), "prev"))
-        if (r + 1) % checkpoint_every == 0:
-            # a written table in the shared folder: computed once, lineage restarts here
-            new = stage(new, "cc-round")
-        # the test reads the round's own output (checkpointed files), no join with the last round
-        changed = new.where(F.col("label") < F.col("prev")).limit(1).count()
-        labels = new.drop("prev")
-        if changed == 0:
+    u, v = F.col("u"), F.col("v")
+    spark = nodes.sparkSession
+    now = stage(edges.select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+                .where(u > v).distinct(), "cc-edges")
+    before = None
+    while True:
+        both = now.unionByName(now.select(*keys, v.alias("u"), u.alias("v")))
+        least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).select(*keys, "u", F.least("u", "m").alias("m"))
+        large = stage(both.where(v > u).join(least, [*keys, "u"]).select(*keys, v.alias("u"), F.col("m").alias("v"))
+                      .where(u != v).distinct(), "cc-large")
+        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = (large.join(least, [*keys, "u"]).where(v != F.col("m"))
+                 .select(*keys, F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+                 .unionByName(least.select(*keys, "u", F.col("m").alias("v"))).where(u != v).distinct())
+        new = stage(small, "cc-small")
+        mark = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first())
+        drop_staged(spark, now, large)
+        now = new
+        if mark == before:
             break
-    return labels
+        before = mark
+    stars = now.select(*keys, u.alias("id"), v.alias("_root"))
+    return nodes.select(*keys, "id").join(stars, [*keys, "id"], "left").select(
+        *keys, "id", F.coalesce("_root", "id").alias("label"))
+
+
+def number_rows(df: DataFrame, order: list, out_col: str, keys=()) -> DataFrame:
+    """``df`` plus its 0-based rank by ``order``: inside each key, or over the whole table. The whole table
+    is range-partitioned and each range numbered from the counts of the ranges before it, so no task sorts
+    more than one range."""
+    keys = list(keys)
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("int"))
+    ranged = stage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))     # one row per range
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_from"))
+    return (ranged.withColumn("_p", part).join(starts, "_p")
+            .withColumn(out_col, (F.col("_from") + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("int"))
+            .drop("_id", "_p", "_from"))
 
 
 def density_cluster(df: DataFrame, eps: float, min_cluster_size: int = 2,
@@ -81,20 +98,47 @@ def density_cluster(df: DataFrame, eps: float, min_cluster_size: int = 2,
     labels = connected_components(nodes, e, keys)
     sizes = labels.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
     kept = sizes.where(F.col("size") >= min_cluster_size)
-    w = Window.partitionBy(*keys).orderBy(F.col("size").desc(), F.col("label"))
-    numbered = kept.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int"))
+    numbered = number_rows(kept, [F.col("size").desc(), F.col("label")], "cluster_id", keys)
     out = (labels.join(numbered.select(*keys, "label", "cluster_id"), [*keys, "label"], "left")
                  .select(*keys, F.col("id").alias(id_col),
                          F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
     return out
 
 
-def kmeans_fallback(df: DataFrame, k: int, vec_col: str = "vec", seed: int = 42,
-                    out_col: str = "cluster_id") -> DataFrame:
-    """M4: Spark ML k-means (seed 42), an option for keys where everything is noise."""
-    v = df.withColumn("_v", array_to_vector(vec_col))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=out_col).fit(v)
-    return model.transform(v).drop("_v").withColumn(out_col, F.col(out_col).cast("int"))
+def kmeans_fallback(clustered: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vec", keys=(),
+                    rounds: int = 10) -> DataFrame:
+    """M4: keys where every row is noise get ``k`` k-means clusters; other keys keep their labels.
+
+    The first centres of a key are the ``k`` rows with the smallest hashes of their ids, so the result does
+    not depend on partitioning; centres are rounded to nine digits between rounds for the same reason. A
+    round is a join with one row per key (its k centres), a row-wise nearest centre and a grouped mean."""
+    keys = list(keys)
+    group = [*keys, "_g"]       # without keys the whole table is one group
+    rows = clustered.withColumn("_g", F.lit(0))
+    empty = rows.groupBy(*group).agg(F.max("cluster_id").alias("_top")).where(F.col("_top") == -1).select(*group)
+    noise = rows.join(empty, group, "left_semi")
+    rank = Window.partitionBy(*group).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
+    first = noise.withColumn("_c", F.row_number().over(rank)).where(F.col("_c") <= k)
+    centres = stage(first.groupBy(*group).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_c", F.col(vec_col).alias("x")))), lambda s: s["x"]).alias("_centres")), "centres")
+
+    def distance(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x)
+
+    def nearest(c: DataFrame) -> DataFrame:
+        near = F.array_min(F.transform("_centres", lambda m, i: F.struct(distance(m, F.col(vec_col)).alias("d"), i.alias("i"))))
+        return noise.join(c, group).withColumn("_near", near["i"])
+
+    for _ in range(rounds):
+        dims = nearest(centres).select(*group, "_near", F.posexplode(vec_col).alias("_d", "_x"))
+        means = dims.groupBy(*group, "_near", "_d").agg(F.round(F.avg("_x"), 9).alias("_x"))
+        vectors = means.groupBy(*group, "_near").agg(F.transform(
+            F.sort_array(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"]).alias("_v"))
+        centres = stage(vectors.groupBy(*group).agg(F.transform(
+            F.sort_array(F.collect_list(F.struct("_near", "_v"))), lambda s: s["_v"]).alias("_centres")), "centres")
+    labels = nearest(centres).select(*keys, F.col(id_col), F.col("_near").alias("_label"))
+    return (clustered.join(labels, [*keys, id_col], "left")
+            .withColumn("cluster_id", F.coalesce("_label", "cluster_id").cast("int")).drop("_label"))
 
 
 def keyword_fallback(clustered: DataFrame, keys=KEYS, groups=C.DEFAULT_KEYWORD_GROUPS,

@@ -92,7 +92,8 @@ def parse_theme_responses(responses: DataFrame, keys=KEYS) -> tuple[DataFrame, D
         field("name", F.lit(C.DEFAULT_THEME_NAME)).alias("name"),
         field("summary", F.lit(C.DEFAULT_THEME_SUMMARY)).alias("summary"),
         field("quotes", F.array().cast("array<string>")).alias("proposed_quotes"),
-        normalise_ideas(field("action_ideas", F.array().cast("array<string>"))).alias("action_ideas"),
+        normalise_ideas(F.when(F.array_contains("_keys", "action_ideas"), F.get_json_object("_js", "$.action_ideas"))
+                        .otherwise(F.lit("[]"))).alias("action_ideas"),
     )
     return parsed, rejects
 

@@ -111,7 +111,10 @@ def q_title_word(spark, sf_dir):
 @register("extract_json")
 def q_extract_json(spark, sf_dir):
     c = D.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.extract_json("text").alias("json_text"))
+    # every third turn holds an object, across lines, with text around it
+    holds = F.concat(F.lit("So:\n"), F.to_json(F.struct("conv_id", F.struct("role", "text").alias("said"))), F.lit("\nDone."))
+    text = F.when(F.col("turn") % 3 == 0, holds).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", T.extract_json(text).alias("json_text"))
 
 
 @register("contains_ci")
@@ -131,9 +134,10 @@ def q_keyword_group(spark, sf_dir):
 @register("normalise_ideas")
 def q_normalise_ideas(spark, sf_dir):
     r = D.reviews(spark, sf_dir, with_order=False)
-    raw = F.array(F.substring("content", 1, 20),
-                  F.to_json(F.struct(F.col("user_name").alias("title"), F.col("review_id").alias("description"))),
-                  F.to_json(F.struct(F.col("user_name").alias("title"))))
+    # a string (the whole text), objects, a string that begins like an object, and what must be skipped
+    raw = F.concat(F.lit("["), _js("content"), F.lit(", null, 5, "),
+                   F.to_json(F.struct(F.col("user_name").alias("title"), F.col("review_id").alias("description"))),
+                   F.lit(", [1], "), F.to_json(F.struct(F.col("user_name").alias("title"))), F.lit(', "{menu} is hidden"]'))
     ideas = r.select("review_id", F.posexplode(T.normalise_ideas(raw)).alias("idea_idx", "idea"))
     return ideas.select("review_id", "idea_idx", F.col("idea.title").alias("title"),
                         F.col("idea.description").alias("description"))
@@ -236,9 +240,8 @@ def q_cluster_sizes(spark, sf_dir):
 
 @register("collect_clusters")
 def q_collect_clusters(spark, sf_dir):
-    c = A.collect_clusters(grouped(spark, sf_dir), cols=("review_id",))
-    return c.select(*KEYS, "cluster_id", F.size("reviews").alias("n"),
-                    F.array_join(F.transform("reviews", lambda x: x["review_id"]), ",").alias("review_ids"))
+    c = A.collect_clusters(grouped(spark, sf_dir))
+    return c.select(*KEYS, "cluster_id", F.col("ord.age").alias("age"), "review_id", "content")
 
 
 @register("total_reviews")
@@ -646,6 +649,7 @@ from themelens.operators import vectors as V  # noqa: E402
 
 PAIR_THRESHOLD = 0.40
 DENSITY_EPS = 0.60
+DENSITY_EPS_WEEK = 0.75
 MERGE_THRESHOLD = 0.20
 # block size for the registered vector queries: small enough that even sf0.01 spreads over several
 # block pairs (so the blocked path is what is checked), large enough to keep tasks efficient
@@ -666,6 +670,16 @@ def q_nearest_neighbours(spark, sf_dir):
 
 @register("density_cluster")
 def q_density_cluster(spark, sf_dir):
+    """Reviews clustered inside their product-week by the vectors of the same id (string review ids)."""
+    v = D.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("review_id"), "vec")
+    r = D.reviews(spark, sf_dir, with_order=False).select(*KEYS, "review_id").join(v, "review_id")
+    return M.density_cluster(r, DENSITY_EPS_WEEK, min_cluster_size=2, min_samples=1, id_col="review_id", keys=KEYS,
+                             block_size=VEC_BLOCK)
+
+
+@register("density_cluster_table")
+def q_density_cluster_table(spark, sf_dir):
+    """The whole vector table as one group: the blocked path."""
     return M.density_cluster(D.vectors(spark, sf_dir), DENSITY_EPS, min_cluster_size=3, min_samples=2,
                              block_size=VEC_BLOCK)
 
@@ -698,7 +712,14 @@ def q_reduce_dims(spark, sf_dir):
 
 @register("kmeans_fallback")
 def q_kmeans_fallback(spark, sf_dir):
-    return M.kmeans_fallback(D.vectors(spark, sf_dir), k=10).select("vec_id", "cluster_id")
+    """Vectors in ten groups by their label; groups 0 to 4 are noise throughout, the others keep their ids.
+    The labels of a noise group are 0 to k - 1 and none is empty."""
+    v = D.vectors(spark, sf_dir).withColumn("cluster_id", F.when(F.col("label") < 5, F.lit(-1)).otherwise((F.col("vec_id") % 3).cast("int")))
+    out = M.kmeans_fallback(v, k=3, keys=("label",))
+    return out.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("cluster_id").alias("n_clusters"), F.min("cluster_id").alias("lowest"),
+        F.max("cluster_id").alias("highest"),
+        F.sum((F.col("cluster_id") == F.col("vec_id") % 3).cast("int") * (F.col("label") >= 5).cast("int")).alias("kept"))
 
 
 def _letter_counts(texts):
@@ -714,7 +735,8 @@ def _letter_counts(texts):
 def q_embed_with(spark, sf_dir):
     r = D.reviews(spark, sf_dir, with_order=False).select("review_id", "content")
     e = V.embed_with(r, _letter_counts)
-    return e.select("review_id", F.size("vec").alias("dims"), F.col("vec")[0].cast("long").alias("a_count"))
+    return e.select("review_id", F.size("vec").alias("dims"), *[
+        F.col("vec")[i].cast("long").alias(f"{c}_count") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz") if c in "aez"])
 
 
 # ------------------------------------------------------------------------------------------------
@@ -765,7 +787,20 @@ def _canonical_out(df: DataFrame) -> DataFrame:
 
 @register("read_app_store_feed")
 def q_read_app_store_feed(spark, sf_dir):
-    return _canonical_out(Src.read_app_store_feed(spark, land_app_feed(spark, sf_dir), AS_OF))
+    return _canonical_out(Src.read_app_store_feed(spark, land_app_feed(spark, sf_dir), AS_OF, multi_line=False))
+
+
+@register("app_store_feed_rejects")
+def q_app_store_feed_rejects(spark, sf_dir):
+    """A cut-off copy of every page lands beside it; the pages are read, the copies are rejects."""
+    good = spark.read.text(land_app_feed(spark, sf_dir))
+    path = St.scratch(spark, "landed-app-bad")
+    # a fixed marker after the cut keeps the record recognisable
+    cut = F.concat(F.regexp_extract("value", r'"id":\{"label":"([0-9]+)"', 1), F.lit(" cut off {"))
+    good.unionByName(good.select(cut.alias("value"))).write.text(path)
+    bad = Src.app_store_feed_rejects(spark, path, multi_line=False)
+    page = F.floor(F.regexp_extract("record", "^([0-9]+) cut off", 1).cast("long") / 200).cast("string")
+    return bad.select(page.alias("page"), "reason")
 
 
 @register("read_play_reviews")
@@ -775,7 +810,7 @@ def q_read_play_reviews(spark, sf_dir):
 
 @register("unify_reviews")
 def q_unify_reviews(spark, sf_dir):
-    u = Src.unify_reviews(Src.read_app_store_feed(spark, land_app_feed(spark, sf_dir), AS_OF),
+    u = Src.unify_reviews(Src.read_app_store_feed(spark, land_app_feed(spark, sf_dir), AS_OF, multi_line=False),
                           Src.read_play_reviews(spark, land_play_reviews(spark, sf_dir)))
     return u.select("source", "review_id", "rating")
 
@@ -783,18 +818,23 @@ def q_unify_reviews(spark, sf_dir):
 @register("append_reviews")
 def q_append_reviews(spark, sf_dir):
     path = St.scratch(spark, "reviews-raw")
-    s = scrubbed(spark, sf_dir).drop("ord")
+    # numeric product ids with leading zeros, as the stores have them
+    s = scrubbed(spark, sf_dir).drop("ord").withColumn("product_id", F.concat(F.lit("00"), F.substring("product_id", 4, 9)))
     Tb.append_reviews(s.withColumn("run", F.lit(1)), path)
     Tb.append_reviews(s.where(F.col("iso_week") == "2024-W04").withColumn("run", F.lit(2)), path)
-    stored = Tb.load_reviews(spark, path)
+    stored = Tb.load_reviews(spark, path, "run int")
     return stored.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("last_run"))
 
 
 @register("upsert_runs")
 def q_upsert_runs(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    changes = runs.where(F.col("status") == "FAILED").select(*KEYS, F.lit("COMPLETED").alias("status"))
-    snap = Tb.upsert_runs(runs, changes, St.scratch(spark, "runs"))
+    # failed runs change twice, and every key gets a run of a new week without a status
+    failed = runs.where(F.col("status") == "FAILED").select(*KEYS, F.lit("COMPLETED").alias("status"))
+    again = failed.withColumn("status", F.lit("ACTIVE"))
+    new = runs.select("product_id", F.concat(F.lit("2025"), F.substring("iso_week", 5, 4)).alias("iso_week"),
+                      F.lit(None).cast("string").alias("status"))
+    snap = Tb.upsert_runs(runs, failed.unionByName(again).unionByName(new), St.scratch(spark, "runs"))
     return spark.read.parquet(snap)
 
 
@@ -802,7 +842,7 @@ def q_upsert_runs(spark, sf_dir):
 def q_append_summaries(spark, sf_dir):
     path = St.scratch(spark, "summaries")
     Tb.append_summaries(summaries(spark, sf_dir), path)
-    s = spark.read.parquet(path)
+    s = Tb.load_summaries(spark, path)
     return s.select("run_id", *KEYS,
                     F.get_json_object("summary_json", "$.total_reviews_analyzed").cast("long").alias("total"),
                     F.json_array_length(F.get_json_object("summary_json", "$.top_themes")).alias("n_themes"),
@@ -813,7 +853,7 @@ def q_append_summaries(spark, sf_dir):
 def q_write_reports(spark, sf_dir):
     path = St.scratch(spark, "reports")
     Tb.write_reports(R.report_markdown(summaries(spark, sf_dir)), path)
-    return spark.read.text(path).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("lines"))
+    return Tb.load_reports(spark, path)
 
 
 # ------------------------------------------------------------------------------------------------
@@ -823,12 +863,14 @@ def q_write_reports(spark, sf_dir):
 def q_stream_reviews(spark, sf_dir):
     r = D.reviews(spark, sf_dir, with_order=False)
     landing = St.scratch(spark, "landing-reviews")
-    for wk in ("2024-W01", "2024-W02", "2024-W03", "2024-W04", "2024-W02"):   # week 2 lands twice
-        r.where(F.col("iso_week") == wk).write.mode("append").parquet(landing)
+    # four parts land one after another, newest first inside each, one file per micro-batch; one part twice
+    late = F.pmod(F.dayofyear("review_ts"), F.lit(4))
+    for part in (3, 2, 1, 0, 3):
+        r.where(late == part).orderBy(F.desc("review_ts")).coalesce(1).write.mode("append").parquet(landing)
     sink = St.scratch(spark, "sink-reviews")
-    q = St.stream_reviews(spark, landing, r.schema, sink, St.scratch(spark, "ckpt-reviews"))
+    q = St.stream_reviews(spark, landing, r.schema, sink, St.scratch(spark, "ckpt-reviews"), max_files=1)
     q.awaitTermination()
-    out = spark.read.schema(r.schema).parquet(sink)
+    out = St.load_stream(spark, sink, r.schema)
     return out.select("product_id", "iso_week", "source", "review_id", "content")
 
 
@@ -836,9 +878,8 @@ def q_stream_reviews(spark, sf_dir):
 def q_weekly_counts_stream(spark, sf_dir):
     e = D.table(spark, sf_dir, "events")
     landing = St.scratch(spark, "landing-events")
-    wk = F.weekofyear("ts")
-    for w in (1, 2, 3, 4, 5):
-        e.where(wk == w).write.mode("append").parquet(landing)
+    # in order of time, whatever weeks there are: one file per part of the time range
+    e.repartitionByRange(5, "ts").write.parquet(landing)
     table = St.scratch(spark, "weekly-counts")
     q = St.weekly_counts_stream(spark, landing, e.schema, table, St.scratch(spark, "ckpt-weekly"))
     q.awaitTermination()
@@ -849,11 +890,29 @@ def q_weekly_counts_stream(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------
 # P2
 # ------------------------------------------------------------------------------------------------
-BACKFILL = ("2024-W02", "2024-W04", 2)
+BACKFILL = ("2024-W02", "2024-W04", 4)
 
 
 @register("backfill")
 def q_backfill(spark, sf_dir):
+    """The roll-up plan with the gate: report weeks whose run is completed are not done again."""
     start, end, weeks = BACKFILL
-    s = P.backfill(D.reviews(spark, sf_dir), start, end, weeks=weeks, groups=DRIVER_GROUPS, generated_at=AS_OF)
+    r = D.reviews(spark, sf_dir)
+    wanted = P.week_keys(r.select("product_id").distinct(), start, end).select(*KEYS)
+    s = P.backfill(r, start, end, weeks=weeks, groups=DRIVER_GROUPS, generated_at=AS_OF, requested=wanted,
+                   runs=_runs(spark, sf_dir))
     return _flat_summary(s)
+
+
+@register("review_rejects")
+def q_review_rejects(spark, sf_dir):
+    """Every 17th review has lost its text: it is a reject, not a silent loss."""
+    r = D.reviews(spark, sf_dir)
+    lost = r.withColumn("content", F.when(F.col("review_id").cast("long") % 17 == 0, F.lit(None)).otherwise(F.col("content")))
+    return P.review_rejects(lost)
+
+
+@register("response_rejects")
+def q_response_rejects(spark, sf_dir):
+    """Model responses without a JSON object."""
+    return Th.parse_theme_responses(responses(spark, sf_dir, grouped_staged(spark, sf_dir)))[1]

@@ -7,7 +7,7 @@ driver's documents (SURVEY §2.3), and non-ASCII edges are tested on literal fix
 from __future__ import annotations
 
 from themelens import constants as C
-from themelens.plans.catalog import DRIVER_GROUPS
+from themelens.plans.catalog import DENSITY_EPS_WEEK, DRIVER_GROUPS
 from themelens.sources.testdata import SQL_VIEWS, sql_with
 
 _sql: dict[str, str] = {}
@@ -108,7 +108,9 @@ register("title_word", f"""
     SELECT word, {title_sql('word')} AS title
     FROM (SELECT DISTINCT unnest({tokens_sql('content')}) AS word FROM reviews0)""", "reviews0")
 register("extract_json", """
-    SELECT conv_id, turn, regexp_extract(text, '(?s)\\{.*\\}') AS json_text FROM conversations""")
+    SELECT conv_id, turn, regexp_extract(CASE WHEN turn % 3 = 0
+        THEN 'So:' || chr(10) || to_json({'conv_id': conv_id, 'said': {'role': role, 'text': text}}) || chr(10) || 'Done.'
+        ELSE text END, '(?s)\\{.*\\}') AS json_text FROM conversations""")
 register("contains_ci", """
     SELECT review_id, contains(lower(content), lower('THING')) AS has_thing,
            contains(lower(content), lower(upper(substring(user_name, 1, 5)))) AS has_user
@@ -118,9 +120,9 @@ register("keyword_group", f"""
     FROM reviews0""", "reviews0")
 register("normalise_ideas", f"""
     SELECT review_id, i - 1 AS idea_idx,
-           CASE i WHEN 1 THEN {lit(C.STRING_IDEA_TITLE)} ELSE user_name END AS title,
-           CASE i WHEN 1 THEN substring(content, 1, 20) WHEN 2 THEN review_id ELSE NULL END AS description
-    FROM reviews0, range(1, 4) r(i)""", "reviews0")
+           CASE WHEN i IN (1, 4) THEN {lit(C.STRING_IDEA_TITLE)} ELSE user_name END AS title,
+           CASE i WHEN 1 THEN content WHEN 2 THEN review_id WHEN 4 THEN '{{menu}} is hidden' ELSE NULL END AS description
+    FROM reviews0, range(1, 5) r(i)""", "reviews0")
 
 # ------------------------------------------------------------------------------------------------
 # F1-F9
@@ -173,11 +175,7 @@ register("cluster_sizes", """
     SELECT product_id, iso_week, cluster_id, count(*) AS size, min(ord).review_id AS first_review_id
     FROM clustered GROUP BY ALL""", "clustered")
 register("collect_clusters", f"""
-    SELECT product_id, iso_week, cluster_id, count(*) AS n,
-           string_agg(review_id, ',' ORDER BY ord) AS review_ids
-    FROM (SELECT *, row_number() OVER (PARTITION BY product_id, iso_week, cluster_id ORDER BY ord) AS pos
-          FROM grouped QUALIFY pos <= {C.PROMPT_REVIEWS})
-    GROUP BY ALL""", "grouped")
+    SELECT product_id, iso_week, cluster_id, ord.age AS age, review_id, content FROM grouped""", "grouped")
 register("total_reviews", "SELECT product_id, iso_week, count(*) AS total_reviews FROM clustered GROUP BY ALL",
          "clustered")
 SQL_VIEWS["term_counts"] = f"""
@@ -641,7 +639,47 @@ register("nearest_neighbours", """
     SELECT id_a AS id, id_b AS nbr, row_number() OVER (PARTITION BY id_a ORDER BY cosine DESC, id_b) AS nn_rank,
            round(cosine, 6) AS cosine
     FROM allpairs QUALIFY nn_rank <= 3""", "allpairs")
+SQL_VIEWS["weekvecs"] = """
+    SELECT r.product_id, r.iso_week, r.review_id, v.vec
+    FROM reviews r JOIN vectors v ON CAST(v.vec_id AS VARCHAR) = r.review_id"""
+_td._DEPS["weekvecs"] = ["reviews", "vectors"]
 register("density_cluster", f"""
+    WITH RECURSIVE p AS (
+        SELECT a.product_id, a.iso_week, a.review_id AS id_a, b.review_id AS id_b,
+               list_cosine_similarity(a.vec, b.vec) AS cosine
+        FROM weekvecs a JOIN weekvecs b
+          ON a.product_id = b.product_id AND a.iso_week = b.iso_week AND a.review_id <> b.review_id),
+    core AS (SELECT product_id, iso_week, id_a AS id, 1 - max(cosine) AS core FROM p GROUP BY ALL),
+    e AS (SELECT p.product_id, p.iso_week, p.id_a AS src, p.id_b AS dst FROM p
+          JOIN core ca ON ca.product_id = p.product_id AND ca.iso_week = p.iso_week AND ca.id = p.id_a
+          JOIN core cb ON cb.product_id = p.product_id AND cb.iso_week = p.iso_week AND cb.id = p.id_b
+          WHERE p.cosine >= {1.0 - DENSITY_EPS_WEEK} AND greatest(ca.core, cb.core, 1 - p.cosine) <= {DENSITY_EPS_WEEK}),
+    reach(product_id, iso_week, node, label) AS (
+        SELECT product_id, iso_week, review_id, review_id FROM weekvecs
+        UNION
+        SELECT e.product_id, e.iso_week, e.dst, r.label FROM reach r
+        JOIN e ON e.src = r.node AND e.product_id = r.product_id AND e.iso_week = r.iso_week),
+    lab AS (SELECT product_id, iso_week, node, min(label) AS label FROM reach GROUP BY ALL),
+    sizes AS (SELECT product_id, iso_week, label, count(*) AS size FROM lab GROUP BY ALL HAVING count(*) >= 2),
+    num AS (SELECT product_id, iso_week, label, CAST(row_number() OVER (
+        PARTITION BY product_id, iso_week ORDER BY size DESC, label) - 1 AS INT) AS cluster_id FROM sizes)
+    SELECT l.product_id, l.iso_week, l.node AS review_id, coalesce(n.cluster_id, -1) AS cluster_id
+    FROM lab l LEFT JOIN num n ON n.product_id = l.product_id AND n.iso_week = l.iso_week AND n.label = l.label""",
+         "weekvecs")
+register("kmeans_fallback", """
+    SELECT label, count(*) AS n, CASE WHEN label < 5 THEN 3 ELSE count(DISTINCT vec_id % 3) END AS n_clusters,
+           CASE WHEN label < 5 THEN 0 ELSE min(vec_id % 3) END AS lowest,
+           CASE WHEN label < 5 THEN 2 ELSE max(vec_id % 3) END AS highest,
+           CASE WHEN label < 5 THEN 0 ELSE count(*) END AS kept
+    FROM embeddings GROUP BY label""")
+register("embed_with", """
+    SELECT review_id, 26 AS dims, length(t) - length(replace(t, 'a', '')) AS a_count,
+           length(t) - length(replace(t, 'e', '')) AS e_count, length(t) - length(replace(t, 'z', '')) AS z_count
+    FROM (SELECT review_id, lower(content) AS t FROM reviews0)""", "reviews0")
+register("embed_texts", f"""
+    SELECT review_id, 256 AS dims, CASE WHEN len({tokens_sql('content')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
+    FROM reviews0""", "reviews0")
+register("density_cluster_table", f"""
     WITH RECURSIVE core AS (
         SELECT id_a AS id, 1 - cosine AS core FROM allpairs
         QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY cosine DESC, id_b) = 2),
@@ -692,22 +730,33 @@ SQL_VIEWS["play_expected"] = """
     FROM reviews0 WHERE source = 'google_play'"""
 _td._DEPS.update({"app_expected": ["reviews0"], "play_expected": ["reviews0"]})
 register("read_app_store_feed", "SELECT * FROM app_expected", "app_expected")
+register("app_store_feed_rejects", """
+    SELECT CAST(CAST(review_id AS BIGINT) // 200 AS VARCHAR) AS page, 'not JSON' AS reason
+    FROM reviews0 WHERE source = 'app_store' GROUP BY ALL""", "reviews0")
+register("review_rejects", """
+    SELECT product_id, iso_week, source, review_id, 'content is null' AS reason FROM reviews
+    WHERE CAST(review_id AS BIGINT) % 17 = 0""", "reviews")
+register("response_rejects", """
+    SELECT product_id, iso_week, cluster_id, 'no JSON object' AS reason FROM responses
+    WHERE response = 'I cannot answer that.'""", "responses")
 register("read_play_reviews", "SELECT * FROM play_expected", "play_expected")
 register("unify_reviews", """
     SELECT source, review_id, rating FROM app_expected UNION ALL SELECT source, review_id, rating FROM play_expected""",
          "app_expected", "play_expected")
 register("append_reviews", """
-    SELECT product_id, iso_week, count(*) * CASE WHEN iso_week = '2024-W04' THEN 2 ELSE 1 END AS n,
+    SELECT '00' || substring(product_id, 4, 9) AS product_id, iso_week, count(*) * CASE WHEN iso_week = '2024-W04' THEN 2 ELSE 1 END AS n,
            CASE WHEN iso_week = '2024-W04' THEN 2 ELSE 1 END AS last_run
     FROM reviews GROUP BY product_id, iso_week""", "reviews")
 register("upsert_runs", """
     SELECT run_id, product_id, iso_week, status FROM runs WHERE status <> 'FAILED'
-    UNION ALL SELECT NULL, product_id, iso_week, 'COMPLETED' FROM runs WHERE status = 'FAILED'""", "runs")
+    UNION ALL SELECT run_id, product_id, iso_week, 'COMPLETED' FROM runs WHERE status = 'FAILED'
+    UNION ALL SELECT 'pulse-' || lower(product_id) || '-2025' || substring(iso_week, 5, 4), product_id,
+                     '2025' || substring(iso_week, 5, 4), 'PENDING' FROM runs""", "runs")
 register("append_summaries", """
     SELECT run_id, product_id, iso_week, total_reviews_analyzed AS total, len(top_themes) AS n_themes,
            top_themes[1].name AS top_theme FROM summ""", "summ")
 register("write_reports", f"""
-    SELECT product_id, iso_week, len(string_split({_md}, chr(10))) AS lines FROM summ""", "summ")
+    SELECT product_id, iso_week, {_md} || chr(10) AS markdown FROM summ""", "summ")
 register("stream_reviews", "SELECT product_id, iso_week, source, review_id, content FROM scrubbed", "scrubbed")
 register("weekly_counts_stream", """
     SELECT date_trunc('week', ts) AS week_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value
@@ -726,11 +775,13 @@ def _backfill_sql() -> str:
     grouped_bf = f"""
         SELECT s.* REPLACE (w.iso_week AS iso_week), {group_sql('s.content')} AS cluster_id
         FROM scrubbed s JOIN ({weeks_sql}) w ON s.product_id = w.product_id
-         AND s.review_ts >= w.week_start - INTERVAL {7 * (weeks - 1)} DAY AND s.review_ts < w.week_start + INTERVAL 7 DAY"""
+         AND s.review_ts >= w.week_start - INTERVAL {7 * (weeks - 1)} DAY AND s.review_ts < w.week_start + INTERVAL 7 DAY
+        WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.product_id = s.product_id AND u.iso_week = w.iso_week
+                          AND u.status = 'COMPLETED')"""
     saved = SQL_VIEWS["grouped"]
     SQL_VIEWS["grouped"] = grouped_bf
     try:
-        return sql_with(FLAT_SUMMARY.format(src="summ"), "summ")
+        return sql_with(FLAT_SUMMARY.format(src="summ"), "runs", "summ")
     finally:
         SQL_VIEWS["grouped"] = saved
 

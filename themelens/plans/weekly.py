@@ -1,6 +1,6 @@
-"""P1 ``run_weekly`` and P2 ``backfill``: the whole weekly job for every requested product-week at
-once, as one lazily composed plan (Catalyst pipelines the narrow steps; the shuffles are on the
-product-week key, plus the cluster for theme work)."""
+"""P1 ``run_weekly`` and P2 ``backfill``: the whole weekly job for every requested product-week at once.
+A few small tables and the scrubbed reviews are written while the plan is built (size checks, the shared
+review table); the rest is one plan whose shuffles are on the product-week, plus the cluster for themes."""
 
 from __future__ import annotations
 
@@ -26,16 +26,17 @@ def split_rejects(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reviews.where(ok), reviews.where(~ok)
 
 
+def review_rejects(reviews: DataFrame) -> DataFrame:
+    """The rejects table of P1 and P2: reviews that cannot be stored, with the reason."""
+    return split_rejects(reviews)[1].select("product_id", "iso_week", "source", "review_id",
+                                            F.lit("content is null").alias("reason"))
+
+
 def window_of(ts: str = "review_ts") -> Column:
     """Aggregate: ``first date to last date``."""
     return F.concat(F.date_format(F.min(ts), "yyyy-MM-dd"), F.lit(" to "), F.date_format(F.max(ts), "yyyy-MM-dd"))
 
 
-def data_window(reviews: DataFrame, keys=KEYS) -> DataFrame:
-    """``first date to last date`` of the reviews in each key."""
-    return reviews.groupBy(*keys).agg(window_of("review_ts").alias("data_window"))
-
-
 def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs: DataFrame | None = None,
                force: bool = False, cluster_fn: Callable[[DataFrame], DataFrame] | None = None,
                groups=C.DEFAULT_KEYWORD_GROUPS, n_themes: int = C.TOP_THEMES,
@@ -106,6 +107,9 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
     window copies each review 4 times); for shorter windows copying is cheaper."""
     if run_args.get("cluster_fn") is not None or weeks < rollup_min_weeks:
         return _backfill_by_copy(reviews, start_week, end_week, weeks, **run_args)
+    known = {"keys", "groups", "n_themes", "generated_at", "requested", "runs", "force", "materialize", "cluster_fn"}
+    if unknown := set(run_args) - known:
+        raise TypeError(f"unknown arguments: {sorted(unknown)}")
     keys = list(run_args.get("keys", KEYS))
     groups = run_args.get("groups", C.DEFAULT_KEYWORD_GROUPS)
     n_themes = run_args.get("n_themes", C.TOP_THEMES)
@@ -114,7 +118,8 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
     weekly = (reviews.withColumn("content", scrub_pii("content"))
                      .withColumn("cluster_id", keyword_group("content", groups))
                      .withColumn("cal_week", iso_week("review_ts")))
-    weekly = stage(weekly, "reviews-grouped")
+    if run_args.get("materialize", True):
+        weekly = stage(weekly, "reviews-grouped")
     cal = ["product_id", "cal_week"]
     stats = cluster_stats(weekly, keys=cal)
     per_cal = weekly.groupBy(*cal).agg(F.count(F.lit(1)).alias("n"), F.min("review_ts").alias("lo"),
@@ -136,6 +141,11 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
                       .agg(F.sum("n").alias("total_reviews"),
                            F.concat(F.date_format(F.min("lo"), "yyyy-MM-dd"), F.lit(" to "),
                                     F.date_format(F.max("hi"), "yyyy-MM-dd")).alias("data_window")))
+    requested, runs = run_args.get("requested"), run_args.get("runs")
+    if requested is not None:       # the same gate as P1's, on the report weeks
+        todo = runs_to_do(requested, runs, run_args.get("force", False), keys) if runs is not None else requested
+        todo = checked_broadcast(todo.select(*keys).distinct())
+        stats_k, per_key = stats_k.join(todo, keys, "left_semi"), per_key.join(todo, keys, "left_semi")
     themes = themes_from_stats(stats_k, keys, n_themes)
     themes = themes.unionByName(fallback_theme(per_key, themes, keys))
     gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at

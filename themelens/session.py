@@ -8,10 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, app: str = "themelens", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, app: str = "themelens", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """A session with AQE, UTC and Arrow on. On a cluster pass ``master=None`` and size
-    ``shuffle_partitions`` to the data (rule of thumb: input bytes / 128 MB)."""
+    """A session with AQE, UTC and Arrow on. ``shuffle_partitions`` is set only if it is given, so a
+    cluster's own setting stands (rule of thumb: input bytes / 128 MB); tests pass a small number."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -19,13 +19,14 @@ def build_session(master: str | None = None, app: str = "themelens", shuffle_par
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     }
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -81,19 +82,39 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     import uuid
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)     # known schema: no footer scan
 
 
+_STAGED: list[str] = []        # paths this process has staged and not yet dropped
+
+
+def drop_staged(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads: the given ones, or all of this process. Call it
+    when the results built on them have been written."""
+    files = [f for t in tables for f in t.inputFiles()]
+    gone = [p for p in _STAGED if not tables or any(p.rsplit("/", 1)[-1] in f for f in files)]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _STAGED.remove(p)
+
+
+#: A scan of fewer partitions than this (at most so many times ``maxPartitionBytes``) may be spread.
+SMALL_SCAN = 8
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores (a small file with few
-    row groups) so the CPU-heavy text work uses every core. On a large input the scan already has
-    far more partitions than cores and this is a no-op: no shuffle is added at scale."""
+    """Spread the scan of a small file with few row groups, so the CPU-heavy text work uses every core.
+    Only a scan of fewer than ``SMALL_SCAN`` partitions is shuffled, whatever the size of the cluster, so
+    at most about a gigabyte moves; larger tables keep their scan. Results do not depend on it."""
     try:
         want = df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:       # a session without RDD access (Spark Connect): leave the scan as it is
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(want) if have < min(want, SMALL_SCAN) else df
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

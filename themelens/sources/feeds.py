@@ -20,11 +20,27 @@ PLAY_SCHEMA = "reviewId string, userName string, score int, content string, at s
 CANONICAL = ["source", "review_id", "user_name", "rating", "content", "review_ts"]
 
 
-def read_app_store_feed(spark: SparkSession, path: str, as_of: str, multi_line: bool = False) -> DataFrame:
+def _feed(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return (spark.read.schema(APP_FEED_SCHEMA + ",_corrupt string").option("multiLine", multi_line)
+            .option("columnNameOfCorruptRecord", "_corrupt").json(path))
+
+
+def app_store_feed_rejects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Documents of the landed feed that are no JSON of the feed's shape: ``file, record, reason``."""
+    raw = _feed(spark, path, multi_line).withColumn("file", F.input_file_name())
+    # the record must be read together with the fields, or Spark skips parsing
+    bad = raw.where(F.col("_corrupt").isNotNull() | F.col("feed").isNull())
+    return bad.select("file", F.col("_corrupt").alias("record"),
+                      F.when(F.col("_corrupt").isNotNull(), F.lit("not JSON")).otherwise(F.lit("no feed")).alias("reason"))
+
+
+def read_app_store_feed(spark: SparkSession, path: str, as_of: str, multi_line: bool = True) -> DataFrame:
     """SRC1: flatten ``feed.entry[]``. Entries without ``author`` are skipped; defaults: content
     ``''``, rating 0 (also for a malformed rating), user ``'Unknown'``, id ``''``; dates with an
-    offset are instants, without one UTC; an unparsable or missing date becomes ``as_of``."""
-    raw = spark.read.schema(APP_FEED_SCHEMA).option("multiLine", multi_line).json(path)
+    offset are instants, without one UTC; an unparsable or missing date becomes ``as_of``. A landed file
+    is one document unless ``multi_line`` is off (one document per line); unreadable documents are in
+    ``app_store_feed_rejects``."""
+    raw = _feed(spark, path, multi_line)
     e = raw.select(F.explode_outer("feed.entry").alias("e")).where(F.col("e").isNotNull())
     e = e.where(F.col("e.author").isNotNull())
     return e.select(

@@ -1,7 +1,7 @@
 """Structured Streaming (ST1, ST2).
 
-ST1 reads newly landed review files, drops repeats of ``(source, review_id)`` within the watermark,
-scrubs and appends. ST2 keeps weekly counts per product (Monday-based tumbling windows) in update
+ST1 reads newly landed review files, scrubs them and appends those whose ``(source, review_id)`` the sink
+does not hold yet, however late they land. ST2 keeps weekly counts per product (Monday-based tumbling windows) in update
 mode and upserts each micro-batch into a keyed Parquet table. Both run with a checkpoint in the
 shared checkpoint folder, so a restarted query resumes where it stopped; ``availableNow`` drains what
 has landed and stops (the batch-style way to run a stream).
@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themelens.functions.text import scrub_pii
 from themelens.session import checkpoint_dir
@@ -32,21 +33,43 @@ def instant_as_ntz(c: Column, tz: str) -> Column:
     return F.to_utc_timestamp(c, tz).cast("timestamp_ntz")
 
 
+def append_new(batch: DataFrame, epoch: int, sink: str, keys: list[str], part: str) -> None:
+    """Append the rows of a micro-batch whose keys the sink does not hold: one row per key (equal keys: the
+    greatest row). Of the sink only the key columns are read. A batch is written to a folder of its own, so
+    a replayed batch replaces itself."""
+    spark = batch.sparkSession
+    own = f"batch={epoch}"
+    cols = [c for c in batch.columns if c not in keys]
+    new = batch.groupBy(*keys).agg(F.max(F.struct(*cols)).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
+    if path_exists(spark, sink):
+        held = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(sink)
+        new = new.join(held.where(F.col("batch") != epoch).select(*keys), keys, "left_anti")
+    new.write.mode("overwrite").partitionBy(part).parquet(f"{sink.rstrip('/')}/{own}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, in whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stream_reviews(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str,
-                   watermark: str = "7 days", max_files: int | None = None):
-    """ST1: start the ingest stream; returns the ``StreamingQuery`` (``availableNow`` trigger)."""
+                   max_files: int | None = None):
+    """ST1: start the ingest stream; returns the ``StreamingQuery`` (``availableNow`` trigger). A review is
+    kept once per ``(source, review_id)``; how files fall into micro-batches, and how late a review lands,
+    changes nothing. The sink is partitioned by batch and ISO week; read it with ``load_stream``."""
     src = spark.readStream.schema(schema)
     if max_files:
         src = src.option("maxFilesPerTrigger", max_files)
-    tz = _tz(spark)
-    s = (src.parquet(landing)
-            .withColumn("event_ts", ntz_as_instant(F.col("review_ts"), tz))
-            .withWatermark("event_ts", watermark)
-            .dropDuplicatesWithinWatermark(["source", "review_id"])
-            .withColumn("content", scrub_pii("content"))
-            .drop("event_ts"))
-    return (s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
+    s = src.parquet(landing).withColumn("content", scrub_pii("content"))
+    keys = ["source", "review_id"]
+    return (s.writeStream.foreachBatch(lambda b, epoch: append_new(b, epoch, sink, keys, "iso_week"))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def load_stream(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
+    """The rows of an ST1 sink."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(sink).drop("batch")
 
 
 def upsert_partitions(batch: DataFrame, table: str, keys: list[str], part: str) -> None:
@@ -57,15 +80,12 @@ def upsert_partitions(batch: DataFrame, table: str, keys: list[str], part: str)
     from themelens.session import stage
     spark = batch.sparkSession
     batch = stage(batch, "upsert-batch")
-    try:
+    merged = batch
+    if path_exists(spark, table):
         old = spark.read.schema(batch.schema).parquet(table)
         touched = batch.select(part).distinct()
         old = old.join(touched, part, "left_semi").join(batch.select(*keys), keys, "left_anti")
         merged = stage(old.unionByName(batch), "upsert-merged")
-    except Exception as e:  # first batch: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        merged = batch
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(part).parquet(table))
 
