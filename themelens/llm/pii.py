@@ -146,11 +146,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     def joined(kinds: tuple[str, ...]) -> Column:
         return F.array_join(F.concat(*[S.label(k, F.col(f"pii_{k}")) for k in kinds]), ",")
 
-    every = F.concat(*[F.col(f"pii_{k}") for k in KINDS])
     return found.select(
         "doc_id",
         *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(BASE), 256).alias("base_sha256"),
-        joined(KINDS).alias("spans"),
-        F.size(F.concat(*[F.col(f"pii_{k}") for k in ADDED])).cast("long").alias("n_added"),
-        F.array_max(F.transform(every, lambda s: s["score"])).alias("max_score"))
+        joined(KINDS).alias("spans"))
