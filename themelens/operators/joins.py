@@ -97,11 +97,12 @@ def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int
     else:
         j = _salted(r, salts).join(_fan_out(qsel, salts), [*keys, "cluster_id", "_salt"])
     j = j.where(F.instr(F.col("_rl"), F.col("_ql")) > 0)
+    # only the quoted piece goes through the aggregate, not the review text
+    j = j.select(*keys, "cluster_id", "quote_idx", "ord", F.col("review_id").alias("source_review_id"),
+                 F.expr("substring(_rn, instr(_rl, _ql), char_length(_qn))").alias("text"))
     best = j.groupBy(*keys, "cluster_id", "quote_idx").agg(
-        F.min_by(F.struct("_rn", "_rl", "_qn", "_ql", "review_id"), F.col("ord")).alias("m"))
-    out = best.select(*keys, "cluster_id", "quote_idx",
-                      F.expr("substring(m._rn, instr(m._rl, m._ql), char_length(m._qn))").alias("text"),
-                      F.col("m.review_id").alias("source_review_id"))
+        F.min_by(F.struct("text", "source_review_id"), F.col("ord")).alias("m"))
+    out = best.select(*keys, "cluster_id", "quote_idx", "m.text", "m.source_review_id")
     if not keep_unmatched:
         return out
     return (quotes.select(*keys, "cluster_id", "quote_idx", "quote")

@@ -413,6 +413,11 @@ def responses(spark, sf_dir, g: DataFrame | None = None) -> DataFrame:
     g = g if g is not None else grouped(spark, sf_dir)
     top = W.top_clusters(A.cluster_sizes(g), C.TOP_THEMES)
     t = top.join(Th.first_reviews(g), [*KEYS, "cluster_id"])
+    # a quote that only the last review of the cluster holds, and one that many hold
+    last = g.groupBy(*KEYS, "cluster_id").agg(F.max_by("content", F.col("ord")).alias("last_content"))
+    t = t.join(last, [*KEYS, "cluster_id"])
+    q4 = _js(F.substring(T.normalise_whitespace("last_content"), 3, 45))
+    q5 = _js(F.lit("er"))
     fn = T.normalise_whitespace("first_content")
     q1 = _js(F.lower(F.substring(fn, 1, 40)))
     q2 = _js(F.replace(F.substring(fn, 5, 30), F.lit(" "), F.lit("  ")))
@@ -423,7 +428,7 @@ def responses(spark, sf_dir, g: DataFrame | None = None) -> DataFrame:
                    F.lit(', "description": '), _js(F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))),
                    F.lit("}"))
     clean = F.concat(F.lit('{"name": '), name, F.lit(', "summary": '), summary, F.lit(', "quotes": ['),
-                     q1, F.lit(", "), q2, F.lit(", "), q3, F.lit('], "action_ideas": ['), obj,
+                     q4, F.lit(", "), q1, F.lit(", "), q2, F.lit(", "), q3, F.lit(", "), q5, F.lit('], "action_ideas": ['), obj,
                      F.lit(', "Plain idea"]}'))
     variant = (F.col("rank") + F.substring("product_id", 4, 4).cast("int")) % 6
     resp = (F.when(variant == 0, clean)
@@ -584,6 +589,29 @@ def q_weekly_run(spark, sf_dir):
     return R.report_markdown(s)
 
 
+@register("weekly_job")
+def q_weekly_job(spark, sf_dir):
+    """The main path with real clusters: density clusters of the stored vectors. Every product asks for one
+    more week that has no reviews (EMPTY); every 17th review has lost its text (a reject)."""
+    r = D.reviews(spark, sf_dir, with_order=False)
+    r = r.withColumn("content", F.when(F.col("review_id").cast("long") % 17 == 0, F.lit(None)).otherwise(F.col("content")))
+    v = D.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("review_id"), "vec")
+    keys = _keys(spark, sf_dir)
+    wanted = keys.unionByName(keys.select("product_id").distinct().withColumn("iso_week", F.lit("2024-W40")))
+    paths = P.weekly_job(r, v, wanted, _runs(spark, sf_dir), St.scratch(spark, "weekly-job"), eps=DENSITY_EPS_WEEK,
+                         generated_at=AS_OF, groups=DRIVER_GROUPS)
+    runs = spark.read.parquet(paths["runs"]).select(*KEYS, "run_id", "status")
+    s = Tb.load_summaries(spark, paths["summaries"]).select(
+        *KEYS, F.get_json_object("summary_json", "$.total_reviews_analyzed").cast("long").alias("total"),
+        F.get_json_object("summary_json", "$.top_themes[*].name").alias("names"),
+        F.get_json_object("summary_json", "$.top_themes[*].review_count").alias("counts"))
+    # one match is a bare value, several are a list
+    flat = lambda c: F.regexp_replace(F.col(c), r'[\[\]"]', "").alias(c)
+    rejects = spark.read.parquet(paths["rejects"]).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rejects"))
+    return (runs.join(s.select(*KEYS, "total", flat("names"), flat("counts")), list(KEYS), "left")
+            .join(rejects, list(KEYS), "left").withColumn("rejects", F.coalesce("rejects", F.lit(0))))
+
+
 @register("theme_distribution")
 def q_theme_distribution(spark, sf_dir):
     d = A.theme_distribution(summaries(spark, sf_dir))

@@ -300,12 +300,17 @@ _fn = norm_ws_sql("first_content")
 _q1 = jsq(f"lower(substring({_fn}, 1, 40))")
 _q2 = jsq(f"replace(substring({_fn}, 5, 30), ' ', '  ')")
 _q3 = jsq("'zzqx is not a quote'")
+_q4 = jsq(f"substring({norm_ws_sql('last_content')}, 3, 45)")
+_q5 = jsq("'er'")
+SQL_VIEWS["lasts"] = """
+    SELECT product_id, iso_week, cluster_id, arg_max(content, ord) AS last_content FROM grouped GROUP BY ALL"""
+_td._DEPS["lasts"] = ["grouped"]
 _name = jsq("'Theme ' || product_id || ' ' || CAST(rank AS VARCHAR)")
 _summary = jsq("'Users report this. It matters.'")
 _obj = (f"""'{{"title": ' || {jsq("'Fix ' || product_id")} || ', "description": ' || """
         f"""{jsq("'Cluster ' || CAST(cluster_id AS VARCHAR)")} || '}}'""")
-_clean = (f"""'{{"name": ' || {_name} || ', "summary": ' || {_summary} || ', "quotes": [' || {_q1} || ', ' || {_q2}"""
-          f""" || ', ' || {_q3} || '], "action_ideas": [' || {_obj} || ', "Plain idea"]}}'""")
+_clean = (f"""'{{"name": ' || {_name} || ', "summary": ' || {_summary} || ', "quotes": [' || {_q4} || ', ' || {_q1} || ', ' || {_q2}"""
+          f""" || ', ' || {_q3} || ', ' || {_q5} || '], "action_ideas": [' || {_obj} || ', "Plain idea"]}}'""")
 SQL_VIEWS["responses"] = f"""
     SELECT product_id, iso_week, cluster_id, rank,
            CASE (rank + CAST(substring(product_id, 4, 4) AS INT)) % 6
@@ -318,7 +323,7 @@ SQL_VIEWS["responses"] = f"""
              ELSE 'I cannot answer that.' END AS response,
            CAST(length(first_content) % 1000 AS INT) AS prompt_tokens, CAST(50 + rank AS INT) AS completion_tokens,
            CAST(length(first_content) % 1000 AS DOUBLE) * 0.000001 + CAST(50 + rank AS DOUBLE) * 0.000002 AS cost
-    FROM topg JOIN firsts USING (product_id, iso_week, cluster_id)"""
+    FROM topg JOIN firsts USING (product_id, iso_week, cluster_id) JOIN lasts USING (product_id, iso_week, cluster_id)"""
 SQL_VIEWS["parsed"] = f"""
     SELECT product_id, iso_week, cluster_id,
            CASE WHEN list_contains(k, 'name') THEN js->>'$.name' ELSE {lit(C.DEFAULT_THEME_NAME)} END AS name,
@@ -355,7 +360,7 @@ SQL_VIEWS["t2themes"] = """
       AND p.name IS NOT NULL AND length(p.name) BETWEEN 3 AND 100
       AND coalesce(list_bool_and(list_transform(p.action_ideas,
                    lambda a: a.title IS NOT NULL AND a.description IS NOT NULL)), true)"""
-_td._DEPS.update({"topg": ["grouped"], "firsts": ["grouped"], "responses": ["topg", "firsts"],
+_td._DEPS.update({"topg": ["grouped"], "firsts": ["grouped"], "responses": ["topg", "firsts", "lasts"],
                   "parsed": ["responses"], "pq": ["parsed"], "grounded": ["pq", "grouped"],
                   "t2themes": ["grounded", "topg"]})
 
@@ -643,7 +648,7 @@ SQL_VIEWS["weekvecs"] = """
     SELECT r.product_id, r.iso_week, r.review_id, v.vec
     FROM reviews r JOIN vectors v ON CAST(v.vec_id AS VARCHAR) = r.review_id"""
 _td._DEPS["weekvecs"] = ["reviews", "vectors"]
-register("density_cluster", f"""
+_DENSITY_WEEK = f"""
     WITH RECURSIVE p AS (
         SELECT a.product_id, a.iso_week, a.review_id AS id_a, b.review_id AS id_b,
                list_cosine_similarity(a.vec, b.vec) AS cosine
@@ -664,8 +669,8 @@ register("density_cluster", f"""
     num AS (SELECT product_id, iso_week, label, CAST(row_number() OVER (
         PARTITION BY product_id, iso_week ORDER BY size DESC, label) - 1 AS INT) AS cluster_id FROM sizes)
     SELECT l.product_id, l.iso_week, l.node AS review_id, coalesce(n.cluster_id, -1) AS cluster_id
-    FROM lab l LEFT JOIN num n ON n.product_id = l.product_id AND n.iso_week = l.iso_week AND n.label = l.label""",
-         "weekvecs")
+    FROM lab l LEFT JOIN num n ON n.product_id = l.product_id AND n.iso_week = l.iso_week AND n.label = l.label"""
+register("density_cluster", _DENSITY_WEEK, "weekvecs")
 register("kmeans_fallback", """
     SELECT label, count(*) AS n, CASE WHEN label < 5 THEN 3 ELSE count(DISTINCT vec_id % 3) END AS n_clusters,
            CASE WHEN label < 5 THEN 0 ELSE min(vec_id % 3) END AS lowest,
@@ -787,3 +792,57 @@ def _backfill_sql() -> str:
 
 
 _sql["backfill"] = _backfill_sql()
+
+
+
+def _weekly_job_sql() -> str:
+    """The main path: density clusters of the reviews that have a text, keyword groups in weeks with fewer
+    than two clusters, then the summaries and the run states."""
+    has_text = "CAST(review_id AS BIGINT) % 17 <> 0"
+    own = {
+        "todo": """
+            SELECT * FROM (SELECT product_id, iso_week FROM run_keys
+                           UNION ALL SELECT DISTINCT product_id, '2024-W40' FROM run_keys)
+            EXCEPT SELECT product_id, iso_week FROM runs WHERE status = 'COMPLETED'""",
+        "jobvecs": f"SELECT * FROM weekvecs WHERE {has_text}",
+        "joblabels": _DENSITY_WEEK.replace("weekvecs", "jobvecs"),
+        "grouped": f"""
+            WITH c AS (SELECT s.*, coalesce(l.cluster_id, -1) AS c0 FROM scrubbed s JOIN todo USING (product_id, iso_week)
+                       LEFT JOIN joblabels l ON l.product_id = s.product_id AND l.iso_week = s.iso_week
+                         AND l.review_id = s.review_id WHERE CAST(s.review_id AS BIGINT) % 17 <> 0),
+            f AS (SELECT product_id, iso_week, count(DISTINCT CASE WHEN c0 <> -1 THEN c0 END) < 2 AS fb FROM c GROUP BY ALL)
+            SELECT c.* EXCLUDE (c0), CASE WHEN fb THEN {group_sql('content')} ELSE c0 END AS cluster_id
+            FROM c JOIN f USING (product_id, iso_week)""",
+        "topg": SQL_VIEWS["topg"].replace("FROM grouped GROUP BY ALL", "FROM grouped WHERE cluster_id <> -1 GROUP BY ALL"),
+    }
+    saved = {k: SQL_VIEWS.get(k) for k in own}
+    deps = dict(_td._DEPS)
+    SQL_VIEWS.update(own)
+    _td._DEPS.update({"todo": ["runs"], "jobvecs": ["weekvecs"], "joblabels": ["jobvecs"],
+                      "grouped": ["scrubbed", "todo", "joblabels"]})
+    try:
+        return sql_with("""
+            SELECT k.product_id, k.iso_week, 'pulse-' || lower(k.product_id) || '-' || k.iso_week AS run_id,
+                   CASE WHEN t.product_id IS NULL THEN r.status WHEN s.product_id IS NULL THEN 'EMPTY'
+                        ELSE 'COMPLETED' END AS status,
+                   s.total_reviews_analyzed AS total,
+                   array_to_string(list_transform(s.top_themes, lambda x: x.name), ',') AS names,
+                   array_to_string(list_transform(s.top_themes, lambda x: CAST(x.review_count AS VARCHAR)), ',') AS counts,
+                   coalesce(j.rejects, 0) AS rejects
+            FROM (SELECT product_id, iso_week FROM todo UNION SELECT product_id, iso_week FROM runs) k
+            LEFT JOIN todo t USING (product_id, iso_week) LEFT JOIN runs r USING (product_id, iso_week)
+            LEFT JOIN summ s USING (product_id, iso_week)
+            LEFT JOIN (SELECT product_id, iso_week, count(*) AS rejects FROM reviews JOIN todo USING (product_id, iso_week)
+                       WHERE CAST(review_id AS BIGINT) % 17 = 0 GROUP BY ALL) j USING (product_id, iso_week)""",
+                        "runs", "todo", "summ")
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                SQL_VIEWS.pop(k)
+            else:
+                SQL_VIEWS[k] = v
+        _td._DEPS.clear()
+        _td._DEPS.update(deps)
+
+
+_sql["weekly_job"] = _weekly_job_sql()

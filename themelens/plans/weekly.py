@@ -13,10 +13,13 @@ from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import iso_week, keyword_group, scrub_pii
 from themelens.operators.aggregates import assemble_summary, cluster_stats, roll_up_stats
-from themelens.operators.clusters import keyword_fallback
-from themelens.operators.filters import drop_noise, noise_flags, runs_to_do
+from themelens.operators.clusters import density_cluster, keyword_fallback
+from themelens.operators.filters import drop_noise, noise_flags, review_window, runs_to_do
 from themelens.operators.themes import fallback_theme, local_themes, themes_from_stats
+from themelens.operators.windows import dedup_reviews, newest_n
 from themelens.session import checked_broadcast, stage
+from themelens.sources.tables import append_reviews, append_summaries, load_reviews, upsert_runs
+from themelens.sources.testdata import with_ord
 
 
 def split_rejects(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +72,48 @@ def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs:
                             data_window=F.col("data_window"), generated_at=gen)
 
 
+def weekly_job(reviews: DataFrame, vectors: DataFrame, requested: DataFrame, runs: DataFrame, store: str, *,
+               eps: float, min_cluster_size: int = 2, min_samples: int = 1, as_of=None, weeks: int = 4,
+               cap: int | None = None, force: bool = False, generated_at: str, **report_args) -> dict[str, str]:
+    """The main path as one job, on unified reviews (SRC3) and their vectors ``(review_id, vec)``:
+
+    F6 the keys to do -> runs IN_PROGRESS (SRC5) -> D1, F1, F7, W4 (off by default) -> null texts to the
+    rejects table -> S1 -> the review log (SRC4) -> M3 per product-week on the log's partitions of those
+    keys -> J1 -> P1's second half (A8/M5, F5, themes, T5, A9) -> the summary log (SRC6) -> runs COMPLETED,
+    or EMPTY for a requested key without reviews. Returns the paths of what it wrote under ``store``."""
+    spark, root = reviews.sparkSession, store.rstrip("/")
+    keys = list(KEYS)
+    todo = stage(runs_to_do(requested, runs, force).select(*keys).distinct(), "todo")
+    started = upsert_runs(runs, todo.withColumn("status", F.lit("IN_PROGRESS")), f"{root}/runs")
+    r = dedup_reviews(reviews) if "scraped_at" in reviews.columns else reviews
+    r = review_window(r, as_of, weeks) if as_of is not None else r
+    r = r.join(checked_broadcast(todo), keys, "left_semi")
+    r = newest_n(with_ord(r), cap).drop("ord") if cap else r
+    good, _ = split_rejects(r)
+    paths = {"reviews": f"{root}/reviews", "rejects": f"{root}/rejects", "summaries": f"{root}/summaries"}
+    review_rejects(r).write.mode("append").parquet(paths["rejects"])
+    stamped = good.withColumn("content", scrub_pii("content")).withColumn("scraped_at", F.lit(generated_at).cast("timestamp_ntz"))
+    columns = ["source", "review_id", "user_name", "rating", "content", "review_ts", *keys, "scraped_at"]
+    append_reviews(stamped.select(*columns), paths["reviews"])
+    # read back only the partitions of the keys to do; a forced re-run inserts again, so the latest copy counts
+    log = load_reviews(spark, paths["reviews"], "scraped_at timestamp_ntz").join(checked_broadcast(todo), keys, "left_semi")
+    log = stage(with_ord(dedup_reviews(log).drop("scraped_at")), "log")
+    points = log.select(*keys, "review_id").join(vectors, "review_id")
+    labels = stage(density_cluster(points, eps, min_cluster_size, min_samples, "review_id", "vec", keys), "labels")
+
+    def by_density(df: DataFrame) -> DataFrame:
+        # a review without a vector is noise
+        out = df.join(labels, [*keys, "review_id"], "left")
+        return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+
+    summaries = stage(run_weekly(log, cluster_fn=by_density, generated_at=generated_at, **report_args), "summaries")
+    append_summaries(summaries, paths["summaries"])
+    done = summaries.select(*keys, F.lit("COMPLETED").alias("status"))
+    empty = todo.join(done, keys, "left_anti").withColumn("status", F.lit("EMPTY"))
+    paths["runs"] = upsert_runs(spark.read.schema(runs.schema).parquet(started), done.unionByName(empty), f"{root}/runs")
+    return paths
+
+
 def monday_of(week: Column) -> Column:
     """Monday (a date) of an ISO week given as ``YYYY-Www`` text."""
     year = F.substring(week, 1, 4).cast("int")
