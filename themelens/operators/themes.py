@@ -235,6 +235,21 @@ def themes_from_stats(stats: DataFrame, keys=KEYS, n: int = C.TOP_THEMES) -> Dat
     return valid_themes(describe_themes(named, firsts, top.select(*on, "size"), keys))
 
 
+def themes_with_fallback(responses: DataFrame, clustered: DataFrame, top: DataFrame, keys=KEYS,
+                         stop_words: DataFrame | None = None) -> DataFrame:
+    """T2 where the model answered, T3 + T4 for top clusters without a response (their call failed), with
+    one set of used names per key. A response that cannot be parsed is a reject, not a failed call."""
+    from themelens.operators.aggregates import cluster_stats
+    on = [*keys, "cluster_id"]
+    failed = top.join(responses.select(*on), on, "left_anti").select(*on, "rank")
+    # a handful of clusters per key; Spark broadcasts them if they are small
+    rest = clustered.join(failed.select(*on), on, "left_semi")
+    local = themes_from_stats(cluster_stats(rest, stop_words, keys), keys)
+    local = local.drop("rank").join(failed, on)         # the rank among all clusters
+    answered = themes_from_responses(responses, clustered, top, keys)
+    return answered.unionByName(local.select(*answered.columns))
+
+
 # ------------------------------------------------------------------------------------------------
 # T5, T6
 # ------------------------------------------------------------------------------------------------

@@ -462,6 +462,14 @@ def q_parse_theme_responses(spark, sf_dir):
     return _flat_themes(t)
 
 
+@register("mixed_themes")
+def q_mixed_themes(spark, sf_dir):
+    """Every fourth call failed: those clusters get a local theme."""
+    g = grouped_staged(spark, sf_dir)
+    r = responses(spark, sf_dir, g).where((F.col("rank") * 3 + F.substring("product_id", 4, 4).cast("int")) % 4 != 0)
+    return _flat_themes(Th.themes_with_fallback(r, g, top_of_grouped(spark, sf_dir, g)))
+
+
 @register("valid_themes")
 def q_valid_themes(spark, sf_dir):
     parsed, _ = Th.parse_theme_responses(responses(spark, sf_dir, grouped_staged(spark, sf_dir)))

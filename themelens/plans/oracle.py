@@ -846,3 +846,40 @@ def _weekly_job_sql() -> str:
 
 
 _sql["weekly_job"] = _weekly_job_sql()
+
+
+def _mixed_themes_sql() -> str:
+    """Model themes of the answered clusters, local themes (naming over those clusters alone) of the rest."""
+    import re
+    failed = "(rank * 3 + CAST(substring(product_id, 4, 4) AS INT)) % 4 = 0"
+    chain = {"topg": "topm", "pc": "pcm", "named": "namedm", "lthemes": "lthemesm"}
+
+    def renamed(body: str) -> str:
+        for a, b in chain.items():
+            body = re.sub(rf"\b{a}\b", b, body)
+        return body
+
+    own = {b: renamed(SQL_VIEWS[a]) for a, b in chain.items() if a != "topg"}
+    own["topm"] = f"""
+        SELECT * REPLACE (row_number() OVER (PARTITION BY product_id, iso_week ORDER BY rank) AS rank)
+        FROM topg WHERE {failed}"""
+    own["responses"] = f"SELECT * FROM ({SQL_VIEWS['responses']}) WHERE NOT {failed}"
+    saved, deps = {k: SQL_VIEWS.get(k) for k in own}, dict(_td._DEPS)
+    SQL_VIEWS.update(own)
+    _td._DEPS.update({"topm": ["topg"], "pcm": ["topm", "cands"], "namedm": ["pcm"], "lthemesm": ["namedm", "firsts"]})
+    try:
+        both = """(SELECT product_id, iso_week, cluster_id, rank, name, summary, review_count, quotes, action_ideas FROM t2themes
+            UNION ALL SELECT l.product_id, l.iso_week, l.cluster_id, t.rank, l.name, l.summary, l.review_count, l.quotes,
+                             l.action_ideas FROM lthemesm l JOIN topg t USING (product_id, iso_week, cluster_id))"""
+        return sql_with(FLAT_THEMES.format(src=both), "t2themes", "lthemesm")
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                SQL_VIEWS.pop(k)
+            else:
+                SQL_VIEWS[k] = v
+        _td._DEPS.clear()
+        _td._DEPS.update(deps)
+
+
+_sql["mixed_themes"] = _mixed_themes_sql()
