@@ -19,7 +19,6 @@ CARD_MASK = "[CARD_REDACTED]"
 # FIXED VALUES: tokens are lower-cased runs of at least 5 word characters (letter, number, "_").
 # ---------------------------------------------------------------------------------------------
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{5,}"
-MIN_TOKEN_LEN = 5
 
 # ---------------------------------------------------------------------------------------------
 # FIXED VALUES: stop words, as listed (81 literals, 74 distinct; repeats are harmless).
@@ -107,14 +106,10 @@ THEME_NAME_MIN, THEME_NAME_MAX = 3, 100
 TOP_THEMES = 5
 TOP_TERMS = 10
 PROMPT_REVIEWS = 40
-OLD_PROMPT_REVIEWS = 20
-RUN_REVIEW_CAP = 300
-FETCH_REVIEW_CAP = 500
 
 # ---------------------------------------------------------------------------------------------
 # FIXED VALUES: report and message layout.
 # ---------------------------------------------------------------------------------------------
-ANCHOR = "pulse-{product_lower}-{week}"
 REPORT_TITLE = "# Weekly Review Pulse — {product} — {week}"
 REPORT_PERIOD = "**Period:** {window}"
 REPORT_TOTAL = "**Total Reviews Analyzed:** {n}"

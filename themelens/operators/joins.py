@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import normalise_whitespace, title_word
-from themelens.session import stage
+from themelens.session import checked_broadcast, is_small, stage
 
 DEFAULT_SALTS = 16
 
@@ -35,20 +35,23 @@ def functional_map_df(spark: SparkSession, pairs=C.FUNCTIONAL_MAP) -> DataFrame:
 
 
 def drop_stop_words(words: DataFrame, stop: DataFrame | None = None, col: str = "word") -> DataFrame:
-    """Anti join with the stop list. The list is a fixed 74 words, so broadcasting it is safe."""
-    stop = stop if stop is not None else stop_words_df(words.sparkSession)
+    """Anti join with the stop list. The own list is a fixed 74 words; a caller's is broadcast only after
+    a check of its size."""
+    own = stop is None
+    stop = stop_words_df(words.sparkSession) if own else stop
     stop = stop.select(F.col(stop.columns[0]).alias(col))
-    return words.join(F.broadcast(stop), col, "left_anti")
+    return words.join(F.broadcast(stop) if own else checked_broadcast(stop), col, "left_anti")
 
 
 def map_functional(words: DataFrame, col: str = "word", fmap: DataFrame | None = None) -> DataFrame:
     """Word -> formal theme name, default ``Analysis of {Word} and Product Operations``.
 
     The lookup key is ``lower(title(word))``, as the name is looked up from the title-cased word."""
-    fmap = fmap if fmap is not None else functional_map_df(words.sparkSession)
+    fmap = F.broadcast(functional_map_df(words.sparkSession)) if fmap is None else checked_broadcast(fmap)
     titled = words.withColumn("title", title_word(col)).withColumn("_k", F.lower("title"))
-    joined = titled.join(F.broadcast(fmap), F.col("_k") == F.col("map_word"), "left")
-    default = F.concat(F.lit("Analysis of "), F.col("title"), F.lit(" and Product Operations"))
+    joined = titled.join(fmap, F.col("_k") == F.col("map_word"), "left")
+    before, after = C.UNMAPPED_NAME.split("{word}")
+    default = F.concat(F.lit(before), F.col("title"), F.lit(after))
     return joined.withColumn("candidate", F.coalesce("mapped_name", default)).drop("_k", "map_word",
                                                                                   "mapped_name")
 
@@ -66,7 +69,7 @@ def _checked(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     if max_rows <= 0:
         return df, False
     staged = stage(df, "quotes")
-    return staged, staged.count() <= max_rows
+    return staged, is_small(staged, max_rows)
 
 
 def ground_quotes(quotes: DataFrame, clustered: DataFrame, keys=KEYS, salts: int = DEFAULT_SALTS,

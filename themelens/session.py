@@ -62,13 +62,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
                        "iterative operators")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialise ``df`` in the shared checkpoint folder so later stages
-    restart from there, not from the start of an iterative plan, if an executor is lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -117,10 +110,29 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     return df.repartition(want) if have < min(want, SMALL_SCAN) else df
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; beyond ``max_rows`` the join stays a shuffle
-    join (AQE may still broadcast it at run time). ``df`` is written once to the shared folder
-    first, so the check and the join read the same copy instead of computing it twice."""
+#: Written bytes (compressed Parquet) up to which a checked table may be broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
+
+
+def written_bytes(spark: SparkSession, staged: DataFrame) -> int:
+    """Bytes of a staged table's files, whatever file system they are in."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in staged.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+def is_small(staged: DataFrame, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a staged table is within both limits: bytes on disk, then rows."""
+    return written_bytes(staged.sparkSession, staged) <= max_bytes and staged.count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after checking its rows and bytes; beyond either limit the join stays a shuffle
+    join (AQE may still broadcast it at run time). ``df`` is written once to the shared folder first, so the
+    check and the join read the same copy instead of computing it twice."""
     from pyspark.sql import functions as F
     staged = stage(df, "small-side")
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    return F.broadcast(staged) if is_small(staged, max_rows, max_bytes) else staged
