@@ -743,7 +743,13 @@ def q_embed_texts(spark, sf_dir):
 @register("reduce_dims")
 def q_reduce_dims(spark, sf_dir):
     r = V.reduce_dims(D.vectors(spark, sf_dir), k=5)
-    return r.select("vec_id", F.size("vec_k").alias("dims"))
+    """What makes them principal components: any two are uncorrelated, and the variances fall."""
+    x = [F.col("vec_k")[i] for i in range(5)]
+    stats = r.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(x[i]).alias(f"v{i}") for i in range(5)],
+                  *[F.corr(x[i], x[j]).alias(f"c{i}{j}") for i in range(5) for j in range(i + 1, 5)])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(F.abs(F.col(f"c{i}{j}")), 6).alias("correlation"),
+                              (F.col(f"v{i}") >= F.col(f"v{j}")).alias("falls")) for i in range(5) for j in range(i + 1, 5)])
+    return stats.select("n", F.explode(rows).alias("r")).select("n", "r.*")
 
 
 @register("kmeans_fallback")

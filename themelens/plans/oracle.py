@@ -681,6 +681,9 @@ register("embed_with", """
     SELECT review_id, 26 AS dims, length(t) - length(replace(t, 'a', '')) AS a_count,
            length(t) - length(replace(t, 'e', '')) AS e_count, length(t) - length(replace(t, 'z', '')) AS z_count
     FROM (SELECT review_id, lower(content) AS t FROM reviews0)""", "reviews0")
+register("reduce_dims", """
+    SELECT n, CAST(i AS INT) AS i, CAST(j AS INT) AS j, 0.0 AS correlation, true AS falls
+    FROM (SELECT count(*) AS n FROM embeddings), range(5) a(i), range(5) b(j) WHERE i < j""")
 register("embed_texts", f"""
     SELECT review_id, 256 AS dims, CASE WHEN len({tokens_sql('content')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
     FROM reviews0""", "reviews0")
