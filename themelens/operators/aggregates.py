@@ -48,10 +48,10 @@ def term_counts(clustered: DataFrame, stop_words: DataFrame | None = None, keys=
 
 
 def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, keys=KEYS) -> DataFrame:
-    """A1 + A4 (+ first review) in one pass over the text: every review contributes its tokens plus
-    one marker row that carries its text, so one aggregation yields the cluster sizes, each
-    cluster's first review (marker rows) and the term counts (token rows). Both branches read the
-    same shuffle, which Spark reuses."""
+    """A1 + A4 (+ first review) from one aggregation: every review contributes its tokens plus one marker row
+    that carries its text, so the same groups yield the cluster sizes, each cluster's first review (marker
+    rows) and the term counts (token rows). Spark shares the shuffle between branches that read the same
+    columns of it; a branch that prunes some tokenises again."""
     from themelens.operators.joins import drop_stop_words
     none = F.lit(None).cast("string")
     marker = F.struct(none.alias("w"), F.col("content").alias("c"))

@@ -1,8 +1,8 @@
 """Vectors (M1, M2, J7, U1).
 
 J7 is an exact cosine self-join inside a group without emitting all pairs as rows: each group is cut
-into hash blocks of at most ``block_size`` vectors, every block pair ``(lo, hi)`` becomes one
-``applyInPandas`` group (so a task never holds more than ``2 * block_size`` vectors, however hot the
+into hash blocks of about ``block_size`` vectors, every block pair ``(lo, hi)`` becomes one
+``applyInPandas`` group (so a task holds about ``2 * block_size`` vectors, however hot the
 group), and a NumPy matrix product per block pair emits only the pairs that qualify (threshold) or
 each row's best ``k`` (kNN, merged afterwards by a group-limited window).
 """
