@@ -114,6 +114,9 @@ def test_encode_and_decode_columns(spark, vocabulary):
     both = sentencepiece_unigram.decode_column(sentencepiece_unigram.encode_column(docs, vocabulary), vocabulary).collect()
     assert all(r.decoded == r.text and (r.ids is None) == (r.text is None) for r in both)
     assert sentencepiece_unigram.encode_column(docs.limit(0), vocabulary).count() == 0
+    one = sentencepiece_unigram.round_trip(docs, vocabulary).collect()
+    assert all(r.round_trip for r in one)
+    assert {r.doc_id: r.ids for r in one} == {r.doc_id: r.ids for r in both}
 
 
 def _labelled(spark):

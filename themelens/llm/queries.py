@@ -14,7 +14,7 @@ from themelens.llm.near_duplicates import near_duplicates
 from themelens.llm.pii import pii_digest
 from themelens.llm.quality import quality_scores
 from themelens.llm.secrets import secrets_digest
-from themelens.llm.sentencepiece_unigram import MODEL, Vocabulary, decode_column, encode_column
+from themelens.llm.sentencepiece_unigram import MODEL, Vocabulary, round_trip
 from themelens.llm.sharding import shard_documents
 from themelens.llm.substrings import repeats_digest
 from themelens.llm.topk import top_k
@@ -39,12 +39,9 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the round trip: the digest of what they decode to, and whether it is the text."""
-    vocabulary = Vocabulary(MODEL)
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode_column(encode_column(docs, vocabulary), vocabulary)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       F.sha2("decoded", 256).alias("decoded_sha256"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    both = round_trip(_read(spark, sf_dir, "documents"), Vocabulary(MODEL))
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
+                       "decoded_sha256", "round_trip")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ results. Ids of control pieces decode to nothing.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from themelens.llm import words as W
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 LONG_UNIT = 512             # bytes; longer units are segmented one by one
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _UNITS = W.WordClass(set(), lower=False, seed=3)
 
 
@@ -310,6 +311,36 @@ def _decode(shared, at: int):
     return run
 
 
+def _round_trip(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for part in W.slices(batch, "text", CHUNK_BYTES):
+                ids, offsets = encode(part.column(1), v)
+                null = part.column(1).is_null()
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()),
+                                                 mask=null if part.column(1).null_count else None)
+                digests, same = [], []
+                for k, (text, gone) in enumerate(zip(part.column(1), null.to_pylist())):
+                    back = None if gone else decode(ids[offsets[k]:offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]), v)[0]
+                    same.append(back == text.as_py())
+                    digests.append(None if gone else hashlib.sha256(back.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), lists, pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+                    ["doc_id", "ids", "decoded_sha256", "round_trip"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, decoded_sha256, round_trip)``: every text encoded, its ids decoded again, and whether
+    that restores the text. One pass, one Python worker per task, and the decoded text stays in it."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(_round_trip(shared), f"doc_id {kind}, ids array<int>, decoded_sha256 string, round_trip boolean")
+
+
 def _map(docs: DataFrame, run, name: str, kind: T.DataType, alias: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
     out = docs.mapInArrow(run, schema)
