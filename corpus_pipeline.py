@@ -5,7 +5,7 @@ written as Parquet and read again as the next stage's ``docs``. All but the last
 ``documents``. Each stage calls one operator of ``themelens.llm`` on every row that its predecessor kept:
 
 1. quality: documents that the classifier rejects go.
-2. near_duplicates: one document of each group of similarity 0.85 stays (the smallest id).
+2. near_duplicates: one document of each group of similarity ``SIMILAR`` (0.8) or more stays (the smallest id).
 3. decontamination: documents that hold ten consecutive words of a benchmark item go.
 4. pii: confirmed spans are replaced by tags; ``n_chars`` follows the text.
 5. sentencepiece: token ids of every text.
@@ -26,13 +26,15 @@ from themelens.llm.quality import keep_good
 from themelens.llm.sentencepiece_unigram import MODEL, Vocabulary, encode_column
 from themelens.session import stage, table_path
 
+SIMILAR = 80                # per cent, of five-word shingles; query op10 has its own threshold
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, spark.read.parquet(table_path(sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, similar=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

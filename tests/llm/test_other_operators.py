@@ -178,3 +178,21 @@ def test_pipeline_stages_and_run(spark):
     assert last.count() == before
     ran = C.run(spark, SF)
     assert {(r.doc_id, tuple(r.ids)) for r in ran.collect()} == {(r.doc_id, tuple(r.ids)) for r in last.collect()}
+
+
+def test_pipeline_near_duplicates_from_eight_tenths_on(spark):
+    """Pairs just above and just below 0.8: only the former lose a document."""
+    import corpus_pipeline as C
+    from tests.llm import reference as R
+    rows = []
+    for i in range(12):
+        words = [f"d{i}w{k}" for k in range(304)]                       # 300 shingles
+        n = 33 if i % 2 else 34                                         # 300 - n shared: 267 / 333, 266 / 334
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-n], *(f"d{i}x{k}" for k in range(n))]))]
+    sets = {i: R.shingles(t) for i, t in rows}
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(12)]
+    assert all((0.8 <= a < 0.81) if i % 2 else (0.79 < a < 0.8) for i, a in enumerate(alike))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = C.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows if d % 4 != 3}

@@ -3,7 +3,7 @@
 1. Every text becomes a set of five-word shingles (64-bit hashes). Of 128 minima per set, 125 give 25 band
    keys of five full minima each; of every minimum only the low ``BITS`` bits are kept, packed.
 2. Texts with equal sets are one node. Nodes that share a band key are candidates: two sets of similarity
-   0.85 miss all 25 bands with probability (1 - 0.85 ** 5) ** 25, about 4e-7.
+   0.85 miss all 25 bands with probability (1 - 0.85 ** 5) ** 25, about 4e-7; two of 0.8 with 5e-5.
 3. Inside a bucket the packed signatures are compared by bit counts. Two unequal minima agree in their low
    bits with probability 2 ** -BITS, so the similarity estimate is corrected for that. Pairs far below the
    threshold (by ``MARGIN`` standard deviations) are not looked at further.
