@@ -44,6 +44,24 @@ def test_pii_added_kinds_need_their_check(spark):
     assert got == {1: "iban:5:32", 2: "", 3: "ssn:10:21", 4: ""}
 
 
+def test_iban_ends_where_its_country_says(spark):
+    gb, no = "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    texts = [f"IBAN {gb} Please pay", f"IBAN: {gb} BIC NWBKGB2L", "GB82WEST12345698765432 EUR", f"{gb} 100 {no} {gb}",
+             f"BE12 {gb} B", f"pay {gb}7", f"x{gb}", "é MT84 MALT 0110 0001 2345 MTLC AST0 01S A1", "GB82 WEST 1234 5698 7654 3",
+             f"ID12 {gb}. " * 200, "AB12 " * 4000, None]
+    docs = table(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
+    clean = {r.doc_id: r.clean for r in docs.select("doc_id", pii.redact(F.col("text")).alias("clean")).collect()}
+    assert [got[i] for i in range(3)] == ["iban:5:32", "iban:6:33", "iban:0:22"]
+    assert got[3] == "iban:0:27,iban:32:50,iban:51:78" and got[4] == "iban:5:32"
+    assert got[5] == got[6] == got[8] == got[10] == got[11] == "" and got[7] == "iban:2:40"
+    assert got[9].count("iban") == 200
+    assert [clean[i] for i in range(5)] == ["IBAN [IBAN] Please pay", "IBAN: [IBAN] BIC NWBKGB2L", "[IBAN] EUR",
+                                            "[IBAN] 100 [IBAN] [IBAN]", "BE12 [IBAN] B"]
+    assert [clean[i] for i in (5, 6, 8, 10, 11)] == [texts[i] for i in (5, 6, 8, 10, 11)]
+    assert clean[7] == "é [IBAN] A1" and clean[9] == "ID12 [IBAN]. " * 200
+
+
 def test_secret_spans(spark):
     hexes = [(100 + i, f"token = \"{R.sha(str(i))[:40]}\"") for i in range(60)]
     rows = ODD + hexes + [

@@ -48,7 +48,7 @@ def _positions(found: Column) -> Column:
 EMPTY = "array<struct<start:int,match:string,before:string,after:string>>"
 
 
-def find(text: Column, pattern: str) -> Column:
+def find(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches: ``array<struct<start, match, before, after>>`` (null text: empty).
 
     ``before`` and ``after`` are up to 48 code points of the unmatched text on either side. The second
