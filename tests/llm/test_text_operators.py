@@ -205,3 +205,17 @@ def test_licenses(spark):
     assert {(1, "MIT", 0, "MIT"), (2, None, 1, "MIT"), (3, None, 0, ""), (4, None, 3, "CC-BY-NC-4.0,MIT"), (-1, None, 0, "")} <= got
     assert licenses.license_scan(table(spark, rows)).count() == len(rows)
     assert licenses.license_scan(table(spark, rows).limit(0)).count() == 0
+
+
+def test_whole_licenses(spark):
+    from pathlib import Path
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    names = {i: f.stem for i, f in enumerate(files)}
+    assert len(names) == 12
+    rows = [(i, f.read_text()) for i, f in enumerate(files)]
+    rows += [(100 + i, "Copyright (c) 2021 A B\n" + t.replace("\n", "\r\n").upper()) for i, t in rows]
+    rows += [(200 + i, t + "\nand one more condition") for i, t in rows[:len(names)]]
+    got = {g.doc_id: (g.text_license, g.licenses) for g in licenses.license_scan(table(spark, rows)).collect()}
+    for i, name in names.items():
+        assert got[i][0] == got[100 + i][0] == name and name in got[i][1].split(","), name
+        assert got[200 + i][0] is None, name

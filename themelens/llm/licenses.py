@@ -5,7 +5,9 @@ spellings), hashed, and joined by hash to the digests of known licence texts. Th
 and so is each of its lines, because notices stand on a line of their own. A line is hashed only if a known
 entry has its canonical length; no other line can match.
 
-Native: Spark SQL functions only. The known table is a constant of a few dozen rows and is broadcast; the
+Known are the notices and short texts of ``KNOWN`` and the whole texts of ``license_texts``.
+
+Native: Spark SQL functions only. The known table is a constant of some thousand short rows and is broadcast; the
 join of line hits back to documents moves ids and digests, never text.
 
 Defined cases: null text counts as empty; its canonical form is empty and matches nothing. Documents that
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themelens.llm.license_texts import whole_texts
 from themelens.session import stage
 
 # Equivalent spellings, applied to the canonical text in this order.
@@ -81,10 +84,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``(digest, license, n_chars)`` of the known texts, one row per digest."""
+    """``(digest, license, n_chars)`` of the known texts and the whole texts, one row per digest."""
     rows = spark.createDataFrame([*known], "license string, text string")
     whole = F.array_join(canonical_lines(F.col("text")), " ")
-    return rows.select(F.sha2(whole, 256).alias("digest"), "license", F.length(whole).alias("n_chars")).groupBy(
+    more = spark.createDataFrame(whole_texts(), "digest string, license string, n_chars int")
+    return rows.select(F.sha2(whole, 256).alias("digest"), "license", F.length(whole).alias("n_chars")).unionByName(more).groupBy(
         "digest").agg(F.min("license").alias("license"), F.min("n_chars").alias("n_chars"))
 
 
