@@ -11,7 +11,7 @@ written as Parquet and read again as the next stage's ``docs``. All but the last
 5. sentencepiece: token ids of every text.
 
 Null or empty texts pass through every stage with the result that the operators define. There is no SQL form
-(model fitting, MinHash); tests compare the run with the operators' own reference forms.
+(model fitting, MinHash); tests compare stages 2 to 5 with plain Python forms, the quality decisions being given.
 """
 
 from __future__ import annotations

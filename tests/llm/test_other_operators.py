@@ -196,3 +196,36 @@ def test_pipeline_near_duplicates_from_eight_tenths_on(spark):
     kept = C.near_duplicates(spark, docs, SF)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows if d % 4 != 3}
+
+
+def test_pipeline_run_against_plain_forms(spark, vocabulary, monkeypatch, tmp_path):
+    """``run`` with given quality decisions: components at 0.8, contamination and redaction in plain Python."""
+    import corpus_pipeline as C
+    from tests.llm import reference as R
+    passage = " ".join(f"b{k}" for k in range(12))
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(304))) for i in range(6)]
+    near = [rows[0][1].split()[:-33] + [f"n{k}" for k in range(33)], rows[1][1].split()[:-34] + [f"n{k}" for k in range(34)]]
+    rows += [(10, " ".join(near[0])), (11, " ".join(near[1])), (12, rows[2][1]), (13, f"x {passage} y"), (14, f"z {passage[:20]}"),
+             (15, "mail me@host.org card 4111-1111-1111-1111 ip 10.0.0.1 call +1 (499) 555-6503 now"), (16, "poor"), (17, None), (18, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(C, "STAGES", [("quality", lambda s, d, f: d.where("doc_id <> 16")), *C.STAGES[1:]])
+
+    left = [r for r in rows if r[0] != 16]
+    left = [r for r, (d, _, least) in zip(left, R.components(left, similar=80)) if d == least]
+    left = [r for r, c in zip(left, R.contamination(left, [(1, passage)])) if not c[-1]]
+    want = {}
+    for i, text in left:
+        for kind in ("email", "phone", "card", "ip"):
+            for k, a, z in reversed(R.pii(text)):
+                if k == kind:
+                    text = f"{text[:a]}[{kind.upper()}]{text[z:]}"
+        want[i] = text or ""
+    assert set(want) == {0, 1, 2, 3, 4, 5, 11, 14, 15, 17, 18} and "@" not in want[15]
+    got = {}
+    for r in C.run(spark, str(tmp_path)).collect():
+        assert r.n_tokens == len(r.ids or [])
+        got[r.doc_id] = sentencepiece_unigram.decode(np.array(r.ids or [], np.int64), np.array([0, r.n_tokens]), vocabulary)[0]
+    assert got == want
