@@ -142,6 +142,73 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM docs d JOIN comp ON comp.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+# -- op11 --------------------------------------------------------------------------------------------------
+# equal words q apart, in stretches (islands) of every q; CRC-32 by its bitwise definition
+
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), list_transform(range(8), lambda z: CAST(z AS BIGINT))), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+OP11 = f"""
+WITH docs AS (SELECT doc_id, w, len(w) AS n, {_CRC} AS h FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents)),
+plan AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM docs),
+tail AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM plan),
+t AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS x
+      FROM (SELECT *, unnest(range(n)) AS i FROM tail)),
+same AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM t u JOIN t v ON u.doc_id = v.doc_id AND u.x = v.x AND v.i > u.i
+         WHERE 4 * (v.i - u.i) <= u.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island
+            HAVING m >= 6 AND m >= 4 * q),
+runs AS (SELECT doc_id, s, m, min(q) AS q FROM stretch GROUP BY doc_id, s, m),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.i) AS c FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY t.doc_id),
+one AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS r,
+               arg_min({{'s': s, 'm': m, 'q': q}}, {{'a': -m, 'b': s, 'c': q}}) AS best FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.m AS length, best.q AS period,
+       1000 * best.m // best.q AS exponent_milli, sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM docs LEFT JOIN one USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+# -- op12 --------------------------------------------------------------------------------------------------
+# all frequent phrases, grown from frequent ones; survival by all longer candidates
+
+
+def _grown(k: int) -> str:
+    return f"""
+o{k} AS MATERIALIZED (SELECT a.lang, a.piece, a.i, a.p || ' ' || b.p AS p FROM o{k - 1} a JOIN f{k - 1} f ON f.lang = a.lang AND f.p = a.p
+       JOIN o1 b ON b.piece = a.piece AND b.i = a.i + {k - 1}),
+f{k} AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM o{k} GROUP BY lang, p HAVING count(*) >= 100)"""
+
+
+OP12 = rf"""
+WITH pieces AS (SELECT row_number() OVER () AS piece, lang, w FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_lower('text')}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents)),
+o1 AS MATERIALIZED (SELECT lang, piece, unnest(range(len(w))) AS i, unnest(w) AS p FROM pieces WHERE len(w) > 0),
+f1 AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM o1 GROUP BY lang, p HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM o1 GROUP BY lang),
+{','.join(_grown(k) for k in range(2, 6))},
+f AS MATERIALIZED (SELECT *, len(string_split(p, ' ')) AS k FROM ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(1, 6))})),
+inside AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS p, max(f) AS top
+           FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM (SELECT lang, f, string_split(p, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+           GROUP BY ALL),
+alive AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, p) WHERE k > 1 AND (top IS NULL OR top < f)),
+cuts AS (SELECT c.lang, c.p, c.f AS a, n, c.cut, l.f AS l, r.f AS r,
+                CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+         FROM (SELECT *, string_split(p, ' ') AS w, unnest(range(1, k)) AS cut FROM alive) c JOIN n USING (lang)
+         JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.w[1:c.cut], ' ')
+         JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.w[c.cut + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM worst QUALIFY rank <= 2000"""
+
+# -- op13 --------------------------------------------------------------------------------------------------
+
+OP13 = f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_lower('text')} AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+
 def oracle() -> dict[str, str]:
     return {"op1_licenses": OP1, "op5_decontamination": OP5, "op6_pii": OP6, "op8_top_k": OP8, "op9_substrings": OP9,
-            "op10_near_duplicates": OP10}
+            "op10_near_duplicates": OP10, "op11_periodic_runs": OP11, "op12_collocations": OP12,
+            "op13_exact_duplicates": OP13}

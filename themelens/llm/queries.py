@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themelens.llm import oracle
+from themelens.llm.collocations import collocations
 from themelens.llm.decontamination import contamination_digest
+from themelens.llm.exact_duplicates import exact_duplicates_digest
 from themelens.llm.licenses import license_scan
 from themelens.llm.near_duplicates import near_duplicates
+from themelens.llm.periodic_runs import runs_digest
 from themelens.llm.pii import pii_digest
 from themelens.llm.quality import quality_scores
 from themelens.llm.secrets import secrets_digest
@@ -68,9 +71,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_licenses, op2_quality, op3_secrets, op4_sentencepiece, op5_decontamination, op6_pii, op7_sharding, op8_top_k,
-                                       op9_substrings, op10_near_duplicates)}
+                                       op9_substrings, op10_near_duplicates, op11_periodic_runs, op12_collocations,
+                                       op13_exact_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
