@@ -47,17 +47,20 @@ def text_key(text: Column) -> Column:
 
 
 def directory(per_key: DataFrame, capacity: int, depth: int) -> DataFrame:
-    """``(slot, bucket, local_depth)`` for every used slot, the first ``depth`` bits of a key. ``per_key`` is
-    ``(key, bytes)`` with one row per key."""
+    """``(slot, bucket, local_depth)`` for the slots, the first ``depth`` bits of a key. ``per_key`` is ``(key, bytes)``
+    with one row per key. A prefix that is split has split prefixes before it, so the buckets are the children
+    of split prefixes that are not split themselves."""
     slots = stage(per_key.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("slot")).agg(
         F.sum("bytes").alias("bytes"), F.count("*").alias("keys")), "slots")
-    each = slots.select("slot", "bytes", "keys", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
-    each = each.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - d)"))
-    sums = each.groupBy("d", "prefix").agg(F.sum("bytes").alias("b"), F.sum("keys").alias("k"))
-    fits = sums.where((F.col("b") <= capacity) | (F.col("k") == 1) | (F.col("d") == depth))
-    local = each.join(fits.select("d", "prefix"), ["d", "prefix"]).groupBy("slot").agg(F.min("d").alias("local_depth"))
-    bucket = F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)")
-    return stage(local.select("slot", bucket.alias("bucket"), "local_depth"), "directory")
+    each = slots.select("bytes", "keys", F.posexplode(F.array(*[F.shiftright("slot", depth - d) for d in range(depth + 1)])).alias("d", "prefix"))
+    sums = stage(each.groupBy("d", "prefix").agg(F.sum("bytes").alias("b"), F.sum("keys").alias("k")), "prefixes")
+    full = (F.col("b") > capacity) & (F.col("k") > 1) & (F.col("d") < depth)
+    split = sums.where(full).select((F.col("d") + 1).alias("d"), F.col("prefix").alias("parent"))
+    buckets = sums.where(~full).withColumn("parent", F.shiftright("prefix", 1))
+    buckets = buckets.where("d = 0").unionByName(buckets.join(split, ["d", "parent"], "left_semi").select(*buckets.columns))
+    first = F.expr(f"shiftleft(prefix, {depth} - d)")
+    covered = F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - d)") - 1)
+    return stage(buckets.select(F.explode(covered).alias("slot"), first.alias("bucket"), F.col("d").alias("local_depth")), "directory")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
