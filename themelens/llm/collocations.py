@@ -166,20 +166,19 @@ def _count(k: int, shared: Broadcast):
     return run
 
 
-def _by_lang(rows: list, value: str) -> dict[str, np.ndarray]:
+def _by_lang(rows: list) -> dict[str, list]:
     out: dict[str, list] = {}
     for r in rows:
-        out.setdefault(r["lang"], []).append(r[value])
-    return {k: np.array(v) for k, v in out.items()}
+        out.setdefault(r["lang"], []).append(r)
+    return out
 
 
 def _sent_words(words: DataFrame, hi: int, every: bool) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """At most ``SENT`` words with their counts, by language, in order of their hashes."""
     rows = (words if every else words.where(F.col("f") < hi)).select("lang", "w", "f").collect()
     out = {}
-    for lang, w in _by_lang(rows, "w").items():
-        f = np.array([r["f"] for r in rows if r["lang"] == lang])
-        w = w.astype(np.int64).view(np.uint64)
+    for lang, mine in _by_lang(rows).items():
+        w, f = np.array([r["w"] for r in mine], np.int64).view(np.uint64), np.array([r["f"] for r in mine])
         order = np.argsort(w)
         out[lang] = (w[order], f[order])
     return out
@@ -190,8 +189,8 @@ def _sent_phrases(phrases: DataFrame) -> dict[str, np.ndarray] | None:
     if phrases.count() > SENT:
         return None
     out = {}
-    for lang, keys in _by_lang(phrases.select("lang", "p").collect(), "p").items():
-        words = np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(len(keys), -1)
+    for lang, mine in _by_lang(phrases.select("lang", "p").collect()).items():
+        words = np.frombuffer(b"".join(r["p"] for r in mine), ">u8").astype(np.uint64).reshape(len(mine), -1)
         out[lang] = np.sort(_phrase_hash(words))
     return out
 
