@@ -170,13 +170,13 @@ def test_exact_duplicates(spark, monkeypatch, bucket_bytes, max_buckets, weak):
 
 
 def test_directory_splits_only_overfull_buckets(spark):
-    keys = spark.createDataFrame([(i << 40, 10) for i in range(100)] + [(-1, 5000), (1 << 62, 10)], "key long, bytes long")
-    slots = exact_duplicates.directory(keys, 300, 24).collect()
+    keys = spark.createDataFrame([(i << 52, 10) for i in range(100)] + [(-1, 5000), (1 << 62, 10)], "key long, bytes long")
+    slots = exact_duplicates.directory(keys, 300, 12).collect()
     sizes = Counter()
     for r in keys.collect():
-        slot = next(s for s in slots if s.slot == (r.key % (1 << 64)) >> 40)
+        slot = next(s for s in slots if s.slot == (r.key % (1 << 64)) >> 52)
         sizes[slot.bucket] += r.bytes
-        assert slot.bucket == slot.slot >> (24 - slot.local_depth) << (24 - slot.local_depth)
+        assert slot.bucket == slot.slot >> (12 - slot.local_depth) << (12 - slot.local_depth)
     assert sorted(sizes.values())[-1] == 5000 and all(v <= 300 for v in sorted(sizes.values())[:-1])
     assert len(sizes) >= 5
 

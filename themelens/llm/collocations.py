@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
@@ -166,19 +167,18 @@ def _count(k: int, shared: Broadcast):
     return run
 
 
-def _by_lang(rows: list) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for r in rows:
-        out.setdefault(r["lang"], []).append(r)
-    return out
+def _by_lang(rows: DataFrame) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of each language, brought to the driver: only for tables of checked size."""
+    found = rows.toArrow()
+    for lang in found["lang"].unique():
+        yield lang.as_py(), found.filter(pc.equal(found["lang"], lang))
 
 
 def _sent_words(words: DataFrame, hi: int, every: bool) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """At most ``SENT`` words with their counts, by language, in order of their hashes."""
-    rows = (words if every else words.where(F.col("f") < hi)).select("lang", "w", "f").collect()
     out = {}
-    for lang, mine in _by_lang(rows).items():
-        w, f = np.array([r["w"] for r in mine], np.int64).view(np.uint64), np.array([r["f"] for r in mine])
+    for lang, mine in _by_lang((words if every else words.where(F.col("f") < hi)).select("lang", "w", "f")):
+        w, f = mine["w"].to_numpy().view(np.uint64), mine["f"].to_numpy()
         order = np.argsort(w)
         out[lang] = (w[order], f[order])
     return out
@@ -189,8 +189,8 @@ def _sent_phrases(phrases: DataFrame) -> dict[str, np.ndarray] | None:
     if phrases.count() > SENT:
         return None
     out = {}
-    for lang, mine in _by_lang(phrases.select("lang", "p").collect()).items():
-        words = np.frombuffer(b"".join(r["p"] for r in mine), ">u8").astype(np.uint64).reshape(len(mine), -1)
+    for lang, mine in _by_lang(phrases.select("lang", "p")):
+        words = np.frombuffer(b"".join(mine["p"].to_pylist()), ">u8").astype(np.uint64).reshape(len(mine), -1)
         out[lang] = np.sort(_phrase_hash(words))
     return out
 
@@ -215,7 +215,7 @@ def count_wave(spark: SparkSession, coded: DataFrame, words: DataFrame, lo: int,
             found = stage(partial.groupBy("lang", "p").agg(F.sum("c").alias("f")).where(F.col("f") >= least), f"phrases-{k}")
             tables.append(found)
             shorter = _sent_phrases(found)
-            shared.unpersist()
+            shared.destroy()
             if shorter == {}:       # nothing to grow
                 break
     return tables
@@ -265,16 +265,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = stage(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     words = stage(counted.where(F.col("f") >= least), "frequent")
     most = words.agg(F.max("f")).first()[0]
-    lo, open_langs, tables, found = least, totals.select("lang"), [], None
+    lo, open_langs, counts, found = least, totals.select("lang"), None, None
     while most is not None and lo <= most:
         hi = lo * wave
-        tables += count_wave(spark, coded, words.join(open_langs, "lang", "left_semi"), lo, hi, least)
-        if tables:
-            counts = tables[0]
-            for t in tables[1:]:
-                counts = counts.unionByName(t)
-            # parts of a wave may count the same phrase
-            found = stage(survivors(counts.dropDuplicates(["lang", "p"]), words, totals, hi if hi <= most else None), "survivors")
+        for table in count_wave(spark, coded, words.join(open_langs, "lang", "left_semi"), lo, hi, least):
+            counts = table if counts is None else counts.unionByName(table)
+        if counts is not None:
+            counts = stage(counts.dropDuplicates(["lang", "p"]), "counts")      # parts of a wave may count the same phrase
+            found = stage(survivors(counts, words, totals, hi if hi <= most else None), "survivors")
             bound = F.floor(F.col("n") * 1000 / F.lit(hi))
             done = found.where(F.col("score") > bound).groupBy("lang").agg(F.count("*").alias("m")).where(F.col("m") >= top)
             open_langs = stage(totals.select("lang").join(done, "lang", "left_anti"), "open")
