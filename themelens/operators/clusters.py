@@ -1,8 +1,8 @@
 """Clustering (M3-M7).
 
-M3 is a flat cut of the density hierarchy at one ``eps``: core distances from J7's kNN, mutual
-reachability edges from J7's threshold join, connected components by star contraction on DataFrames,
-then a size filter. Each round is written as a table in the shared checkpoint folder (``stage``), which
+M3 takes the longest-lived clusters of the density hierarchy (``hierarchy``), or cuts it at one ``eps``: core
+distances from J7's kNN, spanning-tree edges by mutual reachability, connected components by star
+contraction on DataFrames, then a size filter. Each round is written as a table in the shared checkpoint folder (``stage``), which
 cuts the lineage like a reliable checkpoint, so a lost executor restarts from the last round, not
 from the first (and, unlike an uncached ``checkpoint()``, the round is computed only once).
 """
@@ -16,7 +16,8 @@ from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import keyword_group
 from themelens.operators.aggregates import needs_fallback
-from themelens.operators.vectors import nearest_neighbours, similar_pairs
+from themelens.operators.hierarchy import core_distances, hierarchical_labels
+from themelens.operators.vectors import similar_pairs, spanning_edges, usable_vectors
 from themelens.session import checked_broadcast, drop_staged, stage
 
 
@@ -75,34 +76,40 @@ def number_rows(df: DataFrame, order: list, out_col: str, keys=()) -> DataFrame:
             .drop("_id", "_p", "_from"))
 
 
-def density_cluster(df: DataFrame, eps: float, min_cluster_size: int = 2,
+def density_cluster(df: DataFrame, eps: float | None = None, min_cluster_size: int = 2,
                     min_samples: int = 1, id_col: str = "vec_id", vec_col: str = "vec", keys=(),
                     block_size: int = 1024) -> DataFrame:
     """M3: density labels per group, ``-1`` = noise.
 
-    Distance is cosine distance ``1 - cos``. Core distance = distance to the ``min_samples``-th
-    nearest other row; edge weight = ``greatest(core_a, core_b, d)`` (mutual reachability); edges
-    with weight <= ``eps`` join rows; components smaller than ``min_cluster_size`` are noise (so a
-    group with fewer rows than ``min_cluster_size`` is all noise). Clusters are numbered from 0 by
-    size desc, then smallest id. Output: keys, ``id_col``, ``cluster_id``."""
+    Distance is cosine distance ``1 - cos``. Core distance = distance to the ``min_samples``-th nearest other
+    row; edge weight = ``greatest(core_a, core_b, d)`` (mutual reachability). Without ``eps`` the clusters are
+    those of the density hierarchy that live longest (``hierarchy``). With ``eps`` the hierarchy is cut there: edges
+    with weight <= ``eps`` join rows, and components smaller than ``min_cluster_size`` are noise. Only edges of
+    spanning trees of block pairs are written, never all near pairs: they join the same rows at any ``eps``.
+
+    A group with fewer rows than ``min_cluster_size`` is all noise, and so are rows without a usable vector (see
+    ``usable_vectors``); a row with a null id gets -1. Clusters are numbered from 0 by size desc, then smallest
+    id. Output: keys, ``id_col``, ``cluster_id``, one row per input row."""
     keys = list(keys)
-    nn = nearest_neighbours(df, min_samples, id_col, vec_col, keys, block_size)
-    core = (nn.where(F.col("nn_rank") == min_samples)
-              .select(*keys, F.col("id").alias("_cid"), (1 - F.col("cosine")).alias("core")))
-    pairs = similar_pairs(df, 1.0 - eps, id_col, vec_col, keys, block_size)
-    e = (pairs.join(core.withColumnRenamed("_cid", "id_a").withColumnRenamed("core", "core_a"), [*keys, "id_a"])
-              .join(core.withColumnRenamed("_cid", "id_b").withColumnRenamed("core", "core_b"), [*keys, "id_b"])
-              .where(F.greatest("core_a", "core_b", 1 - F.col("cosine")) <= eps)
-              .select(*keys, F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
-    nodes = df.select(*keys, F.col(id_col).alias("id"))
-    labels = connected_components(nodes, e, keys)
-    sizes = labels.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
+    group = keys or ["_g"]      # without keys the whole table is one group
+    rows = df if keys else df.withColumn("_g", F.lit(0))
+    if eps is None:
+        labels = stage(hierarchical_labels(rows, min_cluster_size, min_samples, id_col, vec_col, group, block_size), "labels")
+    else:
+        core = core_distances(rows, min_samples, id_col, vec_col, group, block_size)
+        # a row with fewer than min_samples others has no core distance and joins nobody
+        core = core if core is None else core.withColumn("core", F.coalesce("core", F.lit(float("inf"))))
+        edges = spanning_edges(rows, core, id_col, vec_col, group, block_size).where(F.col("w") <= round(eps, 12))
+        ids = usable_vectors(rows, id_col, vec_col, group).select(*group, F.col(id_col).alias("id"))
+        labels = stage(connected_components(ids, edges.select(*group, F.col("u").alias("src"), F.col("v").alias("dst")), group), "labels")
+    sizes = labels.where(F.col("label").isNotNull()).groupBy(*group, "label").agg(
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
     kept = sizes.where(F.col("size") >= min_cluster_size)
-    numbered = number_rows(kept, [F.col("size").desc(), F.col("label")], "cluster_id", keys)
-    out = (labels.join(numbered.select(*keys, "label", "cluster_id"), [*keys, "label"], "left")
-                 .select(*keys, F.col("id").alias(id_col),
-                         F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
-    return out
+    numbered = number_rows(kept, [F.col("size").desc(), F.col("first")], "cluster_id", keys)
+    found = labels.join(numbered.select(*group, "label", "cluster_id"), [*group, "label"]).select(
+        *group, F.col("id").alias(id_col), "cluster_id")
+    return (rows.select(*group, id_col).join(found, [*group, id_col], "left")
+                .select(*keys, id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
 
 
 def kmeans_fallback(clustered: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vec", keys=(),

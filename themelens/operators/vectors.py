@@ -88,6 +88,18 @@ def _blocked(df: DataFrame, keys: list[str], id_col: str, vec_col: str, block_si
                       F.least("_b", "_j").alias("_lo"), F.greatest("_b", "_j").alias("_hi"))
 
 
+def usable_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", keys=()) -> DataFrame:
+    """The rows that can be compared: id not null, a vector of finite numbers with the most common length of
+    the table (the longer one on a tie), and for a repeated id of a key one row. Other rows have no neighbours."""
+    sizes = df.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    size = sizes.agg(F.max(F.struct("_n", "_s")).alias("m")).first()["m"]
+    if size is None:
+        return df.limit(0)
+    x = F.col(vec_col)
+    finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return df.where(F.col(id_col).isNotNull() & (F.size(x) == size["_s"]) & finite).dropDuplicates([*keys, id_col])
+
+
 def _unit(mat: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(mat, axis=1, keepdims=True)
     n[n == 0] = 1.0
@@ -97,11 +109,12 @@ def _unit(mat: np.ndarray) -> np.ndarray:
 def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "vec",
                   keys=(), block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """J7 (threshold): all pairs ``id_a < id_b`` in the same group with cosine >= ``threshold``.
-    Exact. Output: keys, ``id_a``, ``id_b``, ``cosine``."""
+    Exact. Output: keys, ``id_a``, ``id_b``, ``cosine``. Rows that ``usable_vectors`` leaves out have no pairs."""
     keys = list(keys)
     if not keys:
         return similar_pairs(df.withColumn("_g", F.lit(0)), threshold, id_col, vec_col, ["_g"],
                              block_size).drop("_g")
+    df = usable_vectors(df, id_col, vec_col, keys)
     rep = _blocked(df, keys, id_col, vec_col, block_size)
     id_type = df.schema[id_col].dataType
     out = T.StructType([df.schema[k] for k in keys] + [
@@ -134,11 +147,13 @@ def nearest_neighbours(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: s
                        keys=(), block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """J7 (kNN): each row's ``k`` most similar *other* rows in its group (ties by neighbour id).
     Each block pair emits at most ``k`` candidates per row; a group-limited ``row_number`` merges
-    them. Output: keys, ``id``, ``nbr``, ``cosine``, ``nn_rank``."""
+    them. Output: keys, ``id``, ``nbr``, ``cosine``, ``nn_rank``. Rows that ``usable_vectors`` leaves out have
+    no neighbours and are nobody's."""
     keys = list(keys)
     if not keys:
         return nearest_neighbours(df.withColumn("_g", F.lit(0)), k, id_col, vec_col, ["_g"],
                                   block_size).drop("_g")
+    df = usable_vectors(df, id_col, vec_col, keys)
     rep = _blocked(df, keys, id_col, vec_col, block_size)
     id_type = df.schema[id_col].dataType
     out = T.StructType([df.schema[c] for c in keys] + [
@@ -174,3 +189,63 @@ def nearest_neighbours(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: s
     cand = rep.groupBy(*keys, "_lo", "_hi").applyInPandas(best, out)
     w = Window.partitionBy(*keys, "id").orderBy(F.col("cosine").desc(), F.col("nbr"))
     return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+
+def spanning_edges(df: DataFrame, core: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "vec", keys=(),
+                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Edges among which every group's minimum spanning tree by mutual reachability lies.
+
+    Weight of a pair: ``greatest(core_a, core_b, 1 - cosine)``, rounded to twelve digits. ``core`` is keys,
+    ``id``, ``core``; without it the weight is the distance. Each block, and each pair of blocks, gives the edges
+    of its own spanning tree (of a pair of blocks those that cross it): an edge that is the heaviest of a cycle
+    there is so in the whole group, so none that is needed is lost. A block pair of n rows gives fewer than n
+    edges, however many of its pairs are near. Output: keys, ``u`` < ``v``, ``w``."""
+    keys = list(keys)
+    if not keys:
+        core = core if core is None else core.withColumn("_g", F.lit(0))
+        return spanning_edges(df.withColumn("_g", F.lit(0)), core, id_col, vec_col, ["_g"], block_size).drop("_g")
+    rows = usable_vectors(df.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")), "_id", "_v", keys)
+    rep = _blocked(rows, keys, "_id", "_v", block_size)
+    if core is None:
+        rep = rep.withColumn("_core", F.lit(0.0))
+    else:
+        rep = rep.join(core.select(*keys, F.col("id").alias("_id"), F.coalesce("core", F.lit(0.0)).alias("_core")), [*keys, "_id"])
+    id_type = df.schema[id_col].dataType
+    out = T.StructType([rows.schema[k] for k in keys] + [
+        T.StructField("u", id_type), T.StructField("v", id_type), T.StructField("w", T.DoubleType())])
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        crossing = pdf["_lo"].iloc[0] != pdf["_hi"].iloc[0]
+        side, ids, core_ = pdf["_b"].to_numpy(), pdf["_id"].to_numpy(), pdf["_core"].to_numpy()
+        x = _unit(np.vstack(pdf["_v"].to_numpy()).astype(np.float64))
+        a, b, w = minimum_spanning_tree(x, core_)
+        if crossing:
+            keep = side[a] != side[b]
+            a, b, w = a[keep], b[keep], w[keep]
+        first, second = ids[a], ids[b]
+        swap = first > second
+        res = pd.DataFrame({"u": np.where(swap, second, first), "v": np.where(swap, first, second), "w": w})
+        for k in keys:
+            res.insert(len(res.columns) - 3, k, pdf[k].iloc[0])
+        return res[out.names]
+
+    return rep.groupBy(*keys, "_lo", "_hi").applyInPandas(tree, out)
+
+
+def minimum_spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prim's tree of the rows of ``x`` (unit vectors): ends and weights of its edges."""
+    n, sim = len(x), x @ x.T
+    left = np.arange(1, n)                      # rows outside the tree, their nearest row in it and its distance
+    best, near, last = np.full(n - 1, np.inf), np.zeros(n - 1, np.int64), 0
+    a, b, w = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1)
+    for k in range(n - 1):
+        d = np.round(np.maximum(np.maximum(1 - sim[last][left], core[left]), core[last]), 12)
+        d = np.maximum(d, 0.0)
+        closer = d < best
+        best[closer], near[closer] = d[closer], last
+        i = int(np.argmin(best))
+        a[k], b[k], w[k], last = near[i], left[i], best[i], left[i]
+        end = len(left) - 1                     # drop it by moving the last one into its place
+        left[i], best[i], near[i] = left[end], best[end], near[end]
+        left, best, near = left[:end], best[:end], near[:end]
+    return a, b, w

@@ -681,6 +681,7 @@ def q_keyword_fallback(spark, sf_dir):
 # J7, M1-M7, U1 on the embeddings table (one whole-table group: blocks split it)
 # ------------------------------------------------------------------------------------------------
 from themelens.operators import clusters as M  # noqa: E402
+from themelens.operators import hierarchy as H  # noqa: E402
 from themelens.operators import vectors as V  # noqa: E402
 
 PAIR_THRESHOLD = 0.40
@@ -720,6 +721,32 @@ def q_density_cluster_table(spark, sf_dir):
                              block_size=VEC_BLOCK)
 
 
+def _week_vectors(spark, sf_dir):
+    v = D.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("review_id"), "vec")
+    return D.reviews(spark, sf_dir, with_order=False).select(*KEYS, "review_id").join(v, "review_id")
+
+
+@register("spanning_forest")
+def q_spanning_forest(spark, sf_dir):
+    """Weight of each product-week's minimum spanning tree of mutual reachability (two samples)."""
+    rows = _week_vectors(spark, sf_dir)
+    core = H.core_distances(rows, 2, "review_id", "vec", KEYS, VEC_BLOCK)
+    forest = H.spanning_forest(V.spanning_edges(rows, core, "review_id", "vec", KEYS, block_size=8), KEYS)
+    return forest.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+@register("density_hierarchy")
+def q_density_hierarchy(spark, sf_dir):
+    """Clusters of the hierarchy, without a threshold, in every product-week."""
+    return M.density_cluster(_week_vectors(spark, sf_dir), min_cluster_size=2, id_col="review_id", keys=KEYS, block_size=VEC_BLOCK)
+
+
+@register("density_hierarchy_table")
+def q_density_hierarchy_table(spark, sf_dir):
+    """The whole vector table as one group, by spanning edges of its block pairs."""
+    return M.density_cluster(D.vectors(spark, sf_dir), min_cluster_size=3, min_samples=2, block_size=VEC_BLOCK)
+
+
 @register("merge_similar_clusters")
 def q_merge_similar_clusters(spark, sf_dir):
     v = D.vectors(spark, sf_dir).withColumnRenamed("label", "cluster_id")

@@ -671,6 +671,26 @@ _DENSITY_WEEK = f"""
     SELECT l.product_id, l.iso_week, l.node AS review_id, coalesce(n.cluster_id, -1) AS cluster_id
     FROM lab l LEFT JOIN num n ON n.product_id = l.product_id AND n.iso_week = l.iso_week AND n.label = l.label"""
 register("density_cluster", _DENSITY_WEEK, "weekvecs")
+# Prim: a tree grows from the smallest id by the lightest edge that leaves it
+register("spanning_forest", """
+    WITH RECURSIVE p AS (
+        SELECT a.product_id, a.iso_week, a.review_id AS a, b.review_id AS b, 1 - list_cosine_similarity(a.vec, b.vec) AS d
+        FROM weekvecs a JOIN weekvecs b
+          ON a.product_id = b.product_id AND a.iso_week = b.iso_week AND a.review_id <> b.review_id),
+    core AS (SELECT product_id, iso_week, a AS id, coalesce(nth_value(d, 2) OVER (PARTITION BY product_id, iso_week, a ORDER BY d
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS core FROM p),
+    one AS (SELECT DISTINCT * FROM core),
+    e AS (SELECT p.product_id, p.iso_week, a, b, round(greatest(d, ca.core, cb.core), 12) AS w FROM p
+          JOIN one ca ON ca.product_id = p.product_id AND ca.iso_week = p.iso_week AND ca.id = a
+          JOIN one cb ON cb.product_id = p.product_id AND cb.iso_week = p.iso_week AND cb.id = b),
+    prim(product_id, iso_week, held, edges, weight) AS (
+        SELECT product_id, iso_week, [min(a)], CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM e GROUP BY ALL
+        UNION ALL
+        SELECT r.product_id, r.iso_week, list_append(r.held, arg_min(e.b, e.w)), r.edges + 1, r.weight + min(e.w)
+        FROM prim r JOIN e ON e.product_id = r.product_id AND e.iso_week = r.iso_week
+             AND list_contains(r.held, e.a) AND NOT list_contains(r.held, e.b)
+        GROUP BY r.product_id, r.iso_week, r.held, r.edges, r.weight)
+    SELECT product_id, iso_week, max(edges) AS edges, round(max(weight), 6) AS weight FROM prim GROUP BY ALL""", "weekvecs")
 register("kmeans_fallback", """
     SELECT label, count(*) AS n, CASE WHEN label < 5 THEN 3 ELSE count(DISTINCT vec_id % 3) END AS n_clusters,
            CASE WHEN label < 5 THEN 0 ELSE min(vec_id % 3) END AS lowest,

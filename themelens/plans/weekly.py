@@ -73,7 +73,7 @@ def run_weekly(reviews: DataFrame, *, requested: DataFrame | None = None, runs:
 
 
 def weekly_job(reviews: DataFrame, vectors: DataFrame, requested: DataFrame, runs: DataFrame, store: str, *,
-               eps: float, min_cluster_size: int = 2, min_samples: int = 1, as_of=None, weeks: int = 4,
+               eps: float | None = None, min_cluster_size: int = 2, min_samples: int = 1, as_of=None, weeks: int = 4,
                cap: int | None = None, force: bool = False, generated_at: str, **report_args) -> dict[str, str]:
     """The main path as one job, on unified reviews (SRC3) and their vectors ``(review_id, vec)``:
 
