@@ -119,3 +119,46 @@ def test_embed_and_user_hook(spark):
     assert sorted(r.vec[0] for r in hooked) == [14.0, 17.0]
     with pytest.raises(Exception):
         V.embed_with(df, lambda ts: []).collect()
+
+
+def _clustered(n_clusters, size, spread, dims=16, seed=9):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_clusters, dims))
+    return np.vstack([c + spread * rng.normal(size=(size, dims)) for c in centres])
+
+
+def test_block_pairs_are_skipped_on_clustered_vectors(spark):
+    """Same answers as brute force, and most block pairs are never built."""
+    mat = _clustered(24, 50, 0.05)
+    s = _cos(mat)
+    v = _vecs(spark, mat).withColumn("k", F.lit("a"))
+    want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i, j] >= 0.9}
+    assert {(r.id_a, r.id_b) for r in V.similar_pairs(v, 0.9, keys=["k"], block_size=50).collect()} == want
+    np.fill_diagonal(s, -np.inf)
+    by = {}
+    for r in V.nearest_neighbours(v, 5, keys=["k"], block_size=50).collect():
+        by.setdefault(r.id, []).append((r.nn_rank, r.nbr))
+    for i in range(len(s)):
+        assert [n for _, n in sorted(by[i])] == sorted(range(len(s)), key=lambda j: (-s[i, j], j))[:5]
+    rows, blocks, angles = V._cut(v, ["k"], "vec_id", "vec", 50)
+    every = V.block_pairs(blocks, angles, ["k"])
+    total = every.count()
+    kept = every.where("_lo = _hi OR _gap <= acos(0.9)").count()
+    n_blocks = blocks.count()
+    assert total == n_blocks * (n_blocks + 1) // 2 and n_blocks >= 24
+    assert kept <= 0.35 * total, (kept, total)
+    assert rows.count() == len(mat) and blocks.agg(F.max("_n")).first()[0] <= 100
+
+
+def test_pivot_blocks_of_mixed_groups_and_zero_vectors(spark):
+    rng = np.random.default_rng(2)
+    mat = np.vstack([rng.normal(size=(90, 4)), np.zeros((3, 4)), -np.ones((4, 4))])
+    group = [0] * 80 + [1] * 17
+    s = _cos(np.where(np.abs(mat).sum(axis=1, keepdims=True) > 0, mat, 1e-300))
+    zero = np.abs(mat).sum(axis=1) == 0
+    s[zero, :] = 0
+    s[:, zero] = 0
+    for threshold in (0.3, -0.2, 1.0 - 1e-9):
+        want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i, j] >= threshold and group[i] == group[j]}
+        got = V.similar_pairs(_vecs(spark, mat, group), threshold, keys=["g"], block_size=15).collect()
+        assert {(r.id_a, r.id_b) for r in got} == want

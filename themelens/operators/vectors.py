@@ -1,10 +1,11 @@
 """Vectors (M1, M2, J7, U1).
 
 J7 is an exact cosine self-join inside a group without emitting all pairs as rows: each group is cut
-into hash blocks of about ``block_size`` vectors, every block pair ``(lo, hi)`` becomes one
+into blocks of at most about ``block_size`` near vectors, a block pair ``(lo, hi)`` becomes one
 ``applyInPandas`` group (so a task holds about ``2 * block_size`` vectors, however hot the
 group), and a NumPy matrix product per block pair emits only the pairs that qualify (threshold) or
-each row's best ``k`` (kNN, merged afterwards by a group-limited window).
+each row's best ``k`` (kNN, merged afterwards by a group-limited window). Blocks gather around pivots, and
+a block pair whose angle bound shows that it holds nothing is skipped.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themelens.functions.text import flatten_newlines, tokens
+from themelens.session import stage
 
 DEFAULT_BLOCK = 1024
+MAX_PIVOTS = 256            # vectors that the driver and every task hold to bound angles
+SAMPLE_PER_PIVOT = 16
 
 
 # ------------------------------------------------------------------------------------------------
@@ -106,16 +110,86 @@ def _unit(mat: np.ndarray) -> np.ndarray:
     return mat / n
 
 
+def _cut(df: DataFrame, keys: list[str], id_col: str, vec_col: str, block_size: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows cut into blocks of near vectors: (keys, ``_id``, ``_v``, ``_b``), the blocks (keys, ``_b``, ``_cell``,
+    ``_radius``, ``_n``) and the angles between pivots; the last two are None if every group is one block.
+
+    Pivots are at most ``MAX_PIVOTS`` vectors, far apart from each other, of a sample by the hash of the ids
+    (``SAMPLE_PER_PIVOT`` each) of groups with several blocks; they only decide what can be skipped. A row belongs
+    to its nearest pivot's cell, and a cell with too many rows is cut by the hash of the id."""
+    rows = df.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    largest = counts.agg(F.max("_size")).first()[0] or 0
+    if largest <= block_size:
+        return rows.withColumn("_b", F.lit(0).cast("long")), None, None
+    rows = stage(rows.join(counts, keys), "vectors")
+    several = F.col("_size") > block_size
+    n_pivots = min(MAX_PIVOTS, -(-largest * 5 // (block_size * 4)))
+    sample = rows.where(several).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE_PER_PIVOT * n_pivots)
+    pivots = _far_apart(_unit(np.array([r["_v"] for r in sample.select("_v").collect()], np.float64)), n_pivots)
+
+    @F.pandas_udf("struct<cell:int,angle:double>")
+    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
+        angle = np.arccos(np.clip(_unit(np.vstack(vectors.to_numpy()).astype(np.float64)) @ pivots.T, -1, 1))
+        cell = angle.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle[np.arange(len(cell)), cell]})
+
+    placed = rows.where(several).withColumn("_p", nearest_pivot("_v")).select(*keys, "_id", "_v", F.col("_p.cell").alias("_cell"), F.col("_p.angle").alias("_angle"))
+    placed = stage(placed.unionByName(rows.where(~several).select(*keys, "_id", "_v", F.lit(0).alias("_cell"), F.lit(0.0).alias("_angle"))), "cells")
+    parts = placed.groupBy(*keys, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_size)).alias("_parts"))
+    number = F.col("_cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("_id"), F.col("_parts"))
+    placed = placed.join(parts, [*keys, "_cell"]).withColumn("_b", number)
+    blocks = stage(placed.groupBy(*keys, "_b").agg(F.first("_cell").alias("_cell"), F.max("_angle").alias("_radius"),
+                                                   F.count(F.lit(1)).alias("_n")), "blocks")
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    k = len(pivots)
+    angles = df.sparkSession.createDataFrame(pd.DataFrame({
+        "_ca": np.repeat(np.arange(k, dtype=np.int32), k), "_cb": np.tile(np.arange(k, dtype=np.int32), k), "_between": between.ravel()}))
+    return placed.select(*keys, "_id", "_v", "_b"), blocks, angles
+
+
+def _far_apart(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of unit vectors: each the one farthest from those before it."""
+    chosen, nearest = [0], sample @ sample[0]
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def block_pairs(blocks: DataFrame, angles: DataFrame, keys) -> DataFrame:
+    """Pairs of blocks of a group, ``_lo`` <= ``_hi``, with ``_gap``: no vector of one is at a smaller angle to one of
+    the other (the angle is a metric: pivots' angle less both radii). One row per block and partner, not per row."""
+    keys = list(keys)
+    side = lambda a, b: blocks.select(*keys, F.col("_b").alias(a), *[F.col(c).alias(c + b) for c in blocks.columns if c not in (*keys, "_b", "_cell")],
+                                      F.col("_cell").alias(f"_c{b}"))
+    pairs = side("_lo", "a").join(side("_hi", "b"), keys).where(F.col("_lo") <= F.col("_hi"))
+    gap = F.greatest(F.lit(0.0), F.col("_between") - F.col("_radiusa") - F.col("_radiusb") - 1e-7)
+    return pairs.join(F.broadcast(angles), ["_ca", "_cb"]).withColumn("_gap", gap)
+
+
+def _dealt(rows: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row once for every pair that its block is in."""
+    both = pairs.select(*keys, "_lo", "_hi", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_b"))
+    return rows.join(both, [*keys, "_b"]).select(*keys, "_id", "_v", "_b", "_lo", "_hi")
+
+
 def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "vec",
                   keys=(), block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """J7 (threshold): all pairs ``id_a < id_b`` in the same group with cosine >= ``threshold``.
-    Exact. Output: keys, ``id_a``, ``id_b``, ``cosine``. Rows that ``usable_vectors`` leaves out have no pairs."""
+    """J7 (threshold): all pairs ``id_a < id_b`` in the same group with cosine >= ``threshold``. Exact: pairs of
+    blocks are skipped only if their ``_gap`` exceeds the threshold's angle. Output: keys, ``id_a``, ``id_b``,
+    ``cosine``. Rows that ``usable_vectors`` leaves out have no pairs."""
     keys = list(keys)
     if not keys:
         return similar_pairs(df.withColumn("_g", F.lit(0)), threshold, id_col, vec_col, ["_g"],
                              block_size).drop("_g")
-    df = usable_vectors(df, id_col, vec_col, keys)
-    rep = _blocked(df, keys, id_col, vec_col, block_size)
+    rows, blocks, angles = _cut(usable_vectors(df, id_col, vec_col, keys), keys, id_col, vec_col, block_size)
+    if blocks is None:
+        rep = rows.withColumn("_lo", F.col("_b")).withColumn("_hi", F.col("_b"))
+    else:
+        reach = float(np.arccos(np.clip(threshold, -1, 1)))
+        near = block_pairs(blocks, angles, keys).where((F.col("_lo") == F.col("_hi")) | (F.col("_gap") <= reach))
+        rep = _dealt(rows, near, keys)
     id_type = df.schema[id_col].dataType
     out = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("id_a", id_type), T.StructField("id_b", id_type),
@@ -125,8 +199,6 @@ def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_c
         lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
         a = pdf[pdf["_b"] == lo]
         b = a if lo == hi else pdf[pdf["_b"] == hi]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=out.names)
         xa = _unit(np.vstack(a["_v"].to_numpy()).astype(np.float64))
         xb = xa if lo == hi else _unit(np.vstack(b["_v"].to_numpy()).astype(np.float64))
         sim = xa @ xb.T
@@ -146,17 +218,17 @@ def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_c
 def nearest_neighbours(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vec",
                        keys=(), block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """J7 (kNN): each row's ``k`` most similar *other* rows in its group (ties by neighbour id).
-    Each block pair emits at most ``k`` candidates per row; a group-limited ``row_number`` merges
-    them. Output: keys, ``id``, ``nbr``, ``cosine``, ``nn_rank``. Rows that ``usable_vectors`` leaves out have
-    no neighbours and are nobody's."""
+
+    First every block by itself, which bounds the angle of each row's k-th neighbour; then the pairs of blocks
+    whose ``_gap`` is within the larger bound of the two, so the result is exact. Each block pair emits at
+    most ``k`` candidates per row; a group-limited ``row_number`` merges them. Output: keys, ``id``, ``nbr``,
+    ``cosine``, ``nn_rank``. Rows that ``usable_vectors`` leaves out have no neighbours and are nobody's."""
     keys = list(keys)
     if not keys:
         return nearest_neighbours(df.withColumn("_g", F.lit(0)), k, id_col, vec_col, ["_g"],
                                   block_size).drop("_g")
-    df = usable_vectors(df, id_col, vec_col, keys)
-    rep = _blocked(df, keys, id_col, vec_col, block_size)
     id_type = df.schema[id_col].dataType
-    out = T.StructType([df.schema[c] for c in keys] + [
+    out = T.StructType([df.schema[c] for c in keys] + [T.StructField("_b", T.LongType()),
         T.StructField("id", id_type), T.StructField("nbr", id_type), T.StructField("cosine", T.DoubleType())])
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,15 +252,32 @@ def nearest_neighbours(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: s
             cols = order.reshape(-1)
             s = sim[rows, cols]
             ok = np.isfinite(s)
-            parts.append(pd.DataFrame({"id": xid[rows][ok], "nbr": yid[cols][ok], "cosine": s[ok]}))
-        res = pd.concat(parts) if parts else pd.DataFrame(columns=["id", "nbr", "cosine"])
+            parts.append(pd.DataFrame({"_b": x["_b"].iloc[0], "id": xid[rows][ok], "nbr": yid[cols][ok], "cosine": s[ok]}))
+        res = pd.concat(parts) if parts else pd.DataFrame(columns=["_b", "id", "nbr", "cosine"])
         for c in keys:
-            res.insert(len(res.columns) - 3, c, pdf[c].iloc[0])
+            res.insert(len(res.columns) - 4, c, pdf[c].iloc[0])
         return res[out.names]
 
-    cand = rep.groupBy(*keys, "_lo", "_hi").applyInPandas(best, out)
+    rows, blocks, angles = _cut(usable_vectors(df, id_col, vec_col, keys), keys, id_col, vec_col, block_size)
+    own = rows.withColumn("_lo", F.col("_b")).withColumn("_hi", F.col("_b"))
+    cand = own.groupBy(*keys, "_lo", "_hi").applyInPandas(best, out)
+    if blocks is not None:
+        cand = stage(cand, "own-block")
+        near = neighbour_block_pairs(blocks, angles, cand, k, keys)
+        cand = cand.unionByName(_dealt(rows, near, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(best, out))
     w = Window.partitionBy(*keys, "id").orderBy(F.col("cosine").desc(), F.col("nbr"))
-    return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+    return cand.drop("_b").withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+
+def neighbour_block_pairs(blocks: DataFrame, angles: DataFrame, own: DataFrame, k: int, keys) -> DataFrame:
+    """The pairs of different blocks that may hold a k-th neighbour, given each row's best ``k`` of its own block."""
+    keys = list(keys)
+    # a block of more than k rows gives every row k candidates, so the worst of them all is a bound
+    worst = own.groupBy(*keys, "_b").agg(F.min("cosine").alias("_worst"))
+    reach = F.when(F.col("_n") > k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_worst")))) + 1e-7).otherwise(F.lit(float(np.pi)))
+    bounded = stage(blocks.join(worst, [*keys, "_b"], "left").withColumn("_reach", reach).drop("_worst"), "bounded")
+    return block_pairs(bounded, angles, keys).where(
+        (F.col("_lo") < F.col("_hi")) & (F.col("_gap") <= F.greatest("_reacha", "_reachb")))
 
 
 def spanning_edges(df: DataFrame, core: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "vec", keys=(),
