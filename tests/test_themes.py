@@ -62,6 +62,49 @@ def test_grounding_is_salted_but_exact(spark, crash_cluster):
         assert [r.quote for r in got_loose] == loose
 
 
+def _many_quotes(n_reviews=120, per_review=12):
+    import random
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(2000)] + ["The", "app", "É"] * 100
+    reviews = [" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(n_reviews)]
+    reviews += ["", "  the   APP  ", "one app crashes here"]
+    quotes = []
+    for r in reviews[:n_reviews]:
+        for _ in range(per_review):
+            a = rng.randrange(len(r) - 5)
+            quotes.append(r[a:a + rng.randrange(3, 60)].upper() if rng.random() < 0.5 else r[a:a + rng.randrange(3, 60)])
+    return reviews, quotes + ["no such words in any review at all", "word1 wordless word2", "", "app", "pp cra", "app crashe"] * 2
+
+
+def test_containment_index_equals_comparing_all(spark):
+    """Beyond FEW_QUOTES quotes in a cluster: the same answers from far fewer comparisons."""
+    reviews, quotes = _many_quotes()
+    clustered = spark.createDataFrame([("p", "2026-W20", 0, str(i), i, t) for i, t in enumerate(reviews)],
+                                      "product_id string, iso_week string, cluster_id int, review_id string, ord int, content string")
+    assert len(quotes) > J.FEW_QUOTES
+    got = {r.quote_idx: (r.text, r.source_review_id) for r in J.ground_quotes(_quotes(spark, quotes), clustered).collect()}
+    want = {}
+    for i, q in enumerate(quotes):
+        qn = " ".join(q.split()).lower()
+        for k, r in enumerate(reviews):
+            rn = " ".join(r.split())
+            if qn in rn.lower():
+                at = rn.lower().find(qn)
+                want[i] = (rn[at:at + len(qn)], str(k))
+                break
+    assert got == want
+    loose = {r.quote_idx for r in J.ground_quotes_loose(_quotes(spark, quotes), clustered).collect()}
+    assert loose == {i for i, q in enumerate(quotes) if any(q.lower() in r.lower() for r in reviews)}
+    on = ["product_id", "iso_week", "cluster_id"]
+    q = _quotes(spark, quotes).withColumn("_ql", F.lower("quote"))
+    r = clustered.select(*on, F.col("ord").alias("_rid"), F.lower("content").alias("_rl"))
+    long = q.count() - J.short_quotes(q).count()
+    compared = J.containment_candidates(q, r, on).count()
+    assert long > 700 and compared <= 0.08 * long * len(reviews), (compared, long * len(reviews))
+    assert J.ground_quotes(_quotes(spark, quotes), clustered.limit(0)).count() == 0
+    assert J.ground_quotes(_quotes(spark, quotes).limit(0), clustered, broadcast_max_rows=0).count() == 0
+
+
 RESPONSES = [
     (0, '{"name": "Login Failure After Update", "summary": "A. B.", "quotes": ["the APP crashes"], '
         '"action_ideas": [{"title": "Fix", "description": "Now"}]}'),
