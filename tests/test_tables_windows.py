@@ -2,6 +2,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from themelens.operators import filters as Fl
@@ -169,6 +170,29 @@ def test_stream_keeps_late_files(spark, tmp_path):
         assert sorted(ids) == sorted([f"{w}-{i}" for w in (1, 2, 3, 4) for i in range(5)] + ["9-0"] * extra)
 
 
+def test_stream_state_holds_the_keys_not_the_sink(spark, tmp_path):
+    """A micro-batch reads its own files only, and a restarted query knows the keys of the one before."""
+    schema = "product_id string, iso_week string, source string, review_id string, content string, review_ts timestamp_ntz"
+    landing, sink, ckpt = str(tmp_path / "landing"), str(tmp_path / "sink"), str(tmp_path / "ckpt")
+    kind = spark.createDataFrame([], schema).schema
+    seen = set()
+    for run in range(3):
+        ids = [*(f"{run}-{i}" for i in range(20)), *(f"{max(0, run - 1)}-{i}" for i in range(5)), f"{run}-0", None, None]
+        seen |= set(ids)
+        rows = [("p", "w", "google_play", i, "x", dt.datetime(2026, 5, 1)) for i in ids]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        q = St.stream_reviews(spark, landing, kind, sink, ckpt)
+        q.awaitTermination()
+        last = [p for p in q.recentProgress if p["numInputRows"]][-1]
+        assert last["numInputRows"] == len(ids)                 # not the rows of earlier batches
+        assert last["stateOperators"][0]["numRowsTotal"] == len(seen)
+        assert any("rocksdb" in k.lower() for k in last["stateOperators"][0]["customMetrics"])
+        got = [r.review_id for r in St.load_stream(spark, sink, kind).collect()]
+        assert len(got) == len(seen) and set(got) == seen
+    with pytest.raises(ValueError):
+        St.stream_reviews(spark, landing, kind, sink, str(tmp_path / "another"))
+
+
 def test_feed_rejects_and_stored_ids(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/good.json").write_text(json.dumps({"feed": {"entry": []}}, indent=1))

@@ -932,12 +932,13 @@ def q_write_reports(spark, sf_dir):
 def q_stream_reviews(spark, sf_dir):
     r = D.reviews(spark, sf_dir, with_order=False)
     landing = St.scratch(spark, "landing-reviews")
-    # four parts land one after another, newest first inside each, one file per micro-batch; one part twice
+    # four parts land one after another, one of them twice; a micro-batch takes about a part's files
     late = F.pmod(F.dayofyear("review_ts"), F.lit(4))
     for part in (3, 2, 1, 0, 3):
-        r.where(late == part).orderBy(F.desc("review_ts")).coalesce(1).write.mode("append").parquet(landing)
+        r.where(late == part).repartitionByRange(F.desc("review_ts")).write.mode("append").parquet(landing)
+    files = len(spark.read.schema(r.schema).parquet(landing).inputFiles())
     sink = St.scratch(spark, "sink-reviews")
-    q = St.stream_reviews(spark, landing, r.schema, sink, St.scratch(spark, "ckpt-reviews"), max_files=1)
+    q = St.stream_reviews(spark, landing, r.schema, sink, St.scratch(spark, "ckpt-reviews"), max_files=max(1, files // 5))
     q.awaitTermination()
     out = St.load_stream(spark, sink, r.schema)
     return out.select("product_id", "iso_week", "source", "review_id", "content")
@@ -947,8 +948,8 @@ def q_stream_reviews(spark, sf_dir):
 def q_weekly_counts_stream(spark, sf_dir):
     e = D.table(spark, sf_dir, "events")
     landing = St.scratch(spark, "landing-events")
-    # in order of time, whatever weeks there are: one file per part of the time range
-    e.repartitionByRange(5, "ts").write.parquet(landing)
+    # in order of time: one file per part of the time range, as many as Spark makes
+    e.repartitionByRange("ts").write.parquet(landing)
     table = St.scratch(spark, "weekly-counts")
     q = St.weekly_counts_stream(spark, landing, e.schema, table, St.scratch(spark, "ckpt-weekly"))
     q.awaitTermination()

@@ -1,7 +1,7 @@
 """Structured Streaming (ST1, ST2).
 
-ST1 reads newly landed review files, scrubs them and appends those whose ``(source, review_id)`` the sink
-does not hold yet, however late they land. ST2 keeps weekly counts per product (Monday-based tumbling windows) in update
+ST1 reads newly landed review files, scrubs them and appends those whose ``(source, review_id)`` it has not
+seen yet, however late they land; the keys seen are state of the query. ST2 keeps weekly counts per product (Monday-based tumbling windows) in update
 mode and upserts each micro-batch into a keyed Parquet table. Both run with a checkpoint in the
 shared checkpoint folder, so a restarted query resumes where it stopped; ``availableNow`` drains what
 has landed and stops (the batch-style way to run a stream).
@@ -33,18 +33,10 @@ def instant_as_ntz(c: Column, tz: str) -> Column:
     return F.to_utc_timestamp(c, tz).cast("timestamp_ntz")
 
 
-def append_new(batch: DataFrame, epoch: int, sink: str, keys: list[str], part: str) -> None:
-    """Append the rows of a micro-batch whose keys the sink does not hold: one row per key (equal keys: the
-    greatest row). Of the sink only the key columns are read. A batch is written to a folder of its own, so
-    a replayed batch replaces itself."""
-    spark = batch.sparkSession
-    own = f"batch={epoch}"
-    cols = [c for c in batch.columns if c not in keys]
-    new = batch.groupBy(*keys).agg(F.max(F.struct(*cols)).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
-    if path_exists(spark, sink):
-        held = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(sink)
-        new = new.join(held.where(F.col("batch") != epoch).select(*keys), keys, "left_anti")
-    new.write.mode("overwrite").partitionBy(part).parquet(f"{sink.rstrip('/')}/{own}")
+def append_batch(batch: DataFrame, epoch: int, sink: str, part: str) -> None:
+    """Append a micro-batch in a folder of its own, so a replayed batch replaces itself. Nothing that the sink
+    holds is read."""
+    batch.write.mode("overwrite").partitionBy(part).parquet(f"{sink.rstrip('/')}/batch={epoch}")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -53,18 +45,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Seen keys live here: state on local disk with its changes in the checkpoint, so it may exceed memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_reviews(spark: SparkSession, landing: str, schema, sink: str, checkpoint: str,
                    max_files: int | None = None):
-    """ST1: start the ingest stream; returns the ``StreamingQuery`` (``availableNow`` trigger). A review is
-    kept once per ``(source, review_id)``; how files fall into micro-batches, and how late a review lands,
-    changes nothing. The sink is partitioned by batch and ISO week; read it with ``load_stream``."""
+    """ST1: start the ingest stream; returns the ``StreamingQuery`` (``availableNow`` trigger).
+
+    A review is kept once per ``(source, review_id)``: the keys seen so far are the query's state, partitioned
+    by key and versioned in ``checkpoint``, without a watermark. So a micro-batch reads its own files only,
+    however large the sink is; how files fall into micro-batches, how late a review lands and restarts change
+    nothing. Of copies that land in one micro-batch any one is kept. Null sources or ids are keys like others.
+    The sink is partitioned by batch and ISO week; read it with ``load_stream``. It belongs to its checkpoint:
+    a sink that exists without one is refused, as its keys would be unknown."""
+    if path_exists(spark, sink) and not path_exists(spark, checkpoint):
+        raise ValueError(f"{sink} exists but its checkpoint {checkpoint} does not: the keys it holds are unknown")
     src = spark.readStream.schema(schema)
     if max_files:
         src = src.option("maxFilesPerTrigger", max_files)
-    s = src.parquet(landing).withColumn("content", scrub_pii("content"))
-    keys = ["source", "review_id"]
-    return (s.writeStream.foreachBatch(lambda b, epoch: append_new(b, epoch, sink, keys, "iso_week"))
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    s = src.parquet(landing).dropDuplicates(["source", "review_id"]).withColumn("content", scrub_pii("content"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)       # a query keeps the settings it starts with
+    try:
+        return (s.writeStream.foreachBatch(lambda b, epoch: append_batch(b, epoch, sink, "iso_week"))
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(name, before)
 
 
 def load_stream(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
