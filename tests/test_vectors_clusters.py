@@ -75,6 +75,32 @@ def test_kmeans_only_where_all_is_noise(spark):
     assert len({runs[0][(0, i)] for i in range(0, 20, 2)}) == 1 and runs[0][(0, 0)] != runs[0][(0, 1)]
 
 
+def test_kmeans_runs_until_centres_rest(spark):
+    """A slow case: 40 points on a line, two centres that start at one end. Brute force Lloyd gives the same labels."""
+    xs = [[float(i) ** 1.1] for i in range(40)] + [[1000.0]]
+    df = spark.createDataFrame([(i, x, -1) for i, x in enumerate(xs)] + [(90, None, -1), (91, [1.0, 2.0], -1)], "vec_id long, vec array<double>, cluster_id int")
+    order = [r.vec_id for r in df.where("vec_id < 90").orderBy(F.xxhash64(F.col("vec_id").cast("string")), "vec_id").collect()]
+    centres, rounds = [xs[i][0] for i in order[:3]], 0
+    while True:
+        near = [min(range(3), key=lambda c: ((x[0] - centres[c]) ** 2, c)) for x in xs]
+        new = [round(float(np.mean([x[0] for x, n in zip(xs, near) if n == c])), 9) if c in near else centres[c] for c in range(3)]
+        rounds += 1
+        if new == centres:
+            break
+        centres = new
+    got = {r.vec_id: r.cluster_id for r in M.kmeans_fallback(df, 3).collect()}
+    assert [got[i] for i in range(len(xs))] == near and got[90] == got[91] == -1
+    with pytest.warns(UserWarning):
+        M.kmeans_fallback(df, 3, max_rounds=1).collect()
+    plan = M.centroids(df.where("vec_id < 90"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+    assert M.kmeans_fallback(df.limit(0), 2).count() == 0
+
+
+def test_reduce_dims_of_an_empty_table(spark):
+    assert V.reduce_dims(spark.createDataFrame([], "vec_id long, vec array<double>"), 2).columns == ["vec_id", "vec", "vec_k"]
+
+
 def test_number_rows_over_the_whole_table(spark):
     df = spark.range(1000).withColumn("x", F.col("id") % 7)
     got = M.number_rows(df.repartition(5), [F.col("x").desc(), F.col("id")], "n").orderBy("n").collect()

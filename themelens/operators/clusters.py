@@ -9,7 +9,11 @@ from the first (and, unlike an uncached ``checkpoint()``, the round is computed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import warnings
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themelens import KEYS
@@ -112,40 +116,60 @@ def density_cluster(df: DataFrame, eps: float | None = None, min_cluster_size: i
                 .select(*keys, id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
 
 
+def _mean_vector(vec_col: str) -> Column:
+    """Aggregate: the mean of a group's vectors as an array, rounded to nine digits so that it does not depend
+    on the order of addition. Every task adds up its own vectors; no row per component is made."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec_col))))
+    return F.transform(mean, lambda x: F.round(x, 9))
+
+
+def _squared_distance(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x)
+
+
 def kmeans_fallback(clustered: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vec", keys=(),
-                    rounds: int = 10) -> DataFrame:
+                    max_rounds: int = 100) -> DataFrame:
     """M4: keys where every row is noise get ``k`` k-means clusters; other keys keep their labels.
 
     The first centres of a key are the ``k`` rows with the smallest hashes of their ids, so the result does
-    not depend on partitioning; centres are rounded to nine digits between rounds for the same reason. A
-    round is a join with one row per key (its k centres), a row-wise nearest centre and a grouped mean."""
+    not depend on partitioning; means are rounded to nine digits for the same reason. A round is a join with
+    one row per key (its k centres), a row-wise nearest centre and a grouped mean. Rounds end when no centre
+    of any key changes, and keys that are done take no part in later rounds; if some still move after
+    ``max_rounds``, a warning says how many. Rows without a usable vector stay noise."""
     keys = list(keys)
     group = [*keys, "_g"]       # without keys the whole table is one group
     rows = clustered.withColumn("_g", F.lit(0))
     empty = rows.groupBy(*group).agg(F.max("cluster_id").alias("_top")).where(F.col("_top") == -1).select(*group)
-    noise = rows.join(empty, group, "left_semi")
+    noise = usable_vectors(rows.join(empty, group, "left_semi"), id_col, vec_col, group)
+    noise = stage(noise.select(*group, F.col(id_col), F.col(vec_col)), "noise")
     rank = Window.partitionBy(*group).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
     first = noise.withColumn("_c", F.row_number().over(rank)).where(F.col("_c") <= k)
     centres = stage(first.groupBy(*group).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("_c", F.col(vec_col).alias("x")))), lambda s: s["x"]).alias("_centres")), "centres")
-
-    def distance(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x)
+        F.sort_array(F.collect_list(F.struct("_c", F.col(vec_col).alias("x")))), lambda s: s["x"]).alias("_centres"))
+        .withColumn("_moved", F.lit(True)), "centres")
 
     def nearest(c: DataFrame) -> DataFrame:
-        near = F.array_min(F.transform("_centres", lambda m, i: F.struct(distance(m, F.col(vec_col)).alias("d"), i.alias("i"))))
+        near = F.array_min(F.transform("_centres", lambda m, i: F.struct(_squared_distance(m, F.col(vec_col)).alias("d"), i.alias("i"))))
         return noise.join(c, group).withColumn("_near", near["i"])
 
-    for _ in range(rounds):
-        dims = nearest(centres).select(*group, "_near", F.posexplode(vec_col).alias("_d", "_x"))
-        means = dims.groupBy(*group, "_near", "_d").agg(F.round(F.avg("_x"), 9).alias("_x"))
-        vectors = means.groupBy(*group, "_near").agg(F.transform(
-            F.sort_array(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"]).alias("_v"))
-        centres = stage(vectors.groupBy(*group).agg(F.transform(
-            F.sort_array(F.collect_list(F.struct("_near", "_v"))), lambda s: s["_v"]).alias("_centres")), "centres")
-    labels = nearest(centres).select(*keys, F.col(id_col), F.col("_near").alias("_label"))
-    return (clustered.join(labels, [*keys, id_col], "left")
-            .withColumn("cluster_id", F.coalesce("_label", "cluster_id").cast("int")).drop("_label"))
+    done, moving = None, centres
+    for _ in range(max_rounds):
+        means = nearest(moving).groupBy(*group, "_near").agg(_mean_vector(vec_col).alias("_v"))
+        new = means.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_near", "_v"))).alias("_new"))
+        # a centre that no row is nearest to stays where it is
+        at = F.transform("_centres", lambda m, i: F.coalesce(F.filter("_new", lambda x: x["_near"] == i)[0]["_v"], m))
+        moved = stage(moving.join(new, group).select(*group, at.alias("_centres"), (at != F.col("_centres")).alias("_moved")), "centres")
+        still = moved.where(~F.col("_moved"))
+        done = still if done is None else done.unionByName(still)
+        moving = moved.where("_moved")
+        if moving.isEmpty():
+            break
+    else:
+        warnings.warn(f"k-means: centres of {moving.count()} keys still move after {max_rounds} rounds")
+    centres = centres.limit(0) if done is None else done
+    labels = nearest(centres.unionByName(moving)).select(*group, F.col(id_col), F.col("_near").alias("_label"))
+    return (rows.join(labels, [*group, id_col], "left")
+            .withColumn("cluster_id", F.coalesce("_label", "cluster_id").cast("int")).drop("_label", "_g"))
 
 
 def keyword_fallback(clustered: DataFrame, keys=KEYS, groups=C.DEFAULT_KEYWORD_GROUPS,
@@ -160,21 +184,23 @@ def keyword_fallback(clustered: DataFrame, keys=KEYS, groups=C.DEFAULT_KEYWORD_G
 
 
 def centroids(df: DataFrame, group=("cluster_id",), vec_col: str = "vec") -> DataFrame:
-    """Mean vector per group: ``posexplode`` + partial ``avg`` per dimension, then one bounded
-    ``collect_list`` of d values per group."""
-    group = list(group)
-    dims = df.select(*group, F.posexplode(vec_col).alias("_d", "_x"))
-    m = dims.groupBy(*group, "_d").agg(F.avg("_x").alias("_x"))
-    return m.groupBy(*group).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"]).alias("centroid"))
+    """Mean vector per group: every task adds up its vectors, one sum a group and task is shuffled."""
+    return df.groupBy(*group).agg(_mean_vector(vec_col).alias("centroid"))
+
+
+def _members(df: DataFrame, group: str, vec_col: str) -> DataFrame:
+    """The rows of clusters that have a usable vector."""
+    row = F.monotonically_increasing_id()
+    return usable_vectors(df.where(F.col(group) != -1).withColumn("_row", row), "_row", vec_col, unique=True).drop("_row")
 
 
 def merge_similar_clusters(df: DataFrame, threshold: float, group: str = "cluster_id",
                            vec_col: str = "vec", keys=()) -> DataFrame:
     """M6: clusters whose centroids have cosine >= ``threshold`` are one issue; each cluster maps
-    to the smallest id of its connected group. Output: keys, ``cluster_id``, ``merged_id``."""
+    to the smallest id of its connected group. Output: keys, ``cluster_id``, ``merged_id``. Rows without a usable
+    vector do not count; a cluster of such rows only is left out."""
     keys = list(keys)
-    cents = centroids(df.where(F.col(group) != -1), [*keys, group], vec_col)
+    cents = centroids(_members(df, group, vec_col), [*keys, group], vec_col)
     pairs = similar_pairs(cents, threshold, group, "centroid", keys)
     nodes = cents.select(*keys, F.col(group).alias("id"))
     edges = pairs.select(*keys, F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
@@ -184,10 +210,11 @@ def merge_similar_clusters(df: DataFrame, threshold: float, group: str = "cluste
 
 def cluster_representatives(df: DataFrame, n: int, group: str = "cluster_id", id_col: str = "vec_id",
                             vec_col: str = "vec", keys=()) -> DataFrame:
-    """M7: the ``n`` members nearest their cluster centroid (cosine), ties by id."""
+    """M7: the ``n`` members nearest their cluster centroid (cosine), ties by id. Rows without a usable vector are
+    no representatives."""
     keys = list(keys)
-    cents = centroids(df.where(F.col(group) != -1), [*keys, group], vec_col)
-    j = df.join(cents, [*keys, group])
+    members = _members(df, group, vec_col)
+    j = members.join(centroids(members, [*keys, group], vec_col), [*keys, group])
     dot = F.aggregate(F.zip_with(vec_col, "centroid", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     na = F.sqrt(F.aggregate(F.transform(vec_col, lambda a: a * a), F.lit(0.0), lambda s, x: s + x))
     nb = F.sqrt(F.aggregate(F.transform("centroid", lambda a: a * a), F.lit(0.0), lambda s, x: s + x))

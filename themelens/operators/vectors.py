@@ -66,7 +66,9 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
 
 def reduce_dims(df: DataFrame, k: int = 5, vec_col: str = "vec", out_col: str = "vec_k") -> DataFrame:
     """M2: project to ``k`` dimensions with Spark ML PCA (a linear stand-in for the reference's
-    non-linear reduction; fitted distributedly, the model is a d x k matrix)."""
+    non-linear reduction; fitted distributedly, the model is a d x k matrix). An empty table stays empty."""
+    if df.isEmpty():
+        return df.withColumn(out_col, F.col(vec_col))
     v = df.withColumn("_v", array_to_vector(vec_col))
     model = PCA(k=k, inputCol="_v", outputCol="_pk").fit(v)
     return model.transform(v).withColumn(out_col, vector_to_array("_pk")).drop("_v", "_pk")
@@ -92,16 +94,18 @@ def _blocked(df: DataFrame, keys: list[str], id_col: str, vec_col: str, block_si
                       F.least("_b", "_j").alias("_lo"), F.greatest("_b", "_j").alias("_hi"))
 
 
-def usable_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", keys=()) -> DataFrame:
+def usable_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", keys=(), unique: bool = False) -> DataFrame:
     """The rows that can be compared: id not null, a vector of finite numbers with the most common length of
-    the table (the longer one on a tie), and for a repeated id of a key one row. Other rows have no neighbours."""
+    the table (the longer one on a tie), and for a repeated id of a key one row (ids are known to be ``unique``:
+    not looked for). Other rows have no neighbours."""
     sizes = df.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     size = sizes.agg(F.max(F.struct("_n", "_s")).alias("m")).first()["m"]
     if size is None:
         return df.limit(0)
     x = F.col(vec_col)
     finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return df.where(F.col(id_col).isNotNull() & (F.size(x) == size["_s"]) & finite).dropDuplicates([*keys, id_col])
+    rows = df.where(F.col(id_col).isNotNull() & (F.size(x) == size["_s"]) & finite)
+    return rows if unique else rows.dropDuplicates([*keys, id_col])
 
 
 def _unit(mat: np.ndarray) -> np.ndarray:
