@@ -86,6 +86,62 @@ def test_automaton_merges_and_tells_formats_apart():
     assert secrets.Grammar({}, []).score("x" * 20) == float("-inf")
 
 
+def _formats(rng):
+    """Credential formats, each a function that makes one."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexes, base62 = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    return {"hex": lambda: pick(hexes, 40), "short": lambda: pick("abcdefghijklmnopqrstuvwxyz", 3) + pick("0123456789", 4) + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2),
+            "base62": lambda: pick(base62, 30), "dotted": lambda: pick(base62, 12) + "." + pick(base62, 16)}
+
+
+def test_inferred_credentials_of_held_out_documents(spark):
+    """Recall on credentials of the labelled formats that stand alone, and the false rate on look-alikes."""
+    rng = random.Random(12)
+    formats = _formats(rng)
+    vocab = ["".join(rng.choice(["an", "ter", "in", "on", "the", "re", "ing", "al", "co", "st"]) for _ in range(rng.randrange(1, 6))) for _ in range(600)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    rows = [(i, f"{prose(40)} token: {make()} {prose(20)}.") for i, make in enumerate(f for f in formats.values() for _ in range(120))]
+    bare = [(10_000 + 1000 * k + i, f"{prose(60)} {make()} {prose(60)}") for k, make in enumerate(formats.values()) for i in range(100)]
+    alike = [(20_000 + i, " ".join([f"{rng.getrandbits(32):08X}-{rng.getrandbits(16):04X}-{rng.getrandbits(16):04X}", f"/usr/{rng.choice(vocab)}/{rng.choice(vocab)}.txt",
+                                    f"{rng.choice(vocab)}-{rng.choice(vocab)}-{rng.choice(vocab)}", f"20{rng.randrange(10, 30)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}",
+                                    f"{rng.choice(vocab)}_{rng.choice(vocab)}", str(rng.getrandbits(40))])) for i in range(200)]
+    docs = table(spark, rows + bare + alike)
+    found = {r.doc_id: [m.match for m in r.inferred] for r in secrets.scan_secrets(docs).collect()}
+    for k, name in enumerate(formats):
+        hits = sum(any(m in text.split() for m in found[i]) for i, text in bare if (i - 10_000) // 1000 == k)
+        hits += sum(i in found and not found[i] and R.secrets(text) != [] for i, text in bare if (i - 10_000) // 1000 == k)    # a base rule has it
+        assert hits >= 90, (name, hits)
+    words = sum(len(text.split()) for _, text in alike)
+    false = sum(len(found[i]) for i, _ in alike)
+    assert false <= 0.08 * words, (false, words)
+    ordinary = sum(len([w for w in text.split() if len(w) >= 6]) for _, text in rows)
+    wrong = sum(len(found[i]) for i, _ in rows)
+    assert wrong <= 0.003 * ordinary, (wrong, ordinary)
+
+
+def test_bare_short_credentials_are_candidates(spark):
+    """Values of 6 to 19 characters, values with dots, and values behind non-ASCII text are scored too."""
+    rng = random.Random(3)
+    make = _formats(rng)["short"]
+    prose = lambda: " ".join("".join(rng.choice(["an", "ter", "in", "on", "the"]) for _ in range(4)) for _ in range(20))
+    rows = [(i, f"{prose()}, password={make()} and {prose()}") for i in range(80)]
+    one, two = make(), make()
+    rows += [(500, f"é😀 words {one} plain words {two}"), (501, None), (502, "plain words only stand here")]
+    got = {r.doc_id: r for r in secrets.secrets_digest(table(spark, rows, True)).collect()}
+    text = rows[80][1]
+    assert got[500].spans == f"inferred:{text.index(one)}:{text.index(one) + 9},inferred:{text.index(two)}:{text.index(two) + 9}"
+    assert got[501].spans == got[502].spans == ""
+    assert secrets.secrets_digest(table(spark, rows).limit(0)).count() == 0
+
+
+def test_states_are_compared_through_loops():
+    """Equal first letters, different ends: states behind a self-loop are compared before they are merged."""
+    a = secrets.Automaton(["a" * n + "0" for n in range(1, 30)] * 20 + ["b" + "a" * n + "G" for n in range(1, 30)] * 20)
+    assert a.per_character("aaaa0") > a.per_character("aaaaG") + 0.1
+    long = "ab" * 3000 + "0"
+    assert secrets.Automaton([long]).per_character(long) > secrets.Automaton([long]).per_character("ab" * 3000 + "G")
+
+
 ITEMS = [(900, "Short one"), (901, None), (902, ""), (903, " ".join(["rep"] * 12)), (None, "no id item here"),
          (903, "second text of it"), (904, " ".join(f"w{i}" for i in range(30)))]
 
