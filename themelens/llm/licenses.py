@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themelens.llm import spans as S
 from themelens.llm.license_texts import whole_texts
 from themelens.session import stage
 
@@ -75,8 +76,8 @@ def canonical_lines(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     out = F.replace(F.replace(out, F.lit("(c)"), F.lit("copyright ")), F.lit("©"), F.lit("copyright "))
     for _ in range(2):      # twice: two such lines in a row share the line feed between them
-        out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("all rights reserved")),
-                     F.regexp_replace(out, COPYRIGHT_LINE, "\n")).otherwise(out)
+        out = S.let(out, lambda t: F.when(F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("all rights reserved")),
+                                          F.regexp_replace(t, COPYRIGHT_LINE, "\n")).otherwise(t))
     out = F.regexp_replace(out, PUNCTUATION, " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
