@@ -176,11 +176,12 @@ def test_block_pairs_are_skipped_on_clustered_vectors(spark):
     assert rows.count() == len(mat) and blocks.agg(F.max("_n")).first()[0] <= 100
 
 
-def test_pivot_blocks_of_mixed_groups_and_zero_vectors(spark):
+def test_pivot_blocks_of_mixed_groups_and_zero_vectors(spark, monkeypatch):
+    monkeypatch.setattr(V, "PRUNE_FROM", 1)
     rng = np.random.default_rng(2)
     mat = np.vstack([rng.normal(size=(90, 4)), np.zeros((3, 4)), -np.ones((4, 4))])
     group = [0] * 80 + [1] * 17
-    s = _cos(np.where(np.abs(mat).sum(axis=1, keepdims=True) > 0, mat, 1e-300))
+    s = _cos(np.where(np.abs(mat).sum(axis=1, keepdims=True) > 0, mat, 1.0))
     zero = np.abs(mat).sum(axis=1) == 0
     s[zero, :] = 0
     s[:, zero] = 0

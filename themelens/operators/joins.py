@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import normalise_whitespace, title_word
-from themelens.session import checked_broadcast, is_small, stage
+from themelens.session import BROADCAST_BYTES, checked_broadcast, stage, written_bytes
 
 FEW_QUOTES = 64             # quotes of a cluster that every review of it may be compared with
 ROWS_PER_SALT = 50_000      # reviews of a cluster in one task when they meet its short quotes
@@ -62,10 +62,10 @@ def _checked(quotes: DataFrame, on: list[str], max_rows: int) -> tuple[DataFrame
     """Write the quotes once, then test on the written copy whether they may be broadcast: few rows and bytes,
     and at most ``FEW_QUOTES`` in a cluster, so that a review is compared with a handful."""
     staged = stage(quotes, "quotes")
-    if max_rows <= 0 or not is_small(staged, max_rows):
+    if max_rows <= 0 or written_bytes(staged.sparkSession, staged) > BROADCAST_BYTES:
         return staged, False
-    most = staged.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return staged, (most or 0) <= FEW_QUOTES
+    total, most = staged.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return staged, (total or 0) <= max_rows and (most or 0) <= FEW_QUOTES
 
 
 def _words(text: str) -> Column:

@@ -5,7 +5,8 @@ into blocks of at most about ``block_size`` near vectors, a block pair ``(lo, hi
 ``applyInPandas`` group (so a task holds about ``2 * block_size`` vectors, however hot the
 group), and a NumPy matrix product per block pair emits only the pairs that qualify (threshold) or
 each row's best ``k`` (kNN, merged afterwards by a group-limited window). Blocks gather around pivots, and
-a block pair whose angle bound shows that it holds nothing is skipped.
+a block pair whose angle bound shows that it holds nothing is skipped. Tables whose groups have at most
+``PRUNE_FROM`` blocks are cut by hash and compared whole, which is cheaper than placing them first.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from themelens.session import stage
 DEFAULT_BLOCK = 1024
 MAX_PIVOTS = 256            # vectors that the driver and every task hold to bound angles
 SAMPLE_PER_PIVOT = 16
+PRUNE_FROM = 16             # blocks of the largest group beyond which block pairs are bounded first
 
 
 # ------------------------------------------------------------------------------------------------
@@ -114,18 +116,20 @@ def _unit(mat: np.ndarray) -> np.ndarray:
     return mat / n
 
 
-def _cut(df: DataFrame, keys: list[str], id_col: str, vec_col: str, block_size: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def _largest(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
+
+
+def _cut(df: DataFrame, keys: list[str], id_col: str, vec_col: str, block_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows cut into blocks of near vectors: (keys, ``_id``, ``_v``, ``_b``), the blocks (keys, ``_b``, ``_cell``,
-    ``_radius``, ``_n``) and the angles between pivots; the last two are None if every group is one block.
+    ``_radius``, ``_n``) and the angles between pivots.
 
     Pivots are at most ``MAX_PIVOTS`` vectors, far apart from each other, of a sample by the hash of the ids
     (``SAMPLE_PER_PIVOT`` each) of groups with several blocks; they only decide what can be skipped. A row belongs
     to its nearest pivot's cell, and a cell with too many rows is cut by the hash of the id."""
     rows = df.select(*keys, F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    largest = counts.agg(F.max("_size")).first()[0] or 0
-    if largest <= block_size:
-        return rows.withColumn("_b", F.lit(0).cast("long")), None, None
+    largest = _largest(rows, keys)
     rows = stage(rows.join(counts, keys), "vectors")
     several = F.col("_size") > block_size
     n_pivots = min(MAX_PIVOTS, -(-largest * 5 // (block_size * 4)))
@@ -187,10 +191,11 @@ def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_c
     if not keys:
         return similar_pairs(df.withColumn("_g", F.lit(0)), threshold, id_col, vec_col, ["_g"],
                              block_size).drop("_g")
-    rows, blocks, angles = _cut(usable_vectors(df, id_col, vec_col, keys), keys, id_col, vec_col, block_size)
-    if blocks is None:
-        rep = rows.withColumn("_lo", F.col("_b")).withColumn("_hi", F.col("_b"))
+    usable = usable_vectors(df, id_col, vec_col, keys)
+    if _largest(usable, keys) <= PRUNE_FROM * block_size:
+        rep = _blocked(usable, keys, id_col, vec_col, block_size)
     else:
+        rows, blocks, angles = _cut(usable, keys, id_col, vec_col, block_size)
         reach = float(np.arccos(np.clip(threshold, -1, 1)))
         near = block_pairs(blocks, angles, keys).where((F.col("_lo") == F.col("_hi")) | (F.col("_gap") <= reach))
         rep = _dealt(rows, near, keys)
@@ -203,6 +208,8 @@ def similar_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_c
         lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
         a = pdf[pdf["_b"] == lo]
         b = a if lo == hi else pdf[pdf["_b"] == hi]
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=out.names)
         xa = _unit(np.vstack(a["_v"].to_numpy()).astype(np.float64))
         xb = xa if lo == hi else _unit(np.vstack(b["_v"].to_numpy()).astype(np.float64))
         sim = xa @ xb.T
@@ -262,11 +269,13 @@ def nearest_neighbours(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: s
             res.insert(len(res.columns) - 4, c, pdf[c].iloc[0])
         return res[out.names]
 
-    rows, blocks, angles = _cut(usable_vectors(df, id_col, vec_col, keys), keys, id_col, vec_col, block_size)
-    own = rows.withColumn("_lo", F.col("_b")).withColumn("_hi", F.col("_b"))
-    cand = own.groupBy(*keys, "_lo", "_hi").applyInPandas(best, out)
-    if blocks is not None:
-        cand = stage(cand, "own-block")
+    usable = usable_vectors(df, id_col, vec_col, keys)
+    if _largest(usable, keys) <= PRUNE_FROM * block_size:
+        cand = _blocked(usable, keys, id_col, vec_col, block_size).groupBy(*keys, "_lo", "_hi").applyInPandas(best, out)
+    else:
+        rows, blocks, angles = _cut(usable, keys, id_col, vec_col, block_size)
+        own = rows.withColumn("_lo", F.col("_b")).withColumn("_hi", F.col("_b"))
+        cand = stage(own.groupBy(*keys, "_lo", "_hi").applyInPandas(best, out), "own-block")
         near = neighbour_block_pairs(blocks, angles, cand, k, keys)
         cand = cand.unionByName(_dealt(rows, near, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(best, out))
     w = Window.partitionBy(*keys, "id").orderBy(F.col("cosine").desc(), F.col("nbr"))
