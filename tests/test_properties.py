@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from themelens import constants as C
 from themelens.functions import text as T
+from themelens.session import stage
 
 ALPHABET = "0123456789 -.()+@_abcXYZéß\n\t" + "٣"     # includes a non-ASCII digit
 texts = st.lists(st.text(alphabet=ALPHABET, max_size=40), min_size=60, max_size=60)
@@ -95,3 +96,37 @@ def test_backfill_rollup_equals_copy_path(spark):
                        tuple((t.name, t.review_count, t.summary, tuple(q.text for q in t.quotes)) for t in x.top_themes))
                       for x in df.collect())
     assert norm(rolled) == norm(copied)
+
+
+@needs_data
+@pytest.mark.parametrize("eps", [None, 0.1])
+def test_backfill_with_vectors_equals_copy_path(spark, eps):
+    from themelens.operators.clusters import density_cluster
+    from themelens.plans import catalog as Cat
+    from themelens.plans import weekly as P
+    from themelens.sources import testdata as D
+    r = D.reviews(spark, SF)
+    # vectors in a few directions, some reviews without one
+    code = F.xxhash64("review_id")
+    vec = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(i == F.pmod(code, F.lit(5)), 4.0).otherwise(0.0)
+                      + F.pmod(F.xxhash64("review_id", i), F.lit(1000)) / 1000.0)
+    vectors = stage(r.where(F.pmod(code, F.lit(11)) != 0).select("review_id", vec.alias("vec")), "vectors")
+    args = dict(groups=Cat.DRIVER_GROUPS, generated_at=Cat.AS_OF)
+
+    def by_density(df):
+        labels = density_cluster(df.select("product_id", "iso_week", "review_id").join(vectors, "review_id"), eps, 2, 1,
+                                 "review_id", "vec", ["product_id", "iso_week"])
+        out = df.join(labels, ["product_id", "iso_week", "review_id"], "left")
+        return out.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+
+    def norm(df):
+        return sorted((x.product_id, x.iso_week, x.total_reviews_analyzed, x.data_window,
+                       tuple((t.name, t.review_count, t.summary, tuple(q.text for q in t.quotes)) for t in x.top_themes))
+                      for x in df.collect())
+    want = norm(P.backfill(r, "2024-W02", "2024-W04", weeks=3, cluster_fn=by_density, **args))
+    assert norm(P.backfill(r, "2024-W02", "2024-W04", weeks=3, vectors=vectors, eps=eps, **args)) == want
+    asked = r.select("product_id").distinct().withColumn("iso_week", F.lit("2024-W03"))
+    got = norm(P.backfill(r, "2024-W02", "2024-W04", weeks=3, vectors=vectors, eps=eps, requested=asked, **args))
+    assert got == [x for x in want if x[1] == "2024-W03"]
+    with pytest.raises(TypeError):
+        P.backfill(r, "2024-W02", "2024-W04", vectors=vectors, cluster_fn=by_density)

@@ -1,4 +1,6 @@
 """J7 (exact pairs, kNN) against NumPy brute force, M3 on the planted pairs (FIXTURES.md §1.4), M5-M7."""
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,37 @@ def test_pivot_blocks_of_mixed_groups_and_zero_vectors(spark, monkeypatch):
         want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i, j] >= threshold and group[i] == group[j]}
         got = V.similar_pairs(_vecs(spark, mat, group), threshold, keys=["g"], block_size=15).collect()
         assert {(r.id_a, r.id_b) for r in got} == want
+
+
+def _stepped(n=90, products=("a", "b"), seed=5):
+    """Rows around a few directions, over eight steps."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 8))
+    return [(p, f"{p}{i:03d}", int(rng.integers(0, 8)), (centres[rng.integers(0, 6)] + 0.25 * rng.normal(size=8)).tolist())
+            for p in products for i in range(n)]
+
+
+@pytest.mark.parametrize("eps", [None, 0.12])
+def test_windows_share_vectors_with_the_same_labels(spark, eps):
+    rows = _stepped() + [("a", "none", 3, None), ("b", "nan", 4, [float("nan")] * 8), ("a", None, 3, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "product_id string, id string, step long, vec array<double>")
+    got = M.density_cluster_windows(df, 3, 1, 9, eps, 3, "id", "vec", block_size=8).collect()
+    copies = df.withColumn("window", F.explode(F.sequence("step", F.col("step") + 2))).where("window between 1 and 9")
+    want = M.density_cluster(copies, eps, 3, 1, "id", "vec", ["product_id", "window"]).collect()
+    key = lambda r: (r.product_id, r.window, str(r.id), r.cluster_id)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert len({r.cluster_id for r in got}) > 2
+    wanted = spark.createDataFrame([("a", 4), ("c", 4)], "product_id string, window long")
+    some = M.density_cluster_windows(df, 3, 1, 9, eps, 3, "id", "vec", wanted=wanted, block_size=8).collect()
+    assert sorted(map(key, some)) == sorted(key(r) for r in want if (r.product_id, r.window) == ("a", 4))
+    assert M.density_cluster_windows(df.limit(0), 3, 1, 9, eps, 3, "id", "vec").collect() == []
+
+
+def test_windows_compare_each_pair_of_blocks_once(spark):
+    n, span = 60, 3
+    rows = [("p", i, i % 6, [1.0, 0.0]) for i in range(n)]
+    df = spark.createDataFrame(rows, "product_id string, id long, step long, vec array<double>")
+    edges = V.windowed_spanning_edges(df, span, "step", "id", "vec", ["product_id"], 10).collect()
+    per_pair = collections.Counter((e.lo, e.hi) for e in edges)
+    assert set(per_pair) == {(a, b) for a in range(6) for b in range(a, min(a + span, 6))}
+    assert max(per_pair.values()) < 20              # fewer than the rows of a block pair, though all pairs are equal

@@ -47,20 +47,26 @@ def term_counts(clustered: DataFrame, stop_words: DataFrame | None = None, keys=
         F.min(F.struct(F.col("ord"), F.col("tok_pos"))).alias("first_pos"))
 
 
-def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, keys=KEYS) -> DataFrame:
+def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, keys=KEYS,
+                  windows: str | None = None) -> DataFrame:
     """A1 + A4 (+ first review) from one aggregation: every review contributes its tokens plus one marker row
     that carries its text, so the same groups yield the cluster sizes, each cluster's first review (marker
     rows) and the term counts (token rows). Spark shares the shuffle between branches that read the same
-    columns of it; a branch that prunes some tokenises again."""
+    columns of it; a branch that prunes some tokenises again.
+
+    ``windows`` names a column with a review's groups, an array of structs (keys, ``cluster_id``), where a
+    review belongs to several: it is tokenised once and its tokens are dealt to all of them."""
     from themelens.operators.joins import drop_stop_words
     none = F.lit(None).cast("string")
     marker = F.struct(none.alias("w"), F.col("content").alias("c"))
     elems = F.concat(F.array(marker),
                      F.transform(tokens("content"), lambda t: F.struct(t.alias("w"), none.alias("c"))))
-    toks = (clustered.select(*keys, "cluster_id", "ord", F.posexplode(elems).alias("tok_pos", "e"))
-                     .select(*keys, "cluster_id", "ord", "tok_pos", F.col("e.w").alias("word"),
-                             F.col("e.c").alias("_text")))
+    group = [windows] if windows else [*keys, "cluster_id"]
+    toks = (clustered.select(*group, "ord", F.posexplode(elems).alias("tok_pos", "e"))
+                     .select(*group, "ord", "tok_pos", F.col("e.w").alias("word"), F.col("e.c").alias("_text")))
     toks = drop_stop_words(toks, stop_words)       # a null word never matches, so markers stay
+    if windows:
+        toks = toks.select("ord", "tok_pos", "word", "_text", F.inline(windows))
     pos = F.struct(F.col("ord"), F.col("tok_pos"))
     # ``is_marker`` is an aggregate output on purpose: a filter on it cannot be pushed below the
     # aggregation, so the size and term branches share one shuffle (and one tokenisation)

@@ -20,8 +20,8 @@ from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import keyword_group
 from themelens.operators.aggregates import needs_fallback
-from themelens.operators.hierarchy import core_distances, hierarchical_labels
-from themelens.operators.vectors import similar_pairs, spanning_edges, usable_vectors
+from themelens.operators.hierarchy import core_distances, hierarchical_labels, labels_of_edges
+from themelens.operators.vectors import similar_pairs, spanning_edges, usable_vectors, windowed_spanning_edges
 from themelens.session import checked_broadcast, drop_staged, stage
 
 
@@ -106,6 +106,11 @@ def density_cluster(df: DataFrame, eps: float | None = None, min_cluster_size: i
         edges = spanning_edges(rows, core, id_col, vec_col, group, block_size).where(F.col("w") <= round(eps, 12))
         ids = usable_vectors(rows, id_col, vec_col, group).select(*group, F.col(id_col).alias("id"))
         labels = stage(connected_components(ids, edges.select(*group, F.col("u").alias("src"), F.col("v").alias("dst")), group), "labels")
+    return _numbered(rows, labels, min_cluster_size, id_col, keys, group)
+
+
+def _numbered(rows: DataFrame, labels: DataFrame, min_cluster_size: int, id_col: str, keys: list[str], group: list[str]) -> DataFrame:
+    """``labels`` (group, ``id``, ``label``) as cluster numbers, one row for each of ``rows``."""
     sizes = labels.where(F.col("label").isNotNull()).groupBy(*group, "label").agg(
         F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
     kept = sizes.where(F.col("size") >= min_cluster_size)
@@ -116,6 +121,38 @@ def density_cluster(df: DataFrame, eps: float | None = None, min_cluster_size: i
                 .select(*keys, id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
 
 
+def density_cluster_windows(df: DataFrame, span: int, first: int, last: int, eps: float | None = None,
+                            min_cluster_size: int = 2, id_col: str = "vec_id", vec_col: str = "vec", step_col: str = "step",
+                            keys=("product_id",), wanted: DataFrame | None = None, block_size: int = 1024) -> DataFrame:
+    """M3 (with one sample) for many overlapping windows: window ``t`` holds the rows of steps ``t - span + 1`` to
+    ``t``, for ``t`` from ``first`` to ``last``; ``wanted`` (keys, ``window``) keeps some of them.
+
+    Vectors are compared once, whatever number of windows holds them (``windowed_spanning_edges``); windows get
+    copies of ids and of tree edges only. Each window's labels are those of ``density_cluster`` on its rows; where
+    pairs of different blocks have equal weights, the hierarchy may take them in another order. Ids are unique in a
+    group (D1): of a repeated one, one row is compared. Output: keys, ``window``, ``id_col``, ``cluster_id``, one row
+    per row and window; rows without a usable vector or id are noise."""
+    keys = list(keys)
+    own = [*keys, "window"]
+
+    def dealt(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+        windows = F.sequence(F.greatest(F.col(hi), F.lit(first)), F.least(F.col(lo) + span - 1, F.lit(last)))
+        out = rows.withColumn("window", F.explode(windows))
+        return out if wanted is None else out.join(checked_broadcast(wanted.select(*own).distinct()), own, "left_semi")
+
+    rows = df.where(F.col(step_col).between(first - span + 1, last)).withColumn(step_col, F.col(step_col).cast("long"))
+    usable = stage(usable_vectors(rows.select(*keys, id_col, vec_col, step_col), id_col, vec_col, keys), "vectors")
+    shared = stage(windowed_spanning_edges(usable, span, step_col, id_col, vec_col, keys, block_size), "shared-edges")
+    edges = dealt(shared, "lo", "hi").select(*own, "u", "v", "w")
+    ids = dealt(usable, step_col, step_col).select(*own, F.col(id_col).alias("id"))
+    if eps is None:
+        labels = labels_of_edges(stage(ids, "window-ids"), stage(edges, "window-edges"), min_cluster_size, own)
+    else:
+        near = edges.where(F.col("w") <= round(eps, 12))
+        labels = connected_components(ids, near.select(*own, F.col("u").alias("src"), F.col("v").alias("dst")), own)
+    return _numbered(dealt(rows, step_col, step_col), stage(labels, "labels"), min_cluster_size, id_col, own, own)
+
+
 def _mean_vector(vec_col: str) -> Column:
     """Aggregate: the mean of a group's vectors as an array, rounded to nine digits so that it does not depend
     on the order of addition. Every task adds up its own vectors; no row per component is made."""

@@ -312,8 +312,36 @@ def spanning_edges(df: DataFrame, core: DataFrame | None = None, id_col: str = "
         rep = rep.withColumn("_core", F.lit(0.0))
     else:
         rep = rep.join(core.select(*keys, F.col("id").alias("_id"), F.coalesce("core", F.lit(0.0)).alias("_core")), [*keys, "_id"])
-    id_type = df.schema[id_col].dataType
-    out = T.StructType([rows.schema[k] for k in keys] + [
+    return _block_trees(rep, keys, keys)
+
+
+def windowed_spanning_edges(rows: DataFrame, span: int, step_col: str = "step", id_col: str = "vec_id",
+                            vec_col: str = "vec", keys=(), block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Edges among which the minimum spanning tree (by distance) of every window of ``span`` successive steps lies.
+
+    Blocks hold rows of one step, and blocks less than ``span`` steps apart meet once, whatever number of windows
+    holds both. An edge that is the heaviest of a cycle in two blocks is so in every window with both, so a
+    window's tree lies among the edges of its block pairs, as in ``spanning_edges``. ``rows`` are usable
+    (``usable_vectors``). Output: keys, ``u`` < ``v``, ``w``, ``lo`` <= ``hi`` (the steps of the two ends)."""
+    keys = list(keys)
+    base = rows.select(*keys, F.col(step_col).cast("long").alias("_step"), F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    parts = base.groupBy(*keys, "_step").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_size)).alias("_parts"))
+    number = F.col("_step") * F.lit(1 << 32)
+    placed = base.join(parts, [*keys, "_step"]).withColumn("_b", number + F.pmod(F.xxhash64("_id"), F.col("_parts")))
+    blocks = parts.select(*keys, "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_s"))
+    blocks = blocks.select(*keys, "_step", (number + F.col("_s")).alias("_b"))
+    later = F.explode(F.sequence(F.col("_step"), F.col("_step") + span - 1))
+    pairs = (blocks.select(*keys, F.col("_b").alias("_lo"), later.alias("_step"))
+             .join(blocks.withColumnRenamed("_b", "_hi"), [*keys, "_step"]).where("_lo <= _hi"))
+    rep = _dealt(placed, pairs, keys).withColumn("_core", F.lit(0.0))
+    edges = _block_trees(rep, keys, [*keys, "_lo", "_hi"])
+    return edges.select(*keys, "u", "v", "w", F.shiftright("_lo", 32).alias("lo"), F.shiftright("_hi", 32).alias("hi"))
+
+
+def _block_trees(rep: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """The spanning-tree edges of every pair of blocks: the ``carried`` columns, ``u`` < ``v``, ``w``."""
+    id_type = rep.schema["_id"].dataType
+    out = T.StructType([rep.schema[k] for k in carried] + [
         T.StructField("u", id_type), T.StructField("v", id_type), T.StructField("w", T.DoubleType())])
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -327,7 +355,7 @@ def spanning_edges(df: DataFrame, core: DataFrame | None = None, id_col: str = "
         first, second = ids[a], ids[b]
         swap = first > second
         res = pd.DataFrame({"u": np.where(swap, second, first), "v": np.where(swap, first, second), "w": w})
-        for k in keys:
+        for k in carried:
             res.insert(len(res.columns) - 3, k, pdf[k].iloc[0])
         return res[out.names]
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import iso_week, keyword_group, scrub_pii
-from themelens.operators.aggregates import assemble_summary, cluster_stats, roll_up_stats
-from themelens.operators.clusters import density_cluster, keyword_fallback
+from themelens.operators.aggregates import assemble_summary, cluster_stats, needs_fallback, roll_up_stats
+from themelens.operators.clusters import density_cluster, density_cluster_windows, keyword_fallback
 from themelens.operators.filters import drop_noise, noise_flags, review_window, runs_to_do
 from themelens.operators.themes import fallback_theme, local_themes, themes_from_stats
 from themelens.operators.windows import dedup_reviews, newest_n
@@ -138,18 +138,25 @@ def week_keys(products: DataFrame, start_week: str, end_week: str) -> DataFrame:
 
 
 def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4, rollup_min_weeks: int = 3,
-             **run_args) -> DataFrame:
+             vectors: DataFrame | None = None, eps: float | None = None, min_cluster_size: int = 2, **run_args) -> DataFrame:
     """P1 for every ISO week in a range; each week's window is the ``weeks`` weeks ending with it.
 
     Without a clustering model (keyword groups), cluster statistics are additive, so the text is
     scrubbed, grouped and tokenised once per calendar week and the aggregated statistics are rolled
     up into every report window that contains the week: raw text is never copied per window.
-    With a ``cluster_fn`` the clusters depend on the window's set of reviews, so each window gets its
+    With ``vectors`` (``review_id``, ``vec``) reviews are clustered by density (M3, one sample, ``eps`` or the
+    hierarchy). Clusters depend on the window's set of reviews, but vectors are compared once per product and
+    text is scrubbed and tokenised once: windows get copies of ids, tree edges and tokens.
+    With a ``cluster_fn`` (any other model) the clusters depend on the window's set of reviews, so each window gets its
     own copy of its reviews (F1 as a range join: equi on product and week bucket, then the bounds).
 
-    Both plans give the same result. The roll-up pays a second aggregation over the statistics, so
+    The plans give the same result. The roll-up pays a second aggregation over the statistics, so
     it is used once a review would be copied into ``rollup_min_weeks`` or more windows (a 4-week
     window copies each review 4 times); for shorter windows copying is cheaper."""
+    if vectors is not None:
+        if run_args.get("cluster_fn") is not None:
+            raise TypeError("vectors and cluster_fn exclude each other")
+        return _backfill_by_vectors(reviews, vectors, start_week, end_week, weeks, eps, min_cluster_size, **run_args)
     if run_args.get("cluster_fn") is not None or weeks < rollup_min_weeks:
         return _backfill_by_copy(reviews, start_week, end_week, weeks, **run_args)
     known = {"keys", "groups", "n_themes", "generated_at", "requested", "runs", "force", "materialize", "cluster_fn"}
@@ -191,12 +198,63 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
         todo = runs_to_do(requested, runs, run_args.get("force", False), keys) if runs is not None else requested
         todo = checked_broadcast(todo.select(*keys).distinct())
         stats_k, per_key = stats_k.join(todo, keys, "left_semi"), per_key.join(todo, keys, "left_semi")
+    if run_args.get("materialize", True):
+        stats_k = stage(stats_k, "stats")       # small next to the text, and read by four branches
     themes = themes_from_stats(stats_k, keys, n_themes)
     themes = themes.unionByName(fallback_theme(per_key, themes, keys))
     gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at
     return assemble_summary(themes, per_key, keys, data_window=F.col("data_window"), generated_at=gen)
 
 
+def week_number(week: Column) -> Column:
+    """Weeks from 1970-W02 to an ISO week given as ``YYYY-Www`` text."""
+    return (F.datediff(monday_of(week), F.lit("1970-01-05").cast("date")) / 7).cast("long")
+
+
+def _backfill_by_vectors(reviews: DataFrame, vectors: DataFrame, start_week: str, end_week: str, weeks: int,
+                         eps: float | None, min_cluster_size: int, *, requested: DataFrame | None = None,
+                         runs: DataFrame | None = None, force: bool = False, groups=C.DEFAULT_KEYWORD_GROUPS,
+                         n_themes: int = C.TOP_THEMES, generated_at: str | Column | None = None) -> DataFrame:
+    keys = list(KEYS)
+    # plain arithmetic on two constants
+    first, last = reviews.sparkSession.range(1).select(week_number(F.lit(start_week)), week_number(F.lit(end_week))).first()
+    reviews, _ = split_rejects(reviews)
+    texts = stage(reviews.drop("iso_week").withColumn("content", scrub_pii("content"))
+                  .withColumn("_group", keyword_group("content", groups))
+                  .withColumn("_step", week_number(iso_week("review_ts")))
+                  .where(F.col("_step").between(first - weeks + 1, last))
+                  .withColumn("_row", F.monotonically_increasing_id()), "reviews-grouped")
+    monday = F.date_add(F.lit("1970-01-05").cast("date"), (F.col("window") * 7).cast("int"))
+    to_week = iso_week(monday.cast("timestamp_ntz"))
+    rows = texts.select("product_id", "review_id", "review_ts", "_group", "_row", F.explode(F.sequence(
+        F.greatest("_step", F.lit(first)), F.least(F.col("_step") + weeks - 1, F.lit(last)))).alias("window"))
+    rows, wanted = rows.withColumn("iso_week", to_week), None
+    if requested is not None:
+        todo = runs_to_do(requested, runs, force, keys) if runs is not None else requested
+        todo = todo.select(*keys).distinct()
+        wanted = todo.select("product_id", week_number(F.col("iso_week")).alias("window"))
+        rows = rows.join(checked_broadcast(todo), keys, "left_semi")
+    points = texts.select("product_id", "review_id", F.col("_step").alias("step")).join(vectors, "review_id")
+    labels = density_cluster_windows(points, weeks, first, last, eps, min_cluster_size, "review_id", "vec", wanted=wanted)
+    labels = labels.where("cluster_id >= 0").dropDuplicates(["product_id", "window", "review_id"])
+    rows = rows.join(labels, ["product_id", "window", "review_id"], "left")
+    rows = stage(rows.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))), "window-rows")
+    # A8/M5 on ids: the keyword group of every review is known already
+    flags = checked_broadcast(needs_fallback(rows, keys).select(*keys, "needs_fallback"))
+    rows = rows.join(flags, keys).withColumn(
+        "cluster_id", F.when(F.col("needs_fallback"), F.col("_group")).otherwise(F.col("cluster_id")))
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_reviews"), window_of("review_ts").alias("data_window"),
+                                      noise_flags(rows, keys))
+    kept = drop_noise(rows, keys, per_key)
+    # at most ``weeks`` windows hold a review; they meet its text once
+    places = kept.groupBy("_row").agg(F.collect_list(F.struct(*keys, "cluster_id")).alias("_windows"))
+    stats = stage(cluster_stats(texts.drop(*keys).join(places, "_row"), keys=keys, windows="_windows"), "stats")
+    themes = themes_from_stats(stats, keys, n_themes)
+    themes = themes.unionByName(fallback_theme(per_key, themes, keys))
+    gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at
+    return assemble_summary(themes, per_key.drop("_has_clusters"), keys, data_window=F.col("data_window"), generated_at=gen)
+
+
 def _backfill_by_copy(reviews: DataFrame, start_week: str, end_week: str, weeks: int, **run_args) -> DataFrame:
     products = reviews.select("product_id").distinct()
     wk = week_keys(products, start_week, end_week)
