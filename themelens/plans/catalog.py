@@ -974,6 +974,18 @@ def q_backfill(spark, sf_dir):
     return _flat_summary(s)
 
 
+@register("backfill_clustered")
+def q_backfill_clustered(spark, sf_dir):
+    """Real clusters in every report window: the stored vectors, compared once for all windows."""
+    start, end, weeks = BACKFILL
+    r = D.reviews(spark, sf_dir)
+    v = D.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("review_id"), "vec")
+    wanted = P.week_keys(r.select("product_id").distinct(), start, end).select(*KEYS)
+    s = P.backfill(r, start, end, weeks=weeks, vectors=v, eps=DENSITY_EPS_WEEK, groups=DRIVER_GROUPS,
+                   generated_at=AS_OF, requested=wanted, runs=_runs(spark, sf_dir))
+    return _flat_summary(s)
+
+
 @register("review_rejects")
 def q_review_rejects(spark, sf_dir):
     """Every 17th review has lost its text: it is a reject, not a silent loss."""

@@ -871,6 +871,48 @@ def _weekly_job_sql() -> str:
 _sql["weekly_job"] = _weekly_job_sql()
 
 
+def _backfill_clustered_sql() -> str:
+    """Density clusters of the reviews of every window, keyword groups in windows with fewer than two clusters."""
+    from themelens.plans.catalog import BACKFILL
+    own = {
+        "windowed": f"""
+            SELECT s.* REPLACE (strftime(w.d, '%G-W%V') AS iso_week) FROM scrubbed s
+            JOIN range(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-22' + INTERVAL 1 DAY, INTERVAL 7 DAY) w(d)
+              ON s.review_ts >= w.d - INTERVAL {7 * (BACKFILL[2] - 1)} DAY AND s.review_ts < w.d + INTERVAL 7 DAY
+            WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.product_id = s.product_id
+                              AND u.iso_week = strftime(w.d, '%G-W%V') AND u.status = 'COMPLETED')""",
+        "winvecs": """
+            SELECT r.product_id, r.iso_week, r.review_id, v.vec
+            FROM windowed r JOIN vectors v ON r.review_id = CAST(v.vec_id AS VARCHAR)""",
+        "winlabels": _DENSITY_WEEK.replace("weekvecs", "winvecs"),
+        "grouped": f"""
+            WITH c AS (SELECT s.*, coalesce(l.cluster_id, -1) AS c0 FROM windowed s
+                       LEFT JOIN winlabels l ON l.product_id = s.product_id AND l.iso_week = s.iso_week
+                         AND l.review_id = s.review_id),
+            f AS (SELECT product_id, iso_week, count(DISTINCT CASE WHEN c0 <> -1 THEN c0 END) < 2 AS fb FROM c GROUP BY ALL)
+            SELECT c.* EXCLUDE (c0), CASE WHEN fb THEN {group_sql('content')} ELSE c0 END AS cluster_id
+            FROM c JOIN f USING (product_id, iso_week)""",
+        "topg": SQL_VIEWS["topg"].replace("FROM grouped GROUP BY ALL", "FROM grouped WHERE cluster_id <> -1 GROUP BY ALL"),
+    }
+    saved, deps = {k: SQL_VIEWS.get(k) for k in own}, dict(_td._DEPS)
+    SQL_VIEWS.update(own)
+    _td._DEPS.update({"windowed": ["scrubbed", "runs"], "winvecs": ["windowed", "vectors"], "winlabels": ["winvecs"],
+                      "grouped": ["windowed", "winlabels"]})
+    try:
+        return sql_with(FLAT_SUMMARY.format(src="summ"), "summ")
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                SQL_VIEWS.pop(k)
+            else:
+                SQL_VIEWS[k] = v
+        _td._DEPS.clear()
+        _td._DEPS.update(deps)
+
+
+_sql["backfill_clustered"] = _backfill_clustered_sql()
+
+
 def _mixed_themes_sql() -> str:
     """Model themes of the answered clusters, local themes (naming over those clusters alone) of the rest."""
     import re
