@@ -278,3 +278,28 @@ def test_whole_licenses(spark):
     for i, name in names.items():
         assert got[i][0] == got[100 + i][0] == name and name in got[i][1].split(","), name
         assert got[200 + i][0] is None, name
+
+
+def test_numbers_inside_failed_runs(spark):
+    """Each text: its added spans, and what redaction leaves. The base kinds stay as they are."""
+    card, phone = "4111 1111 1111 1111", "+1 499 555 6503"
+    cases = [
+        (f"{phone} 2024-05-01", "phone_in:0:20", "[PHONE]-05-01"),
+        (f"id 12 {card} x", "card_in:6:25", "id 12 [CARD] x"),
+        (f"+1 234 567 8901 {card}", "card_in:16:35,phone_in:0:20", "[PHONE] [CARD]"),
+        (f"é {card} {card}", "card_in:2:21,card_in:22:41", "é [CARD] [CARD]"),
+        (f"4111111111111111-{card}-7", "card_in:0:16,card_in:17:36", "[CARD]-[CARD]-7"),
+        ("call " + phone, "phone:5:20", "call [PHONE]"), (card, "card:0:19", "[CARD]"),
+        ("1990 1991 1992 1993 1994 1995 1996 1997", "", "1990 1991 1992 1993 1994 1995 1996 1997"),
+        ("12 4111 1111 1111 1112 9", "", "12 4111 1111 1111 1112 9"),
+        ("+1234567890123456 1", "", "+1234567890123456 1"),
+        ("DE89 3704 0044 0532 0130 00", "iban:0:27", "[IBAN]"),
+        ("1 " * 3000, "", "1 " * 3000), (None, "", None), ("", "", "")]
+    docs = table(spark, [(i, t) for i, (t, *_) in enumerate(cases)], True)
+    got = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
+    clean = {r.doc_id: r.clean for r in docs.select("doc_id", pii.redact(F.col("text")).alias("clean")).collect()}
+    for i, (text, spans, left) in enumerate(cases):
+        assert (text, got[i], clean[i]) == (text, spans, left)
+    many = table(spark, [(1, f"9 {card} " * 500)])
+    assert pii.pii_digest(many).first().spans.count("card_in") == 500
+    assert many.select(pii.redact(F.col("text"))).first()[0] == "9 [CARD] " * 500

@@ -2,8 +2,8 @@
 CRC-32, inferred grammars) are tested against plain Python forms.
 
 DuckDB's regular expressions are linear, so the plain patterns of the contracts are used here, without the
-look-behinds and possessive quantifiers of the Spark forms. The SQL of ``op6_pii`` lists the four base kinds:
-the documents of the test tables hold none of the added kinds.
+look-behinds and possessive quantifiers of the Spark forms. The SQL of ``op6_pii`` lists the four base kinds
+and the numbers inside failed runs: the documents of the test tables hold none of the other added kinds.
 """
 
 from __future__ import annotations
@@ -82,25 +82,49 @@ _PII = (
 )
 
 
-def _pii_spans(rank: int, kind: str, pattern: str, valid: str) -> str:
+def _pii_runs(pattern: str) -> str:
     return f"""
-    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e
-    FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS dg,
+         (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS dg,
                  CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
                       + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
           FROM (SELECT doc_id, ms, g, i, ms[i] AS m
                 FROM (SELECT doc_id, ms, g, unnest(range(1, len(ms) + 1)) AS i
                       FROM (SELECT doc_id, regexp_extract_all(text, {lit(pattern)}) AS ms,
-                                   string_split_regex(text, {lit(pattern)}) AS g FROM documents WHERE text IS NOT NULL))))
-    WHERE {valid}"""
+                                   string_split_regex(text, {lit(pattern)}) AS g FROM documents WHERE text IS NOT NULL))))"""
+
+
+def _pii_spans(rank: int, kind: str, pattern: str, valid: str) -> str:
+    return f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e FROM {_pii_runs(pattern)} WHERE {valid}"""
+
+
+# runs that fail: groups of digits, and from each group on a card of one of the layouts
+_CARD, _PHONE = _PII[2], _PII[3]
+_ISSUER = "^(2[2-7]|3|4|5[1-5]|6)"
+_PII_INSIDE = (f"""
+    SELECT doc_id, 6 AS rank, 'card_in' AS kind, s + o AS s, s + o + length(c) AS e
+    FROM (SELECT doc_id, s, o, min_by(c, length(c)) AS c FROM (
+        SELECT doc_id, s, o, c, regexp_replace(c, '[^0-9]', '', 'g') AS dg
+        FROM (SELECT doc_id, s, length(array_to_string(g[1:i], ' ')) - length(g[i]) AS o,
+                     unnest([CASE WHEN length(g[i]) BETWEEN 16 AND 19 THEN substr(m, o + 1, length(g[i])) END,
+                             CASE WHEN lens[i:i + 3] = [4, 4, 4, 4] THEN substr(m, o + 1, 19) END,
+                             CASE WHEN lens[i:i + 3] = [4, 4, 4, 4] AND lens[i + 4] < 4
+                                  THEN substr(m, o + 1, 20 + lens[i + 4]) END]) AS c
+              FROM (SELECT *, list_transform(g, lambda x: CAST(length(x) AS INT)) AS lens, unnest(range(1, len(g) + 1)) AS i
+                    FROM (SELECT doc_id, s, m, string_split_regex(m, '[ -]') AS g
+                          FROM {_pii_runs(_CARD[1])} WHERE length(dg) > 16 AND NOT ({_CARD[2]}))))
+        WHERE c IS NOT NULL AND regexp_matches(c, '{_ISSUER}')) WHERE {_CARD[2]} GROUP BY doc_id, s, o)""", f"""
+    SELECT doc_id, 7 AS rank, 'phone_in' AS kind, s, s + length(c) AS e
+    FROM (SELECT doc_id, s, regexp_extract(m || ' ', '^(\\+[0-9](?:[ ().-]*[0-9]){{7,14}})[^0-9]', 1) AS c
+          FROM {_pii_runs(_PHONE[1])} WHERE length(dg) > 15) WHERE c <> ''""")
 
 
 OP6 = f"""
-WITH spans AS ({' UNION ALL '.join(_pii_spans(k, *x) for k, x in enumerate(_PII))}),
-one AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in _PII)},
+WITH spans AS ({' UNION ALL '.join([_pii_spans(k, *x) for k, x in enumerate(_PII)] + list(_PII_INSIDE))}),
+one AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < 4) AS base, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in _PII)},
                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM spans GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in _PII)},
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN one ON one.doc_id = d.doc_id"""
 
 # -- op8 ---------------------------------------------------------------------------------------------------

@@ -64,12 +64,13 @@ def label(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["start"] + F.length(s["match"])))
 
 
-def replace_matches(text: Column, pattern: str, valid: Callable[[Column], Column], tag: str) -> Column:
-    """``text`` with each match that passes ``valid`` replaced by ``tag``; other matches stay."""
+def replace_matches(text: Column, pattern: str, valid: Callable[[Column], Column], tag: str,
+                    other: Callable[[Column], Column] = lambda m: m) -> Column:
+    """``text`` with each match that passes ``valid`` replaced by ``tag``; other matches become ``other(match)``."""
     def one(t: Column) -> Column:
         def rebuilt(g: Column) -> Column:
             m = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-            put = F.transform(m, lambda x: F.when(valid(x), F.lit(tag)).otherwise(x))
+            put = F.transform(m, lambda x: F.when(valid(x), F.lit(tag)).otherwise(other(x)))
             return F.array_join(F.flatten(F.zip_with(g, put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
         return F.when(t.rlike(pattern), let(F.split(t, pattern, -1), rebuilt)).otherwise(t)
