@@ -303,3 +303,23 @@ def test_numbers_inside_failed_runs(spark):
     many = table(spark, [(1, f"9 {card} " * 500)])
     assert pii.pii_digest(many).first().spans.count("card_in") == 500
     assert many.select(pii.redact(F.col("text"))).first()[0] == "9 [CARD] " * 500
+
+
+def test_second_round_sends_rows_in_proportion(spark):
+    """Rows of one component are not crossed with each other; every pair across components meets exactly once."""
+    def dealt(members):
+        rows = [(b"k", f"{i:016d}".encode(), f"{c:016d}".encode()) for i, c in enumerate(members)]
+        named = spark.createDataFrame(rows, "key binary, node binary, component binary")
+        sets = named.select("node", F.lit(b"x" * 8).alias("items"))
+        return near_duplicates.open_pairs(named, named.select("node", F.lit(b"s").alias("signature")), sets, 64).collect()
+
+    assert len(dealt([0] * 500 + [1])) == 500 + 1 + 8           # was 27,820 with one crossing of all
+    assert len(dealt([0] * 1000 + [1])) == 1000 + 1 + 16
+    assert dealt([0] * 100) == []
+    members = [0] * 150 + [1] * 90 + [2]
+    rows, met = dealt(members), []
+    for i, j in {(r.i, r.j) for r in rows}:
+        a = [r for r in rows if (r.i, r.j, r.block) == (i, j, i)]
+        b = [r for r in rows if (r.i, r.j, r.block) == (i, j, j)]
+        met += [tuple(sorted((x.node, y.node))) for x in a for y in b if x.component != y.component and (i != j or x.node < y.node)]
+    assert len(met) == len(set(met)) == 150 * 90 + 150 + 90

@@ -278,6 +278,32 @@ def _links_of_blocks(similar: int, lo: float):
     return run
 
 
+def open_pairs(named: DataFrame, signatures: DataFrame, sets: DataFrame, block: int = BLOCK,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of buckets that hold several components, dealt to pairs of blocks ``i`` <= ``j``.
+
+    ``named``: ``key``, ``node``, ``component``. Two members of one component need no comparison, so only the rows
+    outside a bucket's largest component meet all of it: they make the first blocks, and a row of the largest
+    component goes to each of those once. A bucket of m copies and a few others sends about m rows."""
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k"))
+    main = main.where("k > 1").select("key", F.col("top.component").alias("main"))
+    rows = named.join(main, "key").withColumn("minor", F.col("component") != F.col("main"))
+    rows = rows.join(signatures, "node").join(sets, "node")
+    weight = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("items")) / block_bytes)).alias("blocks")
+    per_side = rows.groupBy("key", "minor").agg(weight)
+    sides = per_side.groupBy("key").agg(F.max(F.when(F.col("minor"), F.col("blocks"))).cast("int").alias("few"),
+                                        F.max(F.when(~F.col("minor"), F.col("blocks"))).cast("int").alias("many"))
+    own = F.xxhash64("node")
+    rows = rows.join(sides, "key").withColumn("block", F.when(F.col("minor"), F.pmod(own, F.col("few"))).otherwise(
+        F.col("few") + F.pmod(own, F.col("many"))).cast("int"))
+    last = F.col("few") + F.when(F.col("minor"), F.col("many")).otherwise(0) - 1
+    return rows.select("key", "node", "component", "signature", "items", "block", F.explode(
+        F.sequence(F.lit(0), last.cast("int"))).alias("other")).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "node", "component", "signature", "items")
+
+
 # -- the operator ------------------------------------------------------------------------------------------
 
 def node_components(docs: DataFrame, staged: DataFrame, text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -306,18 +332,7 @@ def node_components(docs: DataFrame, staged: DataFrame, text_col: str = "text",
 
     # second round: buckets of three or more nodes in several components (of two, the pair was proposed)
     named = buckets.where("m > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = (named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-             .where("x < y").select("key"))
-    open_rows = named.join(mixed, "key").join(nodes.select("node", "signature"), "node").join(sets, "node")
-    size = F.sum(F.length("items")).alias("bytes")
-    parts = open_rows.groupBy("key").agg(size).select("key", F.col("bytes"))
-    open_rows = open_rows.join(parts, "key").withColumn("blocks", F.greatest(
-        F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = open_rows.select("key", "node", "component", "signature", "items", "block", F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "component", "signature", "items")
+    dealt = open_pairs(named, nodes.select("node", "signature"), sets, BLOCK, BLOCK_BYTES)
     late = dealt.groupBy("key", "i", "j").applyInPandas(_links_of_blocks(similar, lo), "a binary, b binary")
     late = stage(late, "late-links").join(known.select(F.col("node").alias("a"), F.col("component").alias("p")), "a", "left").join(
         known.select(F.col("node").alias("b"), F.col("component").alias("q")), "b", "left").select(
