@@ -133,3 +133,42 @@ def components(docs, similar=85):
         if s and d is not None:
             least[at[s]] = min(least.get(at[s], d), d)
     return [(d, len(s), least.get(at[s]) if s else d) for d, s in rows]
+
+
+def site_rates(rows, least=20):
+    """Per ``(host, path, p)``: global, host and path rate without the row itself, variances from plain sums of squares."""
+    def mean(x):
+        return sum(x) / len(x)
+    paths, hosts = {}, {}
+    for h, q, p in rows:
+        paths.setdefault((h, q), []).append(p)
+        hosts.setdefault(h, []).append(p)
+    n, all_p = len(rows), [p for *_, p in rows]
+    m = mean(all_p)
+    within = sum((x - mean(v)) ** 2 for v in paths.values() for x in v) / max(1, n - len(paths))
+    between_paths = sum(len(v) * (mean(v) - mean(hosts[h])) ** 2 for (h, _), v in paths.items())
+    between_hosts = sum(len(v) * (mean(v) - m) ** 2 for v in hosts.values())
+    in_host = sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in paths.items())
+    squares = sum(len(v) ** 2 for v in paths.values()) / n
+    path_var = max(0, (between_paths - (len(paths) - len(hosts)) * within) / (n - in_host)) if n - in_host > 1e-6 * n else 0
+    free = n - sum(len(v) ** 2 for v in hosts.values()) / n
+    host_var = max(0, (between_hosts - (len(hosts) - 1) * within - path_var * (in_host - squares)) / free) if free > 1e-6 * n else 0
+    noise = max(0, m * (1 - m) - host_var - path_var)
+    out = []
+    for k, (h, q, _) in enumerate(rows):
+        rest = [r for j, r in enumerate(rows) if j != k]
+        whole = min(0.999, max(1e-4, mean([r[2] for r in rest]))) if rest else min(0.999, max(1e-4, m))
+        mine, rate = [r for r in rest if r[0] == h], whole
+        if mine and host_var >= 1e-12:
+            sizes = {}
+            for r in mine:
+                sizes[r[1]] = sizes.get(r[1], 0) + 1
+            noise_h = path_var * sum(c * c for c in sizes.values()) / len(mine) ** 2 + noise / len(mine)
+            rate += min(len(mine) / (len(mine) + least), host_var / (host_var + noise_h)) * (mean([r[2] for r in mine]) - whole)
+        host = rate = min(1 - 1e-6, max(1e-6, rate))
+        mine = [r for r in mine if r[1] == q]
+        if mine and path_var >= 1e-12:
+            w = min(len(mine) / (len(mine) + least), path_var / (path_var + noise / len(mine)))
+            rate += w * (mean([r[2] for r in mine]) - host)
+        out.append((whole, host, min(1 - 1e-6, max(1e-6, rate))))
+    return out

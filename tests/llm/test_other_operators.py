@@ -164,6 +164,56 @@ def test_sparse_sites_shrink_to_the_global_rate(spark):
     assert 0.45 < got["tiny"].quality_path < 0.65
 
 
+def _scored(spark, rows):
+    """Rows ``(host, path, p)`` with the log odds of p for both targets."""
+    return spark.createDataFrame([(h, q, float(np.log(p / (1 - p)))) for h, q, p in rows],
+                                 "source string, lang string, _qc_quality double").withColumn("_qc_toxic", F.col("_qc_quality"))
+
+
+@pytest.mark.parametrize("seed, host_sd, path_sd", [(1, 0.0, 0.0), (2, 0.2, 0.0), (3, 0.2, 0.15), (4, 0.0, 0.25)])
+def test_site_rates_against_plain_form(spark, seed, host_sd, path_sd):
+    from tests.llm import reference as R
+    rng, rows = np.random.default_rng(seed), []
+    for h in range(9):
+        base = 0.4 + host_sd * rng.normal()
+        for q in range(int(rng.integers(1, 4))):
+            rate = min(0.9, max(0.1, base + path_sd * rng.normal()))
+            rows += [(f"h{h}" if h else None, f"l{q}" if q else None, float(rng.choice([0.9, 0.1], p=[rate, 1 - rate])))
+                     for _ in range(int(rng.integers(1, 40)))]
+    got = quality.posteriors(_scored(spark, rows).withColumn("n", F.lit("kept"))).collect()
+    assert len(got) == len(rows) and all(g.n == "kept" for g in got)
+    want = Counter()
+    for (h, q, p), (whole, host, path) in zip(rows, R.site_rates(rows)):
+        odds = np.log(path / (1 - path)) - np.log(whole / (1 - whole))
+        odds = max(-quality.MAX_SHIFT, min(quality.MAX_SHIFT, odds))
+        want[h, q, round(host, 6), round(path, 6), round(1 / (1 + np.exp(-np.log(p / (1 - p)) - odds)), 6)] += 1
+    assert Counter((g.source, g.lang, round(g._qc_site_quality_host, 6), round(g._qc_site_quality_path, 6),
+                    round(g._qc_p_quality, 6)) for g in got) == want
+
+
+@pytest.mark.parametrize("hosts, size", [(500, 2), (20, 200)])
+def test_sites_that_differ_by_chance_only_are_not_shifted(spark, hosts, size):
+    rng = np.random.default_rng(5)
+    rows = [(f"h{h}", "en", 0.95 if rng.random() < 0.1 else 0.05) for h in range(hosts) for _ in range(size)]
+    got = quality.site_posteriors(_scored(spark, rows + [("bad", "en", 0.95)] * 2)).collect()
+    assert abs(next(g for g in got if g.host == "bad").quality_shift) < 0.25
+    own = quality.posteriors(_scored(spark, [("a", "en", 0.9), ("b", "en", 0.1)])).collect()
+    assert all(0 < g._qc_p_quality < 1 for g in own)
+
+
+def test_labels_of_one_text_are_averaged_and_clashing_columns_stay(spark):
+    docs, labels, _ = _labelled(spark)
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    flipped = labels.where("doc_id < 8").select(F.col("doc_id") + 1000, 1 - F.col("quality"), "toxic").toDF(*labels.columns)
+    a = quality.fit(twice, labels.unionByName(flipped))
+    b = quality.fit(twice.orderBy(F.desc("doc_id")).repartition(3), labels.unionByName(flipped))
+    assert np.allclose(a["quality"].w, b["quality"].w) and 0 < a["quality"].rate < 1
+    odd = docs.withColumns({"_qc_quality": F.lit("mine"), "host": F.lit(1), "_QC_P_toxic": F.lit(2)})
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns
+    assert {r[4:] for r in kept.collect()} == {("mine", 1, 2)}
+
+
 def test_pipeline_stages_and_run(spark):
     import corpus_pipeline as C
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -2,28 +2,35 @@
 
 1. Evidence. Two logistic models score every document: ``quality`` (is it poor?) and ``toxic``. Their
    features are style shares (symbols, capitals, repeated words ...) and the presence of words that the
-   labels single out. They are fitted on a bounded sample of labelled documents (``FIT_ROWS``, the ids with
-   the smallest hashes; equal texts once); everything else covers all rows.
-2. Sites. The scores of all documents are summed by path (host and language) and host. The global rate is
-   the prior of the hosts, with a strength that the spread of the host rates gives (method of moments); a
-   host's posterior is the prior of its paths. Sparse sites are so drawn towards the global rate.
-3. A document's posterior adds the log odds of its path to its own evidence, less the global log odds. The
-   shift is bounded by ``MAX_SHIFT``, so a bad site alone never rejects a document with clear evidence.
+   labels single out (seen in ``LEAST_SEEN`` labelled texts or more). They are fitted on a bounded sample of
+   labelled documents (``FIT_ROWS``, the ids with the smallest hashes; equal texts once, with the mean of
+   their labels); everything else covers all rows.
+2. Sites. The scores of all documents are summed by path (host and language) and host. The variance between
+   hosts and between the paths of a host is estimated with the part that sampling alone would give taken off
+   (nested analysis of variance). The global rate is the prior of the hosts, a host's posterior the prior of
+   its paths; each level weighs a site's own mean by its variance against the sampling variance of a mean of
+   that many documents, and never by more than n / (n + ``LEAST_STRENGTH``). Sites that differ by chance only
+   so get the global rate.
+3. A document's posterior adds the log odds of its path to its own evidence, less the global log odds; its own
+   score is left out of all three rates. The shift is bounded by ``MAX_SHIFT``, so a bad site alone never
+   rejects a document with clear evidence.
 
 A document is rejected if either posterior exceeds one half.
 
 Sums are grouped with map-side combine, so a host with a third of the rows costs one row per task. The site
-table is broadcast only below ``SITE_LIMIT`` rows. Scoring is one pass without a shuffle.
+table is broadcast only below ``SITE_LIMIT`` rows and the library's limit of bytes. Scoring is one pass
+without a shuffle, in which words are hashed once for both models; ``keep_good`` writes its result once.
 
 Defined cases: null or empty text has the style features of an empty text and no words; null host or
 language is a site of its own. Null labels are not used; repeated labels of an id count once each. Without
 labelled rows (or with one class only) the evidence is the constant rate and nothing is rejected. Repeated
-rows are scored alike. Extra columns are kept by ``keep_good``; its helper columns use the prefix ``_qc_``.
+rows are scored alike. Extra columns are kept by ``keep_good``, those named like its helpers (``_qc_``) too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themelens.llm import words as W
-from themelens.session import stage
+from themelens.session import is_small, stage
 
 FIT_ROWS = 12_000           # labelled documents of the fit
 LEXICON = 64                # words of each model
 LEAST_Z = 8.0               # how far a word's rate must be from chance
+LEAST_SEEN = 10             # labelled texts that hold a word of the lexicon
 RIDGE = 1.0
 MAX_SHIFT = 1.5             # log odds that a site can add
+LEAST_STRENGTH = 20         # documents that a prior weighs at least
 SITE_LIMIT = 200_000        # rows of a site table that may be broadcast
 TARGETS = ("quality", "toxic")
 
@@ -121,12 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.col(id_col).alias("doc_id"), (1 - F.col("quality")).alias("quality"), "toxic")
     sample = stage(sample, "fit-labels")        # FIT_ROWS rows of three numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["text"]), "fit-texts")
+    rows = stage(texts.join(F.broadcast(sample), "doc_id").groupBy("text").agg(
+        F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic")), "fit-texts")
     n, poor, toxic = rows.agg(F.count("*"), F.sum("quality"), F.sum("toxic")).first()
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.array_distinct(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), lambda w: w != "")
     seen = rows.select(F.explode(words).alias("word"), "quality", "toxic").groupBy("word").agg(
-        F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).where("n >= 10")
+        F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_SEEN)
     out = {}
     for target, total in zip(TARGETS, (poor or 0, toxic or 0)):
         rate = total / n if n else 0.0
@@ -155,10 +165,12 @@ def _fitted(rows: DataFrame, target: str, lexicon: np.ndarray) -> Model:
 def _score(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
+        words = np.unique(np.concatenate([models[t].lexicon for t in TARGETS]))
+        use = {t: np.concatenate([np.arange(len(STYLE)), len(STYLE) + np.searchsorted(words, models[t].lexicon)]) for t in TARGETS}
         for batch in batches:
             for part in W.slices(batch, batch.schema.names[text_at]):
-                cols = [pa.array(np.round(models[t].log_odds(features(part.column(text_at), models[t].lexicon)), 6))
-                        for t in TARGETS]
+                x = features(part.column(text_at), words)
+                cols = [pa.array(np.round(models[t].log_odds(x[:, use[t]]), 6)) for t in TARGETS]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *[f"_qc_{t}" for t in TARGETS]])
 
     return run
@@ -179,34 +191,116 @@ def _odds(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
+@dataclass(frozen=True)
+class Spread:
+    """Documents, summed scores, and the variances of one target: between hosts, between the paths of a host,
+    and of one document's class around its path's rate."""
+
+    n: int
+    total: float
+    host: float
+    path: float
+    noise: float
+
+
+def site_sums(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """Per path: documents and, for each target, the sums of scores and of their squares; the same of its host
+    and the squares of the host's path sizes."""
+    p = {t: _probability(F.col(f"_qc_{t}")) for t in TARGETS}
+    paths = stage(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(
+        F.count("*").alias("n"), *[F.sum(p[t]).alias(t) for t in TARGETS],
+        *[F.sum(p[t] * p[t]).alias(f"{t}_squares") for t in TARGETS]), "paths")
+    size = F.col("n").cast("double")
+    hosts = paths.groupBy(F.col("host").alias("_host")).agg(
+        F.sum("n").alias("host_n"), F.sum(size * size).alias("host_sizes"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
+    return stage(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "sites")
+
+
+def spreads(sums: DataFrame) -> dict[str, Spread]:
+    """The variance components of each target (nested analysis of variance, unbalanced), none below zero."""
+    share = F.col("n") / F.col("host_n")                # a host's values once, dealt over its paths
+    one = sums.agg(
+        F.sum("n").alias("n"), F.count("*").alias("paths"), F.count_distinct(F.struct("host")).alias("hosts"),
+        F.sum(F.col("n") * share).alias("in_host"), F.sum(F.col("n").cast("double") * F.col("n")).alias("path_sizes"),
+        F.sum(share * F.col("host_n") * F.col("host_n")).alias("host_sizes"),
+        *[F.sum(t).alias(t) for t in TARGETS], *[F.sum(f"{t}_squares").alias(f"{t}_0") for t in TARGETS],
+        *[F.sum(F.col(t) * F.col(t) / F.col("n")).alias(f"{t}_1") for t in TARGETS],
+        *[F.sum(share * F.col(f"host_{t}") * F.col(f"host_{t}") / F.col("host_n")).alias(f"{t}_2") for t in TARGETS]).first()
+    out, n = {}, one["n"] or 0
+    for t in TARGETS:
+        if not n:
+            out[t] = Spread(0, 0.0, 0.0, 0.0, 0.25)
+            continue
+        rate = one[t] / n
+        within = max(0.0, one[f"{t}_0"] - one[f"{t}_1"]) / max(1, n - one["paths"])
+        free = n - one["in_host"]
+        path = max(0.0, (one[f"{t}_1"] - one[f"{t}_2"] - (one["paths"] - one["hosts"]) * within) / free) if free > 1e-6 * n else 0.0
+        free = n - one["host_sizes"] / n
+        extra = path * (one["in_host"] - one["path_sizes"] / n)
+        host = max(0.0, (one[f"{t}_2"] - one[t] * rate - (one["hosts"] - 1) * within - extra) / free) if free > 1e-6 * n else 0.0
+        out[t] = Spread(n, one[t], host, path, max(0.0, rate * (1 - rate) - host - path))
+    return out
+
+
+def _weight(between: float, sampling: Column, n: Column) -> Column:
+    """Of a site's own mean against its prior."""
+    if between < 1e-12:
+        return F.lit(0.0)
+    own = F.least(n / (n + F.lit(float(LEAST_STRENGTH))), F.lit(between) / (F.lit(between) + sampling))
+    return F.when(n > 0, own).otherwise(0.0)
+
+
+def _rates(s: Spread, t: str, left_out: Column | None = None) -> tuple[Column, Column, Column]:
+    """Global rate and posteriors of host and path, from the columns of ``site_sums``; a document's own score
+    ``left_out`` counts in none of them."""
+    k, own = (0, F.lit(0.0)) if left_out is None else (1, left_out)
+    n, host_n = F.col("n") - k, F.col("host_n") - k
+    sizes = F.col("host_sizes") - k * (2 * F.col("n") - 1)
+    top = F.lit(s.total) if s.n <= k else F.lit(s.total) - own
+    whole = F.least(F.lit(0.999), F.greatest(F.lit(1e-4), top / F.lit(float(max(1, s.n - k if s.n > k else s.n)))))
+    at_least = F.greatest(host_n, F.lit(1))
+    host_noise = F.lit(s.path) * sizes / (at_least * at_least) + F.lit(s.noise) / at_least
+    host_w = _weight(s.host, host_noise, host_n)
+    host = _inside(whole + host_w * ((F.col(f"host_{t}") - own) / at_least - whole))
+    path_w = _weight(s.path, F.lit(s.noise) / F.greatest(n, F.lit(1)), n)
+    return whole, host, _inside(host + path_w * ((F.col(t) - own) / F.greatest(n, F.lit(1)) - host))
+
+
+def _inside(p: Column) -> Column:
+    return F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
+
+
+def _shift(path: Column, whole: Column) -> Column:
+    return F.greatest(F.lit(-MAX_SHIFT), F.least(F.lit(MAX_SHIFT), _odds(path) - _odds(whole)))
+
+
 def site_posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """Per path: host, path, documents, and for each target the posteriors of host and path and the shift of
-    the log odds."""
-    paths = stage(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(
-        F.count("*").alias("n"), *[F.sum(_probability(F.col(f"_qc_{t}"))).alias(t) for t in TARGETS]), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
-    rates = [F.col(f"host_{t}") / F.col("host_n") for t in TARGETS]
-    whole = hosts.agg(F.sum("host_n").alias("n"), *[F.sum(f"host_{t}").alias(t) for t in TARGETS],
-                      *[F.coalesce(F.var_pop(r), F.lit(0.0)).alias(f"var_{t}") for r, t in zip(rates, TARGETS)]).first()
-    out = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
+    the log odds, with all documents of the site."""
+    sums = site_sums(scored, host, path)
+    found = spreads(sums)
+    cols = []
     for t in TARGETS:
-        m = min(0.999, max(1e-4, (whole[t] or 0.0) / whole["n"])) if whole["n"] else 0.5
-        spread = max(whole[f"var_{t}"] or 0.0, 1e-9)
-        strength = float(min(1e4, max(20.0, m * (1 - m) / spread - 1)))     # of the prior, in documents
-        host_p = (F.lit(strength * m) + F.col(f"host_{t}")) / (F.lit(strength) + F.col("host_n"))
-        path_p = (F.lit(strength) * host_p + F.col(t)) / (F.lit(strength) + F.col("n"))
-        shift = F.greatest(F.lit(-MAX_SHIFT), F.least(F.lit(MAX_SHIFT), _odds(path_p) - float(np.log(m / (1 - m)))))
-        out = out.withColumns({f"{t}_host": host_p, f"{t}_path": path_p, f"{t}_shift": shift})
-    return out.select("host", "path", "n", *[f"{t}_{x}" for t in TARGETS for x in ("host", "path", "shift")])
+        whole, host_p, path_p = _rates(found[t], t)
+        cols += [host_p.alias(f"{t}_host"), path_p.alias(f"{t}_path"), _shift(path_p, whole).alias(f"{t}_shift")]
+    return sums.select("host", "path", "n", *cols)
 
 
 def posteriors(scored: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """``scored`` plus host and path posteriors and the combined probability ``_qc_p_<target>``."""
-    sites = stage(site_posteriors(scored, host, path), "sites")
-    sites = sites.select(*[F.col(c).alias(f"_qc_site_{c}") for c in sites.columns])
-    side = F.broadcast(sites) if sites.count() <= SITE_LIMIT else sites
-    out = scored.join(side, F.col(host).eqNullSafe(F.col("_qc_site_host")) & F.col(path).eqNullSafe(F.col("_qc_site_path")), "left")
-    return out.withColumns({f"_qc_p_{t}": _probability(F.col(f"_qc_{t}") + F.col(f"_qc_site_{t}_shift")) for t in TARGETS})
+    """``scored`` plus ``_qc_site_<target>_host`` and ``_path``, the site's posteriors without the document itself,
+    and the combined probability ``_qc_p_<target>``."""
+    sums = site_sums(scored, host, path)
+    found = spreads(sums)
+    side = F.broadcast(sums) if is_small(sums, SITE_LIMIT) else sums
+    row = scored.select(F.struct("*").alias("_row"))
+    own = {t: F.col(f"_row._qc_{t}") for t in TARGETS}
+    both = row.join(side, F.col(f"_row.{host}").eqNullSafe(F.col("host")) & F.col(f"_row.{path}").eqNullSafe(F.col("path")))
+    cols = []
+    for t in TARGETS:
+        whole, host_p, path_p = _rates(found[t], t, _probability(own[t]))
+        cols += [host_p.alias(f"_qc_site_{t}_host"), path_p.alias(f"_qc_site_{t}_path"),
+                 _probability(own[t] + _shift(path_p, whole)).alias(f"_qc_p_{t}")]
+    return both.select("_row.*", *cols)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,5 +317,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all columns kept."""
     models = fit(docs, labels)
-    p = posteriors(evidence(docs, models))
-    return p.where(F.greatest("_qc_p_quality", "_qc_p_toxic") <= 0.5).select(*docs.columns)
+    mine = [c for c in docs.columns if c.lower().startswith("_qc_")]        # kept under other names meanwhile
+    taken, other = {c.lower() for c in docs.columns}, {}
+    for c in mine:
+        name = f"kept{c}"
+        while name.lower() in taken:
+            name = f"kept{name}"
+        taken.add(name.lower())
+        other[c] = name
+    p = posteriors(stage(evidence(docs.withColumnsRenamed(other), models), "evidence"))
+    return p.where(F.greatest("_qc_p_quality", "_qc_p_toxic") <= 0.5).select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
