@@ -30,7 +30,7 @@ FAST = ["top_theme_words", "scrub_pii", "term_counts", "name_themes", "describe_
         "parse_theme_responses", "report_markdown", "report_lines", "email_teasers", "similar_pairs",
         "nearest_neighbours", "density_cluster", "dedup_reviews", "take_until_older", "keyword_fallback",
         "read_app_store_feed", "weekly_counts_stream", "backfill", "collect_clusters", "normalise_ideas", "extract_json",
-        "kmeans_fallback", "embed_with", "embed_texts", "upsert_runs", "append_reviews", "write_reports", "stream_reviews",
+        "kmeans_fallback", "embed_with", "embed_texts", "embed_texts_versioned", "upsert_runs", "append_reviews", "write_reports", "stream_reviews",
         "app_store_feed_rejects", "review_rejects", "response_rejects", "density_cluster_table", "theme_lint", "latest_summary"]
 
 

@@ -1,5 +1,7 @@
 """J7 (exact pairs, kNN) against NumPy brute force, M3 on the planted pairs (FIXTURES.md §1.4), M5-M7."""
 import collections
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,6 +151,37 @@ def test_embed_and_user_hook(spark):
         V.embed_with(df, lambda ts: []).collect()
 
 
+def test_vectors_of_two_weekly_runs_are_comparable(spark, tmp_path):
+    """Counts are stored by week and add up; a version's vector of a text is the same in every run."""
+    from pyspark.ml.feature import HashingTF
+
+    from themelens.sources import tables as TB
+    rows = [("1", "w1", "crash on login"), ("2", "w1", "login fails\nagain login"), ("3", "w2", "crash again"), ("4", "w2", None), ("5", "w3", "fee")]
+    df = spark.createDataFrame(rows, "review_id string, iso_week string, content string")
+    path = f"{tmp_path}/counts"
+    for weeks in (["w1", "w2"], ["w2"], ["w3"]):            # w2 is counted twice: replaced, not added
+        TB.write_document_counts(V.document_counts(df.where(F.col("iso_week").isin(weeks)), num_features=64), path)
+    counts = TB.load_document_counts(spark, path)
+    assert {r.iso_week: r.n_docs for r in counts.collect()} == {"w1": 2, "w2": 2, "w3": 1}
+    at, texts = HashingTF(numFeatures=64), {i: re.findall(r"\w{5,}", t or "") for i, _, t in rows}
+    count = Counter(b for i in "1234" for b in {at.indexOf(w) for w in texts[i]})
+    want = {}
+    for i, words in texts.items():
+        v = np.zeros(64)
+        for w in words:
+            v[at.indexOf(w)] += np.log(5 / (1 + count[at.indexOf(w)])) + 1
+        want[i] = v / (np.linalg.norm(v) or 1)
+    first = {r.review_id: r for r in V.embed_with_counts(df.where("iso_week <= 'w2'"), counts.where("iso_week <= 'w2'"), "w2").collect()}
+    later = {r.review_id: r for r in V.embed_with_counts(df, counts, "w2", dense=True).collect()}
+    assert all(np.allclose(later[i].vec, want[i]) and later[i].vec_version == "w2" for i in want)
+    assert all(np.array_equal(first[i].vec.toArray(), later[i].vec) for i in first) and type(first["1"].vec).__name__ == "SparseVector"
+    assert V.embed_with_counts(df.limit(0), counts, "w3").count() == 0 and V.document_counts(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        V.embed_with_counts(df, counts, "w0")
+    with pytest.raises(ValueError):
+        V.embed_with_counts(df, counts.unionByName(V.document_counts(df.where("iso_week = 'w1'"), num_features=32)), "w3")
+
+
 def _clustered(n_clusters, size, spread, dims=16, seed=9):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n_clusters, dims))

@@ -15,8 +15,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,44 @@ def embed_texts(df: DataFrame, text_col: str = "content", out_col: str = "vec",
     return v.withColumn(out_col, vector_to_array("_vec")).drop("_toks", "_tf", "_tfidf", "_vec")
 
 
+def _hashed(df: DataFrame, text_col: str, num_features: int) -> DataFrame:
+    """``df`` with the token counts ``_tf`` of each text, a sparse vector of hashed tokens."""
+    t = df.withColumn("_toks", F.coalesce(tokens(flatten_newlines(text_col)), F.array().cast("array<string>")))
+    return HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=num_features).transform(t).drop("_toks")
+
+
+def document_counts(df: DataFrame, text_col: str = "content", keys=("iso_week",), num_features: int = 1024) -> DataFrame:
+    """For M1: per key the number of texts ``n_docs`` and of those that hold each hashed token (``counts``, an
+    array of ``num_features``). Counts add up over keys, so a run counts its own weeks only and the stored
+    table (``sources.tables.write_document_counts``) keeps the rest. A null text is a text without tokens."""
+    seen = Summarizer.metrics("count", "numNonZeros").summary(F.col("_tf")).alias("s")
+    return _hashed(df, text_col, num_features).groupBy(*keys).agg(seen).select(
+        *keys, F.col("s.count").alias("n_docs"), vector_to_array("s.numNonZeros").cast("array<long>").alias("counts"))
+
+
+def embed_with_counts(df: DataFrame, counts: DataFrame, version: str, text_col: str = "content", out_col: str = "vec",
+                      week_col: str = "iso_week", dense: bool = False) -> DataFrame:
+    """M1 with stored document counts: a text's vector depends on the text and on ``version`` alone, the last week
+    whose counts are used, so vectors of one version are comparable whichever run made them.
+
+    Weights are ``ln((1 + n) / (1 + count)) + 1``; vectors have length 1 (0 for a text without tokens). ``out_col``
+    is a sparse vector, or ``array<double>`` if ``dense``; ``vec_version`` names the version. The driver holds one
+    number per feature. A version without counts, or counts of different lengths, is an error."""
+    known = counts.where(F.col(week_col) <= version)
+    sums = known.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"), F.count("*").alias("weeks"))
+    cells = sorted(tuple(r) for r in sums.collect())        # num_features rows
+    if not cells:
+        raise ValueError(f"no document counts up to {version}")
+    if len({weeks for *_, weeks in cells}) > 1:
+        raise ValueError("document counts of different numbers of features cannot be added")
+    n = known.agg(F.sum("n_docs")).first()[0]
+    weights = Vectors.dense(np.log((1 + n) / (1 + np.array([c for _, c, _ in cells]))) + 1)
+    weighted = ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_tfidf").transform(_hashed(df, text_col, len(cells)))
+    v = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0).transform(weighted)
+    out = vector_to_array("_vec") if dense else F.col("_vec")
+    return v.withColumns({out_col: out, "vec_version": F.lit(version)}).drop("_tf", "_tfidf", "_vec")
+
+
 def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
                text_col: str = "content", out_col: str = "vec", batch_size: int = 50) -> DataFrame:
     """User embedding function on batches of texts (Arrow batches via ``mapInPandas``).

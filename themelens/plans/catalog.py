@@ -767,6 +767,21 @@ def q_embed_texts(spark, sf_dir):
                     F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
 
 
+@register("embed_texts_versioned")
+def q_embed_texts_versioned(spark, sf_dir):
+    """Two weekly runs: the second counts only its own week and embeds all reviews with the first run's version."""
+    reviews = D.reviews(spark, sf_dir, with_order=False)
+    path = St.scratch(spark, "document-counts")
+    last = reviews.agg(F.max("iso_week")).first()[0]
+    for part in (reviews.where(F.col("iso_week") < last), reviews.where(F.col("iso_week") == last)):
+        Tb.write_document_counts(V.document_counts(part, num_features=256), path)
+    counts = Tb.load_document_counts(spark, path)
+    before = counts.where(F.col("iso_week") < last).agg(F.max("iso_week").alias("w"), F.sum("n_docs").alias("n")).first()
+    e = V.embed_with_counts(reviews, counts, before["w"], dense=True)
+    return e.select("review_id", F.size("vec").alias("dims"), "vec_version", F.lit(before["n"]).alias("n_docs"),
+                    F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
 @register("reduce_dims")
 def q_reduce_dims(spark, sf_dir):
     r = V.reduce_dims(D.vectors(spark, sf_dir), k=5)

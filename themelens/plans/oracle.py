@@ -707,6 +707,12 @@ register("reduce_dims", """
 register("embed_texts", f"""
     SELECT review_id, 256 AS dims, CASE WHEN len({tokens_sql('content')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
     FROM reviews0""", "reviews0")
+register("embed_texts_versioned", f"""
+    WITH w AS (SELECT max(iso_week) AS last FROM reviews),
+    v AS (SELECT max(iso_week) AS vec_version, count(*) AS n_docs FROM reviews, w WHERE iso_week < last)
+    SELECT review_id, 256 AS dims, vec_version, n_docs,
+           CASE WHEN len({tokens_sql('content')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
+    FROM reviews, v""", "reviews")
 register("density_cluster_table", f"""
     WITH RECURSIVE core AS (
         SELECT id_a AS id, 1 - cosine AS core FROM allpairs

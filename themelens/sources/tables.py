@@ -18,6 +18,7 @@ from themelens.functions.text import report_anchor
 REVIEW_SCHEMA = ("product_id string, iso_week string, source string, review_id string, user_name string, rating int, "
                  "content string, review_ts timestamp_ntz")
 SUMMARY_SCHEMA = "run_id string, product_id string, iso_week string, summary_json string, created_at timestamp_ntz"
+COUNTS_SCHEMA = "n_docs long, counts array<long>, iso_week string"
 REPORT_SCHEMA = "value string, product_id string, iso_week string"
 
 
@@ -61,6 +62,18 @@ def upsert_runs(runs: DataFrame, changes: DataFrame, root: str, keys=KEYS) -> st
     return path
 
 
+def write_document_counts(counts: DataFrame, path: str) -> None:
+    """Stored document counts of M1, one row per week: a run replaces the weeks that it has counted and leaves
+    the others, so it may be repeated."""
+    (counts.select("n_docs", "counts", "iso_week").hint("rebalance", F.col("iso_week"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iso_week").parquet(path))
+
+
+def load_document_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Stored document counts; a filter on the week prunes directories."""
+    return spark.read.schema(COUNTS_SCHEMA).parquet(path)
+
+
 def append_summaries(summaries: DataFrame, path: str) -> None:
     """SRC6: the nested summary as JSON text with its run id and time (``to_json`` only here)."""
     body = F.to_json(F.struct("product_id", "iso_week", "data_window", "top_themes", "total_reviews_analyzed",
