@@ -172,3 +172,21 @@ def site_rates(rows, least=20):
             rate += w * (mean([r[2] for r in mine]) - host)
         out.append((whole, host, min(1 - 1e-6, max(1e-6, rate))))
     return out
+
+
+def longest_and_spans(text, items, width=10):
+    """Longest verbatim match of at least a window, in words, and the covered intervals ``start:end``."""
+    w, hit, best = alnum_words(text), set(), 0
+    for _, t in items:
+        v = alnum_words(t)
+        n = min(width, len(v))
+        for q in range(len(v) - n + 1 if n else 0):
+            for i in range(len(w) - n + 1):
+                if w[i:i + n] == v[q:q + n]:
+                    hit.update(range(i, i + n))
+                    m = n
+                    while q + m < len(v) and i + m < len(w) and v[q + m] == w[i + m]:
+                        m += 1
+                    best = max(best, m)
+    starts, ends = sorted(i for i in hit if i - 1 not in hit), sorted(i + 1 for i in hit if i + 1 not in hit)
+    return best, ",".join(f"{a}:{z}" for a, z in zip(starts, ends))

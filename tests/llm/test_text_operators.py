@@ -170,6 +170,31 @@ def test_contamination(spark, monkeypatch, block_bytes, shard_words):
     assert found[-1][3] == 16      # the whole passage is the longest match
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 25, 60])
+def test_longest_match_and_spans(spark, monkeypatch, block_bytes):
+    """Items that share windows and go on differently, and repeat themselves."""
+    monkeypatch.setattr(decontamination.test_blocks, "__defaults__", (block_bytes,))
+    rng = random.Random(3)
+    base = [rng.choice("ab") + rng.choice("cd") for _ in range(60)]
+    items = [(1, " ".join(base[:30] + ["x"] * 3)), (2, " ".join(base[:25] + ["y"] * 12)), (3, " ".join(base[10:50])), (4, "ac bd"),
+             (5, " ".join(["r"] * 14)), (5, " ".join(["r"] * 11 + base[:9])), (6, None), (7, " ".join(base[40:52]))]
+    rows = ODD + [(i, " ".join(["z"] * (i % 3) + base[a:z] + end + base[z:a + 40])) for i, (a, z, end) in enumerate(
+        [(0, 27, ["y"] * 3), (0, 24, ["y"] * 30), (0, 60, []), (12, 33, ["q"]), (38, 60, ["r"] * 20), (5, 30, ["x"] * 5), (50, 60, ["r"] * 10)])]
+    docs = table(spark, rows)
+    got = decontamination.contamination_digest(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert key((g.doc_id, g.longest_match, g.spans) for g in got) == key((d, *R.longest_and_spans(t, items)) for d, t in rows)
+    assert max(g.longest_match for g in got) == 40
+
+
+def test_test_block_weighs_little():
+    """Bytes sent per byte of test text: what bounds the broadcast of a block."""
+    import pickle
+    rng = random.Random(4)
+    words = [f"{rng.randrange(10 ** 5):05d}" for _ in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(words, k=200))) for i in range(1000)]
+    assert len(pickle.dumps(decontamination.TestBlock(items))) < 5 * sum(len(t) for _, t in items)
+
+
 def test_contamination_empty_tables(spark):
     none, items = table(spark, ODD).limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontamination.contamination_digest(none, items).count() == 0

@@ -2,15 +2,17 @@
 
 Documents are read in shards of a few MB. For each shard a suffix array over its words is built (prefix
 doubling; a suffix ends with its document), and every test suffix is found in it by binary search, word by
-word, for all test suffixes at once. A range of the suffix array is all places of a match, and following a
-range until it is empty gives the longest verbatim match.
+word, for all test suffixes at once. A range of the suffix array is all places of a match. From each place the
+document is followed in the suffix array of the test block, over all test suffixes that begin with the match,
+until none is left: the longest verbatim match.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after folding A-Z. A test window is ``WINDOW``
 consecutive words of a benchmark item, or the whole item if it is shorter.
 
 There is no shuffle: the work grows with the documents, one shard at a time. The benchmark is measured first
-and dealt out in blocks of at most ``BLOCK_BYTES`` of text; each block is broadcast and the documents stream
-through one pass per block, so no broadcast exceeds the bound. A lost executor only repeats its tasks.
+and dealt out in blocks of about ``BLOCK_BYTES`` of text; each block is broadcast as flat arrays of at most 29 bytes
+a word and the item ids (``BLOCK_BYTES`` of five-letter words: 80 MB) and the documents stream through one pass
+per block. A lost executor only repeats its tasks.
 
 Defined cases: null or wordless text has no words and no hits; a null or wordless item has no window; items
 with a null id count for hits but are not listed; equal ids are one item; texts longer than a shard are cut
@@ -31,7 +33,7 @@ from themelens.llm import words as W
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 # -- suffix arrays -------------------------------------------------------------------------------------
@@ -68,31 +70,43 @@ def suffix_array(words: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
 
 
 class TestBlock:
-    """Distinct windows of a block of items, the items of each, and the words that follow it in an item."""
+    """The suffix array of a block of items, and its ranges that begin with the same window.
+
+    ``order`` holds the places where a window starts, sorted by the suffix that starts there. Window w is
+    ``length[w]`` words long and starts at ``order[cut[w]:cut[w + 1]]``; ``item`` says whose place it is.
+    """
+
+    __test__ = False
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         texts = pa.array([t for _, t in items], pa.string())
-        self.words, first = W.hashed_words(texts, W.ALNUM_LOWER)
-        starts, lengths, owner = [], [], []
-        for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            width = min(window, z - a)
-            for p in range(a, z - width + 1) if z > a else ():
-                starts.append(p)
-                lengths.append(width)
-                owner.append(k)
-        self.ends = np.zeros(len(self.words) + 1, np.int64)     # where the item of each word ends
-        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
-            self.ends[a:z] = z
-        seen: dict[bytes, int] = {}
-        which = [seen.setdefault(self.words[p:p + n].tobytes(), len(seen)) for p, n in zip(starts, lengths)]
-        self.start, self.length = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
-        self.ids: list[set[str]] = [set() for _ in seen]
-        for w, p, n, k in zip(which, starts, lengths, owner):
-            self.start[w], self.length[w] = p, n
-            if items[k][0] is not None:
-                self.ids[w].add(str(items[k][0]))
+        words, first = W.hashed_words(texts, W.ALNUM_LOWER)
+        self.words = np.where(words == 0, np.uint64(1), words)
+        size = np.diff(first)
+        self.ids = [None if k is None else str(k) for k, _ in items]
+        self.item = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.ends = np.repeat(first[1:], size).astype(np.int32)         # where the item of each word ends
+        width = np.repeat(np.minimum(window, size), size).astype(np.int16)
+        order = suffix_array(self.words, self.ends, int(size.max(initial=0))).astype(np.int32)
+        self.order = order[order + width[order] <= self.ends[order]]
+        new = np.ones(len(self.order), bool)
+        wide = width[self.order]
+        if len(self.order):
+            same = wide[1:] == wide[:-1]
+            for d in range(window):
+                word = _value(self.words, self.ends, self.order, d)
+                same &= (word[1:] == word[:-1]) | (wide[1:] <= d)
+            new[1:] = ~same
+        self.cut = np.append(np.flatnonzero(new), len(self.order)).astype(np.int32)
+        self.length = wide[self.cut[:-1]]
+        self.start = self.order[self.cut[:-1]]
         self.depth = int(self.length.max(initial=0))
 
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        """The ids of all items that hold one of these windows."""
+        at = [self.order[self.cut[w]:self.cut[w + 1]] for w in windows.tolist()]
+        return {self.ids[k] for k in np.unique(self.item[np.concatenate(at)]).tolist()} - {None}
+
 
 def _value(words: np.ndarray, ends: np.ndarray, at: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
     """The word ``depth`` places into each suffix; 0, below every word, past its end."""
@@ -142,14 +156,17 @@ def occurrences(words: np.ndarray, ends: np.ndarray, test: TestBlock) -> tuple[n
 
 
 def longest_from(words: np.ndarray, ends: np.ndarray, test: TestBlock, which: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Length of each match when it is followed to the end of the item or document, or to a difference."""
-    length = test.length[which].copy()
-    live = np.arange(len(which))
+    """Length of each match when the document is followed through all test suffixes that begin with it."""
+    length = test.length[which].astype(np.int64)
+    live, lo, hi = np.arange(len(which)), test.cut[which].astype(np.int64), test.cut[which + 1].astype(np.int64)
     while len(live):
-        p, q = test.start[which[live]] + length[live], place[live] + length[live]
-        on = (p < test.ends[test.start[which[live]]]) & (q < ends[place[live]])
-        on[on] = test.words[p[on]] == words[q[on]]
-        live = live[on]
+        on = place[live] + length[live] < ends[place[live]]
+        live, lo, hi = live[on], lo[on], hi[on]
+        if not len(live):
+            break
+        lo, hi = _narrow(test.words, test.ends, test.order, lo, hi, length[live], words[place[live] + length[live]])
+        on = lo < hi
+        live, lo, hi = live[on], lo[on], hi[on]
         length[live] += 1
     return length
 
@@ -188,8 +205,7 @@ def matches(col: pa.Array, test: TestBlock, shard_words: int = SHARD_WORDS) -> l
         new[1:] = begin[1:] > reach[:-1]
         last = np.concatenate([np.flatnonzero(new)[1:] - 1, [z - a - 1]])
         spans = np.stack([begin[new], reach[last]], axis=1).ravel()
-        ids = set().union(*[test.ids[x] for x in np.unique(w[a:z]).tolist()])
-        out.append((n, spans, ids, int(l_all[a:z].max())))
+        out.append((n, spans, test.items_of(np.unique(w[a:z])), int(l_all[a:z].max())))
     return out
 
 
@@ -257,14 +273,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The counts and the digest of the item ids, one row per document."""
+    """The counts and the digest of the item ids, one row per document; ``longest_match`` in words (0 without a hit)
+    and ``spans``, the covered word intervals ``start:end`` (from 0, end exclusive, comma-joined)."""
     found = contamination(docs, benchmark)
     hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")),
                       lambda acc, x: F.struct((acc["n"] + acc["sign"] * x).alias("n"), (-acc["sign"]).alias("sign")))
     return found.select(
         "doc_id", "n_words", hit["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"))
+        (F.size("spans") > 0).alias("contaminated"), "longest_match",
+        F.regexp_replace(F.array_join("spans", ","), r"([0-9]+),([0-9]+)", "$1:$2").alias("spans"))
 
 
 def _clean(shared, text_col: str):

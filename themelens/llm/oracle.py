@@ -55,18 +55,37 @@ wins AS (
     SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win
     FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
           FROM items WHERE len(w) > 0)),
+wplaces AS (        -- every place of a window, by row of the benchmark
+    SELECT r, n, p AS q, array_to_string(w[p:p + n - 1], ' ') AS win
+    FROM (SELECT r, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
+          FROM (SELECT row_number() OVER () AS r, w FROM items) WHERE len(w) > 0)),
 docs AS (SELECT doc_id, regexp_extract_all({_lower('text')}, {_ALNUM}) AS w FROM documents),
 places AS (
     SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
     FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
           FROM docs JOIN (SELECT DISTINCT n FROM wins) ON len(w) >= n)),
 found AS (SELECT doc_id, item_id, places.n AS n, p FROM places JOIN wins ON wins.n = places.n AND wins.win = places.win),
+runs AS (           -- a longest match is a run of windows at one distance between document and item
+    SELECT doc_id, n + count(*) - 1 AS words
+    FROM (SELECT doc_id, r, n, p - q AS gap, p - row_number() OVER (PARTITION BY doc_id, r, n, p - q ORDER BY p) AS run
+          FROM places JOIN wplaces USING (n, win))
+    GROUP BY doc_id, r, n, gap, run),
+longest AS (SELECT doc_id, max(words) AS longest_match FROM runs GROUP BY doc_id),
+covered AS (
+    SELECT doc_id, string_agg((a - 1) || ':' || z, ',' ORDER BY a) AS spans
+    FROM (SELECT doc_id, min(x) AS a, max(x) AS z
+          FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS run
+                FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS x FROM found))
+          GROUP BY doc_id, run)
+    GROUP BY doc_id),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest_match, 0) AS longest_match, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN longest USING (doc_id)
+     LEFT JOIN covered USING (doc_id)"""
 
 # -- op6 ---------------------------------------------------------------------------------------------------
 
