@@ -59,6 +59,11 @@ def test_top_k(spark):
                 want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
         assert sorted(tuple(g) for g in got) == sorted(want)
     topk.QUERY_BLOCK = 4096
+    huge = spark.createDataFrame([(100, [1e300]), (51, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2 \\*\\* 53"):
+        topk.top_k(huge, F.col("vec_id") % 50 == 0)
+    with pytest.raises(TypeError):
+        topk.top_k(huge.withColumn("vec_id", F.col("vec_id").cast("string")), F.col("vec_id") == "100")
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 

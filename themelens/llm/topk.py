@@ -10,14 +10,17 @@
   are multiplied out exactly. The longest ``SEEDS`` vectors give every query a first t.
 * Each task returns its own k best per query; a grouped window merges them.
 
-Queries are the rows that the caller names. They are taken in blocks of ``QUERY_BLOCK`` rows, one pass over
-the candidates per block, so what is broadcast has a fixed bound however many queries there are. Scores of
+Queries are the rows that the caller names, staged once. They are taken in blocks of ``QUERY_BLOCK`` rows, one
+pass over the candidates per block, whose broadcast is released when the block's results are written, so what is
+broadcast has a fixed bound however many queries there are. Scores of
 pairs are never written, only k per query and task.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows with
 a null id. Shorter vectors are padded with zeros. Own rows are recognised by id, so rows that repeat an id
 are never their own candidates; a repeated query id is one query (the first of its equal-id rows by vector).
-Ties go to the smaller id. With fewer candidates than k all are returned. Products must fit 2 ** 53.
+Ties go to the smaller id. With fewer candidates than k all are returned. Ids are whole numbers (another type is
+an error). Partial sums are whole numbers of at most |q| |x|, exact below 2 ** 53; if the longest query and the
+longest vector exceed that, the search fails before it starts rather than return wrong scores.
 """
 
 from __future__ import annotations
@@ -131,8 +134,10 @@ def _search(shared, dim: int, k: int):
 def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best other rows for each row where ``is_query`` holds."""
     spark = rows.sparkSession
+    if rows.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold whole numbers")
     vectors = stage(clean_vectors(rows, id_col, vector_col), "vectors")
-    n, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, dim, longest = vectors.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
     dim = max(1, dim or 0)
     basis = rotation(vectors, dim)
     parts = max(1, -(-n // ROWS_PER_PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -140,19 +145,22 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     ordered = stage(by_norm, "by-norm")
     seeds = vectors.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).toPandas()       # SEEDS rows
     seed, seed_ids = _matrix(seeds["v"], dim), seeds["vec_id"].to_numpy(np.int64)
-    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_q = queries.count()
+    queries = stage(vectors.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("q")).select("vec_id", "q.*"), "queries")
+    n_q, longest_q = queries.agg(F.count("*"), F.max("norm")).first()
+    if (longest_q or 0.0) * (longest or 0.0) >= 2.0 ** 53:
+        raise ValueError(f"scores up to {longest_q * longest:.3g} exceed 2 ** 53 and would not be exact")
     blocks = -(-n_q // QUERY_BLOCK)
     found = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        block = part.toPandas()                                                     # about QUERY_BLOCK rows
+        block = part.select("vec_id", "v").toPandas()                                                     # about QUERY_BLOCK rows
         q, q_ids = _matrix(block["v"], dim), block["vec_id"].to_numpy(np.int64)
         first = q @ seed.T
         first[q_ids[:, None] == seed_ids[None, :]] = -np.inf
         kth = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(q), -np.inf)
         shared = spark.sparkContext.broadcast((q_ids, q, basis, kth))
-        one = ordered.mapInPandas(_search(shared, dim, k), "query_id long, vec_id long, score long")
+        one = stage(ordered.mapInPandas(_search(shared, dim, k), "query_id long, vec_id long, score long"), "best")
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
