@@ -24,7 +24,7 @@ from themelens.llm.near_duplicates import drop_near_duplicates
 from themelens.llm.pii import redact
 from themelens.llm.quality import keep_good
 from themelens.llm.sentencepiece_unigram import MODEL, Vocabulary, encode_column
-from themelens.session import stage, table_path
+from themelens.session import free_name, stage, table_path
 
 SIMILAR = 80                # per cent, of five-word shingles; query op10 has its own threshold
 
@@ -42,10 +42,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = docs.withColumn("_clean", redact(F.col("text")))
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
-    n_chars = F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", n_chars).withColumn("text", F.col("_clean")).select(*docs.columns)
+    name = free_name(docs, "_clean")
+    clean = docs.withColumn(name, redact(F.col("text")))
+    changed = ~F.col(name).eqNullSafe(F.col("text"))
+    n_chars = F.when(changed, F.length(name).cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).withColumn("text", F.col(name)).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

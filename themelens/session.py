@@ -79,6 +79,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)     # known schema: no footer scan
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it, so that no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _STAGED: list[str] = []        # paths this process has staged and not yet dropped
 
 
