@@ -235,6 +235,13 @@ def test_pipeline_stages_and_run(spark):
     assert {(r.doc_id, tuple(r.ids)) for r in ran.collect()} == {(r.doc_id, tuple(r.ids)) for r in last.collect()}
 
 
+def test_pii_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline as C
+    docs = spark.createDataFrame([(1, "me@host.org", 11, "a"), (2, None, None, "b")], "doc_id long, text string, n_chars long, _Clean string")
+    got = sorted(tuple(r) for r in C.pii(spark, docs, SF).collect())
+    assert got == [(1, "[EMAIL]", 7, "a"), (2, None, None, "b")]
+
+
 def test_pipeline_near_duplicates_from_eight_tenths_on(spark):
     """Pairs just above and just below 0.8: only the former lose a document."""
     import corpus_pipeline as C

@@ -268,6 +268,9 @@ def test_near_duplicates_blocks_and_drop(spark, monkeypatch):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in R.components(rows)})
     assert near_duplicates.drop_near_duplicates(docs.limit(0)).count() == 0
+    odd = docs.withColumns({"_own": F.lit("mine"), "_clean": F.lit("too")})
+    again = near_duplicates.drop_near_duplicates(odd)
+    assert again.columns == odd.columns and again.count() == kept.count() and {r["_own"] for r in again.collect()} == {"mine"}
 
 
 def test_estimate_is_corrected_for_chance():

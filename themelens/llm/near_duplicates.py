@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from themelens.llm import words as W
 from themelens.llm.components import connected_components
-from themelens.session import stage
+from themelens.session import drop_staged, free_name, stage
 
 SHINGLE = 5
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 4
@@ -334,7 +334,9 @@ def node_components(docs: DataFrame, staged: DataFrame, text_col: str = "text",
     named = buckets.where("m > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     dealt = open_pairs(named, nodes.select("node", "signature"), sets, BLOCK, BLOCK_BYTES)
     late = dealt.groupBy("key", "i", "j").applyInPandas(_links_of_blocks(similar, lo), "a binary, b binary")
-    late = stage(late, "late-links").join(known.select(F.col("node").alias("a"), F.col("component").alias("p")), "a", "left").join(
+    late = stage(late, "late-links")
+    drop_staged(staged.sparkSession, nodes, buckets, pairs, sets, links)
+    late = late.join(known.select(F.col("node").alias("a"), F.col("component").alias("p")), "a", "left").join(
         known.select(F.col("node").alias("b"), F.col("component").alias("q")), "b", "left").select(
         F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).distinct()
     joined = stage(connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("root")), "merged")
@@ -370,6 +372,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component: the smallest id. Rows that repeat both id and text are
     one document."""
     found = _labelled(docs, id_col, text_col, similar).where("own = best")
-    keep = found.select(F.struct("own.no_id", "doc_id", "tkey").alias("_own")).distinct()
+    name = free_name(docs, "_own")
+    keep = found.select(F.struct("own.no_id", "doc_id", "tkey").alias(name)).distinct()
     own = F.struct(F.isnull(id_col).alias("no_id"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tkey"))
-    return docs.withColumn("_own", own).join(keep, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
+    return docs.withColumn(name, own).join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
