@@ -159,3 +159,21 @@ def test_forest_weight(spark):
     forest = H.spanning_forest(edges, ["k"]).collect()
     want = _tree(_weights(mat, 1))
     assert len(forest) == len(want) and abs(sum(r.w for r in forest) - sum(x for x, *_ in want)) < 1e-9
+
+
+def test_forest_in_parts_and_rounds(spark):
+    """Groups of more edges than a task may hold are dealt into parts, then joined by Boruvka rounds: the same forest."""
+    mat = np.random.default_rng(5).normal(size=(150, 4))
+    edges = V.spanning_edges(_vecs(spark, mat).withColumn("k", F.lit(1)), keys=["k"], block_size=20)
+    whole = {tuple(r) for r in H.spanning_forest(edges, ["k"]).collect()}
+    assert len(whole) == 149 < edges.count()
+    for size in (60, 10):
+        assert {tuple(r) for r in H.spanning_forest(edges, ["k"], size).collect()} == whole
+
+
+def test_rows_are_copied_to_few_blocks(spark):
+    """The least size of a block does not set the number of copies of a row."""
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("vec"))
+    assert V._blocked(rows, ["k"], "vec_id", "vec", 8).count() == 4000 * V.BLOCKS
+    assert V._placed(rows, ["k"], "vec_id", "vec", 8, V.TREE_BLOCKS, V.LARGE_TREE_BLOCK).agg(F.max("_nb")).first()[0] == V.TREE_BLOCKS
+    assert V.rows_a_block(10**6, 128) == V.LARGE_BLOCK and V.rows_a_block(100, 128) == 128 and V.rows_a_block(10**6, 10**5) == 10**5
