@@ -77,6 +77,30 @@ def cluster_stats(clustered: DataFrame, stop_words: DataFrame | None = None, key
         F.min_by(F.col("_text"), pos).alias("first_text"))
 
 
+def review_age():
+    """``ord.age`` as a number that sorts like it (a null one first)."""
+    return F.coalesce(F.col("ord.age"), F.lit(-(1 << 63)))
+
+
+def counted_sizes(clustered: DataFrame, keys=KEYS) -> DataFrame:
+    """A1 over the reviews that have a text."""
+    return cluster_sizes(clustered.where(F.col("content").isNotNull()), keys)
+
+
+def word_counts(clustered: DataFrame, stop_words: DataFrame | None = None, keys=KEYS, windows: str | None = None) -> DataFrame:
+    """A4 with numbers only, so that Spark aggregates tokens in a hash table and neither sorts nor spills them:
+    keys, ``cluster_id``, ``word``, ``count`` and ``first_age``, the ``review_age`` of the word's first review. The exact
+    first position is found afterwards for the few words that need it (``themes.exact_top_terms``). ``windows`` as
+    in ``cluster_stats``."""
+    from themelens.operators.joins import drop_stop_words
+    group = [windows] if windows else [*keys, "cluster_id"]
+    toks = clustered.select(*group, review_age().alias("_age"), F.explode(tokens("content")).alias("word"))
+    toks = drop_stop_words(toks, stop_words)
+    if windows:
+        toks = toks.select("_age", "word", F.inline(windows))
+    return toks.groupBy(*keys, "cluster_id", "word").agg(F.count(F.lit(1)).alias("count"), F.min("_age").alias("first_age"))
+
+
 def roll_up_stats(stats: DataFrame, keys=KEYS) -> DataFrame:
     """Merge cluster statistics of finer groups into ``keys`` (counts add, first positions and
     first reviews take the minimum), so a statistic computed once per calendar week can serve every

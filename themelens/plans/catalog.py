@@ -531,12 +531,12 @@ def q_name_themes(spark, sf_dir):
 
 @register("describe_themes")
 def q_describe_themes(spark, sf_dir):
-    return _flat_themes(Th.local_themes(grouped(spark, sf_dir)))
+    return _flat_themes(Th.local_themes(grouped_staged(spark, sf_dir)))
 
 
 @register("theme_lint")
 def q_theme_lint(spark, sf_dir):
-    t = Th.theme_lint(Th.local_themes(grouped(spark, sf_dir)))
+    t = Th.theme_lint(Th.local_themes(grouped_staged(spark, sf_dir)))
     return t.select(*KEYS, "cluster_id", "one_word_name", "banned_words", "not_two_sentences", "bad_name_length")
 
 

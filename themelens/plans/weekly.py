@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from themelens import KEYS
 from themelens import constants as C
 from themelens.functions.text import iso_week, keyword_group, scrub_pii
-from themelens.operators.aggregates import assemble_summary, cluster_stats, needs_fallback, roll_up_stats
+from themelens.operators.aggregates import assemble_summary, counted_sizes, needs_fallback, review_age, word_counts
 from themelens.operators.clusters import density_cluster, density_cluster_windows, keyword_fallback
 from themelens.operators.filters import drop_noise, noise_flags, review_window, runs_to_do
-from themelens.operators.themes import fallback_theme, local_themes, themes_from_stats
-from themelens.operators.windows import dedup_reviews, newest_n
+from themelens.operators.themes import fallback_theme, local_themes, themes_from_counts
+from themelens.operators.windows import dedup_reviews, newest_n, top_clusters
 from themelens.session import checked_broadcast, stage
 from themelens.sources.tables import append_reviews, append_summaries, load_reviews, upsert_runs
 from themelens.sources.testdata import with_ord
@@ -173,7 +173,7 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
     if run_args.get("materialize", True):
         weekly = stage(weekly, "reviews-grouped")
     cal = ["product_id", "cal_week"]
-    stats = cluster_stats(weekly, keys=cal)
+    sizes, words = counted_sizes(weekly, cal), word_counts(weekly, keys=cal)
     per_cal = weekly.groupBy(*cal).agg(F.count(F.lit(1)).alias("n"), F.min("review_ts").alias("lo"),
                                        F.max("review_ts").alias("hi"))
 
@@ -188,7 +188,9 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
         b = b.withColumn("iso_week", iso_week((monday + F.col("_b") * 7).cast("timestamp_ntz")))
         return b.where(F.col("iso_week").between(start_week, end_week)).drop("_b", "cal_week")
 
-    stats_k = roll_up_stats(to_reports(stats), keys)
+    on = [*keys, "cluster_id"]
+    sizes = to_reports(sizes).groupBy(*on).agg(F.sum("size").alias("size"), F.min("min_ord").alias("min_ord"))
+    words = to_reports(words).groupBy(*on, "word").agg(F.sum("count").alias("count"), F.min("first_age").alias("first_age"))
     per_key = (to_reports(per_cal).groupBy(*keys)
                       .agg(F.sum("n").alias("total_reviews"),
                            F.concat(F.date_format(F.min("lo"), "yyyy-MM-dd"), F.lit(" to "),
@@ -197,10 +199,15 @@ def backfill(reviews: DataFrame, start_week: str, end_week: str, weeks: int = 4,
     if requested is not None:       # the same gate as P1's, on the report weeks
         todo = runs_to_do(requested, runs, run_args.get("force", False), keys) if runs is not None else requested
         todo = checked_broadcast(todo.select(*keys).distinct())
-        stats_k, per_key = stats_k.join(todo, keys, "left_semi"), per_key.join(todo, keys, "left_semi")
-    if run_args.get("materialize", True):
-        stats_k = stage(stats_k, "stats")       # small next to the text, and read by four branches
-    themes = themes_from_stats(stats_k, keys, n_themes)
+        sizes, words, per_key = (x.join(todo, keys, "left_semi") for x in (sizes, words, per_key))
+    aged = weekly.drop("iso_week").withColumn("_age", review_age())
+
+    def reviews_at(ages: DataFrame) -> DataFrame:
+        # the few reviews of these ages first, then their copies in the windows
+        few = aged.join(checked_broadcast(ages.select("product_id", "cluster_id", "_age").distinct()), ["product_id", "cluster_id", "_age"], "left_semi")
+        return to_reports(few).join(ages, [*on, "_age"], "left_semi")
+
+    themes = themes_from_counts(stage(top_clusters(sizes, n_themes, keys), "top-clusters"), words, reviews_at, keys)
     themes = themes.unionByName(fallback_theme(per_key, themes, keys))
     gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at
     return assemble_summary(themes, per_key, keys, data_window=F.col("data_window"), generated_at=gen)
@@ -248,8 +255,11 @@ def _backfill_by_vectors(reviews: DataFrame, vectors: DataFrame, start_week: str
     kept = drop_noise(rows, keys, per_key)
     # at most ``weeks`` windows hold a review; they meet its text once
     places = kept.groupBy("_row").agg(F.collect_list(F.struct(*keys, "cluster_id")).alias("_windows"))
-    stats = stage(cluster_stats(texts.drop(*keys).join(places, "_row"), keys=keys, windows="_windows"), "stats")
-    themes = themes_from_stats(stats, keys, n_themes)
+    dealt = stage(texts.select("_row", "ord", "content").join(places, "_row").drop("_row"), "dealt")
+    copies = dealt.select("ord", "content", F.inline("_windows")).withColumn("_age", review_age())
+    themes = themes_from_counts(stage(top_clusters(counted_sizes(copies, keys), n_themes, keys), "top-clusters"),
+                                word_counts(dealt, keys=keys, windows="_windows"),
+                                lambda ages: copies.join(ages, [*keys, "cluster_id", "_age"], "left_semi"), keys)
     themes = themes.unionByName(fallback_theme(per_key, themes, keys))
     gen = F.lit(generated_at).cast("timestamp_ntz") if isinstance(generated_at, str) else generated_at
     return assemble_summary(themes, per_key.drop("_has_clusters"), keys, data_window=F.col("data_window"), generated_at=gen)
