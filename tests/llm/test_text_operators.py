@@ -1,6 +1,7 @@
 """Span, window and digest operators against plain Python on awkward small tables."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,46 @@ def test_inferred_credentials_of_held_out_documents(spark):
     assert wrong <= 0.003 * ordinary, (wrong, ordinary)
 
 
+def test_automata_learn_from_every_value_and_run(spark):
+    """Counts are those of all distinct values, of any length, and of all other runs, not of some of them."""
+    rng = random.Random(8)
+    values = ["".join(rng.choice("abcdef0123456789XYZ.") for _ in range(rng.randrange(6, 40))) for _ in range(1300)] + ["a0" * 3000]
+    rows = [(i, f"token: {v} plainword{i % 50}") for i, v in enumerate(values)] + [(5000, f"token: {values[0]} plainword0")]
+    base = secrets.find_base(table(spark, rows, True))
+    seen, taken = [], secrets.state_counts
+
+    def watched(packed):
+        seen.extend(packed.groupBy("kind", "key").agg(F.sum("n")).collect())
+        return taken(packed)
+
+    secrets.state_counts = watched
+    try:
+        grammar = secrets.infer(base)
+    finally:
+        secrets.state_counts = taken
+    packed = {"assign": {}, "word": {}}
+    for kind, k, n in seen:
+        if kind in packed:
+            packed[kind][k] = n
+    distinct = sorted(set(values))
+    for kind, runs in (("assign", distinct), ("word", [f"plainword{i % 50}" for i in range(len(values))] + ["plainword0"])):
+        want = {}
+        for run in runs:
+            code = 1
+            for at, c in enumerate([*(secrets._CLASS[c] for c in run), 8]):
+                k = ((code if at <= secrets.DEPTH else 0) << 4) | c
+                want[k] = want.get(k, 0) + 1
+                code = (code << 3) | c
+        assert packed[kind] == want
+    assert grammar.automata["assign"].log.shape[1] == 9 and grammar.background is not None
+
+
+def test_quantile_of_counted_scores():
+    x, n = np.array([-1.0, 0.5, 2.0, 7.0]), np.array([3, 1, 40, 2])
+    for q in (0.0, 0.02, 0.5, 0.97, 0.99, 1.0):
+        assert secrets.weighted_quantile(x, n, q) == pytest.approx(np.quantile(np.repeat(x, n), q))
+
+
 def test_bare_short_credentials_are_candidates(spark):
     """Values of 6 to 19 characters, values with dots, and values behind non-ASCII text are scored too."""
     rng = random.Random(3)
