@@ -101,6 +101,56 @@ def word_counts(clustered: DataFrame, stop_words: DataFrame | None = None, keys=
     return toks.groupBy(*keys, "cluster_id", "word").agg(F.count(F.lit(1)).alias("count"), F.min("_age").alias("first_age"))
 
 
+#: Hash buckets that a cluster's tokens are counted in before its words are.
+WORD_SLOTS = 4096
+#: Buckets, over all clusters, whose keys may be sent to every task.
+SENT_SLOTS = 500_000
+
+
+def frequent_word_counts(clustered: DataFrame, top: DataFrame, n: int, stop_words: DataFrame | None = None, keys=KEYS,
+                         slots: int = WORD_SLOTS) -> DataFrame:
+    """``word_counts`` of the clusters in ``top``, for the words that may be among the ``n`` most frequent of their cluster:
+    every word as frequent as the ``n``-th, and some more. Every token of every review is counted.
+
+    Texts are tokenised once, into a stored table. Tokens are first counted by hash bucket (one number a group, so few rows
+    are shuffled and nothing is sorted): no word is more frequent than its bucket. Words of buckets at least half as full as
+    the ``n``-th fullest are then counted exactly, and so are those of any other bucket not below the ``n``-th of these
+    words. Clusters of rare words only keep all their buckets; if too many are left, all words are counted."""
+    from themelens.operators.joins import drop_stop_words
+    from themelens.session import checked_broadcast, is_small, stage
+    on = [*keys, "cluster_id"]
+    ids = checked_broadcast(top.select(*on).distinct().withColumn("_c", F.monotonically_increasing_id()))
+    toks = clustered.join(ids, on).select("_c", review_age().alias("_age"), F.explode(tokens("content")).alias("word"))
+    toks = stage(drop_stop_words(toks, stop_words).select("_c", "_age", "word"), "tokens")
+    slot = (F.col("_c") * slots + F.pmod(F.xxhash64("word"), F.lit(slots))).alias("_slot")
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.groupBy("_c", "word").agg(F.count(F.lit(1)).alias("count"), F.min("_age").alias("first_age"))
+
+    def words_of(some: DataFrame) -> DataFrame:
+        return stage(counted(toks.select("*", slot).join(F.broadcast(some.select("_slot")), "_slot", "left_semi")), "word-counts")
+
+    def nth(counts: DataFrame) -> DataFrame:
+        w = Window.partitionBy("_c").orderBy(F.col("count").desc())
+        best = counts.select("_c", "count", F.row_number().over(w).alias("_rank")).where(F.col("_rank") <= n)
+        return best.groupBy("_c").agg(F.min("count").alias("_least"))
+
+    filled = toks.groupBy("_c", slot).agg(F.count(F.lit(1)).alias("count"))
+    filled = stage(filled, "word-slots")
+    filled = stage(filled.join(nth(filled), "_c").select("_c", "_slot", "count", (F.col("count") * 2 >= F.col("_least")).alias("_first")),
+                   "word-slots")
+    few = lambda some: is_small(some, SENT_SLOTS, 1 << 62)
+    words, first = None, filled.where("_first")
+    if few(first):
+        words = words_of(first)
+        rest = stage(filled.where("not _first").join(nth(words), "_c").where(F.col("count") >= F.col("_least")), "word-slots")
+        if not few(rest):
+            words = None
+        elif not rest.isEmpty():
+            words = words.unionByName(words_of(rest))
+    return (counted(toks) if words is None else words).join(ids, "_c").drop("_c")
+
+
 def roll_up_stats(stats: DataFrame, keys=KEYS) -> DataFrame:
     """Merge cluster statistics of finer groups into ``keys`` (counts add, first positions and
     first reviews take the minimum), so a statistic computed once per calendar week can serve every

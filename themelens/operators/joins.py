@@ -29,11 +29,13 @@ def attach_labels(reviews: DataFrame, labels: DataFrame,
 
 
 def stop_words_df(spark: SparkSession, words=C.STOP_WORDS) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+    # as an expression: no Python worker has to start for it
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in dict.fromkeys(words)])).alias("word"))
 
 
 def functional_map_df(spark: SparkSession, pairs=C.FUNCTIONAL_MAP) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "map_word string, mapped_name string")
+    rows = F.array(*[F.struct(F.lit(w).alias("map_word"), F.lit(name).alias("mapped_name")) for w, name in pairs])
+    return spark.range(1).select(F.inline(rows))
 
 
 def drop_stop_words(words: DataFrame, stop: DataFrame | None = None, col: str = "word") -> DataFrame:
