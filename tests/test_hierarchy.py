@@ -177,3 +177,61 @@ def test_rows_are_copied_to_few_blocks(spark):
     assert V._blocked(rows, ["k"], "vec_id", "vec", 8).count() == 4000 * V.BLOCKS
     assert V._placed(rows, ["k"], "vec_id", "vec", 8, V.TREE_BLOCKS, V.LARGE_TREE_BLOCK).agg(F.max("_nb")).first()[0] == V.TREE_BLOCKS
     assert V.rows_a_block(10**6, 128) == V.LARGE_BLOCK and V.rows_a_block(100, 128) == 128 and V.rows_a_block(10**6, 10**5) == 10**5
+
+
+@pytest.mark.parametrize("block", [2, 12])
+def test_neighbours_come_in_rounds_of_few_copies(spark, monkeypatch, block):
+    """Blocks around pivots (2) and by hash (12): the rounds give the neighbours that one pass over all block pairs gives."""
+    rows = _vecs(spark, np.random.default_rng(8).normal(size=(120, 3)).astype(np.float32))
+    one = {(r.id, r.nbr, r.nn_rank) for r in V.nearest_neighbours(rows, 2, block_size=block).collect()}
+    monkeypatch.setattr(V, "IN_FLIGHT", 0)
+    assert {(r.id, r.nbr, r.nn_rank) for r in V.nearest_neighbours(rows, 2, block_size=block).collect()} == one and len(one) == 240
+    assert V._rounds(120, 11, 1) == [(1, 2), (3, 4), (5, 5)]
+    placed = V._placed(rows.withColumn("_g", F.lit(0)), ["_g"], "vec_id", "vec", block)
+    n = [V._paired(placed, ["_g"], (), *r).count() for r in V._rounds(120, placed.first()["_nb"], 0)]
+    assert max(n) <= 480 and sum(n) == V._paired(placed, ["_g"]).count()       # four copies of every row at a time
+
+
+def test_hierarchy_in_rounds_leaves_edges_not_vectors(spark, monkeypatch):
+    """Rounds and thinning between them keep the clusters; staged vectors go."""
+    from themelens import session as S
+    mat = np.vstack([_blobs(6, [40, 30, 25], [0.05, 0.2, 0.4]), np.random.default_rng(2).normal(size=(25, 6)) * 3])
+    rows = _vecs(spark, mat).withColumn("k", F.lit(1))
+    monkeypatch.setattr(V, "IN_FLIGHT", 0)
+    monkeypatch.setattr(V, "THIN_FROM", 1)
+    before = set(S._STAGED)
+    edges = V.spanning_edges(rows, None, keys=["k"], block_size=10, written=True)
+    assert not [p for p in set(S._STAGED) - before if "/vectors-" in p or "/points-" in p]
+    assert edges.count() < 4 * len(mat)
+    forest = H.spanning_forest(edges, ["k"]).collect()
+    want = _tree(_weights(mat, 1))
+    assert len(forest) == len(want) and abs(sum(r.w for r in forest) - sum(x for x, *_ in want)) < 1e-9
+    before = set(S._STAGED)
+    found = {}
+    for r in H.hierarchical_labels(rows, 5, 2, keys=["k"], block_size=10).collect():
+        if r.label is not None:
+            found.setdefault(r.label, set()).add(r.id)
+    assert {frozenset(v) for v in found.values()} == plain_hierarchy(mat, 5, 2)
+    assert not [p for p in set(S._STAGED) - before if "/vectors-" in p or "/points-" in p or "/bounded-" in p or "/cells-" in p]
+
+
+def test_parts_of_a_block_give_its_tree(monkeypatch):
+    """A block cut into parts, alone or with another one, keeps edges that hold the spanning tree."""
+    mat = np.random.default_rng(9).normal(size=(90, 5))
+    x, core, low = V._unit(mat), np.zeros(90), np.arange(90) % 3 > 0
+    whole = sum(w for w, *_ in _tree(_weights(mat, 1)))
+    monkeypatch.setattr(V, "TREE_PART", 10)
+    a, b, w = V.block_pair_edges(x, core, low, False)
+    assert len(w) == 89 and abs(w.sum() - whole) < 1e-9
+    found = [V.block_pair_edges(x, core, low, True)]
+    assert (low[found[0][0]] != low[found[0][1]]).all() and len(found[0][2]) < 90
+    for side in (low, ~low):
+        a, b, w = V.block_pair_edges(x[side], core[side], np.ones(side.sum(), bool), False)
+        found.append((np.flatnonzero(side)[a], np.flatnonzero(side)[b], w))
+    a, b, w = (np.concatenate(c) for c in zip(*found))
+    assert abs(w[V.forest_rows(a, b, w)].sum() - whole) < 1e-9
+
+
+def test_vectors_are_narrowed_only_if_nothing_is_lost(spark):
+    assert V._narrow(_vecs(spark, [[0.5, 0.25], [1, 2]]), "vec").schema["vec"].dataType.simpleString() == "array<float>"
+    assert V._narrow(_vecs(spark, [[0.5, 0.25], [0.1, 2]]), "vec").schema["vec"].dataType.simpleString() == "array<double>"
