@@ -179,17 +179,17 @@ def test_rows_are_copied_to_few_blocks(spark):
     assert V.rows_a_block(10**6, 128) == V.LARGE_BLOCK and V.rows_a_block(100, 128) == 128 and V.rows_a_block(10**6, 10**5) == 10**5
 
 
-@pytest.mark.parametrize("block", [2, 12])
+@pytest.mark.parametrize("block", [5, 12])
 def test_neighbours_come_in_rounds_of_few_copies(spark, monkeypatch, block):
-    """Blocks around pivots (2) and by hash (12): the rounds give the neighbours that one pass over all block pairs gives."""
+    """Blocks around pivots (5) and by hash (12): the rounds give the neighbours that one pass over all block pairs gives."""
     rows = _vecs(spark, np.random.default_rng(8).normal(size=(120, 3)).astype(np.float32))
     one = {(r.id, r.nbr, r.nn_rank) for r in V.nearest_neighbours(rows, 2, block_size=block).collect()}
-    monkeypatch.setattr(V, "IN_FLIGHT", 0)
+    monkeypatch.setattr(V, "IN_FLIGHT", 8 * 120)
     assert {(r.id, r.nbr, r.nn_rank) for r in V.nearest_neighbours(rows, 2, block_size=block).collect()} == one and len(one) == 240
-    assert V._rounds(120, 11, 1) == [(1, 2), (3, 4), (5, 5)]
+    assert V._rounds(120, 11, 1) == [(1, 4), (5, 5)] and V._rounds(10**9, 5, 0) == [(0, 0), (1, 1), (2, 2)]
     placed = V._placed(rows.withColumn("_g", F.lit(0)), ["_g"], "vec_id", "vec", block)
     n = [V._paired(placed, ["_g"], (), *r).count() for r in V._rounds(120, placed.first()["_nb"], 0)]
-    assert max(n) <= 480 and sum(n) == V._paired(placed, ["_g"]).count()       # four copies of every row at a time
+    assert max(n) <= 960 and sum(n) == V._paired(placed, ["_g"]).count()       # eight copies of every row at a time
 
 
 def test_hierarchy_in_rounds_leaves_edges_not_vectors(spark, monkeypatch):
@@ -197,7 +197,7 @@ def test_hierarchy_in_rounds_leaves_edges_not_vectors(spark, monkeypatch):
     from themelens import session as S
     mat = np.vstack([_blobs(6, [40, 30, 25], [0.05, 0.2, 0.4]), np.random.default_rng(2).normal(size=(25, 6)) * 3])
     rows = _vecs(spark, mat).withColumn("k", F.lit(1))
-    monkeypatch.setattr(V, "IN_FLIGHT", 0)
+    monkeypatch.setattr(V, "IN_FLIGHT", 4 * len(mat))
     monkeypatch.setattr(V, "THIN_FROM", 1)
     before = set(S._STAGED)
     edges = V.spanning_edges(rows, None, keys=["k"], block_size=10, written=True)
@@ -233,5 +233,5 @@ def test_parts_of_a_block_give_its_tree(monkeypatch):
 
 
 def test_vectors_are_narrowed_only_if_nothing_is_lost(spark):
-    assert V._narrow(_vecs(spark, [[0.5, 0.25], [1, 2]]), "vec").schema["vec"].dataType.simpleString() == "array<float>"
-    assert V._narrow(_vecs(spark, [[0.5, 0.25], [0.1, 2]]), "vec").schema["vec"].dataType.simpleString() == "array<double>"
+    assert V.narrow_vectors(_vecs(spark, [[0.5, 0.25], [1, 2]]), "vec").schema["vec"].dataType.simpleString() == "array<float>"
+    assert V.narrow_vectors(_vecs(spark, [[0.5, 0.25], [0.1, 2]]), "vec").schema["vec"].dataType.simpleString() == "array<double>"
